@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, quality, secrets, shards, simhash, toxicity
+from . import decontam, langid, mixing, quality, secrets, shards, simhash, substrings, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
     "op4_secrets": op4_secrets,
+    "op5_substrings": op5_substrings,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
