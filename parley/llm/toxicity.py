@@ -114,7 +114,7 @@ def training_sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(sample: DataFrame) -> Model:
     """``sample``: columns ``text, toxic`` (0 or 1), of bounded size."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
     sample = written(sample)
     share = sample.agg(F.avg("toxic")).first()[0] or 0.0
@@ -123,17 +123,12 @@ def fit(sample: DataFrame) -> Model:
     features, ratio = log_count_ratios(sample)
     shape = sample.sparkSession.sparkContext.broadcast(Model(features, ratio, 0.0))
 
-    def vectors(toxic: list, texts: list) -> dict:
-        rows = []
-        for t in texts:
-            v = np.zeros(len(ratio))
-            at = shape.value.present(t)
-            v[at] = ratio[at]
-            rows.append(v)
-        return {"label": [float(y) for y in toxic], "x": rows}
-
-    data = per_batch(sample, "label double, x array<double>", vectors, "toxic", "text").select("label", array_to_vector("x").alias("features"))
-    model = LogisticRegression(regParam=PENALTY, elasticNetParam=0.0, standardization=False, maxIter=60, tol=1e-7).fit(written(data))
+    def present(toxic: list, texts: list) -> dict:
+        return {"label": [float(y) for y in toxic], "at": [shape.value.present(t).tolist() for t in texts]}
+
+    sparse = F.udf(lambda at: Vectors.sparse(len(shape.value.weight), at, shape.value.weight[at].tolist()), VectorUDT())
+    data = written(per_batch(sample, "label double, at array<int>", present, "toxic", "text")).select("label", sparse("at").alias("features"))
+    model = LogisticRegression(regParam=PENALTY, elasticNetParam=0.0, standardization=False, maxIter=60, tol=1e-7).fit(data)
     return Model(features, model.coefficients.toArray() * ratio, float(model.intercept))
 
 
