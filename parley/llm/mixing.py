@@ -29,7 +29,7 @@ BLOCK_BYTES = 64_000
 #: Bytes of a document besides its text.
 OVERHEAD = 8
 #: Rows, and slots, that are numbered together.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 BUCKET_SLOTS = 250
 
 

@@ -299,10 +299,11 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     """``k, t, spans``: the byte ranges to remove, per id (null as the smallest long) and text hash."""
     rows = _keyed(documents, doc_id, text)
     found = written(rows.select("k", "text").mapInArrow(_all_segments, "k long, t long, g long, q long, s int, e int"))
-    again = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("g2"))
+    # small tables are written before they are joined: a join of plain scans can split a hot key
+    again = written(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("g2")))
     shared = written(found.join(again, F.col("g") == F.col("g2"), "left_semi"))
     contents = written(shared.groupBy("g", "q").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "s", "e")).alias("one")))
-    several = contents.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("g2"), (F.col("m") > hot).alias("hot"))
+    several = written(contents.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("g2"), (F.col("m") > hot).alias("hot")))
     wanted = contents.join(several, F.col("g") == F.col("g2")).select("one.*", "g", "q", "hot").groupBy("k", "t").agg(F.collect_list(F.struct("g", "q", "s", "e", "hot")).alias("wanted"))
     fetched = written(rows.select("k", "text").join(wanted, "k").select("text", "t", "wanted").mapInArrow(_fetch, "g long, q long, body binary, o int, w binary"))
     ranges = "g long, q long, r array<struct<a:int,b:int>>"
