@@ -13,7 +13,7 @@ Tokens: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end token a te
    An open class spreads over its words by add-one smoothed corpus counts.
 4. Training starts from the class unigrams. In each of ``ROUNDS`` rounds every task takes AdaGrad
    steps over its share of all training packs, from the same weights; their changes are averaged
-   block by block in Spark, and the (bounded) weights go out again.
+   slice by slice in Spark, in two levels, and the (bounded) weights go out again.
 5. Packs meet the answers of step 2 and are scored in numpy batches.
 
 Defined cases: a null text is empty and has the end token alone; without training tokens N = V =
@@ -44,7 +44,12 @@ CLASSES = FREQUENT // CLASS_WORDS + SHAPES
 CODES = 1 + FREQUENT + SHAPES
 CONTEXT = 4
 BIGRAMS = 1 << 13
-ROUNDS, TASKS, BATCH, RATE = 3, 12, 2_048, 0.1
+ROUNDS, BATCH, RATE = 3, 2_048, 0.1
+#: Packs of a training task: few while there are under MANY tasks, more beyond (a task's changes
+#: cost the same shuffle however much it has learnt from), so tasks grow with the corpus.
+FEW_PACKS, MANY, MORE_PACKS = 4, 64, 64
+#: Weights that are averaged together, and tasks whose changes meet in one place before the last sum.
+SLICE, FAN_IN = 65_536, 64
 #: Characters of a pack, entries of a count shard.
 PACK, SHARD = 4_000_000, 1_000_000
 END = xxh3_64_intdigest(b"")  # no word is empty
@@ -314,25 +319,35 @@ def train(packed: DataFrame, corpus: Corpus) -> Model:
                 keep = np.repeat(np.array([not held_out(i) for i in row["ids"]]), lengths)
                 if keep.any():
                     trainer.learn(codes[keep], [f[keep] for f in contexts(codes, lengths)])
-        moved = [(t - b).astype(np.float16) for t, b in zip(start.tables(), before, strict=True)]
+        moved = [(t - b).astype(np.float16).ravel() for t, b in zip(start.tables(), before, strict=True)]
         for t, b in zip(start.tables(), before, strict=True):
             t[:] = b  # a worker that is used again starts from the round's weights
         if trainer.steps:
-            schema = pa.schema([("block", pa.int32()), ("steps", pa.int64()), ("change", pa.binary())])
-            yield pa.RecordBatch.from_pylist([{"block": i, "steps": trainer.steps, "change": x.tobytes()} for i, x in enumerate(moved)], schema=schema)
-
-    def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        weight = pdf["steps"].to_numpy(dtype=float)
-        total = sum(np.frombuffer(x, np.float16).astype(np.float32) * np.float32(w) for x, w in zip(pdf["change"], weight / weight.sum(), strict=True))
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "change": [total.astype(np.float32).tobytes()]})
-
+            schema = pa.schema([("block", pa.int32()), ("start", pa.int32()), ("part", pa.int32()), ("steps", pa.int64()), ("change", pa.binary())])
+            part = TaskContext.get().partitionId() // FAN_IN
+            for i, x in enumerate(moved):
+                yield pa.RecordBatch.from_pylist([{"block": i, "start": a, "part": part, "steps": trainer.steps, "change": x[a : a + SLICE].tobytes()} for a in range(0, len(x), SLICE)], schema=schema)
+
+    def average(kind: type):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            weight = pdf["steps"].to_numpy(dtype=float)
+            total = sum(np.frombuffer(x, kind).astype(np.float32) * np.float32(w) for x, w in zip(pdf["change"], weight / weight.sum(), strict=True))
+            first = pdf.iloc[0]
+            return pd.DataFrame({"block": [int(first["block"])], "start": [int(first["start"])], "steps": [int(weight.sum())], "change": [total.astype(np.float32).tobytes()]})
+
+        return run
+
+    averaged = "block int, start int, steps long, change binary"
+    each = -(-packed.count() // ROUNDS)
+    tasks = max(1, min(-(-each // FEW_PACKS), max(MANY, -(-each // MORE_PACKS))))
     for k in range(ROUNDS):
         held = spark.sparkContext.broadcast((model, corpus))
         share = packed.where(F.pmod(F.xxhash64("pack"), F.lit(ROUNDS)) == k).select("pack", "ids", "lengths", "tokens", "words", "shapes")
-        changes = share.coalesce(TASKS).mapInArrow(local, "block int, steps long, change binary").groupBy("block").applyInPandas(average, "block int, change binary")
-        for r in changes.collect():
-            table = model.tables()[r.block]
-            table += np.frombuffer(r.change, np.float32).reshape(table.shape)
+        changes = share.coalesce(tasks).mapInArrow(local, "block int, start int, part int, steps long, change binary")
+        near = changes.groupBy("block", "start", "part").applyInPandas(average(np.float16), averaged)
+        for r in near.groupBy("block", "start").applyInPandas(average(np.float32), averaged).collect():
+            change = np.frombuffer(r.change, np.float32)
+            model.tables()[r.block].reshape(-1)[r.start : r.start + len(change)] += change
         held.unpersist()
     return model
 

@@ -105,7 +105,7 @@ def _positions(rows: DataFrame) -> DataFrame:
 
 def mixed_order(documents: DataFrame) -> DataFrame:
     """All documents with all their columns, in Parquet order of the mixture."""
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("mixing"))
-    places = mix(documents).select(F.col("doc_id").alias("_id"), F.col("position").alias("_position")).groupBy("_id").agg(F.min("_position").alias("_position"))
-    joined = documents.join(places, documents["doc_id"].eqNullSafe(places["_id"]), "left")
-    return joined.repartitionByRange("_position").sortWithinPartitions("_position").select(*[documents[c] for c in documents.columns])
+    places = mix(documents).groupBy(F.col("doc_id").alias("placed")).agg(F.min("position").alias("position"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    joined = rows.join(places, F.col("id").eqNullSafe(F.col("placed")), "left")
+    return joined.repartitionByRange("position").sortWithinPartitions("position").select("row.*")

@@ -4,11 +4,13 @@ Groups of equal texts stay together. A partial partition is a row of ``ways`` su
 the largest spread are combined again and again, one in descending and the other in ascending
 order, until one is left.
 
-At scale the differencing runs as a tree. Groups are dealt by hash into buckets of about ``LEAF``
-groups; each bucket is differenced into ``BUNDLES`` bundles of nearly equal size; bundles are the
-groups of the next level, until at most ``TOP`` items are left, which one last task differences
-into the shards. Groups too large for a bundle skip the levels and take part in the last task,
-which bounds their number. No task sees more than ``LEAF`` or ``TOP`` pairs of (id, size).
+Differencing is one sequence of steps, so it gets a bounded number of items. Up to ``TOP`` groups
+are items themselves. Beyond, groups are bundled by hash at several scales: fifteen sixteenths of
+them into ``TOP``/8 large bundles, fifteen sixteenths of the rest into as many bundles a sixteenth
+as large, and so on until the rest is few enough to be items; the small ones fill what the large
+ones leave uneven. Bundling is a plain sum by key. Groups over 4/``TOP`` of all bytes, a quarter of
+``TOP`` at most, are items always. Some ten thousand (id, size) pairs reach the differencing task,
+whatever the corpus.
 
 Defined cases: a null text has no bytes and goes with the empty texts; no rows give no rows; a
 group larger than a shard's fair share makes that shard larger (groups are never cut) and the
@@ -18,6 +20,7 @@ others stay equal; repeated ids get a slot each.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -29,9 +32,8 @@ from .common import numbered, written
 SHARDS = 24
 #: Bytes of a document besides its text.
 OVERHEAD = 8
-LEAF, BUNDLES, TOP = 8_192, 64, 16_384
-#: A group over 1/HEAVY of a shard's fair share goes straight to the last task.
-HEAVY = 64
+#: Groups that are differenced one by one, and the factor between scales of bundles.
+TOP, SCALE = 16_384, 16
 #: Rows that are numbered together.
 SLOT_ROWS = 50_000
 
@@ -78,43 +80,31 @@ def difference(sizes: np.ndarray, ways: int) -> np.ndarray:
     return out
 
 
-def _ways(ways: int, prefix: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
-        part = difference(pdf["size"].to_numpy(dtype=np.int64), ways)
-        bucket = str(pdf["bucket"].iloc[0])
-        return pd.DataFrame({"item": pdf["item"], "size": pdf["size"], "part": [f"{prefix}{bucket}.{p}" for p in part]})
-
-    return run
+def bundled(groups: DataFrame, n: int, total: int, top: int = TOP) -> DataFrame:
+    """``item, size`` with the ``bundle`` that each group takes part in the differencing with."""
+    alone = F.concat(F.lit("i:"), "item")
+    if n <= top:
+        return groups.withColumn("bundle", alone)
+    most = max(1, top // 8)
+    scales = math.ceil(math.log(n / most) / math.log(SCALE))
+    chance = (F.pmod(F.xxhash64("item"), F.lit(1 << 50)) + 1) / float(1 << 50)
+    scale = F.floor(-F.log(chance) / F.lit(math.log(SCALE)))
+    by_hash = F.concat_ws(":", F.lit("b"), scale, F.pmod(F.xxhash64("item", F.lit(1)), F.lit(most)))
+    return groups.withColumn("bundle", F.when((F.col("size") > 4 * total // top) | (scale >= scales), alone).otherwise(by_hash))
 
 
 def assign(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``item string, size long`` (items unique) to ``item, shard int``."""
     total, n = groups.agg(F.sum("size"), F.count("*")).first()
-    heavy = max(1, int((total or 0) // (shards * HEAVY)))
-    levels: list[DataFrame] = []
-    items = groups
-    level = 0
-    while n > TOP:
-        own = items.where(F.col("size") < heavy)
-        parts = max(1, -(-n // LEAF))
-        dealt = own.withColumn("bucket", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(parts)))
-        done = written(dealt.groupBy("bucket").applyInPandas(_ways(BUNDLES, f"{level}:"), "item string, size long, part string"))
-        levels.append(done)
-        items = done.groupBy(F.col("part").alias("item")).agg(F.sum("size").alias("size")).unionByName(items.where(F.col("size") >= heavy))
-        items = written(items)
-        n, level = items.count(), level + 1
-
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
-        return pd.DataFrame({"item": pdf["item"], "shard": difference(pdf["size"].to_numpy(dtype=np.int64), shards).astype(np.int32)})
-
-    found = written(items.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(last, "item string, shard int"))
-    for done in reversed(levels):
-        below = done.alias("d").join(found.alias("f"), F.col("d.part") == F.col("f.item")).select(F.col("d.item"), F.col("f.shard"))
-        # items that skipped this level keep their shard; bundles are replaced by what they hold
-        found = below.unionByName(found.join(done.select(F.col("part").alias("item")).distinct(), "item", "left_anti"))
-    return found
+    members = bundled(groups, n, total or 0, TOP)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "bundle"], ascending=[False, True], kind="stable")
+        return pd.DataFrame({"bundle": pdf["bundle"], "shard": difference(pdf["size"].to_numpy(dtype=np.int64), shards).astype(np.int32)})
+
+    items = members.groupBy("bundle").agg(F.sum("size").alias("size"))
+    placed = written(items.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(solve, "bundle string, shard int"))
+    return members.join(F.broadcast(placed), "bundle").select("item", "shard")
 
 
 def shard(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -186,10 +186,10 @@ def without_copies(documents: DataFrame) -> DataFrame:
     them stays) and are told apart by nothing else; rows without an id are kept.
     """
     placed = written(components(documents))
-    keep = placed.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n"))
-    joined = documents.join(keep, documents["doc_id"] == keep["_kept"], "left").where(documents["doc_id"].isNull() | F.col("_kept").isNotNull())
+    keep = placed.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("n"))
+    # the row rides along in a struct, so that no column of the documents can clash
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    joined = rows.join(keep, F.col("id") == F.col("kept"), "left").where(F.col("id").isNull() | F.col("kept").isNotNull())
     if placed.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        single = joined.where(F.coalesce("_n", F.lit(1)) == 1)
-        several = joined.where(F.col("_n") > 1).dropDuplicates(["_kept"])
-        joined = single.unionByName(several)
-    return joined.drop("_kept", "_n")
+        joined = joined.where(F.coalesce("n", F.lit(1)) == 1).unionByName(joined.where(F.col("n") > 1).dropDuplicates(["id"]))
+    return joined.select("row.*")
