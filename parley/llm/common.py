@@ -24,11 +24,6 @@ def remainder(column: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def per_batch(df: DataFrame, schema: str, rows: Callable[..., dict], *columns: str) -> DataFrame:
     """Run ``rows`` over Arrow batches of the named columns, given as Python lists."""
     from pyspark.sql.types import StructType

@@ -14,8 +14,6 @@ bounds what is sent to every task, and a larger benchmark is searched in several
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,10 +164,6 @@ def match_benchmark(documents: DataFrame, benchmark: DataFrame, doc_id: str = "d
     return per_batch(groups, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>", lambda d, w, i, s: {"doc_id": d, "n_words": w, "n_hit": [merged([(x["start"], x["end"]) for x in y]) for y in s], "items": i, "spans": s}, "doc_id", "n_words", "items", "spans")
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def report(matches: DataFrame) -> DataFrame:
     """The columns of the registered query."""
     return matches.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

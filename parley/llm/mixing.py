@@ -77,13 +77,13 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, doc_id: str = "d
             F.col(doc_id).cast("long").alias("doc_id"),
             F.col(source).cast("string").alias("source"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
-            F.xxhash64(F.col(doc_id).cast("string"), F.lit("mixing")).alias("shuffled"),
+            F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("mixing")).cast("binary")).alias("shuffled"),
         )
     )
     n = rows.count()
     parts = max(1, -(-n // BUCKET_ROWS) * 2)
     # buckets are ranges of the hash, so that bucket and hash together are one order
-    bucket = F.shiftrightunsigned("shuffled", 33).cast("long") * parts / float(1 << 31)
+    bucket = F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("long") * parts / float(1 << 32)
     before = numbered(rows, ["source"], F.floor(bucket).cast("long"), ["shuffled", "doc_id", "size"], "before", F.col("size"))
     blocks = written(before.withColumn("block", F.floor(F.col("before") / block_bytes).cast("long")))
     if weights is None:
