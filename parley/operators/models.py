@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import written
-from .metrics import class_weights, grouped_metrics, macro_metrics, per_class_metrics
+from .metrics import class_weights, macro_metrics, per_class_metrics
 
 
 def pool_features(frames: DataFrame, streams: tuple[str, ...], mode: str = "mean", by: tuple[str, ...] = ("window_id",)) -> DataFrame:
@@ -63,7 +63,3 @@ def ablation_block(experiments: dict[str, tuple[str, ...]], frames: DataFrame, s
         rows = tau_sweep(scored, labels).select(F.lit(name).alias("experiment"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
-
-
-def evaluation_groups(predictions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    return grouped_metrics(predictions, keys)

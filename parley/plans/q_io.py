@@ -36,18 +36,11 @@ def read_poc_manifest(spark, d):
 @query("read_labels", with_labels() + " SELECT sample_key, tau_ms, label FROM labels WHERE tau_ms = 400")
 def read_labels(spark, d):
     path = folder(spark)
-    one = labels(spark, d, (400,))
-    # a JSON object per recording
-    doc = one.groupBy("file_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("sample_key", "label")))).alias("value"))
-    doc.select("value").repartition(4).write.option("lineSep", "\n").text(path)
-    lines = spark.read.text(path).select("value")
-    lines.write.text(f"{path}-l")
-    return _labels_by_line(spark, f"{path}-l")
-
-
-def _labels_by_line(spark, path):
-    rows = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("sample_key", "raw"))
-    return rows.select("sample_key", F.lit(400).alias("tau_ms"), F.col("raw").try_cast("int").alias("label"))
+    rows = labels(spark, d, (400,)).withColumn("part", F.pmod(F.xxhash64("file_id"), F.lit(8)))
+    # one JSON object per file
+    doc = rows.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("sample_key", "label")))).alias("value"))
+    doc.repartition("part").write.partitionBy("part").text(path)
+    return readers.read_labels(spark, path, 400)
 
 
 @query("write_labels", with_labels() + " SELECT sample_key, tau_ms, label FROM labels")
@@ -59,12 +52,12 @@ def write_labels(spark, d):
     return spark.read.parquet(path).select("sample_key", "tau_ms", "label")
 
 
-@query("read_intervals", ctes(["v_intervals"], DUCKDB) + " SELECT file_id, start_s, end_s FROM v_intervals")
+@query("read_intervals", ctes(["v_intervals"], DUCKDB) + " SELECT file_id, seg_idx, start_s, end_s FROM v_intervals")
 def read_intervals(spark, d):
     path = folder(spark)
-    fixture(spark, d, "v_intervals").select("file_id", F.col("start_s").alias("start"), F.col("end_s").alias("end")).write.json(path)
-    rows = spark.read.schema("file_id string, start double, end double").option("mode", "FAILFAST").json(path)
-    return rows.select("file_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+    rows = fixture(spark, d, "v_intervals").repartition("file_id").sortWithinPartitions("file_id", "seg_idx")
+    rows.select("file_id", F.col("start_s").alias("start"), F.col("end_s").alias("end")).write.partitionBy("file_id").json(path)
+    return readers.read_intervals(spark, path, r"file_id=([^/]+)/")
 
 
 @query("words_flat", ctes(["v_words"], DUCKDB) + " SELECT file_id, word, start_s, end_s FROM v_words")
@@ -129,7 +122,5 @@ def read_json_features(spark, d):
     m = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.slice(v, i * 2 + 1, 2))
     e.select("vec_id", F.when(F.col("vec_id") % 2 == 0, F.to_json(m)).otherwise(F.to_json(F.struct(m.alias("embeddings")))).alias("value")).write.parquet(path)
     rows = spark.read.parquet(path)
-    matrix = "array<array<double>>"
-    held = F.from_json("value", f"features {matrix}, embeddings {matrix}")
-    found = F.when(F.col("value").startswith("["), F.from_json("value", matrix)).otherwise(F.coalesce(held["features"], held["embeddings"]))
+    found = readers.json_matrix(F.col("value"), F.col("vec_id").cast("string"))
     return rows.select((F.col("vec_id") % 2 == 0).alias("bare"), F.size(found).alias("n_rows")).groupBy("bare", "n_rows").agg(F.count("*").alias("n"))

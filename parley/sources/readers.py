@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,22 +22,27 @@ def read_manifest(spark: SparkSession, path: str, required: list[str]) -> DataFr
     return df
 
 
-def _file_id(prefix: str) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), rf"{prefix}_?([^/]*)\.jsonl?$", 1)
+#: Where a recording's id stands in the path of its files.
+VAD_FILE = r"vad_([^/]*)\.jsonl?$"
+TRANSCRIPT_FILE = r"transcript_([^/]*)\.jsonl?$"
+
+
+def _file_id(pattern: str) -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
-def read_intervals(spark: SparkSession, path: str, prefix: str = "vad") -> DataFrame:
+def read_intervals(spark: SparkSession, path: str, pattern: str = VAD_FILE) -> DataFrame:
     """``file_id, seg_idx, start_s, end_s`` from JSON lines, by start; a bad line is an error."""
-    rows = spark.read.schema("start double, end double").option("mode", "FAILFAST").json(path).select(_file_id(prefix).alias("file_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+    rows = spark.read.schema("start double, end double").option("mode", "FAILFAST").json(path).select(_file_id(pattern).alias("file_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.col("start").alias("start_s"), F.col("end").alias("end_s"))
     w = Window.partitionBy("file_id").orderBy("start_s", "_block", "_line")
     return rows.withColumn("seg_idx", F.row_number().over(w)).select("file_id", "seg_idx", "start_s", "end_s")
 
 
-def read_transcripts(spark: SparkSession, path: str, prefix: str = "transcript") -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, pattern: str = TRANSCRIPT_FILE) -> DataFrame:
     """``file_id, words`` from JSON lines; malformed lines are skipped. Words are maps, so that an
     absent key can be told from a null value."""
     schema = T.StructType.fromDDL("words array<map<string,string>>")
-    rows = spark.read.text(path).select(_file_id(prefix).alias("file_id"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j"), "value")
+    rows = spark.read.text(path).select(_file_id(pattern).alias("file_id"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j"), "value")
     return rows.where(F.col("j.words").isNotNull()).select("file_id", F.col("j.words").alias("words"))
 
 
@@ -100,13 +103,18 @@ def index_feature_files(spark: SparkSession, path: str, glob: str = "*") -> Data
     return files.where(F.col("path").rlike(pattern)).select("path", "bytes", part(1).cast("double").alias("start_s"), part(2).cast("double").alias("end_s"), part(3).alias("file_id"))
 
 
+def json_matrix(value: Column, name: Column) -> Column:
+    """The matrix in a JSON text; a text without one is an error that names it."""
+    matrix = "array<array<double>>"
+    held = F.from_json(value, f"features {matrix}, embeddings {matrix}")
+    found = F.when(F.trim(value).startswith("["), F.from_json(value, matrix)).otherwise(F.coalesce(held["features"], held["embeddings"]))
+    return F.when(found.isNull(), F.raise_error(F.concat(F.lit("no features in "), name)).cast(matrix)).otherwise(found)
+
+
 def read_json_features(spark: SparkSession, path: str) -> DataFrame:
     """``path, matrix`` of JSON files: a bare array of rows, or an object with features or embeddings."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    matrix = "array<array<double>>"
-    held = F.from_json("value", f"features {matrix}, embeddings {matrix}")
-    found = F.when(F.trim("value").startswith("["), F.from_json("value", matrix)).otherwise(F.coalesce(held["features"], held["embeddings"]))
-    return rows.select("path", F.when(found.isNull(), F.raise_error(F.concat(F.lit("no features in "), F.col("path"))).cast(matrix)).otherwise(found).alias("matrix"))
+    return rows.select("path", json_matrix(F.col("value"), F.col("path")).alias("matrix"))
 
 
 def read_coordination(spark: SparkSession, path: str, keys: list[str], columns: list[str]) -> DataFrame:
@@ -126,7 +134,3 @@ def read_results(spark: SparkSession, path: str, texts: tuple[str, ...] = ("expe
 
 def read_poc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).drop("split").withColumn("annotation_coverage", F.lit("none"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
