@@ -230,33 +230,43 @@ def _word_rows(cls: np.ndarray, code: np.ndarray) -> np.ndarray:
     return (cls * 2_654_435 + code * 40_503) % WORD_ROWS
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, and the log of the sum that they were divided by."""
+def _gathered(bias: np.ndarray, tables: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """The bias plus a row of each table, per token."""
+    z = np.take(tables[0], rows[0], axis=0, mode="clip")
+    part = np.empty_like(z)
+    for t, r in zip(tables[1:], rows[1:], strict=True):
+        z += np.take(t, r, axis=0, mode="clip", out=part)
+    z += bias
+    return z
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``z`` less its maximum, exponentiated in place; the sums; and the maxima."""
     top = z.max(1)
-    e = np.exp(z - top[:, None])
-    total = e.sum(1)
-    e /= total[:, None]
-    return e, top + np.log(total)
+    z -= top[:, None]
+    np.exp(z, out=z)
+    return z.sum(1), top
+
+
+def _log_softmax_at(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    own = z[np.arange(len(y)), y]
+    total, top = _exp(z)
+    return own - top - np.log(total)
 
 
 def log_probabilities(model: Model, codes: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
     """Natural log of P(class | context), times P(word | class, context) for frequent words."""
     out = np.empty(len(codes))
     cls, rank = classes(codes), codes - 1
-    for a in range(0, len(codes), 4 * BATCH):
-        at = slice(a, a + 4 * BATCH)
-        z = model.bias + model.by_class[0][features[0][at]]
-        for t, f in zip(model.by_class[1:], features[1:], strict=True):
-            z += t[f[at]]
+    for a in range(0, len(codes), BATCH):
+        at = slice(a, a + BATCH)
         y = cls[at]
-        top = z.max(1)
-        out[at] = z[np.arange(len(y)), y] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        out[at] = _log_softmax_at(_gathered(model.bias, model.by_class, [f[at] for f in features]), y)
         near = np.flatnonzero(rank[at] < FREQUENT)
         if len(near):
             c, w = y[near], rank[at][near] % CLASS_WORDS
-            z = model.word_bias[c] + sum(t[_word_rows(c, f[at][near])] for t, f in zip(model.by_word, features, strict=False))
-            top = z.max(1)
-            out[a + near] += z[np.arange(len(c)), w] - top - np.log(np.exp(z - top[:, None]).sum(1))
+            rows = [_word_rows(c, f[at][near]) for f in features[:2]]
+            out[a + near] += _log_softmax_at(_gathered(model.word_bias[c], model.by_word, rows), w)
     return out
 
 
@@ -264,40 +274,44 @@ class Trainer:
     """AdaGrad steps from given weights."""
 
     def __init__(self, model: Model):
-        self.model, self.steps = model, 0
-        self.squares = [np.full(t.shape, 1e-2, np.float32) for t in model.tables()]
+        self.model, self.tables, self.steps = model, model.tables(), 0
+        self.squares = [np.full(t.shape, 1e-2, np.float32) for t in self.tables]
 
     def _step(self, i: int, rows: np.ndarray, gradient: np.ndarray) -> None:
+        rows = rows.astype(np.uint16)  # sorted by radix; no table has more rows
         order = np.argsort(rows, kind="stable")
         sorted_rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        total, row = np.add.reduceat(gradient[order], first, axis=0), sorted_rows[first]
-        square = self.squares[i][row] + total * total
+        total, row = np.add.reduceat(np.take(gradient, order, axis=0), first, axis=0), sorted_rows[first]
+        square = np.take(self.squares[i], row, axis=0)
+        square += total * total
         self.squares[i][row] = square
-        self.model.tables()[i][row] -= RATE * total / np.sqrt(square)
+        np.sqrt(square, out=square)
+        total /= square
+        total *= -RATE
+        total += np.take(self.tables[i], row, axis=0)
+        self.tables[i][row] = total
 
     def learn(self, codes: np.ndarray, features: list[np.ndarray]) -> None:
         m, cls, rank = self.model, classes(codes), codes - 1
         for a in range(0, len(codes), BATCH):
             at = slice(a, a + BATCH)
-            z = m.bias + m.by_class[0][features[0][at]]
-            for t, f in zip(m.by_class[1:], features[1:], strict=True):
-                z += t[f[at]]
-            p, _ = _softmax(z)
-            y = cls[at]
-            p[np.arange(len(y)), y] -= 1
-            for i, f in enumerate(features):
-                self._step(i, f[at], p)
+            own, y = [f[at] for f in features], cls[at]
+            self._descend(0, own, _gathered(m.bias, m.by_class, own), y)
             near = np.flatnonzero(rank[at] < FREQUENT)
             if len(near):
                 c, w = y[near], rank[at][near] % CLASS_WORDS
-                rows = [_word_rows(c, f[at][near]) for f in features[:2]]
-                p, _ = _softmax(m.word_bias[c] + m.by_word[0][rows[0]] + m.by_word[1][rows[1]])
-                p[np.arange(len(c)), w] -= 1
-                for k, r in enumerate(rows):
-                    self._step(len(features) + k, r, p)
+                rows = [_word_rows(c, f[near]) for f in own[:2]]
+                self._descend(len(features), rows, _gathered(m.word_bias[c], m.by_word, rows), w)
             self.steps += 1
 
+    def _descend(self, first: int, rows: list[np.ndarray], z: np.ndarray, y: np.ndarray) -> None:
+        """A step of each table that ``rows`` select from, down the gradient of the log-loss."""
+        z /= _exp(z)[0][:, None]
+        z[np.arange(len(y)), y] -= 1
+        for i, r in enumerate(rows):
+            self._step(first + i, r, z)
+
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return (np.frombuffer(zstandard.decompress(row["tokens"]), np.uint32), np.frombuffer(row["lengths"], np.uint32).astype(np.int64), np.frombuffer(row["words"], np.uint64), np.frombuffer(row["shapes"], np.uint8))
