@@ -127,8 +127,11 @@ def fit(sample: DataFrame) -> Model:
         return {"label": [float(y) for y in toxic], "at": [shape.value.present(t).tolist() for t in texts]}
 
     sparse = F.udf(lambda at: Vectors.sparse(len(shape.value.weight), at, shape.value.weight[at].tolist()), VectorUDT())
-    data = written(per_batch(sample, "label double, at array<int>", present, "toxic", "text")).select("label", sparse("at").alias("features"))
-    model = LogisticRegression(regParam=PENALTY, elasticNetParam=0.0, standardization=False, maxIter=60, tol=1e-7).fit(data)
+    data = written(per_batch(sample, "label double, at array<int>", present, "toxic", "text"))
+    # toxic rows are few: weights give both classes half of the loss, so that 0.5 lies between them
+    weight = F.when(F.col("label") == 1.0, 0.5 / share).otherwise(0.5 / (1 - share))
+    data = data.select("label", weight.alias("weight"), sparse("at").alias("features"))
+    model = LogisticRegression(weightCol="weight", regParam=PENALTY, elasticNetParam=0.0, standardization=False, maxIter=60, tol=1e-7).fit(data)
     return Model(features, model.coefficients.toArray() * ratio, float(model.intercept))
 
 
