@@ -3,10 +3,10 @@ per experiment and tau), so their windows may lack a partition."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Fixed order of the experiments within each block, and the blocks' titles.
+# The order of the experiments within each block, and the blocks' titles.
 BLOCK_ORDER = {
     "standard": ["cpc_both_early", "cpc_both_neural_concat", "cpc_speaker_of_listener", "cpc_speaker_of_dyad", "full_dyad"],
     "ssa": ["cpc_both_attention", "of_speaker_of_listener_attention", "cpc_speaker_of_listener_attention", "cpc_speaker_of_dyad_attention", "full_dyad_attention"],
@@ -18,6 +18,17 @@ BLOCK_TITLES = {"standard": "Standard", "ssa": "Standard + Self-Attention", "sca
 LEADERBOARD_METRICS = ("macro_f1", "h_f1", "y_f1", "b_f1", "macro_recall", "h_recall", "y_recall", "b_recall")
 
 
+def block_order(spark: SparkSession) -> DataFrame:
+    """``block, experiment, position``: the fixed order as a table."""
+    rows = [(b, e, i) for b, names in BLOCK_ORDER.items() for i, e in enumerate(names, 1)]
+    return spark.createDataFrame(rows, "block string, experiment string, position int")
+
+
+def block_titles(spark: SparkSession) -> DataFrame:
+    """``block, block_position, title``."""
+    return spark.createDataFrame([(b, i, t) for i, (b, t) in enumerate(BLOCK_TITLES.items(), 1)], "block string, block_position int, title string")
+
+
 def rank_by_metric(df: DataFrame, metric: str, key: str, by: list[str] | None = None) -> DataFrame:
     """1-based rank by the metric, descending; ties by ``key``."""
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc_nulls_last(metric), key)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from parley.functions.scalars import interaction_id, participant_id, try_float
 
+# The columns of a manifest file, in order.
 MANIFEST_COLUMNS = ["split", "seamless_split", "interaction_id", "vendor_id", "session_id", "prompt_hash", "interaction_type", "label", "annotation_coverage", "relationship", "relationship_detail", "file_id_a", "file_id_b", "participant_a", "participant_b", "audio_url_a", "audio_url_b", "video_url_a", "video_url_b", "vad_url_a", "vad_url_b"]
 
 

@@ -69,6 +69,14 @@ def test_leaderboard_rebuilds_the_table(spark):
     assert [r["rank"] for r in got if r.is_max_macro_f1] == [1] and [r["rank"] for r in got if r.is_max_macro_recall] == [7]
 
 
+def test_suite_lists_blocks_in_order(spark):
+    order = reports.block_order(spark)
+    t400 = order.select("block", "experiment").orderBy(F.rand(1))
+    got = reports.ablation_suite(t400, order, reports.block_titles(spark)).collect()
+    assert len(got) == 24 and [r.experiment for r in got] == [e for names in reports.BLOCK_ORDER.values() for e in names]
+    assert [r.block_cell for r in got if r.block_cell] == list(reports.BLOCK_TITLES.values())
+
+
 def test_auc_is_null_for_one_point(spark):
     s = spark.createDataFrame([("a", 100, 1.0), ("a", 300, 3.0), ("b", 400, 1.0)], "experiment string, tau_ms int, m double")
     assert {r.experiment: r.auc_m for r in reports.tau_auc(s, ("m",), ["experiment"]).collect()} == {"a": 400.0, "b": None}
