@@ -103,9 +103,13 @@ def _positions(rows: DataFrame) -> DataFrame:
     return numbered(one, ["_all"], F.floor(F.col("slot") / BUCKET_SLOTS).cast("long"), ["slot", "before", "doc_id"], "position").drop("_all")
 
 
+def places(documents: DataFrame) -> DataFrame:
+    """``placed, position``: each id once, with its (first) place in the mixture."""
+    return mix(documents).groupBy(F.col("doc_id").alias("placed")).agg(F.min("position").alias("position"))
+
+
 def mixed_order(documents: DataFrame) -> DataFrame:
     """All documents with all their columns, in Parquet order of the mixture."""
-    places = mix(documents).groupBy(F.col("doc_id").alias("placed")).agg(F.min("position").alias("position"))
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    joined = rows.join(places, F.col("id").eqNullSafe(F.col("placed")), "left")
+    joined = rows.join(places(documents), F.col("id").eqNullSafe(F.col("placed")), "left")
     return joined.repartitionByRange("position").sortWithinPartitions("position").select("row.*")

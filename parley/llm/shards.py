@@ -107,8 +107,12 @@ def assign(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     return members.join(F.broadcast(placed), "bundle").select("item", "shard")
 
 
-def shard(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document."""
+def shard(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", places: DataFrame | None = None) -> DataFrame:
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document.
+
+    ``places`` (``placed, position``, each id once, positions from 0) gives the order of the slots
+    in a shard; ids that it lacks come first. Without it a hash of the id does.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = documents.select(
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -119,7 +123,11 @@ def shard(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", te
     rows = written(rows)
     groups = written(rows.groupBy("item").agg(F.sum("size").alias("size")))
     placed = rows.join(assign(groups, shards), "item").select("doc_id", "size", "text_crc32", "shard", "item")
-    n = documents.count()
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // (SLOT_ROWS * shards)) * 2)))
-    slots = numbered(placed, ["shard"], bucket, ["doc_id", "item"], "slot")
+    if places is None:
+        n = rows.count()
+        bucket, order = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // (SLOT_ROWS * shards)) * 2))), ["doc_id", "item"]
+    else:
+        placed = placed.join(places, F.col("doc_id").eqNullSafe(F.col("placed")), "left").withColumn("position", F.coalesce("position", F.lit(-1).cast("long")))
+        bucket, order = F.floor(F.col("position") / SLOT_ROWS).cast("long"), ["position", "doc_id", "item"]
+    slots = numbered(placed, ["shard"], bucket, order, "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from parley.llm import shards
+from parley.llm import mixing, shards
 from parley.llm.common import table, written
 
 from .test_operators import brute_components, brute_fingerprint, brute_hits
@@ -46,6 +46,10 @@ def test_each_stage_does_its_work(spark, sf_dir, stages):
     for r in last:
         sizes[r.shard] += r["size"]
         texts[r.text_crc32].add(r.shard)
+    place = {r.placed: r.position for r in mixing.places(stages[3][1]).collect()}
+    for k in sizes:
+        own = sorted((r.slot, place[r.doc_id]) for r in last if r.shard == k)
+        assert [x[0] for x in own] == list(range(len(own))) and own == sorted(own, key=lambda x: x[1])
     assert len(sizes) == shards.SHARDS and all(len(v) == 1 for v in texts.values())
 
 
