@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
-    return shards.shard(docs)
+    """The shard and slot of every document; the slots of a shard stand in the order of the mixture."""
+    return shards.shard(docs, places=mixing.places(docs))
 
 
 STAGES = [
