@@ -163,14 +163,19 @@ def links(distinct: DataFrame, tree: int = TREE) -> DataFrame:
     return dealt.mapInArrow(_links, "src long, dst long")
 
 
-def components(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` of every document."""
-    prints = written(fingerprints(documents, doc_id, text))
+def _of_prints(prints: DataFrame) -> DataFrame:
+    """``own, component, component_id`` of every distinct ``fp`` of (written) rows ``doc_id, fp``."""
     named = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(written(links(named.select("fp"))))
     member = named.join(found, named["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = member.join(smallest, "component").select(F.col("fp").alias("own"), "component_id")
+    return member.join(smallest, "component").select(F.col("fp").alias("own"), "component", "component_id")
+
+
+def components(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, fp, component_id`` of every document."""
+    prints = written(fingerprints(documents, doc_id, text))
+    of = _of_prints(prints)
     return prints.join(of, prints["fp"] == of["own"]).select("doc_id", "fp", "component_id")
 
 
@@ -179,17 +184,31 @@ def report(documents: DataFrame) -> DataFrame:
     return components(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_copies(documents: DataFrame) -> DataFrame:
+def numbered_rows(documents: DataFrame) -> DataFrame:
+    """``key, id, row``: every row with a key of its own; the row is a struct, so that no column can clash."""
+    rows = documents.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    return written(rows)
+
+
+def first_of_each(rows: DataFrame, placed: DataFrame, group: list[str]) -> DataFrame:
+    """The documents of ``rows`` that come first in their group of ``placed`` (``key, id, mark`` and the group).
+
+    First is the smallest id, nulls last, then the smallest mark (a hash of the text), then the key.
+    """
+    first = placed.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull(), "id", "mark", "key")).alias("first")).select("first.key")
+    return rows.join(first, "key", "left_semi").select("row.*")
+
+
+def without_copies(documents: DataFrame, keep_nulls: bool = True) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns.
 
-    Rows that share the id of a kept document are copies of it if their texts are near (one of
-    them stays) and are told apart by nothing else; rows without an id are kept.
+    A row belongs to the component of its own text, whatever other rows share its id. Rows
+    without an id all stay with ``keep_nulls``, and are copies like any others without.
     """
-    placed = written(components(documents))
-    keep = placed.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("n"))
-    # the row rides along in a struct, so that no column of the documents can clash
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    joined = rows.join(keep, F.col("id") == F.col("kept"), "left").where(F.col("id").isNull() | F.col("kept").isNotNull())
-    if placed.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        joined = joined.where(F.coalesce("n", F.lit(1)) == 1).unionByName(joined.where(F.col("n") > 1).dropDuplicates(["id"]))
-    return joined.select("row.*")
+    rows = numbered_rows(documents)
+    plain = rows.select("key", "id", F.col("row.text").alias("text"), F.xxhash64("row.text").alias("mark"))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    prints = written(per_batch(plain, "key long, doc_id long, mark long, fp long", lambda k, i, m, t: {"key": k, "doc_id": i, "mark": m, "fp": [signed(fingerprint(x)) for x in t]}, "key", "id", "mark", "text"))
+    of = _of_prints(prints)
+    placed = prints.join(of, prints["fp"] == of["own"]).select("key", F.col("doc_id").alias("id"), "mark", "component", F.when(F.col("doc_id").isNull() & F.lit(keep_nulls), F.col("key")).alias("alone"))
+    return first_of_each(rows, placed, ["component", "alone"])
