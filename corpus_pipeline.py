@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import decontam, langid, mixing, shards, simhash
+from parley.llm import decontam, langid, mixing, nearcopies, shards
 from parley.llm.common import table, written
 
 
@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, that with the smallest id."""
-    return simhash.without_copies(docs, keep_nulls=False)
+    """One document of each component of near copies (five-word shingles, similarity of 0.8 or more), that with the smallest id."""
+    return nearcopies.without_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("shard", shard),
 ]
 
-#: Bloom filters, BK-trees and differencing have no SQL form; tests hold the stages against brute force.
+#: Bloom filters, set similarity and differencing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

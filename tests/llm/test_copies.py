@@ -1,8 +1,12 @@
-"""Copies: rows that share ids or have none."""
+"""Copies: rows that share ids or have none, and edited texts."""
 
 import random
+from collections import defaultdict
 
-from parley.llm import simhash
+import pytest
+
+from parley.llm import nearcopies, simhash
+from parley.operators.graphs import connected_components
 
 from .test_operators import words
 
@@ -26,3 +30,59 @@ def test_the_stage_reduces_copies_without_ids(spark):
     text = words(random.Random(5), 90)
     docs = spark.createDataFrame([(None, text), (None, text), (None, text)], SCHEMA)
     assert corpus_pipeline.near_dedup(spark, docs, "").count() == 1
+
+
+def brute_near(texts):
+    """Components of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def edited_copies():
+    r = random.Random(6)
+    common = words(r, 40)
+    texts = [words(r, r.randrange(1, 300)) for _ in range(30)] + [words(r, 15) + " " + common + " " + words(r, 15) for _ in range(20)]
+    for n, copies in ((400, 12), (60, 50)):
+        base = words(r, n).split()
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(r.randrange(1, 1 + max(1, n // 40))):
+                own[r.randrange(n)] = "edited"
+            texts.append(" ".join(own))
+    return texts + ["", " ", "a b", "A  b"]
+
+
+@pytest.mark.parametrize(("few", "block"), [(32, 4096), (4, 8)])
+def test_links_join_exactly_the_near_copies(spark, few, block):
+    texts = edited_copies()
+    rows = spark.createDataFrame([(i, str(i).encode(), t) for i, t in enumerate(texts)], "key long, node binary, text string")
+    found = connected_components(nearcopies.links(rows, few, block)).collect()
+    of = {int(bytes(x.node)): int(bytes(x.component)) for x in found}
+    want, groups = brute_near(texts), defaultdict(set)
+    for i, w in enumerate(want):
+        groups[w].add(of.get(i, i))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
+def test_the_stage_finds_edited_copies(spark):
+    import corpus_pipeline
+
+    texts = edited_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(x.doc_id for x in kept) == sorted(set(brute_near(texts)))
