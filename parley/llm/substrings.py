@@ -1,22 +1,23 @@
 """Removal of repeated byte strings, by suffix arrays over the places where repeats can be.
 
-A byte is removed if it is covered by a string of ``LENGTH`` bytes (a window) that starts at
-least twice in the corpus, within documents. The steps:
-
-1. Every window has an anchor, its smallest hashed gram of ``GRAM`` bytes, found by a sliding
-   minimum. Runs of windows with one anchor form a segment. Equal windows have equal anchors and
-   equal bytes around them, so a segment's key (anchor, side of the window the anchor is on, the
-   bytes all its windows share) brings all equal windows together; keys seen once are dropped.
+A byte is removed if it is covered by a string of ``LENGTH`` bytes that starts at least twice in
+the corpus, within documents. Shorter repeats, strings of ``PASSAGE`` bytes (a passage of some
+fifty words), are found by the same sort and reported, but stay in the text. The steps:
+
+1. Every window of ``PASSAGE`` bytes has an anchor, its smallest hashed gram of ``GRAM`` bytes, found
+   by a sliding minimum. Runs of windows with one anchor form a segment, which carries the bytes
+   of the longest string that starts at any of its windows. Equal windows have equal anchors, so
+   the segment's key (the gram) brings all equal windows together; keys seen once are dropped.
 2. Of each key, one segment of each content is taken (contents seen twice are repeats whole) and
    its bytes are fetched.
 3. Segments meet by key; those of many keys make up one text whose suffix array is built by
    two-stage sorting: only suffixes smaller than their successors are sorted directly, the others
    are induced by scanning the buckets of first bytes in order. Adjacent common prefixes of
-   ``LENGTH`` bytes mark repeated windows.
-4. Keys with over ``HOT`` different segments are not gathered: their windows are counted by hash.
+   ``LENGTH`` (``PASSAGE``) bytes mark repeated strings.
+4. Keys with over ``HOT`` different segments are not gathered: their strings are counted by hash.
 5. Marks go back to every document that holds the segment, which removes the covered bytes.
 
-Defined cases: a null text is empty; texts under ``LENGTH`` bytes are kept whole; repeated rows
+Defined cases: a null text is empty; texts under ``PASSAGE`` bytes have no repeats; repeated rows
 are documents of their own, so they repeat each other; repeated or null ids are told apart by
 their text (same id and same text give the same result on each row).
 """
@@ -34,31 +35,32 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from .common import written
 
-LENGTH = 400
-GRAM = 32
+LENGTH, PASSAGE = 400, 256
+#: Bytes of a gram: three times a power of two.
+GRAM = 96
 #: Bytes whose anchors are found at once; positions take 24 bits.
 PIECE = 2_000_000
 #: Bytes of one suffix array, and segments of a key beyond which its windows are counted by hash.
 CHUNK, HOT = 400_000, 2_000
+#: Bytes of segments that one task sorts.
+SORTED = 4_000_000
 _POSITION = np.uint64((1 << 24) - 1)
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def anchors(data: np.ndarray) -> np.ndarray:
     """For the window at each offset, where its smallest gram starts (the leftmost, if several)."""
     h = data.astype(np.uint64) + np.uint64(1)
     width, base = 1, 0x9E3779B97F4A7C15
-    while width < GRAM:
+    while 3 * width < GRAM:
         h = h[:-width] * np.uint64(base) + h[width:]
         base = base * base % (1 << 64)
         width *= 2
+    h = (h[: -2 * width] * np.uint64(base) + h[width:-width]) * np.uint64(base) + h[2 * width :]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h = (h & ~_POSITION) | np.arange(len(h), dtype=np.uint64)
-    span, width = LENGTH - GRAM + 1, 1
+    h &= ~_POSITION
+    h |= np.arange(len(h), dtype=np.uint64)
+    span, width = PASSAGE - GRAM + 1, 1
     while 2 * width <= span:
         h = np.minimum(h[:-width], h[width:])
         width *= 2
@@ -67,45 +69,42 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return (h & _POSITION).astype(np.int64)
 
 
-def segments(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, first window, last window, key, content hash) of every segment of the texts."""
-    pieces: list[tuple[int, int, bytes]] = []
+def segments(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(text, first window, last window, windows that are ``LENGTH`` long, key, content hash) of every segment."""
+    pieces: list[tuple[int, int, int, bytes]] = []
     size = 0
     for i, t in enumerate(texts):
-        if len(t) < LENGTH:
-            continue
-        for a in range(0, len(t) - LENGTH + 1, PIECE):
+        for a in range(0, len(t) - PASSAGE + 1, PIECE):
             part = t[a : a + PIECE + LENGTH - 1]
             if size + len(part) > PIECE and pieces:
                 yield from _segments(pieces)
                 pieces, size = [], 0
-            pieces.append((i, a, part))
+            pieces.append((i, a, min(PIECE, len(t) - PASSAGE + 1 - a), part))
             size += len(part)
     if pieces:
         yield from _segments(pieces)
 
 
-def _segments(pieces: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
-    line = b"".join(p[2] for p in pieces)
-    starts = np.cumsum([0, *(len(p[2]) for p in pieces)])
+def _segments(pieces: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int, int, int]]:
+    line = b"".join(p[3] for p in pieces)
+    starts = np.cumsum([0, *(len(p[3]) for p in pieces)])
     at = anchors(np.frombuffer(line, dtype=np.uint8))
-    half = (LENGTH - GRAM + 1) // 2
-    index = np.arange(len(at))
-    left = at - index >= half
-    label = at * 2 + left
-    cut = np.flatnonzero(label[1:] != label[:-1]) + 1
-    # windows that reach over the end of a text are none
-    last = starts[1:] - LENGTH
+    cut = np.flatnonzero(at[1:] != at[:-1]) + 1
+    # windows that reach over the end of a text are none, and those of the next piece are its own
+    last = starts[:-1] + [p[2] - 1 for p in pieces]
     bounds = np.unique(np.concatenate([[0], cut, starts[:-1], last + 1]))
     bounds = bounds[bounds < len(at)]
     stops = np.append(bounds[1:], len(at))
     owner = np.searchsorted(starts, bounds, "right") - 1
     good = bounds <= last[owner]
-    for s, e, o, p, side in zip(bounds[good].tolist(), (stops[good] - 1).tolist(), owner[good].tolist(), at[bounds[good]].tolist(), left[bounds[good]].tolist(), strict=True):
-        i, offset, _ = pieces[o]
-        core = line[p - half : p + GRAM] if side else line[p : p + LENGTH - half + 1]
-        key = xxh3_64_intdigest(core, 1 if side else 0)
-        yield i, s - int(starts[o]) + offset, e - int(starts[o]) + offset, key, xxh3_64_intdigest(line[s : e + LENGTH])
+    bounds, stops, owner = bounds[good], stops[good], owner[good]
+    ends = starts[owner + 1]
+    long = np.clip(np.minimum(stops, ends - LENGTH + 1) - bounds, 0, None)
+    till = np.minimum(stops - 1 + LENGTH, ends)
+    for s, e, o, p, n, z in zip(bounds.tolist(), (stops - 1).tolist(), owner.tolist(), at[bounds].tolist(), long.tolist(), till.tolist(), strict=True):
+        i, offset, _, _ = pieces[o]
+        offset -= int(starts[o])
+        yield i, s + offset, e + offset, n, xxh3_64_intdigest(line[p : p + GRAM]), xxh3_64_intdigest(line[s:z])
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -164,8 +163,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     return out
 
 
-def repeated_windows(parts: list[bytes]) -> list[np.ndarray]:
-    """For each segment, the offsets of its windows that occur twice or more in all of them."""
+def repeated_windows(parts: list[bytes], windows: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each segment, which of its first ``windows`` offsets start a string of ``LENGTH`` bytes, and
+    one of ``PASSAGE`` bytes, that starts twice or more in all of them."""
     # 0 ends a segment; bytes FF, which UTF-8 lacks, leave room for the shift by one
     line = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8).copy()
     ends = np.cumsum([len(p) + 1 for p in parts])
@@ -175,16 +175,19 @@ def repeated_windows(parts: list[bytes]) -> list[np.ndarray]:
     line[body] += 1
     order = suffix_array(line, LENGTH)
     owner = np.searchsorted(ends, order, "right")
-    whole = order + LENGTH <= ends[owner] - 1
-    order, owner = order[whole], owner[whole]
-    same = common_prefixes(line, order, LENGTH) >= LENGTH
-    twice = same.copy()
-    twice[:-1] |= same[1:]
-    found, whose = order[twice], owner[twice]
-    by = np.argsort(found, kind="stable")
-    found, whose = found[by], whose[by]
-    edge = np.searchsorted(whose, np.arange(len(parts) + 1))
-    return [found[edge[i] : edge[i + 1]] - starts[i] for i in range(len(parts))]
+    own = (order < starts[owner] + np.array(windows)[owner]) & (order + PASSAGE < ends[owner])
+    order, owner = order[own], owner[own]
+    shared = common_prefixes(line, order, LENGTH)
+    found = []
+    for length in (LENGTH, PASSAGE):
+        twice = shared >= length
+        twice[:-1] |= twice[1:].copy()
+        at, whose = order[twice], owner[twice]
+        by = np.argsort(at, kind="stable")
+        at, whose = at[by], whose[by]
+        edge = np.searchsorted(whose, np.arange(len(parts) + 1))
+        found.append([at[edge[i] : edge[i + 1]] - starts[i] for i in range(len(parts))])
+    return list(zip(*found, strict=True))
 
 
 def as_ranges(offsets: np.ndarray) -> list[dict]:
@@ -194,61 +197,71 @@ def as_ranges(offsets: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(offsets[np.append(0, cut + 1)], offsets[np.append(cut, len(offsets) - 1)], strict=True)]
 
 
-_SEGMENTS = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("g", pa.int64()), ("q", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
-_RANGES = pa.schema([("g", pa.int64()), ("q", pa.int64()), ("r", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
-_FETCHED = pa.schema([("g", pa.int64()), ("q", pa.int64()), ("body", pa.binary()), ("o", pa.int32()), ("w", pa.binary())])
+_RANGE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_SEGMENTS = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("g", pa.int64()), ("q", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("l", pa.int32())])
+_SEGMENTS_DDL = "k long, t int, g long, q long, s int, e int, l int"
+_RANGES = pa.schema([("g", pa.int64()), ("q", pa.int64()), ("r", _RANGE), ("p", _RANGE)])
+_RANGES_DDL = "g long, q long, r array<struct<a:int,b:int>>, p array<struct<a:int,b:int>>"
+_FETCHED = pa.schema([("g", pa.int64()), ("q", pa.int64()), ("n", pa.int32()), ("body", pa.binary()), ("o", pa.int32()), ("whole", pa.bool_()), ("w", pa.binary())])
+_FETCHED_DDL = "g long, q long, n int, body binary, o int, whole boolean, w binary"
+
+
+def mark_of(body: bytes) -> int:
+    """Tells texts of one id apart."""
+    return (xxh3_64_intdigest(body) & 0xFFFFFFFF) - (1 << 31)
 
 
 def _all_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-        hashes = [signed(xxh3_64_intdigest(t)) for t in texts]
+        marks = [mark_of(t) for t in texts]
         rows = list(segments(texts))
         if rows:
-            i, s, e, g, q = zip(*rows, strict=True)
+            i, s, e, n, g, q = zip(*rows, strict=True)
             as_long = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.int64()), pa.array([hashes[x] for x in i], pa.int64()), pa.array(as_long(g)), pa.array(as_long(q)), pa.array(s, pa.int32()), pa.array(e, pa.int32())], schema=_SEGMENTS)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.int64()), pa.array([marks[x] for x in i], pa.int32()), pa.array(as_long(g)), pa.array(as_long(q)), *(pa.array(x, pa.int32()) for x in (s, e, n))], schema=_SEGMENTS)
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, t, wanted): the bytes of the wanted segments, or the hash of each window of hot ones."""
+    """Rows (text, t, wanted): the bytes of the wanted segments, or the hashes of each window of hot ones."""
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in _FETCHED}
+
+        def add(*values):
+            for name, value in zip(out, values, strict=True):  # noqa: B023
+                out[name].append(value)  # noqa: B023
+
         for text, t, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             body = (text or "").encode("utf-8", "surrogatepass")
-            if signed(xxh3_64_intdigest(body)) != t:
+            if mark_of(body) != t:
                 continue
             for x in wanted:
-                part = body[x["s"] : x["e"] + LENGTH]
-                if x["hot"]:
-                    n = x["e"] - x["s"] + 1
-                    out["g"] += [x["g"]] * n
-                    out["q"] += [x["q"]] * n
-                    out["body"] += [None] * n
-                    out["o"] += range(n)
-                    out["w"] += [xxh3_128_digest(part[o : o + LENGTH]) for o in range(n)]
-                else:
-                    for name, value in (("g", x["g"]), ("q", x["q"]), ("body", part), ("o", None), ("w", None)):
-                        out[name].append(value)
+                part, n = body[x["s"] : x["e"] + LENGTH], x["e"] - x["s"] + 1
+                if not x["hot"]:
+                    add(x["g"], x["q"], n, part, None, None, None)
+                    continue
+                for whole, length in ((True, LENGTH), (False, PASSAGE)):
+                    for o in range(min(n, len(part) - length + 1)):
+                        add(x["g"], x["q"], n, None, o, whole, xxh3_128_digest(part[o : o + length]))
         if out["g"]:
             yield pa.RecordBatch.from_pydict(out, schema=_FETCHED)
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, q, body) sorted by g and q; groups are whole within the partition."""
+    """Rows (g, q, n, body) sorted by g and q; groups are whole within the partition."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        found = [(g, q, as_ranges(o)) for (g, q, _), o in zip(rows, repeated_windows([r[2] for r in rows]), strict=True)]
-        found = [x for x in found if x[2]]
+        found = [(x[0], x[1], as_ranges(r), as_ranges(p)) for x, (r, p) in zip(rows, repeated_windows([x[3] for x in rows], [x[2] for x in rows]), strict=True)]
+        found = [x for x in found if x[3]]
         if found:
-            g, q, r = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(q, pa.int64()), pa.array(r, _RANGES.field("r").type)], schema=_RANGES)
+            g, q, r, p = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(q, pa.int64()), pa.array(r, _RANGE), pa.array(p, _RANGE)], schema=_RANGES)
         return None
 
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if held and row[:2] == held[-1][:2]:
                 continue
             if held and size >= CHUNK and row[0] != held[-1][0]:
@@ -256,20 +269,25 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out
                 held, size = [], 0
             held.append(row)
-            size += len(row[2])
+            size += len(row[3])
     if held and (out := solve(held)) is not None:
         yield out
 
 
-def remaining(body: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
-    """Bytes removed, maximal runs of them, and what is left."""
+def runs_of(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """The maximal runs that spans cover."""
     runs: list[list[int]] = []
     for a, b in sorted(spans):
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
-    kept, at = [], 0
+    return runs
+
+
+def remaining(body: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
+    """Bytes removed, maximal runs of them, and what is left."""
+    runs, kept, at = runs_of(spans), [], 0
     for a, b in runs:
         kept.append(body[at:a])
         at = b
@@ -277,44 +295,36 @@ def remaining(body: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, byte
     return sum(b - a for a, b in runs), len(runs), b"".join(kept)
 
 
-_CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
-
-
-def _cut(with_bytes: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in _CUT}
-            for doc_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                body = (text or "").encode("utf-8", "surrogatepass")
-                n, runs, kept = remaining(body, [(x["a"], x["b"]) for x in spans or []])
-                for name, value in zip(out, (doc_id, len(body), n, runs, kept if with_bytes else None, hashlib.sha256(kept).hexdigest()), strict=True):
-                    out[name].append(value)
-            if out["doc_id"]:
-                yield pa.RecordBatch.from_pydict(out, schema=_CUT)
-
-    return run
+_CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("n_repeated", pa.int64())])
+_CUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, n_repeated long"
 
 
 def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """``k, t, spans``: the byte ranges to remove, per id (null as the smallest long) and text hash."""
+    """``k, t, spans, passages`` per id (null as the smallest long) and text mark: the byte ranges that
+    repeated strings of ``LENGTH`` cover, and those of ``PASSAGE``."""
     rows = _keyed(documents, doc_id, text)
-    found = written(rows.select("k", "text").mapInArrow(_all_segments, "k long, t long, g long, q long, s int, e int"))
+    found = written(rows.select("k", "text").mapInArrow(_all_segments, _SEGMENTS_DDL))
     # small tables are written before they are joined: a join of plain scans can split a hot key
     again = written(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("g2")))
     shared = written(found.join(again, F.col("g") == F.col("g2"), "left_semi"))
-    contents = written(shared.groupBy("g", "q").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "s", "e")).alias("one")))
+    contents = written(shared.groupBy("g", "q").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "s", "e", "l")).alias("one")))
     several = written(contents.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("g2"), (F.col("m") > hot).alias("hot")))
     wanted = contents.join(several, F.col("g") == F.col("g2")).select("one.*", "g", "q", "hot").groupBy("k", "t").agg(F.collect_list(F.struct("g", "q", "s", "e", "hot")).alias("wanted"))
-    fetched = written(rows.select("k", "text").join(wanted, "k").select("text", "t", "wanted").mapInArrow(_fetch, "g long, q long, body binary, o int, w binary"))
-    ranges = "g long, q long, r array<struct<a:int,b:int>>"
-    sorted_out = fetched.where("body is not null").select("g", "q", "body").repartition("g").sortWithinPartitions("g", "q").mapInArrow(_sort, ranges)
-    windows = fetched.where("body is null").select("g", "q", "o", "w")
-    twice = windows.groupBy("g", "w").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("g2"), F.col("w").alias("w2"))
-    counted = windows.join(twice, (F.col("g") == F.col("g2")) & (F.col("w") == F.col("w2")), "left_semi").groupBy("g", "q").agg(F.collect_list(F.struct(F.col("o").alias("a"), F.col("o").alias("b"))).alias("r"))
-    whole = contents.where("n > 1").select("g", "q", F.array(F.struct(F.lit(0).alias("a"), (F.col("one.e") - F.col("one.s")).alias("b"))).alias("r"))
-    marks = whole.unionByName(written(sorted_out)).unionByName(counted).select(F.col("g").alias("g2"), F.col("q").alias("q2"), "r")
-    marked = shared.join(marks, (F.col("g") == F.col("g2")) & (F.col("q") == F.col("q2"))).select("k", "t", F.transform("r", lambda x: F.struct((F.col("s") + x["a"]).alias("a"), (F.col("s") + x["b"] + LENGTH).alias("b"))).alias("r"))
-    return marked.groupBy("k", "t").agg(F.flatten(F.collect_list("r")).alias("spans"))
+    fetched = written(rows.select("k", "text").join(wanted, "k").select("text", "t", "wanted").mapInArrow(_fetch, _FETCHED_DDL))
+    bodies = fetched.where("body is not null").select("g", "q", "n", "body")
+    tasks = int(-(-(bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // SORTED)) or 1
+    sorted_out = bodies.repartition(tasks, "g").sortWithinPartitions("g", "q").mapInArrow(_sort, _RANGES_DDL)
+    windows = fetched.where("body is null").select("g", "q", "o", "whole", "w")
+    twice = windows.groupBy("g", "whole", "w").agg(F.count("*").alias("c")).where("c > 1").select(F.col("g").alias("g2"), F.col("whole").alias("whole2"), F.col("w").alias("w2"))
+    met = windows.join(twice, (F.col("g") == F.col("g2")) & (F.col("whole") == F.col("whole2")) & (F.col("w") == F.col("w2")), "left_semi")
+    range_ = F.struct(F.col("o").alias("a"), F.col("o").alias("b"))
+    counted = met.groupBy("g", "q").agg(F.collect_list(F.when(F.col("whole"), range_)).alias("r"), F.collect_list(F.when(~F.col("whole"), range_)).alias("p"))
+    run = lambda n: F.when(n > 0, F.array(F.struct(F.lit(0).alias("a"), (n - 1).alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    repeats = contents.where("n > 1").select("g", "q", run(F.col("one.l")).alias("r"), run(F.col("one.e") - F.col("one.s") + 1).alias("p"))
+    marks = repeats.unionByName(written(sorted_out)).unionByName(counted).select(F.col("g").alias("g2"), F.col("q").alias("q2"), "r", "p")
+    placed = lambda c, length: F.transform(c, lambda x: F.struct((F.col("s") + x["a"]).alias("a"), (F.col("s") + x["b"] + length).alias("b"))).alias(c)
+    marked = shared.join(marks, (F.col("g") == F.col("g2")) & (F.col("q") == F.col("q2"))).select("k", "t", placed("r", LENGTH), placed("p", PASSAGE))
+    return marked.groupBy("k", "t").agg(F.flatten(F.collect_list("r")).alias("spans"), F.flatten(F.collect_list("p")).alias("passages"))
 
 
 def _keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -323,23 +333,30 @@ def _keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, with_bytes: bool = True) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256`` of every row (kept only if asked for)."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256, n_repeated`` of every row (kept only if asked for).
+
+    ``n_repeated``: the bytes that strings of ``PASSAGE`` bytes cover which also start elsewhere.
+    """
     spans = repeated_spans(documents, doc_id, text, hot)
-    # one row per id; texts of the same id are told apart by their hash in the task
-    by_id = spans.groupBy(F.col("k").alias("k2")).agg(F.collect_list(F.struct("t", "spans")).alias("by_text"))
+    # one row per id; texts of the same id are told apart by their mark in the task
+    by_id = spans.groupBy(F.col("k").alias("k2")).agg(F.collect_list(F.struct("t", "spans", "passages")).alias("by_text"))
     joined = _keyed(documents, doc_id, text).join(by_id, F.col("k") == F.col("k2"), "left").select("doc_id", "text", "by_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, marks = (batch.column(i).to_pylist() for i in range(3))
-            spans = []
-            for text_, own in zip(texts, marks, strict=True):
-                t = signed(xxh3_64_intdigest((text_ or "").encode("utf-8", "surrogatepass"))) if own else None
-                spans.append(next((x["spans"] for x in own or [] if x["t"] == t), []))
-            own_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            yield from _cut(with_bytes)(iter([pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, own_type)], names=["doc_id", "text", "spans"])]))
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+            out: dict[str, list] = {f.name: [] for f in _CUT}
+            for id_, text_, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                body = (text_ or "").encode("utf-8", "surrogatepass")
+                mark = mark_of(body) if own else None
+                found = next((x for x in own or [] if x["t"] == mark), {"spans": [], "passages": []})
+                n, runs, kept = remaining(body, [(x["a"], x["b"]) for x in found["spans"]])
+                repeated = sum(b - a for a, b in runs_of([(x["a"], x["b"]) for x in found["passages"]]))
+                for name, value in zip(out, (id_, len(body), n, runs, kept if with_bytes else None, hashlib.sha256(kept).hexdigest(), repeated), strict=True):
+                    out[name].append(value)
+            if out["doc_id"]:
+                yield pa.RecordBatch.from_pydict(out, schema=_CUT)
+
+    return joined.mapInArrow(run, _CUT_DDL)
 
 
 def report(documents: DataFrame) -> DataFrame:

@@ -300,12 +300,30 @@ def brute_repeats(texts, length=substrings.LENGTH):
 
 @pytest.mark.parametrize("hot", [substrings.HOT, 2])
 def test_repeated_strings(docs, hot):
-    want = [(r[0], *x) for r, x in zip(ROWS, brute_repeats([r[1] for r in ROWS]), strict=True)]
+    texts = [r[1] for r in ROWS]
+    shorter = [x[1] for x in brute_repeats(texts, substrings.PASSAGE)]
+    want = [(r[0], *x, y) for r, x, y in zip(ROWS, brute_repeats(texts), shorter, strict=True)]
     got = substrings.remove_repeats(docs, hot=hot).collect()
-    assert counted(want) == counted([(g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got])
+    assert counted(want) == counted([(g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256, g.n_repeated) for g in got])
     assert all(hashlib.sha256(g.kept).hexdigest() == g.kept_sha256 for g in got)
 
 
+def test_passages_across_pieces_and_runs(spark, monkeypatch):
+    """Passages of all lengths in other texts, repeats within a text, and pieces that cut texts anywhere."""
+    r = random.Random(21)
+    shared = [words(r, n) for n in (30, 52, 60, 75, 90, 140)]
+    texts = [words(r, 40) + " " + shared[i % 6] + " " + words(r, r.randrange(30, 90)) for i in range(24)]
+    texts += [texts[0] + "!", shared[4], shared[5] + shared[5], "ab" * 400, "ab" * 300, "é" * 500, "x" * 255, "x" * 256, shared[3][:256], shared[3][:255]]
+    monkeypatch.setattr(substrings, "PIECE", 700)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = [(i, *x[1:3], y[1]) for i, (x, y) in enumerate(zip(brute_repeats(texts), brute_repeats(texts, substrings.PASSAGE), strict=True))]
+    assert counted(want) == counted([(g.doc_id, g.n_removed, g.n_spans, g.n_repeated) for g in substrings.remove_repeats(docs).collect()])
+    cut = [list(substrings.segments([t.encode()])) for t in texts]
+    for t, own in zip(texts, cut, strict=True):
+        n = max(0, len(t.encode()) - substrings.PASSAGE + 1)
+        assert sorted(w for _, s, e, *_ in own for w in range(s, e + 1)) == list(range(n))
+
+
 def test_no_rows_no_repeats(none):
     assert substrings.report(none).count() == 0
 
