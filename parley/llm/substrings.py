@@ -10,11 +10,12 @@ fifty words), are found by the same sort and reported, but stay in the text. The
    the segment's key (the gram) brings all equal windows together; keys seen once are dropped.
 2. Of each key, one segment of each content is taken (contents seen twice are repeats whole) and
    its bytes are fetched.
-3. Segments meet by key; those of many keys make up one text whose suffix array is built by
+3. Segments meet by key; those that share no bytes any equal windows would share go. Those of many keys make up one text whose suffix array is built by
    two-stage sorting: only suffixes smaller than their successors are sorted directly, the others
    are induced by scanning the buckets of first bytes in order. Adjacent common prefixes of
    ``LENGTH`` (``PASSAGE``) bytes mark repeated strings.
-4. Keys with over ``HOT`` different segments are not gathered: their strings are counted by hash.
+4. Keys with over ``HOT`` different segments are not gathered: their strings are counted by hash, and
+   all but those that occur once are repeats.
 5. Marks go back to every document that holds the segment, which removes the covered bytes.
 
 Defined cases: a null text is empty; texts under ``PASSAGE`` bytes have no repeats; repeated rows
@@ -25,7 +26,9 @@ their text (same id and same text give the same result on each row).
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ GRAM = 96
 PIECE = 2_000_000
 #: Bytes of one suffix array, and segments of a key beyond which its windows are counted by hash.
 CHUNK, HOT = 400_000, 2_000
+#: Offsets of an anchor that are compared at once before sorting.
+STEP = 41
 #: Bytes of segments that one task sorts.
 SORTED = 4_000_000
 _POSITION = np.uint64((1 << 24) - 1)
@@ -69,8 +74,9 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return (h & _POSITION).astype(np.int64)
 
 
-def segments(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(text, first window, last window, windows that are ``LENGTH`` long, key, content hash) of every segment."""
+def segments(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(text, first window, last window, anchor less first window, windows that are ``LENGTH`` long, key,
+    content hash) of every segment."""
     pieces: list[tuple[int, int, int, bytes]] = []
     size = 0
     for i, t in enumerate(texts):
@@ -85,7 +91,7 @@ def segments(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]
         yield from _segments(pieces)
 
 
-def _segments(pieces: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int, int, int]]:
+def _segments(pieces: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
     line = b"".join(p[3] for p in pieces)
     starts = np.cumsum([0, *(len(p[3]) for p in pieces)])
     at = anchors(np.frombuffer(line, dtype=np.uint8))
@@ -104,7 +110,7 @@ def _segments(pieces: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int,
     for s, e, o, p, n, z in zip(bounds.tolist(), (stops - 1).tolist(), owner.tolist(), at[bounds].tolist(), long.tolist(), till.tolist(), strict=True):
         i, offset, _, _ = pieces[o]
         offset -= int(starts[o])
-        yield i, s + offset, e + offset, n, xxh3_64_intdigest(line[p : p + GRAM]), xxh3_64_intdigest(line[s:z])
+        yield i, s + offset, e + offset, p - s, n, xxh3_64_intdigest(line[p : p + GRAM]), xxh3_64_intdigest(line[s:z])
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -198,12 +204,12 @@ def as_ranges(offsets: np.ndarray) -> list[dict]:
 
 
 _RANGE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-_SEGMENTS = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("g", pa.int64()), ("q", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("l", pa.int32())])
-_SEGMENTS_DDL = "k long, t int, g long, q long, s int, e int, l int"
+_SEGMENTS = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("g", pa.int64()), ("q", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("c", pa.int32()), ("l", pa.int32())])
+_SEGMENTS_DDL = "k long, t int, g long, q long, s int, e int, c int, l int"
 _RANGES = pa.schema([("g", pa.int64()), ("q", pa.int64()), ("r", _RANGE), ("p", _RANGE)])
 _RANGES_DDL = "g long, q long, r array<struct<a:int,b:int>>, p array<struct<a:int,b:int>>"
-_FETCHED = pa.schema([("g", pa.int64()), ("q", pa.int64()), ("n", pa.int32()), ("body", pa.binary()), ("o", pa.int32()), ("whole", pa.bool_()), ("w", pa.binary())])
-_FETCHED_DDL = "g long, q long, n int, body binary, o int, whole boolean, w binary"
+_FETCHED = pa.schema([("g", pa.int64()), ("q", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("body", pa.binary()), ("o", pa.int32()), ("whole", pa.bool_()), ("w", pa.binary())])
+_FETCHED_DDL = "g long, q long, n int, c int, body binary, o int, whole boolean, w binary"
 
 
 def mark_of(body: bytes) -> int:
@@ -217,9 +223,9 @@ def _all_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         marks = [mark_of(t) for t in texts]
         rows = list(segments(texts))
         if rows:
-            i, s, e, n, g, q = zip(*rows, strict=True)
+            i, s, e, c, n, g, q = zip(*rows, strict=True)
             as_long = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.int64()), pa.array([marks[x] for x in i], pa.int32()), pa.array(as_long(g)), pa.array(as_long(q)), *(pa.array(x, pa.int32()) for x in (s, e, n))], schema=_SEGMENTS)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.int64()), pa.array([marks[x] for x in i], pa.int32()), pa.array(as_long(g)), pa.array(as_long(q)), *(pa.array(x, pa.int32()) for x in (s, e, c, n))], schema=_SEGMENTS)
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,40 +244,51 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in wanted:
                 part, n = body[x["s"] : x["e"] + LENGTH], x["e"] - x["s"] + 1
                 if not x["hot"]:
-                    add(x["g"], x["q"], n, part, None, None, None)
+                    add(x["g"], x["q"], n, x["c"], part, None, None, None)
                     continue
                 for whole, length in ((True, LENGTH), (False, PASSAGE)):
                     for o in range(min(n, len(part) - length + 1)):
-                        add(x["g"], x["q"], n, None, o, whole, xxh3_128_digest(part[o : o + length]))
+                        add(x["g"], x["q"], n, None, None, o, whole, xxh3_128_digest(part[o : o + length]))
         if out["g"]:
             yield pa.RecordBatch.from_pydict(out, schema=_FETCHED)
 
 
+def alike(group: list[tuple]) -> list[tuple]:
+    """The rows (g, q, n, c, body) of one key that may share a window with another.
+
+    Windows with an anchor ``a`` to ``a + STEP - 1`` bytes behind their start share all bytes from ``a``
+    before the anchor up to the end of the last of them; so do equal ones in another segment.
+    """
+    cores = [[(a, body[c - a : c - a - STEP + 1 + PASSAGE]) for a in range(max(0, c - n + 1) // STEP * STEP, c + 1, STEP)] for _, _, n, c, body in group]
+    seen = Counter(x for own in cores for x in own)
+    return [row for row, own in zip(group, cores, strict=True) if any(seen[x] > 1 for x in own)]
+
+
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, q, n, body) sorted by g and q; groups are whole within the partition."""
+    """Rows (g, q, n, c, body) sorted by g and q; groups are whole within the partition."""
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        found = [(x[0], x[1], as_ranges(r), as_ranges(p)) for x, (r, p) in zip(rows, repeated_windows([x[3] for x in rows], [x[2] for x in rows]), strict=True)]
+    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = [(x[0], x[1], as_ranges(r), as_ranges(p)) for x, (r, p) in zip(rows, repeated_windows([x[4] for x in rows], [x[2] for x in rows]), strict=True)]
         found = [x for x in found if x[3]]
         if found:
             g, q, r, p = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(q, pa.int64()), pa.array(r, _RANGE), pa.array(p, _RANGE)], schema=_RANGES)
-        return None
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(q, pa.int64()), pa.array(r, _RANGE), pa.array(p, _RANGE)], schema=_RANGES)
 
     held: list[tuple] = []
+    group: list[tuple] = []
     size = 0
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if held and row[:2] == held[-1][:2]:
-                continue
-            if held and size >= CHUNK and row[0] != held[-1][0]:
-                if (out := solve(held)) is not None:
-                    yield out
+    for row in chain((row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)), [None]):
+        if group and row and row[:2] == group[-1][:2]:
+            continue
+        if group and (row is None or row[0] != group[-1][0]):
+            group = alike(group)
+            held += group
+            size += sum(len(x[4]) for x in group)
+            group = []
+            if held and (row is None or size >= CHUNK):
+                yield from solve(held)
                 held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-    if held and (out := solve(held)) is not None:
-        yield out
+        group.append(row)
 
 
 def runs_of(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -307,18 +324,20 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     # small tables are written before they are joined: a join of plain scans can split a hot key
     again = written(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("g2")))
     shared = written(found.join(again, F.col("g") == F.col("g2"), "left_semi"))
-    contents = written(shared.groupBy("g", "q").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "s", "e", "l")).alias("one")))
+    contents = written(shared.groupBy("g", "q").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "s", "e", "c", "l")).alias("one")))
     several = written(contents.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("g2"), (F.col("m") > hot).alias("hot")))
-    wanted = contents.join(several, F.col("g") == F.col("g2")).select("one.*", "g", "q", "hot").groupBy("k", "t").agg(F.collect_list(F.struct("g", "q", "s", "e", "hot")).alias("wanted"))
+    wanted = contents.join(several, F.col("g") == F.col("g2")).select("one.*", "g", "q", "hot").groupBy("k", "t").agg(F.collect_list(F.struct("g", "q", "s", "e", "c", "hot")).alias("wanted"))
     fetched = written(rows.select("k", "text").join(wanted, "k").select("text", "t", "wanted").mapInArrow(_fetch, _FETCHED_DDL))
-    bodies = fetched.where("body is not null").select("g", "q", "n", "body")
+    bodies = fetched.where("body is not null").select("g", "q", "n", "c", "body")
     tasks = int(-(-(bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // SORTED)) or 1
     sorted_out = bodies.repartition(tasks, "g").sortWithinPartitions("g", "q").mapInArrow(_sort, _RANGES_DDL)
     windows = fetched.where("body is null").select("g", "q", "o", "whole", "w")
-    twice = windows.groupBy("g", "whole", "w").agg(F.count("*").alias("c")).where("c > 1").select(F.col("g").alias("g2"), F.col("whole").alias("whole2"), F.col("w").alias("w2"))
-    met = windows.join(twice, (F.col("g") == F.col("g2")) & (F.col("whole") == F.col("whole2")) & (F.col("w") == F.col("w2")), "left_semi")
-    range_ = F.struct(F.col("o").alias("a"), F.col("o").alias("b"))
-    counted = met.groupBy("g", "q").agg(F.collect_list(F.when(F.col("whole"), range_)).alias("r"), F.collect_list(F.when(~F.col("whole"), range_)).alias("p"))
+    once = windows.groupBy("g", "whole", "w").agg(F.count("*").alias("n"), F.min("q").alias("q"), F.min("o").alias("o")).where("n = 1")
+    single = once.groupBy(F.col("g").alias("g1"), F.col("q").alias("q1")).agg(F.collect_list(F.when(F.col("whole"), F.col("o"))).alias("r1"), F.collect_list(F.when(~F.col("whole"), F.col("o"))).alias("p1"))
+    hottest = contents.join(several.where("hot"), F.col("g") == F.col("g2")).select("g", "q", "one").join(single, (F.col("g") == F.col("g1")) & (F.col("q") == F.col("q1")), "left")
+    none = F.array().cast("array<int>")
+    other = lambda n, c: F.transform(F.array_except(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none), F.coalesce(c, none)), lambda x: F.struct(x.alias("a"), x.alias("b")))
+    counted = hottest.select("g", "q", other(F.col("one.l"), F.col("r1")).alias("r"), other(F.col("one.e") - F.col("one.s") + 1, F.col("p1")).alias("p"))
     run = lambda n: F.when(n > 0, F.array(F.struct(F.lit(0).alias("a"), (n - 1).alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
     repeats = contents.where("n > 1").select("g", "q", run(F.col("one.l")).alias("r"), run(F.col("one.e") - F.col("one.s") + 1).alias("p"))
     marks = repeats.unionByName(written(sorted_out)).unionByName(counted).select(F.col("g").alias("g2"), F.col("q").alias("q2"), "r", "p")
