@@ -32,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
@@ -42,7 +43,9 @@ LENGTH, PASSAGE = 400, 256
 #: Bytes of a gram: three times a power of two.
 GRAM = 96
 #: Bytes whose anchors are found at once; positions take 24 bits.
-PIECE = 2_000_000
+PIECE = 100_000
+#: Suffixes that are compared with their neighbours at once.
+RUN = 16_384
 #: Bytes of one suffix array, and segments of a key beyond which its windows are counted by hash.
 CHUNK, HOT = 400_000, 2_000
 #: Offsets of an anchor that are compared at once before sorting.
@@ -151,27 +154,28 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of each suffix and the one before it in order, ``most`` at most (a multiple of 8)."""
-    padded = np.concatenate([text, np.zeros(most + 8, dtype=np.uint8)]).astype(np.uint64)
-    word = padded[: len(padded) - 7].copy()
-    for k in range(1, 8):
-        word |= padded[k : len(padded) - 7 + k] << np.uint64(8 * k)
-    out = np.zeros(len(order), dtype=np.int64)
-    live = np.arange(1, len(order))
-    for depth in range(0, most, 8):
-        x = word[order[live] + depth] ^ word[order[live - 1] + depth]
-        low = x & (~x + np.uint64(1))
-        out[live] += np.where(x == 0, 8, np.bitwise_count(low - np.uint64(1)) // 8).astype(np.int64)
-        live = live[x == 0]
-        if not len(live):
-            break
+def same_as_before(text: np.ndarray, order: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each length (a multiple of 8): does a suffix share so many bytes with the one before it in order?"""
+    most = max(lengths)
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(most, dtype=np.uint8)]), most)
+    out = [np.zeros(len(order), dtype=bool) for _ in lengths]
+    for a in range(0, len(order), RUN):
+        own = np.ascontiguousarray(rows[order[max(0, a - 1) : a + RUN]]).view(np.uint64)
+        alike = own[1:] == own[:-1]
+        for x, n in zip(out, lengths, strict=True):
+            x[max(1, a) : a + RUN] = alike[:, : n // 8].all(1)
     return out
 
 
-def repeated_windows(parts: list[bytes], windows: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each segment, which of its first ``windows`` offsets start a string of ``LENGTH`` bytes, and
-    one of ``PASSAGE`` bytes, that starts twice or more in all of them."""
+Ranges = tuple[np.ndarray, np.ndarray]
+
+
+def repeated_windows(parts: list[bytes], windows: list[int]) -> list[Ranges]:
+    """For ``LENGTH`` and ``PASSAGE``: the runs of offsets, among the first ``windows`` of each segment, that
+    start a string of that length which starts twice or more in all of them.
+
+    A run is packed as first << 32 | last; the runs of segment i are those from the i-th edge to the next.
+    """
     # 0 ends a segment; bytes FF, which UTF-8 lacks, leave room for the shift by one
     line = np.frombuffer(b"\0".join(parts) + b"\0", dtype=np.uint8).copy()
     ends = np.cumsum([len(p) + 1 for p in parts])
@@ -180,34 +184,26 @@ def repeated_windows(parts: list[bytes], windows: list[int]) -> list[tuple[np.nd
     body[ends - 1] = False
     line[body] += 1
     order = suffix_array(line, LENGTH)
-    owner = np.searchsorted(ends, order, "right")
-    own = (order < starts[owner] + np.array(windows)[owner]) & (order + PASSAGE < ends[owner])
-    order, owner = order[own], owner[own]
-    shared = common_prefixes(line, order, LENGTH)
+    owner = np.repeat(np.arange(len(parts)), ends - starts)
+    here = np.arange(len(line))
+    own = (here < (starts + np.array(windows))[owner]) & (here + PASSAGE < ends[owner])
+    order = order[own[order]]
     found = []
-    for length in (LENGTH, PASSAGE):
-        twice = shared >= length
+    for twice in same_as_before(line, order, (LENGTH, PASSAGE)):
         twice[:-1] |= twice[1:].copy()
-        at, whose = order[twice], owner[twice]
-        by = np.argsort(at, kind="stable")
-        at, whose = at[by], whose[by]
-        edge = np.searchsorted(whose, np.arange(len(parts) + 1))
-        found.append([at[edge[i] : edge[i + 1]] - starts[i] for i in range(len(parts))])
-    return list(zip(*found, strict=True))
-
-
-def as_ranges(offsets: np.ndarray) -> list[dict]:
-    if not len(offsets):
-        return []
-    cut = np.flatnonzero(np.diff(offsets) > 1)
-    return [{"a": int(a), "b": int(b)} for a, b in zip(offsets[np.append(0, cut + 1)], offsets[np.append(cut, len(offsets) - 1)], strict=True)]
+        at = np.sort(order[twice])
+        first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        whose = owner[at[first]]
+        found.append(((at[first] - starts[whose]) << 32 | (at[last] - starts[whose]), np.searchsorted(whose, np.arange(len(parts) + 1))))
+    return found
 
 
-_RANGE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_RANGE = pa.list_(pa.int64())
 _SEGMENTS = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("g", pa.int64()), ("q", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("c", pa.int32()), ("l", pa.int32())])
 _SEGMENTS_DDL = "k long, t int, g long, q long, s int, e int, c int, l int"
 _RANGES = pa.schema([("g", pa.int64()), ("q", pa.int64()), ("r", _RANGE), ("p", _RANGE)])
-_RANGES_DDL = "g long, q long, r array<struct<a:int,b:int>>, p array<struct<a:int,b:int>>"
+_RANGES_DDL = "g long, q long, r array<long>, p array<long>"
 _FETCHED = pa.schema([("g", pa.int64()), ("q", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("body", pa.binary()), ("o", pa.int32()), ("whole", pa.bool_()), ("w", pa.binary())])
 _FETCHED_DDL = "g long, q long, n int, c int, body binary, o int, whole boolean, w binary"
 
@@ -267,12 +263,10 @@ def alike(group: list[tuple]) -> list[tuple]:
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (g, q, n, c, body) sorted by g and q; groups are whole within the partition."""
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = [(x[0], x[1], as_ranges(r), as_ranges(p)) for x, (r, p) in zip(rows, repeated_windows([x[4] for x in rows], [x[2] for x in rows]), strict=True)]
-        found = [x for x in found if x[3]]
-        if found:
-            g, q, r, p = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(q, pa.int64()), pa.array(r, _RANGE), pa.array(p, _RANGE)], schema=_RANGES)
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        ranges = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(runs, pa.int64())) for runs, edge in repeated_windows([x[4] for x in rows], [x[2] for x in rows])]
+        found = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), *ranges], schema=_RANGES)
+        return found.filter(pc.greater(pc.list_value_length(found.column(3)), 0))
 
     held: list[tuple] = []
     group: list[tuple] = []
@@ -286,15 +280,16 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += sum(len(x[4]) for x in group)
             group = []
             if held and (row is None or size >= CHUNK):
-                yield from solve(held)
+                yield solve(held)
                 held, size = [], 0
         group.append(row)
 
 
-def runs_of(spans: list[tuple[int, int]]) -> list[list[int]]:
-    """The maximal runs that spans cover."""
+def runs_of(spans: list[int]) -> list[list[int]]:
+    """The maximal runs that spans (packed as first << 32 | end) cover."""
     runs: list[list[int]] = []
-    for a, b in sorted(spans):
+    for x in sorted(spans):
+        a, b = x >> 32, x & 0xFFFFFFFF
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
@@ -302,7 +297,7 @@ def runs_of(spans: list[tuple[int, int]]) -> list[list[int]]:
     return runs
 
 
-def remaining(body: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
+def remaining(body: bytes, spans: list[int]) -> tuple[int, int, bytes]:
     """Bytes removed, maximal runs of them, and what is left."""
     runs, kept, at = runs_of(spans), [], 0
     for a, b in runs:
@@ -317,8 +312,8 @@ _CUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary
 
 
 def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """``k, t, spans, passages`` per id (null as the smallest long) and text mark: the byte ranges that
-    repeated strings of ``LENGTH`` cover, and those of ``PASSAGE``."""
+    """``k, t, spans, passages`` per id (null as the smallest long) and text mark: the byte ranges
+    (first << 32 | end) that repeated strings of ``LENGTH`` cover, and those of ``PASSAGE``."""
     rows = _keyed(documents, doc_id, text)
     found = written(rows.select("k", "text").mapInArrow(_all_segments, _SEGMENTS_DDL))
     # small tables are written before they are joined: a join of plain scans can split a hot key
@@ -336,12 +331,13 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     single = once.groupBy(F.col("g").alias("g1"), F.col("q").alias("q1")).agg(F.collect_list(F.when(F.col("whole"), F.col("o"))).alias("r1"), F.collect_list(F.when(~F.col("whole"), F.col("o"))).alias("p1"))
     hottest = contents.join(several.where("hot"), F.col("g") == F.col("g2")).select("g", "q", "one").join(single, (F.col("g") == F.col("g1")) & (F.col("q") == F.col("q1")), "left")
     none = F.array().cast("array<int>")
-    other = lambda n, c: F.transform(F.array_except(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none), F.coalesce(c, none)), lambda x: F.struct(x.alias("a"), x.alias("b")))
+    packed = F.lit(1 << 32)
+    other = lambda n, c: F.transform(F.array_except(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none), F.coalesce(c, none)), lambda x: x * packed + x)
     counted = hottest.select("g", "q", other(F.col("one.l"), F.col("r1")).alias("r"), other(F.col("one.e") - F.col("one.s") + 1, F.col("p1")).alias("p"))
-    run = lambda n: F.when(n > 0, F.array(F.struct(F.lit(0).alias("a"), (n - 1).alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    run = lambda n: F.when(n > 0, F.array((n - 1).cast("long"))).otherwise(F.array().cast("array<long>"))
     repeats = contents.where("n > 1").select("g", "q", run(F.col("one.l")).alias("r"), run(F.col("one.e") - F.col("one.s") + 1).alias("p"))
     marks = repeats.unionByName(written(sorted_out)).unionByName(counted).select(F.col("g").alias("g2"), F.col("q").alias("q2"), "r", "p")
-    placed = lambda c, length: F.transform(c, lambda x: F.struct((F.col("s") + x["a"]).alias("a"), (F.col("s") + x["b"] + length).alias("b"))).alias(c)
+    placed = lambda c, length: F.transform(c, lambda x: x + F.col("s") * F.lit((1 << 32) + 1) + F.lit(length)).alias(c)
     marked = shared.join(marks, (F.col("g") == F.col("g2")) & (F.col("q") == F.col("q2"))).select("k", "t", placed("r", LENGTH), placed("p", PASSAGE))
     return marked.groupBy("k", "t").agg(F.flatten(F.collect_list("r")).alias("spans"), F.flatten(F.collect_list("p")).alias("passages"))
 
@@ -368,8 +364,8 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 body = (text_ or "").encode("utf-8", "surrogatepass")
                 mark = mark_of(body) if own else None
                 found = next((x for x in own or [] if x["t"] == mark), {"spans": [], "passages": []})
-                n, runs, kept = remaining(body, [(x["a"], x["b"]) for x in found["spans"]])
-                repeated = sum(b - a for a, b in runs_of([(x["a"], x["b"]) for x in found["passages"]]))
+                n, runs, kept = remaining(body, found["spans"])
+                repeated = sum(b - a for a, b in runs_of(found["passages"]))
                 for name, value in zip(out, (id_, len(body), n, runs, kept if with_bytes else None, hashlib.sha256(kept).hexdigest(), repeated), strict=True):
                     out[name].append(value)
             if out["doc_id"]:

@@ -336,10 +336,10 @@ def test_suffix_array_and_prefixes():
         t[-1] = 0
         order, b = substrings.suffix_array(t, 80), bytes(t)
         assert order.tolist() == sorted(range(n), key=lambda i: b[i:])
-        lcp = substrings.common_prefixes(t, order, 80)
-        for i in range(1, n):
-            x, y = b[order[i - 1] :], b[order[i] :]
-            assert lcp[i] == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+        whole = np.concatenate([t, np.zeros(16, dtype=np.uint8)])
+        for got, n in zip(substrings.same_as_before(t, order, (16, 8)), (16, 8), strict=True):
+            rows = [bytes(whole[o : o + n]) for o in order]
+            assert got.tolist() == [i > 0 and rows[i - 1] == rows[i] for i in range(len(rows))]
 
 
 # --- 6 decontamination -----------------------------------------------------------------------------------
