@@ -2,18 +2,22 @@
 
 Tokens: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end token a text. The steps:
 
-1. Documents become packs: local word numbers of every token, and the pack's distinct words as
-   64-bit hashes with their counts in training texts. A pack is written once.
+1. Documents are dealt by a hash of id and text, into partitions that the bytes of the corpus
+   alone determine, and become packs: local word numbers of every token, and the pack's distinct
+   words as 64-bit hashes with their counts in training texts. A pack is written once.
 2. The packs' distinct words go to count shards by hash. A shard adds up the counts and answers
    each pack with the totals of the words it asked for. So counts cover the whole corpus, and no
-   task holds more than a shard or a pack.
-3. The ``FREQUENT`` most frequent words get classes of ``CLASS_WORDS``; all other words fall into
-   ``SHAPES`` open classes by their last bytes. P(word) = P(class | context) * P(word | class,
-   context); features are the four words before (single, hence with skips) and a hashed bigram.
-   An open class spreads over its words by add-one smoothed corpus counts.
-4. Training starts from the class unigrams. In each of ``ROUNDS`` rounds every task takes AdaGrad
-   steps over its share of all training packs, from the same weights; their changes are averaged
-   slice by slice in Spark, in two levels, and the (bounded) weights go out again.
+   task holds more than a shard or a pack. A pack sends a row to the shards it has words for alone.
+3. Every word has a leaf of a tree of ``WAYS`` ** 3 leaves, P(leaf) = P(class | context) * P(second
+   class | class, context) * P(leaf | both, context), each a softmax of ``WAYS`` outcomes. The
+   ``FREQUENT`` most frequent words have leaves of their own; all others are hashed to the other
+   leaves, whose classes follow from a word's last bytes. Features are the four words before
+   (single, hence with skips) and the hashed pair of the last two, hashed with the classes above.
+   A shared leaf spreads over its words by add-one smoothed corpus counts.
+4. Training starts from the unigrams of the tree and passes once over all training packs, a part of
+   them in each of ``ROUNDS`` rounds. In a round, AdaGrad steps over each pack start from the same
+   weights; the changes are averaged in Spark, each row weighted by the tokens that moved it, in
+   two levels and slice by slice, and the (bounded) weights go out again.
 5. Packs meet the answers of step 2 and are scored in numpy batches.
 
 Defined cases: a null text is empty and has the end token alone; without training tokens N = V =
@@ -23,6 +27,7 @@ empty text when folds are dealt. Two words with one 64-bit hash would share a co
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 
@@ -35,37 +40,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import slices, written
+from .common import written
 
 FOLDS, HELD_OUT = 7, 2
-FREQUENT, CLASS_WORDS, SHAPES = 1_024, 64, 48
-CLASSES = FREQUENT // CLASS_WORDS + SHAPES
-#: Context codes: 0 before the text, then frequent words, then shapes.
-CODES = 1 + FREQUENT + SHAPES
+#: Outcomes of each softmax, levels of the tree, words with a leaf of their own.
+WAYS, LEVELS, FREQUENT = 16, 3, 1_024
+LEAVES = WAYS**LEVELS
+#: Second classes that shared leaves have.
+SHARED = (LEAVES - FREQUENT) // WAYS
 CONTEXT = 4
-BIGRAMS = 1 << 13
-ROUNDS, BATCH, RATE = 3, 2_048, 0.1
-#: Packs of a training task: few while there are under MANY tasks, more beyond (a task's changes
-#: cost the same shuffle however much it has learnt from), so tasks grow with the corpus.
-FEW_PACKS, MANY, MORE_PACKS = 4, 64, 64
-#: Weights that are averaged together, and tasks whose changes meet in one place before the last sum.
-SLICE, FAN_IN = 65_536, 64
-#: Characters of a pack, entries of a count shard.
-PACK, SHARD = 4_000_000, 1_000_000
+#: Features of each level (0 to 3: the word so many and one back; 4: the last two), and rows of a table.
+FEATURES = ((0, 1, 2, 3, 4), (0, 1, 4), (0, 4))
+ROWS = 1 << 14
+ROUNDS, BATCH, RATE = 4, 4_096, 0.1
+#: Packs whose changes a training task adds up.
+TASK_PACKS = 4
+#: Rows that are averaged together, and tasks whose changes meet in one place before the last sum.
+SLICE, FAN_IN = 8_192, 64
+#: Bytes of text of a partition, characters of a pack, entries of a count shard.
+PART, PACK, SHARD = 16_000_000, 16_000_000, 1_000_000
 END = xxh3_64_intdigest(b"")  # no word is empty
 
-_PACKS = pa.schema([("pack", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("words", pa.binary()), ("shapes", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64()), ("n_train", pa.int64())])
-_PACK_DDL = "pack long, ids array<long>, lengths binary, tokens binary, words binary, shapes binary, counts binary, n_words long, n_train long"
+_PACKS = pa.schema([("pack", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("words", pa.binary()), ("leaves", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64()), ("n_train", pa.int64())])
+_PACK_DDL = "pack long, ids array<long>, lengths binary, tokens binary, words binary, leaves binary, counts binary, n_words long, n_train long"
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
 
 
-def shape(word: bytes) -> int:
-    """The open class of a word: its last two bytes hashed, and whether it is ASCII."""
+def shared_leaf(word: bytes, code: int) -> int:
+    """The leaf of a word that has none of its own: classes by its last two bytes, then by its hash."""
     last = word[-2:]
-    return (last[-1] * 31 + last[0]) % (SHAPES // 2) * 2 + word.isascii()
+    return FREQUENT + ((last[-1] * 31 + last[0]) % (SHARED // 2) * 2 + word.isascii()) * WAYS + code % WAYS
 
 
 class _Numbers(dict):
@@ -91,13 +98,14 @@ def _pack(number: int, ids: list, texts: list) -> dict:
     words = [words[i] for i in order.tolist()]
     training = np.repeat(np.array([not held_out(i) for i in ids]), size)
     counts = np.bincount(flat[training], minlength=len(words)).astype(np.uint32)
+    hashes = [xxh3_64_intdigest(w) for w in words]
     return {
         "pack": number,
         "ids": ids,
         "lengths": size.tobytes(),
         "tokens": zstandard.compress(flat.tobytes(), 3),
-        "words": np.array([xxh3_64_intdigest(w) for w in words], dtype=np.uint64).tobytes(),
-        "shapes": bytes(shape(w) if w else 0 for w in words),
+        "words": np.array(hashes, dtype=np.uint64).tobytes(),
+        "leaves": np.array([shared_leaf(w, h) if w else FREQUENT for w, h in zip(words, hashes, strict=True)], dtype=np.uint16).tobytes(),
         "counts": zstandard.compress(counts.tobytes(), 3),
         "n_words": len(words),
         "n_train": int(training.sum()),
@@ -106,138 +114,160 @@ def _pack(number: int, ids: list, texts: list) -> dict:
 
 def packs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, ids, texts, size = TaskContext.get().partitionId() << 16, [], [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts, PACK):
-                yield pa.RecordBatch.from_pylist([_pack(number, ids[a:b], texts[a:b])], schema=_PACKS)
-                number += 1
-
-    return written(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _PACK_DDL))
-
-
-def counted(packed: DataFrame) -> DataFrame:
-    """Answers ``pack, shard, totals`` and, with pack -1, a row of sums and frequent words per shard."""
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if ids and size + len(t or "") > PACK:
+                    yield pa.RecordBatch.from_pylist([_pack(number, ids, texts)], schema=_PACKS)
+                    number, ids, texts, size = number + 1, [], [], 0
+                ids.append(i)
+                texts.append(t)
+                size += len(t or "")
+        if ids:
+            yield pa.RecordBatch.from_pylist([_pack(number, ids, texts)], schema=_PACKS)
+
+    plain = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    parts = int(-(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART)) or 1
+    place = F.xxhash64("doc_id", "text")
+    dealt = plain.withColumn("place", place).repartition(parts, "place").sortWithinPartitions("place", "doc_id").drop("place")
+    return written(dealt.mapInArrow(run, _PACK_DDL))
+
+
+def counted(packed: DataFrame) -> tuple[DataFrame, int]:
+    """Answers ``pack, shard, totals`` and, with pack -1, a row of sums and frequent words per shard; and the shards."""
     entries = packed.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-entries // SHARD))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int32()), ("pack", pa.int64()), ("words", pa.binary()), ("shapes", pa.binary()), ("counts", pa.binary())])
+        schema = pa.schema([("shard", pa.int32()), ("pack", pa.int64()), ("words", pa.binary()), ("leaves", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
             for row in batch.to_pylist():
                 words, counts = np.frombuffer(row["words"], np.uint64), np.frombuffer(zstandard.decompress(row["counts"]), np.uint32)
-                to, shapes = (words % np.uint64(shards)).astype(np.int64), np.frombuffer(row["shapes"], np.uint8)
-                order = np.argsort(to, kind="stable")
-                edge = np.searchsorted(to[order], np.arange(shards + 1))
-                out = [{"shard": s, "pack": row["pack"], "words": words[i].tobytes(), "shapes": shapes[i].tobytes(), "counts": counts[i].tobytes()} for s in range(shards) if len(i := order[edge[s] : edge[s + 1]])]
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                leaves = np.frombuffer(row["leaves"], np.uint16)
+                order, of, edge = by_shard(words, shards)
+                words, leaves, counts = words[order], leaves[order], counts[order]
+                out = [{"shard": s, "pack": row["pack"], "words": words[a:b].tobytes(), "leaves": leaves[a:b].tobytes(), "counts": counts[a:b].tobytes()} for s, a, b in zip(of, edge, edge[1:])]
+                for a in range(0, len(out), 1_000):
+                    yield pa.RecordBatch.from_pylist(out[a : a + 1_000], schema=schema)
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        words, shapes, counts = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("words", np.uint64), ("shapes", np.uint8), ("counts", np.uint32)))
+        words, leaves, counts = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("words", np.uint64), ("leaves", np.uint16), ("counts", np.uint32)))
         distinct, first, inverse = np.unique(words, return_index=True, return_inverse=True)
         totals = np.bincount(inverse, weights=counts).astype(np.int64)
         answer, ends = totals[inverse], np.cumsum([len(w) // 8 for w in pdf["words"]])
         known = totals > 0
-        top = np.argsort(-totals, kind="stable")[:FREQUENT]
+        top = np.lexsort((distinct.view(np.int64), -totals))[:FREQUENT]
         top = top[totals[top] > 0]
-        of_shape = shapes[first].astype(np.int64)
+        leaf = leaves[first].astype(np.int64)
+        sums = np.stack([np.bincount(leaf[known], weights=totals[known], minlength=LEAVES), np.bincount(leaf[known], minlength=LEAVES)]).astype(np.int64)
         rows = {
             "pack": [*pdf["pack"], -1],
             "shard": [int(pdf["shard"].iloc[0])] * (len(pdf) + 1),
             "totals": [*(zstandard.compress(x.tobytes(), 3) for x in np.split(answer, ends[:-1])), None],
             "n": [0] * len(pdf) + [int(totals.sum())],
             "v": [0] * len(pdf) + [int(known.sum())],
-            "by_shape": [None] * len(pdf) + [np.stack([np.bincount(of_shape[known], weights=totals[known], minlength=SHAPES), np.bincount(of_shape[known], minlength=SHAPES)]).astype(np.int64).ravel().tolist()],
-            "top": [None] * len(pdf) + [[{"word": int(w), "n": int(n), "shape": int(s)} for w, n, s in zip(distinct[top].view(np.int64), totals[top], shapes[first][top], strict=True)]],
+            "by_leaf": [None] * len(pdf) + [sums.ravel().tolist()],
+            "top": [None] * len(pdf) + [[{"word": int(w), "n": int(n), "leaf": int(s)} for w, n, s in zip(distinct[top].view(np.int64), totals[top], leaf[top], strict=True)]],
         }
         return pd.DataFrame(rows)
 
-    dealt = packed.select("pack", "words", "shapes", "counts").mapInArrow(deal, "shard int, pack long, words binary, shapes binary, counts binary")
-    return written(dealt.groupBy("shard").applyInPandas(add_up, "pack long, shard int, totals binary, n long, v long, by_shape array<long>, top array<struct<word:long,n:long,shape:int>>"))
+    dealt = packed.select("pack", "words", "leaves", "counts").mapInArrow(deal, "shard int, pack long, words binary, leaves binary, counts binary")
+    return written(dealt.groupBy("shard").applyInPandas(add_up, "pack long, shard int, totals binary, n long, v long, by_leaf array<long>, top array<struct<word:long,n:long,leaf:int>>")), shards
+
+
+def by_shard(words: np.ndarray, shards: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """An order of the words by shard; the shards that have any; and where the words of each begin, and all end."""
+    to = (words % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    edge = np.flatnonzero(np.diff(to, prepend=-1))
+    return order, to[edge].tolist(), [*edge.tolist(), len(to)]
 
 
 class Corpus:
     """Corpus sums and the frequent words; bounded, whatever the corpus."""
 
-    def __init__(self, answers: DataFrame):
+    def __init__(self, answers: DataFrame, shards: int):
         sums = answers.where("pack = -1")
         row = sums.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-        self.n, self.v = row.n or 0, row.v or 0
-        shapes = np.zeros((2, SHAPES), dtype=np.int64)
-        for r in sums.select(F.posexplode("by_shape").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
-            shapes.ravel()[r.i] = r.x
+        self.n, self.v, self.shards = row.n or 0, row.v or 0, shards
+        of = np.zeros((2, LEAVES), dtype=np.int64)
+        for r in sums.select(F.posexplode("by_leaf").alias("i", "x")).where("x > 0").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            of.ravel()[r.i] = r.x
         top = sums.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
         self.frequent = np.array([r.word for r in top], dtype=np.int64).view(np.uint64)
-        self.counts = np.array([r.n for r in top], dtype=np.int64)
-        for r in top:
-            shapes[0, r["shape"]] -= r.n
-            shapes[1, r["shape"]] -= 1
-        self.open_n, self.open_v = shapes
+        for i, r in enumerate(top):
+            of[:, r.leaf] -= (r.n, 1)
+            of[:, i] = (r.n, 1)
+        #: Training tokens and distinct words of each leaf.
+        self.leaf_n, self.leaf_v = of
         self.order = np.argsort(self.frequent)
 
-    def codes(self, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        """Context code of each distinct word: 1 + its rank if frequent, else by shape."""
-        out = 1 + FREQUENT + shapes.astype(np.int64)
+    def leaves(self, words: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """The leaf of each distinct word: its rank if frequent, else the shared one."""
+        out = shared.astype(np.int32)
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent[self.order], words), len(self.frequent) - 1)
             hit = self.frequent[self.order[at]] == words
-            out[hit] = 1 + self.order[at[hit]]
+            out[hit] = self.order[at[hit]]
         return out
 
-
-def classes(codes: np.ndarray) -> np.ndarray:
-    rank = codes - 1
-    return np.where(rank < FREQUENT, rank // CLASS_WORDS, FREQUENT // CLASS_WORDS + rank - FREQUENT)
+    def within(self, leaves: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Natural log of P(word | leaf)."""
+        share = np.log((totals + 1) / (self.leaf_n[leaves] + self.leaf_v[leaves] + 1))
+        return np.where(leaves < FREQUENT, 0.0, share)
 
 
-def contexts(codes: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """Feature rows of each token: the words 1 to CONTEXT back, and the hashed bigram."""
+def contexts(leaves: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """What each token's features are taken from: the leaves 1 to CONTEXT back, and the last two hashed."""
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.arange(len(codes)) - starts
+    place = np.arange(len(leaves)) - starts
     out = []
     for k in range(1, CONTEXT + 1):
-        before = np.zeros(len(codes), dtype=np.int32)
-        before[k:] = codes[:-k]
-        before[place < k] = 0
+        before = np.full(len(leaves), LEAVES, dtype=np.int32)
+        before[k:] = leaves[:-k]
+        before[place < k] = LEAVES
         out.append(before)
-    out.append(((out[0] * np.int64(40_503) + out[1] * np.int64(9_973) + (out[1] >> 3)) % BIGRAMS).astype(np.int32))
+    out.append(((out[0].astype(np.int64) * 1_000_003 + out[1] * 8_191) % 2_147_483_629).astype(np.int32))
     return out
 
 
-class Model:
-    """Weights as a list of tables, so that rounds can average them block by block."""
+def nodes(leaves: np.ndarray) -> list[np.ndarray]:
+    """The node of the tree that each level decides at: 0, the class, both classes."""
+    return [np.zeros(len(leaves), dtype=np.int32), leaves // WAYS**2, leaves // WAYS]
 
-    def __init__(self, corpus: Corpus):
-        closed = FREQUENT // CLASS_WORDS
-        counts = np.zeros(FREQUENT)
-        counts[: len(corpus.counts)] = corpus.counts
-        by_class = np.concatenate([counts.reshape(closed, CLASS_WORDS).sum(1), corpus.open_n])
-        f32 = np.float32
-        self.bias = np.log((by_class + 0.5) / (by_class + 0.5).sum()).astype(f32)
-        self.word_bias = np.log(counts + 0.5).reshape(closed, CLASS_WORDS).astype(f32)
-        self.by_class = [np.zeros((CODES, CLASSES), f32) for _ in range(CONTEXT)] + [np.zeros((BIGRAMS, CLASSES), f32)]
-        self.by_word = [np.zeros((WORD_ROWS, CLASS_WORDS), f32) for _ in range(2)]
 
-    def tables(self) -> list[np.ndarray]:
-        return [*self.by_class, *self.by_word]
+def table_rows(level: int, feature: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Rows of a table of this level, by feature and node."""
+    x = feature.astype(np.uint32) * np.uint32(2_654_435_761) + node.astype(np.uint32) * np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x2C1B3C6D)
+    return (x >> np.uint32(32 - ROWS.bit_length() + 1)).astype(np.uint16)
 
 
-#: Rows of the hashed (class, context word) tables of the softmax within a class.
-WORD_ROWS = 1 << 12
-
-
-def _word_rows(cls: np.ndarray, code: np.ndarray) -> np.ndarray:
-    return (cls * 2_654_435 + code * 40_503) % WORD_ROWS
-
+class Model:
+    """``bias[level][node]`` from the unigrams; one learned table of ``ROWS`` rows per level and feature."""
 
-def _gathered(bias: np.ndarray, tables: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
-    """The bias plus a row of each table, per token."""
-    z = np.take(tables[0], rows[0], axis=0, mode="clip")
-    part = np.empty_like(z)
-    for t, r in zip(tables[1:], rows[1:], strict=True):
-        z += np.take(t, r, axis=0, mode="clip", out=part)
-    z += bias
-    return z
+    def __init__(self, corpus: Corpus):
+        counts = corpus.leaf_n.astype(float)
+        self.bias = []
+        for level in range(LEVELS):
+            below = counts.reshape(WAYS ** (level + 1), -1).sum(1) + 0.5
+            self.bias.append(np.log(below.reshape(-1, WAYS) / below.reshape(-1, WAYS).sum(1, keepdims=True)).astype(np.float32))
+        self.tables = [np.zeros((ROWS, WAYS), np.float32) for own in FEATURES for _ in own]
+
+
+def _levels(model: Model, leaves: np.ndarray, features: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Per level: its first table, the rows in each of its tables, the sums per outcome, and the outcomes."""
+    first = 0
+    for level, node in enumerate(nodes(leaves)):
+        rows = [table_rows(level, features[f], node) for f in FEATURES[level]]
+        z = np.take(model.bias[level], node, axis=0, mode="clip")
+        part = np.empty_like(z)
+        for i, r in enumerate(rows):
+            z += np.take(model.tables[first + i], r, axis=0, mode="clip", out=part)
+        yield first, rows, z, leaves // WAYS ** (LEVELS - 1 - level) % WAYS
+        first += len(rows)
 
 
 def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,115 +284,99 @@ def _log_softmax_at(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return own - top - np.log(total)
 
 
-def log_probabilities(model: Model, codes: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
-    """Natural log of P(class | context), times P(word | class, context) for frequent words."""
-    out = np.empty(len(codes))
-    cls, rank = classes(codes), codes - 1
-    for a in range(0, len(codes), BATCH):
+def log_probabilities(model: Model, leaves: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    """Natural log of P(leaf | context) of each token."""
+    out = np.zeros(len(leaves))
+    for a in range(0, len(leaves), BATCH):
         at = slice(a, a + BATCH)
-        y = cls[at]
-        out[at] = _log_softmax_at(_gathered(model.bias, model.by_class, [f[at] for f in features]), y)
-        near = np.flatnonzero(rank[at] < FREQUENT)
-        if len(near):
-            c, w = y[near], rank[at][near] % CLASS_WORDS
-            rows = [_word_rows(c, f[at][near]) for f in features[:2]]
-            out[a + near] += _log_softmax_at(_gathered(model.word_bias[c], model.by_word, rows), w)
+        for _, _, z, y in _levels(model, leaves[at], [f[at] for f in features]):
+            out[at] += _log_softmax_at(z, y)
     return out
 
 
 class Trainer:
-    """AdaGrad steps from given weights."""
+    """AdaGrad steps from given weights, which stay as they are."""
 
     def __init__(self, model: Model):
-        self.model, self.tables, self.steps = model, model.tables(), 0
-        self.squares = [np.full(t.shape, 1e-2, np.float32) for t in self.tables]
+        self.model = copy.copy(model)
+        self.model.tables = [t.copy() for t in model.tables]
+        self.squares = [np.full(t.shape, 1e-2, np.float32) for t in model.tables]
+        #: Tokens that moved each row.
+        self.moved = [np.zeros(ROWS, np.float32) for _ in model.tables]
 
     def _step(self, i: int, rows: np.ndarray, gradient: np.ndarray) -> None:
-        rows = rows.astype(np.uint16)  # sorted by radix; no table has more rows
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows, kind="stable")  # 16 bits: by radix
         sorted_rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
         total, row = np.add.reduceat(np.take(gradient, order, axis=0), first, axis=0), sorted_rows[first]
+        self.moved[i][row] += np.diff(first, append=len(rows))
         square = np.take(self.squares[i], row, axis=0)
         square += total * total
         self.squares[i][row] = square
         np.sqrt(square, out=square)
         total /= square
         total *= -RATE
-        total += np.take(self.tables[i], row, axis=0)
-        self.tables[i][row] = total
+        total += np.take(self.model.tables[i], row, axis=0)
+        self.model.tables[i][row] = total
 
-    def learn(self, codes: np.ndarray, features: list[np.ndarray]) -> None:
-        m, cls, rank = self.model, classes(codes), codes - 1
-        for a in range(0, len(codes), BATCH):
+    def learn(self, leaves: np.ndarray, features: list[np.ndarray]) -> None:
+        for a in range(0, len(leaves), BATCH):
             at = slice(a, a + BATCH)
-            own, y = [f[at] for f in features], cls[at]
-            self._descend(0, own, _gathered(m.bias, m.by_class, own), y)
-            near = np.flatnonzero(rank[at] < FREQUENT)
-            if len(near):
-                c, w = y[near], rank[at][near] % CLASS_WORDS
-                rows = [_word_rows(c, f[near]) for f in own[:2]]
-                self._descend(len(features), rows, _gathered(m.word_bias[c], m.by_word, rows), w)
-            self.steps += 1
-
-    def _descend(self, first: int, rows: list[np.ndarray], z: np.ndarray, y: np.ndarray) -> None:
-        """A step of each table that ``rows`` select from, down the gradient of the log-loss."""
-        z /= _exp(z)[0][:, None]
-        z[np.arange(len(y)), y] -= 1
-        for i, r in enumerate(rows):
-            self._step(first + i, r, z)
+            for first, rows, z, y in _levels(self.model, leaves[at], [f[at] for f in features]):
+                z /= _exp(z)[0][:, None]
+                z[np.arange(len(y)), y] -= 1
+                for i, r in enumerate(rows):
+                    self._step(first + i, r, z)
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (np.frombuffer(zstandard.decompress(row["tokens"]), np.uint32), np.frombuffer(row["lengths"], np.uint32).astype(np.int64), np.frombuffer(row["words"], np.uint64), np.frombuffer(row["shapes"], np.uint8))
+    return (np.frombuffer(zstandard.decompress(row["tokens"]), np.uint32), np.frombuffer(row["lengths"], np.uint32).astype(np.int64), np.frombuffer(row["words"], np.uint64), np.frombuffer(row["leaves"], np.uint16))
 
 
 def train(packed: DataFrame, corpus: Corpus) -> Model:
-    """Rounds of local gradient steps over all training packs, averaged after each."""
+    """One pass over all training packs, in rounds of local gradient steps that are averaged after each."""
     spark = packed.sparkSession
     model = Model(corpus)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, words = held.value
-        before = [t.copy() for t in start.tables()]
-        trainer = Trainer(start)
+        change, weight = [np.zeros_like(t) for t in start.tables], [np.zeros(ROWS, np.float32) for _ in start.tables]
         for batch in batches:
             for row in batch.to_pylist():
-                flat, lengths, hashes, shapes = _opened(row)
-                codes = words.codes(hashes, shapes)[flat]
+                flat, lengths, hashes, shared = _opened(row)
+                leaves = words.leaves(hashes, shared)[flat]
                 keep = np.repeat(np.array([not held_out(i) for i in row["ids"]]), lengths)
-                if keep.any():
-                    trainer.learn(codes[keep], [f[keep] for f in contexts(codes, lengths)])
-        moved = [(t - b).astype(np.float16).ravel() for t, b in zip(start.tables(), before, strict=True)]
-        for t, b in zip(start.tables(), before, strict=True):
-            t[:] = b  # a worker that is used again starts from the round's weights
-        if trainer.steps:
-            schema = pa.schema([("block", pa.int32()), ("start", pa.int32()), ("part", pa.int32()), ("steps", pa.int64()), ("change", pa.binary())])
+                trainer = Trainer(start)
+                trainer.learn(leaves[keep], [f[keep] for f in contexts(leaves, lengths)])
+                for c, w, new, old, n in zip(change, weight, trainer.model.tables, start.tables, trainer.moved, strict=True):
+                    c += (new - old) * n[:, None]
+                    w += n
+        if any(w.any() for w in weight):
+            schema = pa.schema([("block", pa.int32()), ("start", pa.int32()), ("part", pa.int32()), ("change", pa.binary()), ("weight", pa.binary())])
             part = TaskContext.get().partitionId() // FAN_IN
-            for i, x in enumerate(moved):
-                yield pa.RecordBatch.from_pylist([{"block": i, "start": a, "part": part, "steps": trainer.steps, "change": x[a : a + SLICE].tobytes()} for a in range(0, len(x), SLICE)], schema=schema)
-
-    def average(kind: type):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            weight = pdf["steps"].to_numpy(dtype=float)
-            total = sum(np.frombuffer(x, kind).astype(np.float32) * np.float32(w) for x, w in zip(pdf["change"], weight / weight.sum(), strict=True))
-            first = pdf.iloc[0]
-            return pd.DataFrame({"block": [int(first["block"])], "start": [int(first["start"])], "steps": [int(weight.sum())], "change": [total.astype(np.float32).tobytes()]})
-
-        return run
-
-    averaged = "block int, start int, steps long, change binary"
-    each = -(-packed.count() // ROUNDS)
-    tasks = max(1, min(-(-each // FEW_PACKS), max(MANY, -(-each // MORE_PACKS))))
-    for k in range(ROUNDS):
+            for i, (c, w) in enumerate(zip(change, weight, strict=True)):
+                yield pa.RecordBatch.from_pylist([{"block": i, "start": a, "part": part, "change": c[a : a + SLICE].tobytes(), "weight": w[a : a + SLICE].tobytes()} for a in range(0, ROWS, SLICE)], schema=schema)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        change, weight = (np.sum([np.frombuffer(x, np.float32) for x in pdf[c]], axis=0, dtype=np.float32) for c in ("change", "weight"))
+        first = pdf.iloc[0]
+        return pd.DataFrame({"block": [int(first["block"])], "start": [int(first["start"])], "change": [change.tobytes()], "weight": [weight.tobytes()]})
+
+    added = "block int, start int, change binary, weight binary"
+    turn = F.pmod(F.shiftright("pack", 16) + F.col("pack").bitwiseAND(0xFFFF), F.lit(ROUNDS))
+    sizes = {r.turn: r["count"] for r in packed.where("n_train > 0").groupBy(turn.alias("turn")).count().collect()}
+    for k, n in sorted(sizes.items()):
         held = spark.sparkContext.broadcast((model, corpus))
-        share = packed.where(F.pmod(F.xxhash64("pack"), F.lit(ROUNDS)) == k).select("pack", "ids", "lengths", "tokens", "words", "shapes")
-        changes = share.coalesce(tasks).mapInArrow(local, "block int, start int, part int, steps long, change binary")
-        near = changes.groupBy("block", "start", "part").applyInPandas(average(np.float16), averaged)
-        for r in near.groupBy("block", "start").applyInPandas(average(np.float32), averaged).collect():
-            change = np.frombuffer(r.change, np.float32)
-            model.tables()[r.block].reshape(-1)[r.start : r.start + len(change)] += change
+        share = packed.where((turn == k) & (F.col("n_train") > 0)).select("pack", "ids", "lengths", "tokens", "words", "leaves")
+        changes = share.coalesce(-(-n // TASK_PACKS)).mapInArrow(local, "block int, start int, part int, change binary, weight binary")
+        near = changes.groupBy("block", "start", "part").applyInPandas(add, added)
+        new = copy.copy(model)
+        new.tables = [t.copy() for t in model.tables]
+        for r in near.groupBy("block", "start").applyInPandas(add, added).collect():
+            weight = np.frombuffer(r.weight, np.float32)
+            new.tables[r.block][r.start : r.start + len(weight)] += np.frombuffer(r.change, np.float32).reshape(-1, WAYS) / np.maximum(weight, 1)[:, None]
         held.unpersist()
+        model = new
     return model
 
 
@@ -373,24 +387,20 @@ def score(packed: DataFrame, answers: DataFrame, corpus: Corpus, model: Model) -
     spark = packed.sparkSession
     held = spark.sparkContext.broadcast((model, corpus))
     own = answers.where("pack >= 0").groupBy(F.col("pack").alias("p2")).agg(F.collect_list(F.struct("shard", "totals")).alias("answers"))
-    joined = packed.join(own, F.col("pack") == F.col("p2")).select("ids", "lengths", "tokens", "words", "shapes", "answers")
-    shards = answers.agg(F.max("shard")).first()[0] or 0
+    joined = packed.join(own, F.col("pack") == F.col("p2")).select("ids", "lengths", "tokens", "words", "leaves", "answers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, c = held.value
         for batch in batches:
             for row in batch.to_pylist():
-                flat, lengths, hashes, shapes = _opened(row)
-                to = (hashes % np.uint64(count)).astype(np.int64)
-                totals = np.zeros(len(hashes), dtype=np.int64)
-                for x in row["answers"]:
-                    totals[to == x["shard"]] = np.frombuffer(zstandard.decompress(x["totals"]), np.int64)
-                codes = c.codes(hashes, shapes)
+                flat, lengths, hashes, shared = _opened(row)
+                order, _, _ = by_shard(hashes, c.shards)
+                totals = np.empty(len(hashes), dtype=np.int64)
+                totals[order] = np.concatenate([np.frombuffer(zstandard.decompress(x["totals"]), np.int64) for x in sorted(row["answers"], key=lambda x: x["shard"])])
+                leaves = c.leaves(hashes, shared)
                 base = np.log10((totals + 1) / (c.n + (c.v + 1)))
-                open_ = codes > FREQUENT
-                within = np.where(open_, np.log((totals + 1) / (c.open_n[shapes] + c.open_v[shapes] + 1)), 0.0)
                 doc = np.repeat(np.arange(len(lengths)), lengths)
-                own = np.bincount(doc, weights=log_probabilities(m, codes[flat], contexts(codes[flat], lengths)) + within[flat], minlength=len(lengths))
+                by_token = log_probabilities(m, leaves[flat], contexts(leaves[flat], lengths)) + c.within(leaves, totals)[flat]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["ids"], pa.int64()),
@@ -399,18 +409,17 @@ def score(packed: DataFrame, answers: DataFrame, corpus: Corpus, model: Model) -
                         pa.array(np.bincount(doc, weights=(totals > 0)[flat], minlength=len(lengths)).astype(np.int64)),
                         pa.array(np.full(len(lengths), c.n, dtype=np.int64)),
                         pa.array(np.bincount(doc, weights=base[flat], minlength=len(lengths))),
-                        pa.array(own / np.log(10)),
+                        pa.array(np.bincount(doc, weights=by_token, minlength=len(lengths)) / np.log(10)),
                     ],
                     schema=_SCORES,
                 )
 
-    count = shards + 1
     return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def report(documents: DataFrame) -> DataFrame:
     """The columns of the registered query."""
     packed = packs(documents)
-    answers = counted(packed)
-    corpus = Corpus(answers)
+    answers, shards = counted(packed)
+    corpus = Corpus(answers, shards)
     return score(packed, answers, corpus, train(packed, corpus))

@@ -195,36 +195,79 @@ def test_language_model_counts_and_base(docs, none):
 
 
 def test_language_model_beats_the_base_on_held_out_documents(spark):
-    got = lm.report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert got.s > got.b
+    got = lm.report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(*[F.sum(c).alias(c) for c in ("score", "base_score", "n_tokens")]).first()
+    assert got.score / got.n_tokens > got.base_score / got.n_tokens + 0.15
 
 
-def test_class_probabilities_sum_to_one():
+def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
+    r = random.Random(9)
+    docs = spark.createDataFrame([(i, words(r, r.randrange(1, 120))) for i in range(300)] + [(None, "a b"), (7, None)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "PART", 20_000)
+    once, other = ({(x.doc_id, x.n_tokens): x for x in lm.report(docs.repartition(n)).collect()} for n in (1, 7))
+    assert once.keys() == other.keys()
+    assert all(x.base_score == pytest.approx(other[k].base_score) and x.score == pytest.approx(other[k].score, rel=1e-4) for k, x in once.items())
+
+
+def test_counts_over_many_shards(spark, monkeypatch):
+    r = random.Random(10)
+    texts = [" ".join(f"w{r.randrange(400)}" for _ in range(200)) for _ in range(20)]
+    monkeypatch.setattr(lm, "PART", 2_000)
+    packed = lm.packs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert packed.count() > 3
+    monkeypatch.setattr(lm, "SHARD", 100)
+    answers, shards = lm.counted(packed)
+    assert shards > 10
+    corpus = lm.Corpus(answers, shards)
+    train = Counter(w for i, t in enumerate(texts) if not lm.held_out(i) for w in tokens(t))
+    assert (corpus.n, corpus.v) == (sum(train.values()), len(train))
+    got = {x.doc_id: x for x in lm.score(packed, answers, corpus, lm.Model(corpus)).collect()}
+    for i, t in enumerate(texts):
+        base = sum(math.log10((train[w] + 1) / (corpus.n + corpus.v + 1)) for w in tokens(t))
+        assert got[i].base_score == pytest.approx(base) and got[i].n_known == sum(train[w] > 0 for w in tokens(t))
+
+
+def plain_log_probability(m, leaf, features):
+    """P(leaf) from the tables, outcome by outcome."""
+    total, first = 0.0, 0
+    for level in range(lm.LEVELS):
+        node = [0, leaf // lm.WAYS**2, leaf // lm.WAYS][level]
+        z = m.bias[level][node].astype(float).copy()
+        for i, f in enumerate(lm.FEATURES[level]):
+            z += m.tables[first + i][lm.table_rows(level, features[f], np.array([node]))[0]]
+        first += len(lm.FEATURES[level])
+        total += z[leaf // lm.WAYS ** (lm.LEVELS - 1 - level) % lm.WAYS] - math.log(np.exp(z).sum())
+    return total
+
+
+def test_class_probabilities_sum_to_one_and_equal_plain_ones():
     class Corpus:
-        counts = np.arange(lm.FREQUENT, 0, -1)
-        open_n, open_v = np.arange(lm.SHAPES) + 5, np.full(lm.SHAPES, 3)
+        leaf_n = np.arange(lm.LEAVES, 0, -1)
 
     m = lm.Model(Corpus)
     r = np.random.default_rng(2)
-    for t in m.tables():
+    for t in m.tables:
         t += r.normal(0, 0.3, t.shape).astype(np.float32)
-    every = np.arange(1, lm.CODES)
-    features = [np.full(len(every), 7)] * lm.CONTEXT + [np.full(len(every), 3)]
-    assert np.exp(lm.log_probabilities(m, every, features)).sum() == pytest.approx(1.0, abs=1e-4)
+    every = np.arange(lm.LEAVES, dtype=np.int32)
+    features = [np.full(len(every), k, dtype=np.int32) for k in (7, 8, 4_000, lm.LEAVES, 123_456)]
+    got = lm.log_probabilities(m, every, features)
+    assert np.exp(got).sum() == pytest.approx(1.0, abs=1e-4)
+    for leaf in (0, 17, 1_500, lm.LEAVES - 1):
+        assert got[leaf] == pytest.approx(plain_log_probability(m, leaf, [f[:1] for f in features]), abs=1e-4)
 
 
 def test_gradient_steps_raise_the_likelihood():
     class Corpus:
-        counts = np.full(lm.FREQUENT, 10)
-        open_n, open_v = np.full(lm.SHAPES, 10), np.full(lm.SHAPES, 3)
+        leaf_n = np.full(lm.LEAVES, 10)
 
-    codes = np.tile(np.array([3, 700, 1050, 9, 42]), 800)
-    lengths = np.array([len(codes)])
+    leaves = np.tile(np.array([3, 700, 1050, 9, 4_042], dtype=np.int32), 2_000)
+    lengths = np.array([len(leaves)])
     m = lm.Model(Corpus)
-    f = lm.contexts(codes, lengths)
-    before = lm.log_probabilities(m, codes, f).mean()
-    lm.Trainer(m).learn(codes, f)
-    assert lm.log_probabilities(m, codes, f).mean() > before + 1
+    f = lm.contexts(leaves, lengths)
+    before = lm.log_probabilities(m, leaves, f).mean()
+    trainer = lm.Trainer(m)
+    trainer.learn(leaves, f)
+    assert lm.log_probabilities(trainer.model, leaves, f).mean() > before + 1
+    assert not any(t.any() for t in m.tables)  # the weights of the round stay
 
 
 # --- 4 secrets ----------------------------------------------------------------------------------------
