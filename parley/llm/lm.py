@@ -52,7 +52,9 @@ CONTEXT = 4
 #: Features of each level (0 to 3: the word so many and one back; 4: the last two), and rows of a table.
 FEATURES = ((0, 1, 2, 3, 4), (0, 1, 4), (0, 4))
 ROWS = 1 << 14
-ROUNDS, BATCH, RATE = 4, 4_096, 0.1
+ROUNDS, RATE = 4, 0.15
+#: Tokens of a gradient step, and tokens that are scored at once.
+STEP, BATCH = 8_192, 4_096
 #: Packs whose changes a training task adds up.
 TASK_PACKS = 4
 #: Rows that are averaged together, and tasks whose changes meet in one place before the last sum.
@@ -295,12 +297,12 @@ def log_probabilities(model: Model, leaves: np.ndarray, features: list[np.ndarra
 
 
 class Trainer:
-    """AdaGrad steps from given weights, which stay as they are."""
+    """AdaGrad steps (one rate a row) from given weights, which stay as they are."""
 
     def __init__(self, model: Model):
         self.model = copy.copy(model)
         self.model.tables = [t.copy() for t in model.tables]
-        self.squares = [np.full(t.shape, 1e-2, np.float32) for t in model.tables]
+        self.squares = [np.full(ROWS, 1e-2, np.float32) for _ in model.tables]
         #: Tokens that moved each row.
         self.moved = [np.zeros(ROWS, np.float32) for _ in model.tables]
 
@@ -310,18 +312,15 @@ class Trainer:
         first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
         total, row = np.add.reduceat(np.take(gradient, order, axis=0), first, axis=0), sorted_rows[first]
         self.moved[i][row] += np.diff(first, append=len(rows))
-        square = np.take(self.squares[i], row, axis=0)
-        square += total * total
+        square = self.squares[i][row] + np.einsum("ij,ij->i", total, total) / WAYS
         self.squares[i][row] = square
-        np.sqrt(square, out=square)
-        total /= square
-        total *= -RATE
+        total *= (-RATE / np.sqrt(square))[:, None]
         total += np.take(self.model.tables[i], row, axis=0)
         self.model.tables[i][row] = total
 
     def learn(self, leaves: np.ndarray, features: list[np.ndarray]) -> None:
-        for a in range(0, len(leaves), BATCH):
-            at = slice(a, a + BATCH)
+        for a in range(0, len(leaves), STEP):
+            at = slice(a, a + STEP)
             for first, rows, z, y in _levels(self.model, leaves[at], [f[at] for f in features]):
                 z /= _exp(z)[0][:, None]
                 z[np.arange(len(y)), y] -= 1
