@@ -1,42 +1,43 @@
-"""Near copies by the exact similarity of their word shingles.
+"""Near copies: SimHash fingerprints and BK-trees find them, exact similarity decides.
 
 Two texts are near if the Jaccard similarity of their sets of five-word shingles (as 64-bit
-hashes) is ``SIMILAR`` or more. Nothing is sampled or banded away: in any one order of all shingles,
-two sets of that similarity share one among the first n - ceil(0.8 n) + 1 of each (the prefix).
-
-1. Shingles frequent in a sample of documents are put last in the order, so that prefixes are rare
-   shingles. The sample decides costs alone; any order gives the same pairs.
-2. Prefixes meet by shingle. Groups of up to ``FEW`` texts list their pairs; those that share too few
-   shingles of their prefixes to be near go, the others are tested in Spark by ``array_intersect``.
-3. Larger groups, joined where they overlap, are searched by breadth: a text is compared with those
-   not reached yet, so a large group of copies costs few comparisons a text. Groups over
-   ``BLOCK`` texts are cut into blocks, and each pair of blocks is searched alone.
-4. Components follow from both kinds of edges.
+hashes) is ``SIMILAR`` or more.
+
+1. A text has a fingerprint of ``BITS`` bits, and ``SHARDS`` shards: the smallest of its shingles in as
+   many random orders. Near texts share each of them with a probability of 0.8 or more, so they
+   miss each other in all with less than one in 300,000.
+2. The fingerprints of a shard form a BK-tree (trees, beyond ``simhash.TREE``), and those within
+   ``RADIUS`` differing bits are linked. Near texts differ in about 39 of 256 bits (a standard
+   deviation of six; more in very short texts), others in about half.
+3. Texts that such links join are searched by breadth: a text is compared, shingle by shingle, with
+   those not reached yet, so a large group of copies costs few comparisons a text. Groups of
+   over ``BLOCK`` texts are cut into blocks, and each pair of blocks is searched alone.
+4. Components follow from the exact links.
 
 Texts are known by the 128-bit hash of their lower-cased words. Defined cases: texts without words
-are copies of each other; a text of under five words is one shingle.
+are copies of each other; a text of under five words is one shingle; rows of one id or without an
+id are rows like any others, told apart by their texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from parley.operators.graphs import connected_components
 
+from . import simhash
 from .common import per_batch, written
 from .simhash import first_of_each, numbered_rows
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 OVER, UNDER = 4, 5
-FEW = 32
+BITS, RADIUS, SHARDS = 256, 80, 8
 BLOCK = 4_096
-#: Documents whose shingles are counted, the count from which a shingle goes last, and the most of those.
-SAMPLE, OFTEN, MOST = 20_000, 4, 1 << 20
 #: Keys of candidates that are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST = 250_000
 _MULT = np.uint64(0x100000001B3)
@@ -57,17 +58,28 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(code * np.uint64(0x9E3779B97F4A7C15))
 
 
-def prefix(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The part of a set that meets that of every near set; shingles of ``last`` (sorted) go last."""
-    n = len(hashes) - -(-OVER * len(hashes) // UNDER) + 1
-    if len(last):
-        at = np.minimum(np.searchsorted(last, hashes), len(last) - 1)
-        hashes = hashes[np.argsort(last[at] == hashes, kind="stable")]
-    return hashes[:n]
+def mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The n-th of a family of hashes of hashes."""
+    x = hashes + np.uint64((n + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _near(common: Column, n: Column, m: Column) -> Column:
-    return UNDER * common >= OVER * (n + m - common)
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """``BITS`` bits, each set if it is in over half of the hashes."""
+    words = np.stack([mixed(hashes, n) for n in range(BITS // 64)], axis=1)
+    ones = np.zeros(BITS, dtype=np.int64)
+    for a in range(0, len(hashes), 255):  # sums of so many bits fit in a byte
+        ones += np.add.reduce(np.unpackbits(words[a : a + 255].view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def shards(hashes: np.ndarray) -> list[int]:
+    """The smallest hash in each of ``SHARDS`` orders."""
+    return [int(mixed(hashes, 100 + n).min().view(np.int64)) for n in range(SHARDS)]
 
 
 def edges(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -107,64 +119,45 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": [node[a] for a, _ in found], "dst": [node[b] for _, b in found]})
 
 
-def links(texts: DataFrame, few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """``src, dst`` edges between the ``node`` of near texts; ``texts`` (written): ``key, node, text``."""
-    spark = texts.sparkSession
-    every = max(1, texts.count() // SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("text")
-
-    def all_shingles(rows: list) -> dict:
-        return {"h": np.concatenate([shingles(words_of(t)) for t in rows]).view(np.int64)}
-
-    often = per_batch(sample, "h long", all_shingles, "text").groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(MOST)
-    last = spark.sparkContext.broadcast(np.sort(often.select("h").toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64)))
-
-    def prefixes(nodes: list, rows: list) -> dict:
-        sets = [shingles(words_of(t)) for t in rows]
-        first = [prefix(s, last.value) for s in sets]
-        times = np.array([len(x) for x in first])
-        return {"h": np.concatenate(first).view(np.int64), "node": [x for x, k in zip(nodes, times, strict=True) for _ in range(k)], "n": np.repeat([len(s) for s in sets], times)}
-
-    met = per_batch(texts, "h long, node binary, n int", prefixes, "node", "text").repartition("h")
-    own = Window.partitionBy("h")
-    shared = written(met.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)).where("lo <> hi").select("h", "lo", "node", "n").distinct())
-    sizes = shared.groupBy("h").agg(F.count("*").alias("c"))
-    sized = written(shared.join(sizes, "h"))
-    small = sized.where(F.col("c") <= few)
-    a, b = small.select("h", F.col("node").alias("src"), F.col("n").alias("n1")), small.select("h", F.col("node").alias("dst"), F.col("n").alias("n2"))
-    alike = (F.col("src") < F.col("dst")) & (UNDER * F.least("n1", "n2") >= OVER * F.greatest("n1", "n2"))
-    # the prefix that ends first in the order is known whole, so that a pair shares at most ``met`` and the
-    # rest of that set (one sharing a larger group as well is searched below, whatever it has met here)
-    rest = lambda n: F.ceil(F.lit(OVER) * F.col(n) / UNDER) - 1
-    enough = (OVER + UNDER) * (F.col("met") + F.greatest(rest("n1"), rest("n2"))) >= OVER * (F.col("n1") + F.col("n2"))
-    pairs = written(a.join(b, "h").where(alike).groupBy("src", "dst", "n1", "n2").agg(F.count("*").alias("met")).where(enough).select("src", "dst"))
-    mass = connected_components(written(sized.where(F.col("c") > few).select(F.col("lo").alias("src"), F.col("node").alias("dst")).distinct()))
-    mass = written(mass.select("node", "component"))
-    asked = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).unionByName(mass.select("node")).distinct()
-    one = written(texts.select("key", "node").join(asked, "node").groupBy("node").agg(F.min("key").alias("key")).select("key"))
-    one = F.broadcast(one) if one.count() <= BROADCAST else one
-
-    def whole(nodes: list, rows: list) -> dict:
-        return {"node": nodes, "hashes": [shingles(words_of(t)).view(np.int64) for t in rows]}
-
-    sets = written(per_batch(texts.join(one, "key", "left_semi"), "node binary, hashes array<long>", whole, "node", "text"))
-    x, y = sets.select(F.col("node").alias("src"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("dst"), F.col("hashes").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    near = pairs.join(x, "src").join(y, "dst").where(_near(common, F.size("x"), F.size("y"))).select("src", "dst")
-    cuts = mass.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
-    placed = sets.join(mass.join(cuts, "component"), "node").withColumn("b", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "hashes")
-    return near.unionByName(dealt.groupBy("component", "i", "j").applyInPandas(_search, "src binary, dst binary"))
+def links(rows: DataFrame, printed: DataFrame, block: int = BLOCK, tree: int = simhash.TREE) -> DataFrame:
+    """``src, dst`` edges between the ``node`` of near texts; ``rows`` have ``key, text``, ``printed`` (written) their prints."""
+    one = written(printed.groupBy("node").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.min("shards").alias("shards")))
+    keyed = written(one.select("fp", F.explode("shards").alias("key")).distinct())
+    found = written(connected_components(written(simhash.tree_links(keyed, RADIUS, tree))))
+    placed = one.join(found.withColumnRenamed("node", "own"), F.col("fp") == F.col("own"), "left").select("node", "key", F.coalesce("component", "fp").alias("component"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
+    placed = written(placed.join(sizes, "component"))
+    asked = placed.select("key")
+    asked = F.broadcast(asked) if placed.count() <= BROADCAST else asked
+
+    def whole(keys: list, texts: list) -> dict:
+        return {"key": keys, "hashes": [shingles(words_of(t)).view(np.int64) for t in texts]}
+
+    sets = per_batch(rows.select("key", "text").join(asked, "key", "left_semi"), "key long, hashes array<long>", whole, "key", "text")
+    cut = sets.join(placed, "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    dealt = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "hashes")
+    return dealt.groupBy("component", "i", "j").applyInPandas(_search, "src binary, dst binary")
+
+
+def prints(texts: DataFrame) -> DataFrame:
+    """``key, id, mark, text`` with the ``node, fp, shards`` of each text."""
+
+    def rows(key: list, id_: list, mark: list, text: list) -> dict:
+        split = [words_of(t) for t in text]
+        sets = [shingles(w) for w in split]
+        return {"key": key, "id": id_, "mark": mark, "node": [xxh3_128_digest(b" ".join(w)) for w in split], "fp": [fingerprint(x) for x in sets], "shards": [shards(x) for x in sets]}
+
+    return per_batch(texts, "key long, id long, mark long, node binary, fp binary, shards array<long>", rows, "key", "id", "mark", "text")
+
+
+def near_components(rows: DataFrame) -> DataFrame:
+    """``key, id, mark, component`` of (written) ``key, id, mark, text``."""
+    printed = written(prints(rows))
+    found = connected_components(written(links(rows, printed)))
+    return printed.join(found.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("key", "id", "mark", F.coalesce("component", "node").alias("component"))
 
 
 def without_near_copies(documents: DataFrame) -> DataFrame:
     """One document of each component of near copies, with all its columns: the smallest id, nulls last."""
     rows = numbered_rows(documents)
-    plain = rows.select("key", "id", F.col("row.text").alias("text"), F.xxhash64("row.text").alias("mark"))
-    node = lambda k, i, m, t: {"key": k, "id": i, "mark": m, "node": [xxh3_128_digest(b" ".join(words_of(x))) for x in t]}
-    prints = written(per_batch(plain, "key long, id long, mark long, node binary", node, "key", "id", "mark", "text"))
-    # the node anew from the text, as a join would shuffle all texts
-    texts = per_batch(plain, "key long, node binary, text string", lambda k, t: {"key": k, "node": [xxh3_128_digest(b" ".join(words_of(x))) for x in t], "text": t}, "key", "text")
-    found = connected_components(written(links(texts)))
-    placed = prints.join(found.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("key", "id", "mark", F.coalesce("component", "node").alias("component"))
-    return first_of_each(rows, placed, ["component"])
+    return first_of_each(rows, near_components(rows.select("key", "id", F.col("row.text").alias("text"), F.xxhash64("row.text").alias("mark"))), ["component"])

@@ -17,6 +17,7 @@ with a null id get the component of their fingerprint, named by the smallest id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 class Tree:
-    """A BK-tree over distinct fingerprints; ``children[i]`` maps a distance to a child."""
+    """A BK-tree over fingerprints (rows of 64-bit words); ``children[i]`` maps a distance to a child."""
 
     def __init__(self, points: np.ndarray):
         self.points, self.children = points, [{} for _ in points]
@@ -71,7 +72,7 @@ class Tree:
         while work:
             own = work.pop()
             root, rest = own[0], own[1:]
-            away = np.bitwise_count(points[rest] ^ points[root])
+            away = distances(points[rest], points[root])
             for d in np.unique(away):
                 below = rest[away == d]
                 self.children[root][int(d)] = int(below[0])
@@ -82,7 +83,7 @@ class Tree:
         work = [(0, np.arange(len(queries)))] if len(self.points) and len(queries) else []
         while work:
             node, at = work.pop()
-            away = np.bitwise_count(queries[at] ^ self.points[node]).astype(np.int16)
+            away = distances(queries[at], self.points[node])
             near = at[away <= radius]
             if len(near):
                 yield node, near
@@ -92,6 +93,11 @@ class Tree:
                     work.append((child, go))
 
 
+def distances(points: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints to one of them."""
+    return np.bitwise_count(points ^ one).sum(axis=1, dtype=np.int16)
+
+
 def forest(points: np.ndarray, queries: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges (index into points then queries, root) of a spanning forest of all links."""
     parent = list(range(len(points) + len(queries)))
@@ -111,56 +117,52 @@ def forest(points: np.ndarray, queries: np.ndarray, radius: int) -> list[tuple[i
     return [(i, r) for i in range(len(parent)) if (r := root(i)) != i]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by (key, i, j), each group whole within the partition."""
-
-    def solve(own: np.ndarray, first: np.ndarray) -> tuple[list, list]:
-        fps = own.view(np.uint64)
-        same = bool(first.all())
-        points, queries = (fps, fps) if same else (fps[first], fps[~first])
-        both = np.concatenate([points, queries]).view(np.int64)
-        edges = [(both[a], both[b]) for a, b in forest(points, queries, RADIUS) if both[a] != both[b]]
-        return [int(a) for a, _ in edges], [int(b) for _, b in edges]
-
-    held = None
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]  # key, i, j, b, fp
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        key, i, j, b, fp = cols
-        if not len(key):
-            continue
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        bounds = [0, *cut.tolist()]
-        src, dst = [], []
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            x, y = solve(fp[s:e], b[s:e] == i[s:e])
-            src += x
-            dst += y
-        held = [c[bounds[-1] :] for c in cols]
-        if src:
-            yield pa.RecordBatch.from_pydict({"src": src, "dst": dst}, schema=pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
-    if held is not None and len(held[0]):
-        x, y = solve(held[4], held[3] == held[1])
-        if x:
-            yield pa.RecordBatch.from_pydict({"src": x, "dst": y}, schema=pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
+def _links(radius: int):
+    """Over batches (key, i, j, b, fp) sorted by key, i and j, each group whole within the partition."""
+    edges = pa.schema([("src", pa.binary()), ("dst", pa.binary())])
+
+    def solve(own: list[tuple]) -> pa.RecordBatch:
+        points, queries = [x[4] for x in own if x[3] == x[1]], [x[4] for x in own if x[3] == x[2]]
+        both = points + queries
+        as_words = lambda x: np.frombuffer(b"".join(x), dtype=np.uint64).reshape(len(x), -1) if x else np.zeros((0, 1), dtype=np.uint64)
+        found = [(both[a], both[b]) for a, b in forest(as_words(points), as_words(queries), radius) if both[a] != both[b]]
+        return pa.RecordBatch.from_pydict({"src": [a for a, _ in found], "dst": [b for _, b in found]}, schema=edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+        for _, own in groupby(rows, key=lambda x: x[:3]):
+            found = solve(list(own))
+            if found.num_rows:
+                yield found
+
+    return run
+
+
+def tree_links(keyed: DataFrame, radius: int, tree: int = TREE) -> DataFrame:
+    """``src, dst`` edges that connect all fingerprints linked by chains within shards.
+
+    ``keyed``: ``key, fp`` (long, binary of whole 64-bit words), each pair once; a shard is the
+    fingerprints of one key, and two of it link within the radius.
+    """
+    shards = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("trees", F.ceil(F.col("n") / tree).cast("int")).drop("n")
+    own = keyed.join(shards, "key").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
+    spread = own.select("key", "fp", "b", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("o")).select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "fp")
+    dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+    return dealt.mapInArrow(_links(radius), "src binary, dst binary")
 
 
 def links(distinct: DataFrame, tree: int = TREE) -> DataFrame:
     """``src, dst`` edges that connect exactly the fingerprints linked by chains of near ones.
 
-    ``distinct``: one column ``fp``, each value once.
+    ``distinct``: one column ``fp`` (long), each value once.
     """
     width = 64 // BLOCKS
     block = [F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << width) - 1)) for k in range(BLOCKS)]
     pairs = [(a, b) for a in range(BLOCKS) for b in range(a + 1, BLOCKS)]
     keys = [F.shiftleft(F.shiftleft(F.lit(n).cast("long"), width).bitwiseOR(block[a]), width).bitwiseOR(block[b]) for n, (a, b) in enumerate(pairs)]
-    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shards = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("trees", F.ceil(F.col("n") / tree).cast("int")).drop("n")
-    own = keyed.join(shards, "key").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    spread = own.select("key", "fp", "b", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("o")).select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "fp")
-    dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    return dealt.mapInArrow(_links, "src long, dst long")
+    keyed = distinct.select(F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.explode(F.array(*keys)).alias("key"))
+    number = lambda c: F.conv(F.hex(c), 16, -10).cast("long").alias(c)
+    return tree_links(keyed, RADIUS, tree).select(number("src"), number("dst"))
 
 
 def _of_prints(prints: DataFrame) -> DataFrame:
@@ -197,18 +199,3 @@ def first_of_each(rows: DataFrame, placed: DataFrame, group: list[str]) -> DataF
     """
     first = placed.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull(), "id", "mark", "key")).alias("first")).select("first.key")
     return rows.join(first, "key", "left_semi").select("row.*")
-
-
-def without_copies(documents: DataFrame, keep_nulls: bool = True) -> DataFrame:
-    """One document of each component, that with the smallest id, with all its columns.
-
-    A row belongs to the component of its own text, whatever other rows share its id. Rows
-    without an id all stay with ``keep_nulls``, and are copies like any others without.
-    """
-    rows = numbered_rows(documents)
-    plain = rows.select("key", "id", F.col("row.text").alias("text"), F.xxhash64("row.text").alias("mark"))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    prints = written(per_batch(plain, "key long, doc_id long, mark long, fp long", lambda k, i, m, t: {"key": k, "doc_id": i, "mark": m, "fp": [signed(fingerprint(x)) for x in t]}, "key", "id", "mark", "text"))
-    of = _of_prints(prints)
-    placed = prints.join(of, prints["fp"] == of["own"]).select("key", F.col("doc_id").alias("id"), "mark", "component", F.when(F.col("doc_id").isNull() & F.lit(keep_nulls), F.col("key")).alias("alone"))
-    return first_of_each(rows, placed, ["component", "alone"])

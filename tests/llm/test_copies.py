@@ -3,9 +3,11 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from parley.llm import nearcopies, simhash
+from parley.llm.common import written
 from parley.operators.graphs import connected_components
 
 from .test_operators import words
@@ -18,10 +20,8 @@ def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
     a, b, c, d = (words(r, 80) for _ in range(4))
     rows = [(5, a), (5, c), (3, b), (5, b), (None, d), (None, d), (None, a), (7, a)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    none = sorted((x.doc_id or 0, x.text) for x in simhash.without_copies(docs, keep_nulls=False).collect())
-    assert none == sorted([(5, a), (5, c), (3, b), (0, d)])
-    kept = [(x.doc_id, x.text) for x in simhash.without_copies(docs).collect()]
-    assert sorted(x for x in kept if x[0]) == sorted([(5, a), (5, c), (3, b)]) and sum(x[0] is None for x in kept) == 3
+    got = sorted((x.doc_id or 0, x.text) for x in nearcopies.without_near_copies(docs).collect())
+    assert got == sorted([(5, a), (5, c), (3, b), (0, d)])
 
 
 def test_the_stage_reduces_copies_without_ids(spark):
@@ -67,18 +67,39 @@ def edited_copies():
     return texts + ["", " ", "a b", "A  b"]
 
 
-@pytest.mark.parametrize(("few", "block"), [(32, 4096), (4, 8)])
-def test_links_join_exactly_the_near_copies(spark, few, block):
+@pytest.mark.parametrize(("block", "tree"), [(nearcopies.BLOCK, simhash.TREE), (8, 4)])
+def test_links_join_exactly_the_near_copies(spark, block, tree):
     texts = edited_copies()
-    rows = spark.createDataFrame([(i, str(i).encode(), t) for i, t in enumerate(texts)], "key long, node binary, text string")
-    found = connected_components(nearcopies.links(rows, few, block)).collect()
-    of = {int(bytes(x.node)): int(bytes(x.component)) for x in found}
+    rows = spark.createDataFrame([(i, i, 0, t) for i, t in enumerate(texts)], "key long, id long, mark long, text string")
+    printed = written(nearcopies.prints(rows))
+    node = {x.key: bytes(x.node) for x in printed.collect()}
+    found = {bytes(x.node): bytes(x.component) for x in connected_components(nearcopies.links(rows, printed, block, tree)).collect()}
     want, groups = brute_near(texts), defaultdict(set)
     for i, w in enumerate(want):
-        groups[w].add(of.get(i, i))
+        groups[w].add(found.get(node[i], node[i]))
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+def test_near_texts_are_within_the_radius_and_share_a_shard():
+    r = random.Random(8)
+    missed = total = 0
+    for n in [6, 9, 12, 20, 40, 100, 400] * 40:
+        base = words(r, n).split()
+        other = list(base)
+        while True:  # edit until the texts are no longer near; the last near state is judged
+            last = list(other)
+            other[r.randrange(n)] = f"e{r.random()}"
+            a, b = (nearcopies.shingles(nearcopies.words_of(" ".join(x))) for x in (base, other))
+            common = len(np.intersect1d(a, b))
+            if 5 * common < 4 * (len(a) + len(b) - common):
+                break
+        b = nearcopies.shingles(nearcopies.words_of(" ".join(last)))
+        away = simhash.distances(*(np.frombuffer(nearcopies.fingerprint(x), dtype=np.uint64)[None] for x in (a, b)))[0]
+        total += 1
+        missed += away > nearcopies.RADIUS or not set(nearcopies.shards(a)) & set(nearcopies.shards(b))
+    assert missed <= 0.01 * total
+
+
 def test_the_stage_finds_edited_copies(spark):
     import corpus_pipeline
 

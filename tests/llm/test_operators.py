@@ -549,20 +549,10 @@ def test_tree_search_equals_scanning():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
     points = np.unique(np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(5), base ^ np.uint64(7 << 40)]))
-    got = {(n, q) for n, near in simhash.Tree(points).search(points, 2) for q in near.tolist()}
+    got = {(n, q) for n, near in simhash.Tree(points[:, None]).search(points[:, None], 2) for q in near.tolist()}
     assert got == {(i, j) for i in range(len(points)) for j in range(len(points)) if int(points[i] ^ points[j]).bit_count() <= 2}
 
 
-def test_one_row_of_each_component_stays(docs):
-    kept = simhash.without_copies(docs)
-    fps = [brute_fingerprint(r[1]) for r in ROWS]
-    comp = brute_components([r[0] for r in ROWS], fps)
-    assert kept.columns == docs.columns
-    got = kept.collect()
-    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted({c for c in comp if c is not None})
-    assert sum(r.doc_id is None for r in got) == 2
-
-
 # --- 9 mixing ---------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ import corpus_pipeline
 from parley.llm import mixing, shards
 from parley.llm.common import table, written
 
-from .test_operators import brute_components, brute_fingerprint, brute_hits
+from .test_copies import brute_near
+from .test_operators import brute_hits
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +31,12 @@ def test_each_stage_does_its_work(spark, sf_dir, stages):
     start = table(spark, sf_dir, "documents").collect()
     known = stages[0][1].collect()
     assert {r.doc_id for r in known} == {r.doc_id for r in start if any(c.isalpha() for c in r.text or "")}
-    comp = brute_components([r.doc_id for r in known], [brute_fingerprint(r.text) for r in known])
+    near = brute_near([r.text or "" for r in known])
+    least = {}
+    for r, c in zip(known, near, strict=True):
+        least[c] = min(r.doc_id, least.get(c, r.doc_id))
     single = stages[1][1].collect()
-    assert sorted(r.doc_id for r in single) == sorted(set(comp))
+    assert sorted(r.doc_id for r in single) == sorted(least.values())
     items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
     hits = brute_hits([r.text for r in single], items)
     clean = stages[2][1].collect()
