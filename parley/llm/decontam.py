@@ -1,24 +1,31 @@
 """Benchmark decontamination with suffix arrays over the training shards.
 
 Every Arrow batch of documents is a shard. Its words become integers, its suffixes that could
-match anything are sorted into a suffix array, and every suffix of the benchmark is looked up in
-it by binary search; the neighbours of the insertion point give the longest verbatim match.
+match anything are sorted into a suffix array to the depth of a window, and every window of the
+benchmark is looked up in it by binary search. The documents that are hit, and the items that hit
+them, are then sorted to full depth: the neighbours of a suffix in that order give its longest
+verbatim match, where it stands and in which item.
 
 Words: A-Z lower-cased, then runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` (ASCII letters and
 digits, and everything beyond ASCII).
 
 Defined cases: a null or empty text has no words and is never hit; an item without words has no
-window; an item shorter than a window is one window; repeated items all count; ``max_broadcast``
-bounds what is sent to every task, and a larger benchmark is searched in several passes.
+window; an item shorter than a window is one window; repeated items all count; repeated or null
+ids are rows like any others; of several longest matches the first in the text counts.
+``max_broadcast`` bounds what the driver holds and every task gets: a larger benchmark is searched
+in several passes, one after another, whose results are merged by row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, slices
+from .common import per_batch, slices, written
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass sends to every task.
@@ -38,9 +45,11 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
         self.width, self.vocabulary = width, {}
+        self.sequences: dict[str, list[tuple]] = {}
         by_window: dict[tuple, set] = {}
         for item, text in items:
             ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text))
+            self.sequences.setdefault(item, []).append(ids)
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
                 by_window.setdefault(ids[i : i + width], set()).add(item)
         self.grams = list(by_window)
@@ -85,8 +94,50 @@ class SuffixArray:
         return np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, high, "right")
 
 
-def search_shard(texts: list, windows: Windows) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Words per document, hit words per document, and matches (document, word offset, window)."""
+def longest_matches(windows: Windows, items: list[str], texts: list[np.ndarray]) -> list[tuple[int, int, str]]:
+    """(words, word offset, item) of the longest verbatim match of each text with any of the items.
+
+    All suffixes are sorted by doubling the depth until it covers the longest item.
+    """
+    owners = [(x, ids) for x in items for ids in windows.sequences[x] if ids]
+    parts = [np.array(ids, dtype=np.int64) for _, ids in owners] + [t.astype(np.int64) for t in texts]
+    starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    line = np.concatenate([np.append(p, 0) for p in parts])
+    here = np.arange(len(line))
+    # what no item has, and the ends, equal nothing
+    ranks = [np.unique(np.where(line == 0, len(windows.vocabulary) + 1 + here, line), return_inverse=True)[1]]
+    while 1 << (len(ranks) - 1) < max(len(ids) for _, ids in owners):
+        step = 1 << (len(ranks) - 1)
+        after = np.append(ranks[-1][step:] + 1, np.zeros(min(step, len(line)), dtype=np.int64))
+        ranks.append(np.unique(ranks[-1] * (len(line) + 1) + after, return_inverse=True)[1])
+    order = np.argsort(ranks[-1], kind="stable")
+    test = order < starts[len(owners)]
+    place = np.where(test, here, -1)
+    before = np.maximum.accumulate(place)
+    after = np.minimum.accumulate(np.where(test, here, len(line))[::-1])[::-1]
+
+    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = np.zeros(len(a), dtype=np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            n += np.where(ranks[k][a + n] == ranks[k][b + n], 1 << k, 0)
+        return n
+
+    best, whose = np.zeros(len(line), dtype=np.int64), np.zeros(len(line), dtype=np.int64)
+    for near in (before, after):
+        at = np.flatnonzero(~test & (near >= 0) & (near < len(line)))
+        n = common(order[at], order[near[at]])
+        better = n > best[order[at]]
+        best[order[at[better]]], whose[order[at[better]]] = n[better], order[near[at[better]]]
+    out = []
+    for i in range(len(owners), len(parts)):
+        at = starts[i] + int(np.argmax(best[starts[i] : starts[i + 1]]))
+        out.append((int(best[at]), int(at - starts[i]), owners[int(np.searchsorted(starts, whose[at], "right")) - 1][0]))
+    return out
+
+
+def search_shard(texts: list, windows: Windows, longest: bool = True) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], dict[int, tuple[int, int, str]]]:
+    """Words per document, hit words per document, matches (document, word offset, window), and the
+    longest match of each document that is hit."""
     split = [words(t) for t in texts]
     count = np.array([len(w) for w in split], dtype=np.int64)
     get, flat = windows.vocabulary.get, []
@@ -107,7 +158,12 @@ def search_shard(texts: list, windows: Windows) -> tuple[np.ndarray, np.ndarray,
         doc = np.searchsorted(starts, at, "right") - 1
         matches += zip(doc.tolist(), (at - starts[doc]).tolist(), [int(w)] * len(at), strict=True)
     covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    return count, covered[starts[1:]] - covered[starts[:-1]], matches
+    best = {}
+    if longest and matches:
+        hit = sorted({m[0] for m in matches})
+        items = sorted({x for w in found for x in windows.owners[w]})
+        best = dict(zip(hit, longest_matches(windows, items, [ids[starts[d] : starts[d + 1] - 1] for d in hit]), strict=True))
+    return count, covered[starts[1:]] - covered[starts[:-1]], matches, best
 
 
 def merged(spans: list[tuple[int, int]]) -> int:
@@ -118,15 +174,18 @@ def merged(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _pass(documents: DataFrame, windows: Windows, doc_id: str, text: str) -> DataFrame:
-    spark = documents.sparkSession
-    held = spark.sparkContext.broadcast(windows)
+_DDL = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, longest struct<words:long,start:long,item:string>"
+
+
+def _pass(keyed: DataFrame, windows: Windows) -> DataFrame:
+    """``key, doc_id, text`` to ``key, doc_id`` and what the windows hit."""
+    held = keyed.sparkSession.sparkContext.broadcast(windows)
 
-    def rows(ids: list, texts: list) -> dict:
-        out = {"doc_id": ids, "n_words": [], "n_hit": [], "items": [], "spans": []}
+    def rows(keys: list, ids: list, texts: list) -> dict:
+        out = {"key": keys, "doc_id": ids, "n_words": [], "n_hit": [], "items": [], "spans": [], "longest": []}
         w = held.value
         for a, b in slices(texts, SHARD_CHARS):
-            count, hit, matches = search_shard(texts[a:b], w)
+            count, hit, matches, best = search_shard(texts[a:b], w)
             items, spans = [set() for _ in range(b - a)], [[] for _ in range(b - a)]
             for d, at, k in matches:
                 items[d].update(w.owners[k])
@@ -135,33 +194,49 @@ def _pass(documents: DataFrame, windows: Windows, doc_id: str, text: str) -> Dat
             out["n_hit"] += hit.tolist()
             out["items"] += [sorted(x) for x in items]
             out["spans"] += [[{"start": s, "end": e} for s, e in sorted(set(x))] for x in spans]
+            out["longest"] += [dict(zip(("words", "start", "item"), best[d], strict=True)) if d in best else None for d in range(b - a)]
         return out
 
-    plain = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return per_batch(plain, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>", rows, "doc_id", "text")
+    return per_batch(keyed, f"key long, doc_id long, {_DDL}", rows, "key", "doc_id", "text")
 
 
-def match_benchmark(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", width: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, items, spans`` (word offsets of the matches).
-
-    The benchmark is split by an item hash into as many passes as its checked size needs; each
-    pass scans the documents once, and a merge by document follows only if there are several.
-    """
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
+def _parts(items: DataFrame, max_broadcast: int, width: int) -> Iterator[tuple[int, Windows]]:
+    """The number of parts of the benchmark (``i, t``), and the windows of each; a part is read when it is asked for."""
+    size = items.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + F.octet_length("i"))).first()[0] or 0
     n = int(-(-size // max_broadcast)) or 1
-    passes = []
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) if n > 1 else items
-        passes.append(_pass(documents, Windows([(r.i, r.t) for r in part.toLocalIterator()], width), doc_id, text))
-    if n == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    key = F.col("doc_id")
-    groups = every.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return per_batch(groups, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>", lambda d, w, i, s: {"doc_id": d, "n_words": w, "n_hit": [merged([(x["start"], x["end"]) for x in y]) for y in s], "items": i, "spans": s}, "doc_id", "n_words", "items", "spans")
+        yield n, Windows([(r.i, r.t) for r in part.toLocalIterator()], width)
+
+
+def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t"))
+
+
+def match_benchmark(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", width: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """One row per document: ``doc_id, n_words, n_hit, items, spans`` (word offsets of the matches) and
+    ``longest`` (words, start, item; null without a match).
+
+    The benchmark is split by an item hash into as many passes as its checked size needs.
+    """
+    keyed = documents.select(F.monotonically_increasing_id().alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    every = None
+    for n, windows in _parts(_items(benchmark, item_id, text), max_broadcast, width):
+        if n == 1:
+            return _pass(keyed, windows).drop("key")
+        if every is None:
+            keyed = written(keyed)  # all passes see the same keys
+        found = written(_pass(keyed, windows))
+        every = found if every is None else every.unionByName(found)
+    groups = every.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.max(F.when(F.col("longest").isNotNull(), F.struct("longest.words", (-F.col("longest.start")).alias("back"), "longest.item"))).alias("best"))
+    longest = F.when(F.col("best").isNotNull(), F.struct("best.words", (-F.col("best.back")).alias("start"), "best.item")).alias("longest")
+    merged_rows = groups.select("doc_id", "n_words", "items", "spans", longest)
+
+    def rows(ids: list, count: list, items: list, spans: list, best: list) -> dict:
+        own = [sorted({(x["start"], x["end"]) for x in s}) for s in spans]
+        return {"doc_id": ids, "n_words": count, "n_hit": [merged(s) for s in own], "items": items, "spans": [[{"start": a, "end": b} for a, b in s] for s in own], "longest": best}
+
+    return per_batch(merged_rows, f"doc_id long, {_DDL}", rows, "doc_id", "n_words", "items", "spans", "longest")
 
 
 def report(matches: DataFrame) -> DataFrame:
@@ -169,18 +244,15 @@ def report(matches: DataFrame) -> DataFrame:
     return matches.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The documents that no window hits, with all their columns; their order is kept within a partition.
 
-    Rows are judged by text in one pass over the documents, so that repeated or null ids are
-    harmless: the judged flag rides along with the row.
+    Rows are judged by their own text, so repeated or null ids are harmless.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(-(-size // MAX_BROADCAST)) or 1
     kept = documents
-    for k in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(n)) == k) if n > 1 else benchmark
-        kept = _without_hits(kept, Windows([(str(r.item_id), r.text) for r in part.select("item_id", "text").toLocalIterator()], WINDOW))
+    for n, windows in _parts(_items(benchmark, "item_id", "text"), max_broadcast, WINDOW):
+        kept = _without_hits(kept, windows)
+        kept = written(kept) if n > 1 else kept
     return kept
 
 
@@ -193,13 +265,7 @@ def _without_hits(documents: DataFrame, windows: Windows) -> DataFrame:
             texts = batch.column(where).to_pylist()
             keep = np.ones(len(texts), dtype=bool)
             for a, b in slices(texts, SHARD_CHARS):
-                keep[a:b] = search_shard(texts[a:b], held.value)[1] == 0
-            yield batch.filter(pa_array(keep))
+                keep[a:b] = search_shard(texts[a:b], held.value, longest=False)[1] == 0
+            yield batch.filter(pa.array(keep))
 
     return documents.mapInArrow(run, documents.schema)
-
-
-def pa_array(values: np.ndarray):
-    import pyarrow as pa
-
-    return pa.array(values)

@@ -2,7 +2,7 @@
 
 Learning: character n-grams (2 to 4 code points, lower-cased, letters with a blank at word
 edges) of a bounded sample of labelled documents per language; each language keeps its most
-frequent ones. They go into one table whose slot is a bitmask with one bit per language, so a
+frequent ones. They go into one table whose slot is a bitmask with one bit per language (of as many words as they need), so a
 single look-up (the AND of the slots that the hash functions name) returns every language that
 contains an n-gram.
 
@@ -32,7 +32,8 @@ SAMPLE_DOCS = 2_000
 KEEP = 10_000
 #: Slots of the filter (a power of two) and hash functions.
 SLOTS_LOG2, HASHES = 18, 2
-MAX_LANGUAGES = 64
+#: A document whose best language holds fewer of its n-grams than this has no known language.
+LEAST_SHARE = 0.5
 UNKNOWN = "und"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Code points handled at once.
@@ -65,11 +66,12 @@ def slots_of(codes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 class Filter:
-    """``table[slot]`` is the bitmask of languages; ``fill`` the share of set slots per language."""
+    """``table[slot]`` is the bitmask of languages, a word for each 64 of them; ``fill`` the share of set
+    slots per language."""
 
     def __init__(self, languages: list[str], table: np.ndarray):
         self.languages, self.table = languages, table
-        self.fill = np.array([float(((table >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])
+        self.fill = np.array([float(((table[:, i >> 6] >> np.uint64(i & 63)) & np.uint64(1)).mean()) for i in range(len(languages))])
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
         mask = None
@@ -88,35 +90,36 @@ class Filter:
             if len(self.languages) <= 8:
                 total += self._by_value(mask)
             else:
-                total += [float(np.count_nonzero(mask & np.uint64(1 << i))) for i in range(len(self.languages))]
+                total += [float(np.count_nonzero(mask[:, i >> 6] & np.uint64(1 << (i & 63)))) for i in range(len(self.languages))]
         return total, n
 
     def _by_value(self, mask: np.ndarray) -> np.ndarray:
-        seen = np.bincount(mask.astype(np.int64), minlength=1 << len(self.languages))
+        seen = np.bincount(mask[:, 0].astype(np.int64), minlength=1 << len(self.languages))
         values = np.arange(len(seen))
         return np.array([float(seen[(values >> i) & 1 == 1].sum()) for i in range(len(self.languages))])
 
-    def decide(self, text: str | None) -> tuple[str, float]:
+    def decide(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score, and the (corrected) share of the text's n-grams that the language holds."""
         if not text or not self.languages or not letter_table()[code_points(text)].any():
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         got, n = self.counts(text)
         false = self.fill**HASHES
         share = np.clip((got / max(1, n) - false) / np.maximum(1e-9, 1 - false), 0.0, 1.0)
         best = int(np.argmax(share))
         total = float(share.sum())
-        return self.languages[best], float(share[best] / total) if total > 0 else 0.0
+        return self.languages[best], float(share[best] / total) if total > 0 else 0.0, float(share[best])
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Filter:
     """Count n-grams of a bounded, hash-chosen sample per language, and fill the filter.
 
-    What reaches the driver is bounded: ``KEEP`` n-grams for each of ``MAX_LANGUAGES`` languages.
+    What reaches the driver is ``KEEP`` n-grams a language.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
+    sizes = labelled.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()
     languages = sorted(r[lang] for r in sizes)
     if not languages:
-        return Filter([], np.zeros(1 << SLOTS_LOG2, dtype=np.uint64))
+        return Filter([], np.zeros((1 << SLOTS_LOG2, 1), dtype=np.uint64))
     number = {x: i for i, x in enumerate(languages)}
     cut = {r[lang]: min(1.0, SAMPLE_DOCS / r["count"]) for r in sizes}
     chance = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
@@ -141,11 +144,11 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     part = F.pmod(F.xxhash64("code"), F.lit(32))
     first = counted.withColumn("p", part).withColumn("r", F.row_number().over(Window.partitionBy("lang", "p").orderBy(F.desc("n"), "code"))).where(F.col("r") <= KEEP // 8)
     top = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= KEEP)
-    table = np.zeros(1 << SLOTS_LOG2, dtype=np.uint64)
+    table = np.zeros((1 << SLOTS_LOG2, -(-len(languages) // 64)), dtype=np.uint64)
     rows = top.select("lang", "code").toPandas()
     for i in range(len(languages)):
         for s in slots_of(rows.code[rows.lang == i].to_numpy(dtype=np.int64).view(np.uint64)):
-            table[s] |= np.uint64(1 << i)
+            table[s, i >> 6] |= np.uint64(1 << (i & 63))
     return Filter(languages, table)
 
 
@@ -172,7 +175,11 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def with_language(documents: DataFrame) -> DataFrame:
-    """The rows whose language is known, with all their columns; ``und`` rows go."""
+    """The rows whose language is known, with all their columns.
+
+    ``und`` rows go, and those of which no language holds ``LEAST_SHARE`` of the n-grams; with nothing to
+    learn from, no language is known.
+    """
     import pyarrow as pa
 
     held = documents.sparkSession.sparkContext.broadcast(learn(training_rows(documents)))
@@ -180,7 +187,7 @@ def with_language(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = [held.value.decide(t)[0] != UNKNOWN for t in batch.column(where).to_pylist()]
+            keep = [held.value.decide(t)[2] >= LEAST_SHARE for t in batch.column(where).to_pylist()]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

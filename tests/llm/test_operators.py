@@ -79,17 +79,51 @@ def test_language_edges(docs, none):
     assert langid.report(none).count() == 0
     kept = langid.with_language(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(1 for x in ROWS if x[1] and any(c.isalpha() for c in x[1]))
+    model = langid.learn(langid.training_rows(docs))
+    want = [x for x in ROWS if model.decide(x[1])[2] >= langid.LEAST_SHARE]
+    assert counted(map(tuple, kept.collect())) == counted(want)
+    assert {x[1] for x in ROWS if x[1] and len(x[1]) > 200 and " th" in x[1]} <= {x[1] for x in want}
+
+
+def test_texts_of_no_learned_language_are_rejected(spark):
+    r = random.Random(12)
+    english = [(i, words(r, 60), "en") for i in range(40)]
+    other = [(100 + i, words(r, 60, "щы ъж юя эф цх шч".split()), None) for i in range(5)]
+    docs = spark.createDataFrame(english + other, "doc_id long, text string, lang string")
+    assert {x.doc_id for x in langid.with_language(docs).collect()} == {x[0] for x in english}
+
+
+def test_more_languages_than_bits_in_a_word(spark):
+    r = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    speech = {f"l{i:02d}": [letters[i % 26] + letters[(i * 7 + k * (i // 26 + 1)) % 26] + letters[(i + 3 * k) % 26] for k in range(4)] for i in range(70)}
+    rows = [(n * 10 + j, words(r, 40, own), lang) for n, (lang, own) in enumerate(speech.items()) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in langid.report(docs).collect()}
+    right = sum(got[i] == lang for i, _, lang in rows)
+    assert right > 0.95 * len(rows) and len(set(got.values())) == 70
+    # the corrected counts, against exact sets of n-grams
+    model = langid.learn(langid.training_rows(docs))
+    exact = defaultdict(set)
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            exact[lang].update(langid.gram_codes(t).tolist())
+    for i, t, _ in rows[::40]:
+        codes = langid.gram_codes(t).tolist()
+        got_n, n = model.counts(t)
+        corrected = (got_n / n - model.fill**langid.HASHES) / (1 - model.fill**langid.HASHES)
+        for k, lang in enumerate(model.languages):
+            assert corrected[k] == pytest.approx(sum(c in exact[lang] for c in codes) / n, abs=0.03)
 
 
 def test_bloom_filter_holds_every_gram_of_its_language():
     codes = [langid.gram_codes("the other one"), langid.gram_codes("der andere hier")]
-    table = np.zeros(1 << langid.SLOTS_LOG2, dtype=np.uint64)
+    table = np.zeros((1 << langid.SLOTS_LOG2, 1), dtype=np.uint64)
     for i, c in enumerate(codes):
         for s in langid.slots_of(c):
-            table[s] |= np.uint64(1 << i)
+            table[s, 0] |= np.uint64(1 << i)
     f = langid.Filter(["en", "de"], table)
-    assert all(((f.masks(c) >> np.uint64(i)) & np.uint64(1)).all() for i, c in enumerate(codes))
+    assert all(((f.masks(c)[:, 0] >> np.uint64(i)) & np.uint64(1)).all() for i, c in enumerate(codes))
     assert f.decide("the other one")[0] == "en" and f.decide("der andere hier")[0] == "de"
 
 
@@ -417,19 +451,46 @@ def items():
     return [(1, " ".join(long[35:70])), (2, "Ab, AB! ab"), (10, " ".join(long[36:46])), (3, None), (4, ""), (5, "--- !"), (6, "qqq zzz"), (6, " ".join(long[100:115]))]
 
 
+def brute_longest(t, items):
+    """(words, offset) of the longest common run of words with an item; the first, if several."""
+    w, best = bench_words(t), (0, 0)
+    for _, i in items:
+        own = bench_words(i)
+        for a in range(len(w)):
+            for b in range(len(own)):
+                n = 0
+                while a + n < len(w) and b + n < len(own) and w[a + n] == own[b + n]:
+                    n += 1
+                best = max(best, (n, -a))
+    return best[0], -best[1]
+
+
 @pytest.mark.parametrize("most", [decontam.MAX_BROADCAST, 200])
 def test_benchmark_windows(spark, docs, none, items, most):
     b = spark.createDataFrame(items, "item_id long, text string")
-    matches = decontam.match_benchmark(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), b, max_broadcast=most)
-    once = {r[0]: r for r in ROWS if r[0] is not None}
-    want = [(r[0], *x) for r, x in zip(once.values(), brute_hits([r[1] for r in once.values()], items), strict=True)]
-    got = decontam.report(matches).collect()
-    assert counted(want) == counted([tuple(g) for g in got])
+    matches = decontam.match_benchmark(docs, b, max_broadcast=most).cache()
+    want = [(r[0], *x) for r, x in zip(ROWS, brute_hits([r[1] for r in ROWS], items), strict=True)]
+    assert counted(want) == counted([tuple(g) for g in decontam.report(matches).collect()])
+    by_id = {r[0]: r[1] for r in ROWS}
+    for x in matches.where("n_hit > 0 and doc_id is not null").collect():
+        assert (x.longest.words, x.longest.start) == brute_longest(by_id[x.doc_id], items)
+        text = " ".join(bench_words(by_id[x.doc_id])[x.longest.start : x.longest.start + x.longest.words])
+        assert any(str(i) == x.longest.item and text in " ".join(bench_words(t)) for i, t in items)
+    assert matches.where("n_hit = 0 and longest is not null").isEmpty()
     assert decontam.match_benchmark(none, b).count() == 0 and decontam.match_benchmark(docs, b.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_decontaminate_keeps_clean_rows(spark, docs, items):
-    kept = decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+def test_longest_matches_of_periodic_texts():
+    items = [("a", "x y " * 40), ("b", "z " * 30), ("c", "p q r")]
+    windows = decontam.Windows(items, 10)
+    texts = ["x y " * 15 + "w", "k " + "z " * 50, "y x " * 60, "p q r s", "n " * 5 + "z " * 12 + "x y x y x y x y x y x y x y"]
+    _, _, _, best = decontam.search_shard(texts, windows)
+    assert {d: best[d][:2] for d in best} == {d: brute_longest(t, items) for d, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("most", [decontam.MAX_BROADCAST, 200])
+def test_decontaminate_keeps_clean_rows(spark, docs, items, most):
+    kept = decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), most)
     hit = brute_hits([r[1] for r in ROWS], items)
     assert kept.columns == docs.columns
     assert counted([tuple(r) for r in kept.collect()]) == counted([r for r, h in zip(ROWS, hit, strict=True) if not h[-1]])
