@@ -14,7 +14,7 @@ from parley.llm.common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go."""
+    """Documents in which a learned language is found; those whose n-grams none of them holds go."""
     return langid.with_language(docs)
 
 
@@ -46,7 +46,7 @@ STAGES = [
     ("shard", shard),
 ]
 
-#: Bloom filters, set similarity and differencing have no SQL form; tests hold the stages against brute force.
+#: Bloom filters, fingerprints, set similarity and differencing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
