@@ -25,8 +25,7 @@ g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM (SELECT rid,
 r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, i + unnest(range(0, 8)) AS p FROM g WHERE c > 1) GROUP BY 1),
 f AS (SELECT doc_id, lang, len(w) AS n_words, coalesce(CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
   CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS DOUBLE) / greatest(length(regexp_replace(t, '[^A-Za-z]', '', 'g')), 1) AS upper_share FROM w LEFT JOIN r USING (rid)),
-top AS (SELECT lang FROM f WHERE lang IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT {quality.MAX_STRATA}),
-s AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM top) THEN lang ELSE 'other' END AS stratum, CAST(n_symbols AS DOUBLE) / greatest(n_words, 1) AS symbols_per_word, CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS dup_line_share, CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1) AS repeat_share,
+s AS (SELECT *, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS stratum, CAST(n_symbols AS DOUBLE) / greatest(n_words, 1) AS symbols_per_word, CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS dup_line_share, CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1) AS repeat_share,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 good AS (SELECT s.* FROM s JOIN (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IN (0, 1) GROUP BY 1) l USING (doc_id) WHERE q = 1),
 cells AS ({_CELLS}),

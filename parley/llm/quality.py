@@ -9,13 +9,14 @@ failure (a fixed sequence, which needs no further correction). So with probabili
 rule wrongly rejects more than ALPHA of the good documents of any stratum. A rule without a
 proven cutoff rejects nothing.
 
-Defined cases: a null or empty text has no words and fails the base rule; a null language, or
-one beyond the ``MAX_STRATA`` most frequent, is stratum ``other``; without labels only the base
+Defined cases: a null or empty text has no words and fails the base rule; every language is a
+stratum, and so are the documents without one; without labels only the base
 rules hold; repeated labels of an id count once (the lowest); repeated documents count each.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +27,6 @@ from .common import written
 SPACE = r"[\x20\x09-\x0D]+"
 #: Limit on the false-rejection rate of one rule in one stratum, and the chance that any limit is broken.
 ALPHA, DELTA = 0.02, 0.05
-MAX_STRATA = 64
 REPEAT_WINDOW = 8
 #: Grids of cutoffs per rule, loosest first; fixed before any label is seen.
 GRIDS = {
@@ -35,8 +35,8 @@ GRIDS = {
     "repeat_share": [0.3, 0.25, 0.2, 0.15, 0.1, 0.05],
     "upper_share": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2],
 }
-#: Beyond so many labels the (larger, hence safe) Chernoff bound replaces the exact sum.
-EXACT_N = 3_000_000
+#: Terms of a tail that are summed, in standard deviations; those beyond are under 1e-400 of it.
+TERMS = 45
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -78,7 +78,7 @@ def _words_repeated(words: Column) -> Column:
 def features(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """The counts and ratios of every document; one pass over the text, nothing shuffled."""
     body = F.coalesce(F.col(text), F.lit(""))
-    base = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), body.alias("t"))
+    base = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(F.col(stratum).isNull(), "").otherwise(F.concat(F.lit("="), F.col(stratum).cast("string"))).alias("stratum"), body.alias("t"))
     split = base.withColumn("words", F.array_remove(F.split("t", SPACE), "")).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     letters = F.octet_length(F.regexp_replace("t", "[^A-Za-z]+", ""))
     upper = F.octet_length(F.regexp_replace("t", "[^A-Z]+", ""))
@@ -102,22 +102,31 @@ def features(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     )
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! by the Stirling series at n + 9, which gives all digits of a double."""
+    x = n + 9.0
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    for i in range(1, 9):
+        series = series - F.log(n + float(i))
+    return series
+
+
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k) where k < n*p; 1 elsewhere (there it is about a half or more)."""
-    import math
+    """P(Bin(n, p) <= k) where k < n*p; 1 elsewhere (there it is about a half or more).
 
-    odds = math.log(p / (1 - p))
-    first = n * F.lit(math.log1p(-p))
-    start = F.struct(first.alias("term"), F.exp(first).alias("sum"))
+    The terms from k down, each from the one before; their number grows with the standard deviation.
+    """
+    first = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
+    odds = (1 - p) / p
+    last = F.least(k, F.ceil(TERMS * F.sqrt(n * (p * (1 - p)))) + 100)
 
     def step(state: Column, j: Column) -> Column:
-        term = state["term"] + F.log((n - j + 1) / j) + F.lit(odds)
-        return F.struct(term.alias("term"), (state["sum"] + F.exp(term)).alias("sum"))
+        term = state["term"] * ((k - j + 1) / (n - k + j)) * odds
+        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
 
-    exact = F.when(k == 0, F.exp(first)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), start, step)["sum"])
-    q = F.greatest(k / n, F.lit(1e-300))
-    bound = F.exp(-n * (q * F.log(q / F.lit(p)) + (1 - q) * F.log((1 - q) / F.lit(1 - p))))
-    return F.when((n == 0) | (k >= n * F.lit(p)), F.lit(1.0)).when(n > EXACT_N, bound).otherwise(exact)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    total = F.when(k == 0, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(last, F.lit(1).cast("long"))), start, step)["sum"])
+    return F.when((n == 0) | (k >= n * F.lit(p)), F.lit(1.0)).otherwise(F.exp(first) * total)
 
 
 def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -127,10 +136,10 @@ def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Data
     taken before the shuffle; what follows is one row per stratum, rule and cutoff.
     """
     sums = [F.sum((F.col(rule) > c).cast("long")).alias(f"{rule}:{i}") for rule, grid in GRIDS.items() for i, c in enumerate(grid)]
-    wide = good.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
+    wide = written(good.groupBy("stratum").agg(F.count("*").alias("n"), *sums))
     cells = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"`{rule}:{i}`").alias("k")) for rule, grid in GRIDS.items() for i, c in enumerate(grid)])
-    long = wide.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(0)))).select("stratum", "n", "strata", F.explode(cells).alias("c")).select("stratum", "n", "strata", "c.*")
-    tested = long.withColumn("passed", binomial_tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta) / (F.col("strata") * len(GRIDS)))
+    long = wide.select("stratum", "n", F.explode(cells).alias("c")).select("stratum", "n", "c.*")
+    tested = long.withColumn("passed", binomial_tail(F.col("n"), F.col("k"), alpha) <= F.lit(delta / (max(1, wide.count()) * len(GRIDS))))
     looser = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     proven = tested.withColumn("so_far", F.min(F.col("passed").cast("int")).over(looser)).where("so_far = 1")
     return proven.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
@@ -139,8 +148,6 @@ def cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Data
 def judge(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Feature rows with ``kept``: false where a base rule or a proven cutoff rejects."""
     rows = written(features(documents))
-    top = rows.where(F.col("stratum").isNotNull()).groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA).select(F.col("stratum").alias("own"))
-    rows = rows.join(F.broadcast(top), F.col("stratum") == F.col("own"), "left").withColumn("stratum", F.coalesce("own", F.lit("other"))).drop("own")
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"))
     good = rows.join(marks.where("quality = 1"), F.col("doc_id") == F.col("label_id"))
     cut = cutoffs(good, alpha, delta).groupBy("stratum").pivot("rule", list(GRIDS)).agg(F.min("cutoff"))
@@ -148,7 +155,7 @@ def judge(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     over = F.lit(False)
     for r in GRIDS:
         over = over | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    joined = rows.join(F.broadcast(cut), F.col("stratum") == F.col("own"), "left")
+    joined = rows.join(cut, F.col("stratum") == F.col("own"), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~over)
 
 

@@ -344,7 +344,7 @@ def test_network_gradients_and_learning():
         down = loss()
         table[at] = old
         assert (up - down) / 2e-2 == pytest.approx(float(g[at]), rel=0.15, abs=1e-3)
-    net.train(x, y).calibrate(x, y)
+    net.train(x, y).calibrate(x, y, np.ones(len(y)))
     assert ((net.probability(x) >= net.threshold) == (y == 1)).mean() > 0.95
 
 
@@ -357,6 +357,28 @@ def test_the_network_adds_what_the_patterns_miss(spark):
     assert "model:5:45" in got[1000] and got[1001] == ""
 
 
+def test_windows_cover_whole_candidates():
+    r = random.Random(3)
+    for n in (1, 16, 39, 40, 41, 64, 65, 200, 1_001):
+        text = "ab " + "".join(r.choice("abcdef0123456789") for _ in range(n)) + " cd"
+        own = secrets.windows(text, 3, 3 + n)
+        inside = [x[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE].rstrip(b"\0") for x in own]
+        whole = secrets.window(text[3 : 3 + n].ljust(1), 0, 1)[:0] + b"".join(secrets.window(c, 0, 1)[secrets.BEFORE : secrets.BEFORE + 1] for c in text[3 : 3 + n])
+        at = [whole.find(x) for x in inside]
+        assert at[0] == 0 and at[-1] + len(inside[-1]) == n and all(b <= a + len(x) for a, b, x in zip(at, at[1:], inside))
+
+
+def test_overlaps_of_many_spans():
+    r = random.Random(4)
+    base = sorted((a, r.randrange(3), a + r.randrange(1, 60)) for a in (r.randrange(5_000) for _ in range(200)))
+    spans = secrets.Spans(base)
+    for _ in range(500):
+        s = r.randrange(5_000)
+        e = s + r.randrange(1, 40)
+        assert spans.overlap(s, e) == any(a < e and s < b for a, _, b in base)
+    assert not secrets.Spans([]).overlap(0, 5)
+
+
 # --- 5 substrings -------------------------------------------------------------------------------------
 
 
@@ -523,7 +545,7 @@ def test_quality_counts(spark, docs, none):
     assert quality.report(none, labels).count() == 0
 
 
-@pytest.mark.parametrize("n,k", [(100, 0), (1000, 3), (5000, 70), (20000, 350), (50, 20), (0, 0)])
+@pytest.mark.parametrize("n,k", [(100, 0), (1000, 3), (5000, 70), (20000, 350), (5_000_000, 99_000), (50, 20), (0, 0)])
 def test_binomial_tail(spark, n, k):
     p = quality.ALPHA
     got = spark.range(1).select(quality.binomial_tail(F.lit(n).cast("long"), F.lit(k).cast("long"), p).alias("p")).first().p
@@ -543,6 +565,17 @@ def test_cutoffs_reject_bad_rows_and_spare_good_ones(spark):
     assert not any(got[5000 + i] for i in range(200))
 
 
+def test_every_language_is_a_stratum(spark):
+    r = random.Random(15)
+    text = words(r, 60)
+    rows = [(i, text, f"l{i % 80:02d}") for i in range(80 * 30)] + [(9_000 + i, text, None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    strata = quality.features(docs).select("stratum").distinct().count()
+    assert strata == 81
+    assert quality.report(docs, labels).where("kept").count() == len(rows)
+
+
 # --- 8 near-duplicates -----------------------------------------------------------------------------------------
 
 
