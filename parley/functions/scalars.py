@@ -98,9 +98,13 @@ def clip_interval(start: Column | str, end: Column | str, t: Column | str, tau:
 
 
 def fmt_clock(seconds: Column | str) -> Column:
-    s = _c(seconds)
-    whole = F.floor(s / 60).cast("int")
-    return F.when(s.isNull(), F.lit("?")).otherwise(F.format_string("%d:%04.1f", whole, s - whole * 60))
+    """``M:SS.s`` of a time rounded to milliseconds; of two nearest tenths the even one; null gives ``?``."""
+    ms = to_ms(seconds)
+    minutes = F.floor(ms / 60_000)
+    left = ms - minutes * 60_000
+    below, over = F.floor(left / 100), left % 100
+    tenths = below + F.when((over > 50) | ((over == 50) & (below % 2 == 1)), 1).otherwise(0)
+    return F.when(ms.isNull(), F.lit("?")).otherwise(F.format_string("%d:%02d.%d", minutes, F.floor(tenths / 10), tenths % 10))
 
 
 def class_name(label: Column | str, names: dict[int, str] | None = None) -> Column:

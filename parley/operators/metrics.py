@@ -101,11 +101,18 @@ def class_distribution(df: DataFrame, label: str = "label", by: list[str] | None
     return df.groupBy(*(by or []), label).agg(F.count("*").alias("n"))
 
 
+#: The least probability that a log-loss takes.
+LEAST = 1e-15
+
+
 def weighted_log_loss(preds: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Sum of w * -ln p(true class) over the sum of w; ``probs`` is an array by class."""
+    """Sum of w * -ln p(true class) over the sum of w; ``probs`` is an array by class.
+
+    Probabilities are ``LEAST`` at least, so that a wrong certainty counts and is finite.
+    """
     w = preds.join(F.broadcast(weights.select(F.col("label").alias("_l"), "weight")), F.col("label") == F.col("_l"))
     p = F.get(F.col("probs"), F.col("label").cast("int"))
-    return w.groupBy(*(by or [])).agg((F.sum(F.col("weight") * -F.log(p)) / F.sum("weight")).alias("loss"))
+    return w.groupBy(*(by or [])).agg((F.sum(F.col("weight") * -F.log(F.greatest(p, F.lit(LEAST)))) / F.sum("weight")).alias("loss"))
 
 
 def coordination_by_label(rows: DataFrame, columns: list[str], classes: tuple[int, ...] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from parley.functions import scalars as S
 from parley.operators.graphs import shared_folder
 from parley.sources import readers, sinks
 
@@ -124,3 +125,64 @@ def read_json_features(spark, d):
     rows = spark.read.parquet(path)
     found = readers.json_matrix(F.col("value"), F.col("vec_id").cast("string"))
     return rows.select((F.col("vec_id") % 2 == 0).alias("bare"), F.size(found).alias("n_rows")).groupBy("bare", "n_rows").agg(F.count("*").alias("n"))
+
+
+@query("write_manifest", ctes(["v_manifest"], DUCKDB) + " SELECT split, interaction_id, vendor_id, label, relationship, relationship_detail, file_id_a, file_id_b, participant_a, participant_b FROM v_manifest")
+def write_manifest(spark, d):
+    path = folder(spark)
+    sinks.write_manifest(fixture(spark, d, "v_manifest"), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query("write_run_manifest", ctes(["v_manifest"], DUCKDB) + " SELECT split, count(*) AS n FROM v_manifest GROUP BY 1")
+def write_run_manifest(spark, d):
+    path = folder(spark)
+    m = fixture(spark, d, "v_manifest")
+    sinks.write_run_manifest({"stride_ms": "500"}, m.groupBy("split").agg(F.count("*").alias("n")), m.select("interaction_id"), path)
+    return spark.read.schema("split string, n long").json(f"{path}/counts")
+
+
+@query("write_wcc", "SELECT event_type, event_id, value FROM events")
+def write_wcc(spark, d):
+    path = folder(spark)
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_type", "event_id", "value")
+    sinks.write_wcc(e.limit(10).withColumn("value", F.lit(-1.0)), path, "event_type")
+    sinks.write_wcc(e, path, "event_type")  # a rerun replaces its partitions
+    return spark.read.parquet(path).select("event_type", "event_id", "value")
+
+
+@query("read_coordination_csv", "SELECT CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment, CAST(count(*) AS DOUBLE) AS peak FROM customer GROUP BY 1, 2")
+def read_coordination_csv(spark, d):
+    path = folder(spark)
+    c = spark.read.parquet(f"{d}/customer.parquet").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("peak"))
+    c.unionByName(c).coalesce(1).write.option("header", True).csv(path)
+    return readers.read_coordination(spark, path, ["c_nationkey", "c_mktsegment"], ["peak"])
+
+
+@query("read_transcripts", ctes(["v_words"], DUCKDB) + " SELECT file_id, count(*) AS n_words FROM v_words GROUP BY 1")
+def read_transcripts(spark, d):
+    path = folder(spark)
+    w = fixture(spark, d, "v_words").withColumn("seg", F.floor("start_s"))
+    doc = w.groupBy("file_id", "seg").agg(F.collect_list(F.struct("word", F.col("start_s").alias("start"), F.col("end_s").alias("end"))).alias("words"))
+    doc.select("file_id", F.to_json(F.struct("words")).alias("value")).repartition("file_id").write.partitionBy("file_id").text(path)
+    return readers.read_transcripts(spark, path, r"file_id=([^/]+)/").groupBy("file_id").agg(F.sum(F.size("words")).alias("n_words"))
+
+
+@query("read_annotations_3p", ctes(["v_turns"], DUCKDB) + " SELECT CASE WHEN turn % 2 = 0 THEN 'TURN' ELSE 'GAZE' END AS kind, 'V' || CAST(conv_id % 20 AS VARCHAR) AS interaction_id, pid AS participant_id, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS annotation, start_ms AS start_ts, start_ms + dur_ms AS end_ts FROM v_turns")
+def read_annotations_3p(spark, d):
+    path = folder(spark)
+    t = fixture(spark, d, "v_turns")
+    name = F.concat(F.lit("3P-"), F.when(F.col("turn") % 2 == 0, "TURN").otherwise("GAZE"), F.lit("_V"), (F.col("conv_id") % 20).cast("string"), F.lit("_"), F.col("pid"), F.lit(".json"))
+    rows = t.select(name.alias("name"), F.concat_ws(":", "conv_id", "turn").alias("annotation"), F.col("start_ms").alias("start_ts"), (F.col("start_ms") + F.col("dur_ms")).alias("end_ts"))
+    rows.repartition("name").write.partitionBy("name").json(path)
+    return readers.read_annotations(spark, path, readers.ANNOTATION_FILE.replace("$", "/"))
+
+
+@query("feature_file_index", "SELECT CAST(c_nationkey AS DOUBLE) AS start_s, CAST(c_nationkey + 2 AS DOUBLE) AS end_s, c_mktsegment AS file_id, CAST(sum(length(c_name) + 1) AS BIGINT) AS bytes FROM customer GROUP BY ALL")
+def feature_file_index(spark, d):
+    path = folder(spark)
+    k = F.col("c_nationkey").cast("double")
+    c = spark.read.parquet(f"{d}/customer.parquet").select(S.window_name(k, k + 2, "c_mktsegment").alias("name"), F.col("c_name").alias("value"))
+    c.repartition("name").write.partitionBy("name").text(path)
+    files = readers.index_feature_files(spark, path, "part-*", readers.FEATURE_FILE.replace(r"\.[A-Za-z0-9]+$", "/"))
+    return files.groupBy("start_s", "end_s", "file_id").agg(F.sum("bytes").alias("bytes"))

@@ -170,10 +170,10 @@ def is_bc_token(spark, d):
     return w.groupBy("file_id").agg(F.count_if(S.is_backchannel_token("word")).alias("n_backchannel"), F.count("*").alias("n"))
 
 
-@query("fmt_clock", ctes(["v_intervals"], DUCKDB) + " SELECT file_id, seg_idx, printf('%d:%04.1f', CAST(floor(start_s / 60) AS INT), start_s - 60 * floor(start_s / 60)) AS clock FROM v_intervals WHERE CAST(round(start_s * 1000) AS BIGINT) % 100 <> 50")
+@query("fmt_clock", ctes(["v_intervals"], DUCKDB) + """ SELECT file_id, seg_idx, printf('%d:%02d.%d', ms // 60000, tenths // 10, tenths % 10) AS clock FROM (
+  SELECT *, ms % 60000 // 100 + CASE WHEN ms % 100 > 50 OR (ms % 100 = 50 AND ms % 60000 // 100 % 2 = 1) THEN 1 ELSE 0 END AS tenths FROM (SELECT *, CAST(round(start_s * 1000) AS BIGINT) AS ms FROM v_intervals) c0) c1""")
 def fmt_clock(spark, d):
-    i = fixture(spark, d, "v_intervals").where(F.round(F.col("start_s") * 1000).cast("long") % 100 != 50)  # exact ties print differently
-    return i.select("file_id", "seg_idx", S.fmt_clock("start_s").alias("clock"))
+    return fixture(spark, d, "v_intervals").select("file_id", "seg_idx", S.fmt_clock("start_s").alias("clock"))
 
 
 @query("class_name", with_labels() + " SELECT CASE label " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in S.CLASS_NAMES.items()) + " END AS name, count(*) AS n FROM labels GROUP BY 1")

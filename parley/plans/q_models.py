@@ -30,6 +30,13 @@ def train_classifier(spark, d):
     return models.predict_records(model, f.where("split = 'test'")).select("sample_key", "label", "pred", "correct", "probs")
 
 
+@query("predict_records")
+def predict_records(spark, d):
+    f = _samples(spark, d).join(models.pool_features(_long(spark, d), ("speaker",)), "window_id")
+    model = models.train_classifier(f.where("split = 'train'").select("features", "label"))
+    return models.predict_records(model, f.select("sample_key", "split", "features", "label"))
+
+
 @query("tau_sweep")
 def tau_sweep(spark, d):
     f = _samples(spark, d).join(models.pool_features(_long(spark, d), ("speaker",)), "window_id")

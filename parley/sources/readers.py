@@ -62,9 +62,13 @@ def read_labels(spark: SparkSession, path: str, tau_ms: int) -> DataFrame:
     return rows.select("sample_key", F.lit(tau_ms).alias("tau_ms"), F.when(label.between(0, 5), label).otherwise(bad).alias("label"))
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+ANNOTATION_FILE = r"3P-([A-Z]+)_(.+)_([^_/]+)\.json$"
+#: Start, end and id of a window's feature file.
+FEATURE_FILE = r"(\d+\.\d+)-(\d+\.\d+)_([^/]+?)\.[A-Za-z0-9]+$"
+
+
+def read_annotations(spark: SparkSession, path: str, pattern: str = ANNOTATION_FILE) -> DataFrame:
     """``kind, interaction_id, participant_id, annotation, start_ts, end_ts``; ids come from the file name."""
-    pattern = r"3P-([A-Z]+)_(.+)_([^_/]+)\.json$"
     name = F.col("_metadata.file_path")
     rows = spark.read.schema("annotation string, start_ts long, end_ts long").json(path)
     return rows.select(F.regexp_extract(name, pattern, 1).alias("kind"), F.regexp_extract(name, pattern, 2).alias("interaction_id"), F.regexp_extract(name, pattern, 3).alias("participant_id"), "annotation", "start_ts", "end_ts")
@@ -86,20 +90,20 @@ def interactions_from_filelist(filelist: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def read_lookup(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """A lookup CSV, of which the last row of a key wins."""
-    df = spark.read.option("header", True).csv(path).withColumn("_line", F.monotonically_increasing_id())
+    """A lookup CSV, of which the last row of a key wins (files in order of their names)."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    df = spark.read.option("header", True).csv(path).withColumn("_line", place)
     rest = [c for c in df.columns if c not in (*keys, "_line")]
     last = F.max(F.struct("_line", *rest)).alias("x")
     return df.groupBy(*keys).agg(last).select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest])
 
 
-def index_feature_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def index_feature_files(spark: SparkSession, path: str, glob: str = "*", pattern: str = FEATURE_FILE) -> DataFrame:
     """``path, bytes, start_s, end_s, file_id`` of files named ``start-end_id.ext``; others are dropped.
 
     Only names and lengths are read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", F.col("length").alias("bytes"))
-    pattern = r"(\d+\.\d+)-(\d+\.\d+)_([^/]+?)\.[A-Za-z0-9]+$"
     part = lambda i: F.regexp_extract("path", pattern, i)
     return files.where(F.col("path").rlike(pattern)).select("path", "bytes", part(1).cast("double").alias("start_s"), part(2).cast("double").alias("end_s"), part(3).alias("file_id"))
 

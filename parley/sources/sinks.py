@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .readers import MANIFEST_COLUMNS
 
 
+#: Files of each tau, at most.
+LABEL_FILES = 32
+
+
 def _replace(df: DataFrame, path: str, partition: list[str], fmt: str = "parquet") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).format(fmt).save(path)
 
@@ -15,7 +19,8 @@ def _replace(df: DataFrame, path: str, partition: list[str], fmt: str = "parquet
 def write_labels(labels: DataFrame, path: str, dry_run: bool = False) -> None:
     """Labels by tau, sorted by key within files; a dry run writes nothing."""
     if not dry_run:
-        _replace(labels.repartition("tau_ms").sortWithinPartitions("tau_ms", "sample_key"), path, ["tau_ms"])
+        part = F.pmod(F.xxhash64("sample_key"), F.lit(LABEL_FILES))
+        _replace(labels.repartition("tau_ms", part).sortWithinPartitions("tau_ms", "sample_key"), path, ["tau_ms"])
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
