@@ -14,7 +14,6 @@ KINDS = ("spliced", "coordination")
 MODES = ("summary", "continuous")
 SUMMARY_WIDTH = 19
 WINDOW_S = 2.0
-HARD = ("feature_dim_mismatch", "header_read_failed", "summary_csv_key_missing", "shape_divergence", "audit_internal_error")
 SOFT = ("T_mismatch", "missing_file")
 STREAMS = {"audio": "wav", "video": "mp4", "vad": "jsonl"}
 
@@ -107,35 +106,63 @@ def config_audit(experiments: DataFrame, registry: DataFrame, has_summary_source
     return g.select("experiment", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("rule"))
 
 
-def shape_audit(samples: DataFrame, streams: DataFrame, registry: DataFrame, index: DataFrame) -> DataFrame:
+def shape_audit(samples: DataFrame, streams: DataFrame, registry: DataFrame, index: DataFrame, coordination: DataFrame | None = None, missing: str = "zeros") -> DataFrame:
     """A row per sample and stream with ``error_kind`` (null if fine) and the observed shape.
 
-    ``streams``: experiment, stream_idx, modality, role; ``index``: modality, file_id, t, d (null
-    where the header could not be read), candidate (lowest first).
+    ``streams``: experiment, stream_idx, modality, role; ``registry``: modality, feature_dim,
+    frame_rate_hz, and kind and mode (without them all are spliced); ``index``: modality, file_id,
+    t, d (null where the header could not be read), candidate (lowest first); ``coordination``:
+    sample_key, modality, t, d of the summary rows, one a key. A summary stream looks its row up by
+    the sample and expects one row of ``feature_dim``; where it has none, ``missing`` says whether
+    that is an error or is filled with zeros of the right shape. ``absent`` marks what was not found.
     """
-    asked = samples.crossJoin(F.broadcast(streams)).join(F.broadcast(registry.select("modality", "feature_dim", F.rint(F.col("frame_rate_hz") * WINDOW_S).cast("long").alias("target_t"))), "modality")
-    first = index.groupBy("modality", "file_id").agg(F.min(F.struct("candidate", "t", "d")).alias("f")).select("modality", "file_id", F.col("f.t").alias("t"), F.col("f.d").alias("d"), F.lit(True).alias("there"))
+    for name in ("kind", "mode"):
+        if name not in registry.columns:
+            registry = registry.withColumn(name, F.lit("spliced" if name == "kind" else None).cast("string"))
+    summary = F.coalesce((F.col("kind") == "coordination") & (F.col("mode") == "summary"), F.lit(False))
+    rate_t = F.when(F.col("kind") == "spliced", F.rint(F.col("frame_rate_hz") * WINDOW_S).cast("long"))
+    rules = streams.join(registry.select("modality", "feature_dim", rate_t.alias("target_t"), summary.alias("_summary")), "modality")
     file_id = F.when(F.col("role") == "speaker", F.col("speaker_file_id")).otherwise(F.col("listener_file_id"))
-    looked = asked.withColumn("file_id", file_id).join(first, ["modality", "file_id"], "left")
+    asked = samples.crossJoin(rules).withColumn("file_id", file_id)
+    first = index.groupBy("modality", "file_id").agg(F.min(F.struct("candidate", "t", "d")).alias("_f")).select("modality", "file_id", F.col("_f.t").alias("_ft"), F.col("_f.d").alias("_fd"), F.lit(True).alias("_file"))
+    looked = asked.join(first, ["modality", "file_id"], "left")
+    if coordination is None:
+        looked = looked.select("*", F.lit(None).cast("long").alias("_ct"), F.lit(None).cast("long").alias("_cd"), F.lit(None).cast("boolean").alias("_row"))
+    else:
+        looked = looked.join(coordination.select("sample_key", "modality", F.col("t").alias("_ct"), F.col("d").alias("_cd"), F.lit(True).alias("_row")), ["sample_key", "modality"], "left")
+    s, dim = F.col("_summary"), F.col("feature_dim")
+    absent = F.when(s, F.col("_row").isNull()).otherwise(F.col("_file").isNull())
+    t = F.when(s & absent, 1).when(s, F.col("_ct")).otherwise(F.col("_ft")).cast("long")
+    d = F.when(s & absent, dim).when(s, F.col("_cd")).otherwise(F.col("_fd")).cast("long")
+    shaped = looked.withColumn("absent", absent).withColumn("t", t).withColumn("d", d)
     kind = (
-        F.when(F.col("there").isNull(), "missing_file")
+        F.when(s & F.col("absent"), F.lit("summary_csv_key_missing" if missing == "error" else None))
+        .when(s & ~(F.col("t").eqNullSafe(F.lit(1)) & F.col("d").eqNullSafe(dim)), "shape_divergence")
+        .when(s, None)
+        .when(F.col("absent"), "missing_file")
         .when(F.col("t").isNull() | F.col("d").isNull(), "header_read_failed")
-        .when(F.col("d") != F.col("feature_dim"), "feature_dim_mismatch")
+        .when(F.col("d") != dim, "feature_dim_mismatch")
         .when(F.col("t") != F.col("target_t"), "T_mismatch")
     )
-    return looked.select("experiment", "stream_idx", "modality", "sample_key", "file_id", "t", "d", "feature_dim", "target_t", kind.alias("error_kind"))
+    return shaped.select("experiment", "stream_idx", "modality", "sample_key", "file_id", "t", "d", "feature_dim", "target_t", "absent", kind.alias("error_kind"))
 
 
 def stream_summary(audit: DataFrame) -> DataFrame:
-    """Per stream: counts, shapes seen, and whether shapes still differ once lengths are fixed."""
+    """Per stream: counts, shapes seen, and whether batches would still mix shapes.
+
+    Shapes of another width fail before they meet others; a stream with a rate is cut or padded to
+    its length. What then differs is a hazard.
+    """
     count = lambda k: F.count(F.when(F.col("error_kind") == k, 1))
+    length = F.when(F.col("d") == F.col("feature_dim"), F.coalesce("target_t", "t"))
     return audit.groupBy("experiment", "stream_idx", "modality").agg(
         F.count("*").alias("n_samples"),
         F.countDistinct("t", "d").alias("n_shapes"),
-        count("missing_file").alias("n_missing"),
+        F.count(F.when(F.col("absent"), 1)).alias("n_missing"),
         count("feature_dim_mismatch").alias("n_dim_mismatch"),
         count("T_mismatch").alias("n_t_mismatch"),
-        (F.countDistinct("d") > 1).alias("stack_hazard"),
+        count("shape_divergence").alias("n_divergent"),
+        (F.countDistinct(length) > 1).alias("stack_hazard"),
     )
 
 

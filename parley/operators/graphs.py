@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests) gets a temporary folder; on a cluster it is an
+    error, because executors share no local disk.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         props = spark.sparkContext._jvm.java.lang.System
         folder = props.getProperty("parley.checkpoint.dir")
         if not folder:

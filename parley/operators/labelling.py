@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parley.functions.scalars import BACKCHANNEL_WORDS, is_backchannel_token, sample_key
 
 from .dyads import perspectives
+from .graphs import written
 from .intervals import overlapping, voiced_at, words_in_utterance
 
 TAUS = (100, 200, 400, 500, 800, 1600)
@@ -111,13 +112,14 @@ def label_samples(samples: DataFrame, intervals: DataFrame, words: DataFrame, ta
 def label_windows(manifest: DataFrame, intervals: DataFrame, words: DataFrame, taus: tuple[int, ...] = TAUS, th: Thresholds = Thresholds(), stride_ms: int = 500, window_s: float = 2.0, skip_empty: bool = False) -> DataFrame:
     """``sample_key, interaction_id, file_id, split, t_ms, tau_ms, label`` for every sample and tau.
 
-    With ``skip_empty`` dyads of which a side has no interval at all are left out.
+    With ``skip_empty`` dyads of which a side has no interval at all are left out. The sample points
+    are written once: the speaker side, the listener side and the result all start from them.
     """
     ok = manifest
     if skip_empty:
         for side in ("file_id_a", "file_id_b"):
             ok = ok.join(intervals.select(F.col("file_id").alias(side)).distinct(), side, "left_semi")
-    samples = sample_grid(ok, intervals, stride_ms, window_s, max(taus))
+    samples = written(sample_grid(ok, intervals, stride_ms, window_s, max(taus)))
     out = label_samples(samples, intervals, words, taus, th)
     return out.select(sample_key("file_id", "t").alias("sample_key"), "interaction_id", "file_id", "split", F.rint(F.col("t") * 1000.0).cast("long").alias("t_ms"), "tau_ms", "label")
 

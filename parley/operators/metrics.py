@@ -193,3 +193,13 @@ def run_index(results: DataFrame, train_tau: int = 400) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("taus")))), ",").alias("taus"),
         F.max("macro_f1_at_train_tau").alias("best_macro_f1"),
     )
+
+
+def run_experiments(results: DataFrame, runs: DataFrame, train_tau: int = 400) -> DataFrame:
+    """Per block and experiment of a run: its configuration, epochs, and macro F1 at the training tau.
+
+    ``results``: block, experiment, tau_ms, macro_f1; ``runs``: block, experiment, fusion, streams,
+    n_params, best_epoch, epochs_run. An experiment without results at that tau has a null score.
+    """
+    at = results.where(F.col("tau_ms") == train_tau).groupBy("block", "experiment").agg(F.max("macro_f1").alias("macro_f1_at_train_tau"))
+    return runs.join(at, ["block", "experiment"], "left").select("block", "experiment", "fusion", "streams", "n_params", "best_epoch", "epochs_run", "macro_f1_at_train_tau")

@@ -7,8 +7,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.sources.sinks import write_results_incremental
+
 from .graphs import written
-from .metrics import class_weights, macro_metrics, per_class_metrics
+from .metrics import class_weights, macro_metrics, per_class_metrics, run_experiments, run_index
 
 
 def pool_features(frames: DataFrame, streams: tuple[str, ...], mode: str = "mean", by: tuple[str, ...] = ("window_id",)) -> DataFrame:
@@ -49,17 +51,30 @@ def tau_sweep(predictions: DataFrame, labels: DataFrame, k: int = 3) -> DataFram
     return macro_metrics(per_class_metrics(rows, k, ["tau_ms"]), ["tau_ms"])
 
 
-def ablation_block(experiments: dict[str, tuple[str, ...]], frames: DataFrame, samples: DataFrame, labels: DataFrame, train_tau: int = 400) -> DataFrame:
+def ablation_block(experiments: dict[str, tuple[str, ...]], frames: DataFrame, samples: DataFrame, labels: DataFrame, train_tau: int = 400, path: str | None = None, block: str = "block", fusion: str = "early") -> DataFrame:
     """Experiments (name to streams) times taus: one model each, trained at ``train_tau``.
 
-    ``samples``: sample_key, window_id, split; ``labels``: sample_key, tau_ms, label.
+    ``samples``: sample_key, window_id, split; ``labels``: sample_key, tau_ms, label. With ``path``
+    each experiment's results are written by experiment and tau as soon as they are there, so that
+    a failure leaves those before it; a rerun replaces its own. The index of the run stands beside
+    them (``index``: the block, ``experiments``: configuration, parameters, iterations, score).
     """
-    out = None
+    spark, out, runs = samples.sparkSession, None, []
     for name, streams in experiments.items():
         features = written(samples.join(pool_features(frames, streams), "window_id"))
         at = labels.where((F.col("tau_ms") == train_tau) & F.col("label").between(0, 2)).select("sample_key", "label")
         model = train_classifier(features.where("split = 'train'").join(at, "sample_key").select("features", "label"))
         scored = predict_records(model, features.where("split = 'test'").withColumn("label", F.lit(None).cast("int")))
         rows = tau_sweep(scored, labels).select(F.lit(name).alias("experiment"), "*")
+        if path:
+            rows = written(rows)
+            write_results_incremental(rows, f"{path}/results")
+        done = model.summary.totalIterations if model.hasSummary else None
+        runs.append((block, name, fusion, ",".join(streams), model.coefficientMatrix.numRows * (model.coefficientMatrix.numCols + 1), done, done))
         out = rows if out is None else out.unionByName(rows)
+    if path:
+        results = out.withColumn("block", F.lit(block))
+        table = spark.createDataFrame(runs, "block string, experiment string, fusion string, streams string, n_params long, best_epoch int, epochs_run int")
+        run_index(results, train_tau).write.mode("overwrite").json(f"{path}/index")
+        run_experiments(results, table, train_tau).write.mode("overwrite").json(f"{path}/experiments")
     return out

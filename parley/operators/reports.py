@@ -90,11 +90,13 @@ def leaderboard(t400: DataFrame, metrics: tuple[str, ...] = LEADERBOARD_METRICS,
 def ablation_suite(t400: DataFrame, order: DataFrame, titles: DataFrame) -> DataFrame:
     """Block, streams and architecture in fixed order; the title stands on a block's first row only.
 
-    ``order``: block, experiment, position; ``titles``: block, block_position, title.
+    ``t400``: block, experiment, and experiment_name (its streams) and arch, null where it lacks
+    them; ``order``: block, experiment, position; ``titles``: block, block_position, title.
     """
+    given = lambda c: (F.col(c) if c in t400.columns else F.lit(None)).cast("string")
     rows = t400.join(F.broadcast(order), ["block", "experiment"]).join(F.broadcast(titles), "block")
     first = F.row_number().over(Window.partitionBy("block").orderBy("position")) == 1
-    return rows.select("block_position", "position", F.when(first, F.col("title")).otherwise("").alias("block_cell"), "experiment").orderBy("block_position", "position")
+    return rows.select("block_position", "position", F.when(first, F.col("title")).otherwise("").alias("block_cell"), "experiment", given("experiment_name").alias("streams"), given("arch").alias("architecture")).orderBy("block_position", "position")
 
 
 def best_epoch(history: DataFrame, metric: str, by: list[str]) -> DataFrame:

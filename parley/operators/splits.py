@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dyads import dedupe_prefer
 from .filters import exclude_ids
 from .graphs import connected_components, written
 from .numbering import numbered
 
 SPLITS = ("train", "val", "test")
 FRACTIONS = (0.70, 0.15, 0.15)
+#: Buckets in which components with text ids are numbered.
+TEXT_BUCKETS = 1 << 16
 
 
 def targets(n: int, fractions: tuple[float, ...] = FRACTIONS) -> list[int]:
@@ -44,7 +47,7 @@ def pack_splits(components: DataFrame, fractions: tuple[float, ...] = FRACTIONS)
 
     Components of one size are interchangeable, so only the distinct sizes and their counts
     (their number grows with the square root of the rows at most) reach the driver; within a
-    size, components go to the splits in the order of their ids.
+    size, components go to the splits in the order of their ids (of a hash of them, if text).
     """
     spark = components.sparkSession
     sizes = components.groupBy("size").agg(F.count("*").alias("m")).orderBy(F.desc("size")).collect()
@@ -58,7 +61,9 @@ def pack_splits(components: DataFrame, fractions: tuple[float, ...] = FRACTIONS)
             start += n
             room[j] -= n * r["size"]
     table = spark.createDataFrame(plan or [(0, 0, 0, "train")], "s long, first long, last long, split string")
-    ranked = numbered(components, ["size"], F.floor(F.col("component") / 10_000).cast("long"), ["component"], "place")
+    text = dict(components.dtypes)["component"] == "string"
+    bucket = F.pmod(F.xxhash64("component"), F.lit(TEXT_BUCKETS)) if text else F.floor(F.col("component") / 10_000).cast("long")
+    ranked = numbered(components, ["size"], bucket, ["component"], "place")
     hit = (F.col("size") == F.col("s")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("last"))
     return ranked.join(F.broadcast(table), hit).select("component", "split")
 
@@ -69,12 +74,15 @@ def verify_disjoint(manifest: DataFrame) -> DataFrame:
     return people.groupBy("participant").agg(F.countDistinct("split").alias("n_splits")).where("n_splits > 1")
 
 
-def build_manifest(interactions: DataFrame, excluded: DataFrame | None = None, fractions: tuple[float, ...] = FRACTIONS) -> DataFrame:
+def build_manifest(interactions: DataFrame, excluded: DataFrame | None = None, fractions: tuple[float, ...] = FRACTIONS, preferred: DataFrame | None = None) -> DataFrame:
     """``interaction_id, participant_a, participant_b`` and more, with participant-disjoint splits.
 
-    Participants are long ids, put in order within a dyad; dyads count for the size of a component.
+    ``preferred`` is a second pool of the same columns, whose rows win on a shared interaction.
+    Participants are long or text ids, put in order within a dyad; dyads count for the size of a
+    component. A dyad without any participant is left out.
     """
-    pool = interactions if excluded is None else exclude_ids(interactions, excluded, "interaction_id")
+    pool = interactions if preferred is None else dedupe_prefer(preferred, interactions, "interaction_id")
+    pool = pool if excluded is None else exclude_ids(pool, excluded, "interaction_id")
     ordered = pool.withColumn("_a", F.least("participant_a", "participant_b")).withColumn("participant_b", F.greatest("participant_a", "participant_b")).withColumn("participant_a", F.col("_a")).drop("_a")
     comp = connected_components(ordered, "participant_a", "participant_b")
     tagged = written(ordered.join(comp.select(F.col("node").alias("participant_a"), "component"), "participant_a"))

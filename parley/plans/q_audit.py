@@ -10,6 +10,14 @@ from .fixtures import DUCKDB, ctes, fixture
 from .q_labels import _ROLE, _role_samples
 from .registry import query
 
+# The greedy fold, component by component; within a size the splits then go to the components by id.
+PACKED = """o AS (SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS k, row_number() OVER (PARTITION BY size ORDER BY component) AS place FROM (SELECT component, count(*) AS size FROM comp GROUP BY 1) s),
+target AS (SELECT n, CAST(round_even(0.7e0 * n, 0) AS BIGINT) AS t1, CAST(round_even(0.15e0 * n, 0) AS BIGINT) AS t2 FROM (SELECT count(*) AS n FROM comp) c),
+fold AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS size, 'none' AS split, t1 AS a, t2 AS b, n - t1 - t2 AS c FROM target UNION ALL
+  SELECT k, size, pick, CASE WHEN pick = 'train' THEN a - size ELSE a END, CASE WHEN pick = 'val' THEN b - size ELSE b END, CASE WHEN pick = 'test' THEN c - size ELSE c END
+  FROM (SELECT o.k, o.size, f.a, f.b, f.c, CASE WHEN f.a >= f.b AND f.a >= f.c THEN 'train' WHEN f.b >= f.c THEN 'val' ELSE 'test' END AS pick FROM fold f JOIN o ON o.k = f.k + 1) p),
+packed AS (SELECT o.component, g.split FROM o JOIN (SELECT size, split, row_number() OVER (PARTITION BY size ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END) AS place FROM fold WHERE k > 0) g USING (size, place))"""
+
 # Components of the customer chains are exactly the groups, so plain SQL names them.
 COMPONENTS = "comp AS (SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component FROM customer)"
 
@@ -24,15 +32,18 @@ def _interactions(spark, d):
     return e.select(F.concat(F.lit("I"), F.col("src").cast("string")).alias("interaction_id"), F.col("dst").alias("participant_a"), F.col("src").alias("participant_b"))
 
 
-@query("pack_splits")
+@query("pack_splits", f"WITH RECURSIVE {COMPONENTS}, {PACKED} SELECT component, split FROM packed")
 def pack_splits(spark, d):
     comp = graphs.connected_components(fixture(spark, d, "g_edges"))
     return splits.pack_splits(comp.groupBy("component").agg(F.count("*").alias("size")))
 
 
-@query("build_manifest", "SELECT 'I' || CAST(c_custkey AS VARCHAR) AS interaction_id, c_custkey AS participant_a, coalesce(lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey), c_custkey) AS participant_b, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component FROM customer")
+@query("build_manifest", f"WITH RECURSIVE {COMPONENTS}, {PACKED} SELECT m.*, packed.split FROM packed JOIN (SELECT 'I' || CAST(c_custkey AS VARCHAR) AS interaction_id, c_custkey AS participant_a, coalesce(lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey), c_custkey) AS participant_b, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component, CASE WHEN c_custkey % 4 = 0 THEN 'poc' ELSE 'new' END AS origin FROM customer) m USING (component)")
 def build_manifest(spark, d):
-    return splits.build_manifest(_interactions(spark, d)).select("interaction_id", "participant_a", "participant_b", "component")
+    pool = _interactions(spark, d)
+    preferred = pool.where("participant_b % 4 = 0").withColumn("origin", F.lit("poc"))
+    m = splits.build_manifest(pool.withColumn("origin", F.lit("new")), preferred=preferred)
+    return m.select("interaction_id", "participant_a", "participant_b", "component", "origin", "split")
 
 
 @query("verify_disjoint", "WITH p AS (SELECT o_custkey AS participant, CASE WHEN o_orderkey % 10 < 7 THEN 'train' WHEN o_orderkey % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM orders) SELECT participant, count(DISTINCT split) AS n_splits FROM p GROUP BY 1 HAVING count(DISTINCT split) > 1")
@@ -99,49 +110,56 @@ def param_compat(spark, d):
 # --- audits --------------------------------------------------------------------------------------
 
 
-@query("registry_audit", "SELECT n_name AS modality, rule FROM nation, (SELECT unnest(['bad_kind', 'bad_mode', 'missing_rate', 'missing_key']) AS rule) r WHERE (rule = 'bad_kind' AND n_nationkey % 4 = 1) OR (rule = 'bad_mode' AND n_nationkey % 4 = 2 AND n_nationkey % 3 = 0) OR (rule = 'missing_rate' AND n_nationkey % 4 = 0 AND n_nationkey % 5 = 0) OR (rule = 'missing_key' AND n_nationkey % 4 = 3)")
+@query("registry_audit", "SELECT c_name AS modality, rule FROM customer, (SELECT unnest(['bad_kind', 'bad_mode', 'missing_rate', 'missing_key']) AS rule) r WHERE (rule = 'bad_kind' AND c_custkey % 4 = 1) OR (rule = 'bad_mode' AND c_custkey % 4 = 2 AND c_custkey % 3 = 0) OR (rule = 'missing_rate' AND c_custkey % 4 = 0 AND c_custkey % 5 = 0) OR (rule = 'missing_key' AND c_custkey % 4 = 3)")
 def registry_audit(spark, d):
-    n, k = spark.read.parquet(f"{d}/nation.parquet"), F.col("n_nationkey")
+    c, k = spark.read.parquet(f"{d}/customer.parquet"), F.col("c_custkey")
     kind = F.when(k % 4 == 0, "spliced").when(k % 4 == 1, "odd").when(k % 4 == 2, "coordination")
-    r = n.select(F.col("n_name").alias("modality"), kind.alias("kind"), F.when(k % 3 != 0, "summary").alias("mode"), F.lit(19).alias("feature_dim"), F.when(k % 5 != 0, 30.0).alias("frame_rate_hz"))
+    r = c.select(F.col("c_name").alias("modality"), kind.alias("kind"), F.when(k % 3 != 0, "summary").alias("mode"), F.lit(19).alias("feature_dim"), F.when(k % 5 != 0, 30.0).alias("frame_rate_hz"))
     return audit.registry_audit(r)
 
 
-_CONFIG = """WITH e AS (SELECT n_regionkey, n_nationkey, CASE n_regionkey WHEN 0 THEN 'early' WHEN 1 THEN 'unimodal' WHEN 2 THEN 'neural_concat' WHEN 3 THEN 'magic' ELSE 'self_attention' END AS fusion,
-  CASE n_nationkey % 4 WHEN 0 THEN 'audio' WHEN 1 THEN 'face' WHEN 2 THEN 'wcc' ELSE 'none' END AS modality, CASE WHEN n_nationkey % 3 = 0 THEN 'listener' ELSE 'speaker' END AS role FROM nation),
-g AS (SELECT 'R' || n_regionkey AS experiment, any_value(fusion) AS fusion, count(*) AS n, bool_or(modality = 'none') AS unknown, bool_or(modality = 'wcc' AND role <> 'speaker') AS cr, bool_or(modality = 'wcc') AS coord, count(DISTINCT modality) FILTER (modality IN ('audio', 'face')) AS lengths FROM e GROUP BY 1)"""
+_CONFIG = """WITH e AS (SELECT grp, CASE grp % 5 WHEN 0 THEN 'early' WHEN 1 THEN 'unimodal' WHEN 2 THEN 'neural_concat' WHEN 3 THEN 'magic' ELSE 'self_attention' END AS fusion,
+  CASE k % 4 WHEN 0 THEN 'audio' WHEN 1 THEN 'face' WHEN 2 THEN 'wcc' ELSE 'none' END AS modality, CASE WHEN k % 3 = 0 THEN 'listener' ELSE 'speaker' END AS role FROM (SELECT o_custkey AS grp, o_orderkey AS k FROM orders) s),
+g AS (SELECT 'C' || grp AS experiment, any_value(fusion) AS fusion, count(*) AS n, bool_or(modality = 'none') AS unknown, bool_or(modality = 'wcc' AND role <> 'speaker') AS cr, bool_or(modality = 'wcc') AS coord, count(DISTINCT modality) FILTER (modality IN ('audio', 'face')) AS lengths FROM e GROUP BY 1)"""
 _RULES = {"unknown_fusion": "fusion = 'magic'", "unknown_modality": "unknown", "coordination_role": "cr", "unimodal_streams": "fusion = 'unimodal' AND n <> 1", "neural_concat_streams": "fusion = 'neural_concat' AND n < 2", "early_coordination": "fusion = 'early' AND coord", "early_lengths": "fusion = 'early' AND lengths > 1", "no_summary_source": "coord"}
 
 
 @query("config_audit", _CONFIG + " " + " UNION ALL ".join(f"SELECT experiment, '{k}' AS rule FROM g WHERE {v}" for k, v in _RULES.items()))
 def config_audit(spark, d):
-    n, k = spark.read.parquet(f"{d}/nation.parquet"), F.col("n_nationkey")
-    fusion = F.element_at(F.array(*[F.lit(x) for x in ("early", "unimodal", "neural_concat", "magic", "self_attention")]), (F.col("n_regionkey") + 1).cast("int"))
+    o, k = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey")
+    fusion = F.element_at(F.array(*[F.lit(x) for x in ("early", "unimodal", "neural_concat", "magic", "self_attention")]), (F.col("o_custkey") % 5 + 1).cast("int"))
     modality = F.element_at(F.array(*[F.lit(x) for x in ("audio", "face", "wcc", "none")]), (k % 4 + 1).cast("int"))
-    e = n.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("experiment"), fusion.alias("fusion"), k.cast("int").alias("stream_idx"), modality.alias("modality"), F.when(k % 3 == 0, "listener").otherwise("speaker").alias("role"))
+    e = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("experiment"), fusion.alias("fusion"), k.cast("int").alias("stream_idx"), modality.alias("modality"), F.when(k % 3 == 0, "listener").otherwise("speaker").alias("role"))
     reg = spark.createDataFrame([("audio", "spliced", None, 256, 100.0), ("face", "spliced", None, 23, 30.0), ("wcc", "coordination", "summary", 19, None)], "modality string, kind string, mode string, feature_dim int, frame_rate_hz double")
     return audit.config_audit(e, reg, has_summary_source=False)
 
 
+# Two streams of files and one of summary rows, of which every third has another width.
 _SHAPES = _ROLE + """, streams AS (SELECT 0 AS stream_idx, 'speaker' AS role UNION ALL SELECT 1, 'listener'),
 aud AS (SELECT 'x1' AS experiment, stream_idx, 'audio' AS modality, sample_key, CASE WHEN role = 'speaker' THEN speaker_file_id ELSE listener_file_id END AS file_id FROM rs, streams),
-err AS (SELECT aud.*, a.t, a.d, CASE WHEN a.file_id IS NULL THEN 'missing_file' WHEN a.bytes = 0 THEN 'header_read_failed' WHEN a.d <> 256 THEN 'feature_dim_mismatch' WHEN a.t <> 200 THEN 'T_mismatch' END AS error_kind FROM aud LEFT JOIN (SELECT file_id, bytes, CASE WHEN bytes > 0 THEN t END AS t, CASE WHEN bytes > 0 THEN d END AS d FROM t_assets) a USING (file_id))"""
+files AS (SELECT aud.*, a.t, a.d, a.file_id IS NULL AS absent, CASE WHEN a.file_id IS NULL THEN 'missing_file' WHEN a.bytes = 0 THEN 'header_read_failed' WHEN a.d <> 256 THEN 'feature_dim_mismatch' WHEN a.t <> 200 THEN 'T_mismatch' END AS error_kind FROM aud LEFT JOIN (SELECT file_id, bytes, CASE WHEN bytes > 0 THEN t END AS t, CASE WHEN bytes > 0 THEN d END AS d FROM t_assets) a USING (file_id)),
+rows19 AS (SELECT 'x1' AS experiment, 2 AS stream_idx, 'wcc' AS modality, sample_key, speaker_file_id AS file_id, 1 AS t, CASE WHEN conv_id % 3 = 0 THEN 18 ELSE 19 END AS d, conv_id IS NULL AS absent, CASE WHEN conv_id IS NULL THEN 'summary_csv_key_missing' WHEN conv_id % 3 = 0 THEN 'shape_divergence' END AS error_kind FROM rs LEFT JOIN t_assets a ON a.file_id = rs.speaker_file_id),
+err AS (SELECT * FROM files UNION ALL SELECT * FROM rows19)"""
 
 
 def _audit(spark, d):
-    streams = spark.createDataFrame([("x1", 0, "audio", "speaker"), ("x1", 1, "audio", "listener")], "experiment string, stream_idx int, modality string, role string")
-    reg = spark.createDataFrame([("audio", 256, 100.0)], "modality string, feature_dim int, frame_rate_hz double")
+    streams = spark.createDataFrame([("x1", 0, "audio", "speaker"), ("x1", 1, "audio", "listener"), ("x1", 2, "wcc", "speaker")], "experiment string, stream_idx int, modality string, role string")
+    reg = spark.createDataFrame([("audio", "spliced", None, 256, 100.0), ("wcc", "coordination", "summary", 19, None)], "modality string, kind string, mode string, feature_dim int, frame_rate_hz double")
     full = F.col("bytes") > 0
-    index = fixture(spark, d, "t_assets").select(F.lit("audio").alias("modality"), "file_id", F.when(full, F.col("t")).alias("t"), F.when(full, F.col("d")).alias("d"), F.lit(0).alias("candidate"))
-    return audit.shape_audit(_role_samples(spark, d), streams, reg, index)
+    assets = fixture(spark, d, "t_assets")
+    index = assets.select(F.lit("audio").alias("modality"), "file_id", F.when(full, F.col("t")).alias("t"), F.when(full, F.col("d")).alias("d"), F.lit(0).alias("candidate"))
+    samples = _role_samples(spark, d)
+    width = F.when(F.col("conv_id") % 3 == 0, 18).otherwise(19)
+    coordination = samples.join(assets.select(F.col("file_id").alias("speaker_file_id"), width.alias("d")), "speaker_file_id").select("sample_key", F.lit("wcc").alias("modality"), F.lit(1).alias("t"), "d")
+    return audit.shape_audit(samples, streams, reg, index, coordination, missing="error")
 
 
-@query("shape_audit", _SHAPES + " SELECT experiment, stream_idx, modality, sample_key, file_id, t, d, error_kind FROM err")
+@query("shape_audit", _SHAPES + " SELECT experiment, stream_idx, modality, sample_key, file_id, CAST(t AS BIGINT) AS t, CAST(d AS BIGINT) AS d, absent, error_kind FROM err")
 def shape_audit(spark, d):
     return _audit(spark, d).drop("feature_dim", "target_t")
 
 
-@query("stream_summary", _SHAPES + " SELECT experiment, stream_idx, modality, count(*) AS n_samples, count(DISTINCT CASE WHEN t IS NOT NULL THEN t * 1000 + d END) AS n_shapes, " + ", ".join(f"count(*) FILTER (error_kind = '{k}') AS {n}" for k, n in (("missing_file", "n_missing"), ("feature_dim_mismatch", "n_dim_mismatch"), ("T_mismatch", "n_t_mismatch"))) + ", count(DISTINCT d) > 1 AS stack_hazard FROM err GROUP BY ALL")
+@query("stream_summary", _SHAPES + " SELECT experiment, stream_idx, modality, count(*) AS n_samples, count(DISTINCT CASE WHEN t IS NOT NULL THEN t * 1000 + d END) AS n_shapes, count(*) FILTER (absent) AS n_missing, " + ", ".join(f"count(*) FILTER (error_kind = '{k}') AS {n}" for k, n in (("feature_dim_mismatch", "n_dim_mismatch"), ("T_mismatch", "n_t_mismatch"), ("shape_divergence", "n_divergent"))) + ", false AS stack_hazard FROM err GROUP BY ALL")
 def stream_summary(spark, d):
     return audit.stream_summary(_audit(spark, d))
 

@@ -37,11 +37,8 @@ def read_poc_manifest(spark, d):
 @query("read_labels", with_labels() + " SELECT sample_key, tau_ms, label FROM labels WHERE tau_ms = 400")
 def read_labels(spark, d):
     path = folder(spark)
-    rows = labels(spark, d, (400,)).withColumn("part", F.pmod(F.xxhash64("file_id"), F.lit(8)))
-    # one JSON object per file
-    doc = rows.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("sample_key", "label")))).alias("value"))
-    doc.repartition("part").write.partitionBy("part").text(path)
-    return readers.read_labels(spark, path, 400)
+    sinks.write_labels(labels(spark, d).select("sample_key", "tau_ms", "label"), path, fmt="json")
+    return readers.read_labels(spark, f"{path}/tau_ms=400", 400, lines=True)
 
 
 @query("write_labels", with_labels() + " SELECT sample_key, tau_ms, label FROM labels")
@@ -88,14 +85,24 @@ def read_result_csv(spark, d):
     return readers.read_results(spark, path)
 
 
-@query("read_interaction_docs", ctes(["v_files"], DUCKDB) + " SELECT interaction_id, split, CASE WHEN conv_id % 10 = 3 THEN 'file_count' WHEN conv_id % 10 = 5 THEN 'labels' ELSE 'ok' END AS verdict FROM (SELECT DISTINCT interaction_id, conv_id, split FROM v_files)")
+_DOCS = """, f AS (SELECT DISTINCT interaction_id, conv_id, split, conv_id % 10 AS k FROM v_files)
+SELECT interaction_id, CASE k WHEN 3 THEN 'file_count' WHEN 5 THEN 'labels' WHEN 7 THEN 'no_relationship' ELSE 'ok' END AS verdict, CASE WHEN k NOT IN (3, 5, 7) THEN split END AS seamless_split, CASE WHEN k NOT IN (3, 5, 7) THEN interaction_id || '_P0001' END AS file_id_a, CASE WHEN k NOT IN (3, 5, 7) THEN 'P0002' END AS participant_b,
+  CASE WHEN k NOT IN (3, 5, 7) THEN 'talk' || k END AS interaction_type, CASE WHEN k NOT IN (3, 5, 7) THEN 'stranger' END AS relationship, CASE WHEN k NOT IN (3, 5, 7) THEN '""" + S.ASSET_BASE + """/naturalistic/' || split || '/vad/' || interaction_id || '_P0002.jsonl' END AS vad_url_b FROM f"""
+
+
+@query("read_interaction_docs", ctes(["v_files"], DUCKDB) + _DOCS)
 def read_interaction_docs(spark, d):
-    f = fixture(spark, d, "v_files")
+    path = folder(spark)
+    f = fixture(spark, d, "v_files").withColumn("dyad", F.col("interaction_id"))
     k = F.col("conv_id") % 10
-    rows = f.where((k != 3) | F.col("file_id").endswith("P0001")).withColumn("label", F.when((k == 5) & F.col("file_id").endswith("P0002"), "improvised").otherwise("naturalistic"))
-    good, bad = readers.interactions_from_filelist(rows.select("file_id", "label", "split"))
-    verdicts = good.select("interaction_id", F.lit("ok").alias("verdict")).unionByName(bad.select("interaction_id", F.col("reason").alias("verdict")))
-    return verdicts.join(f.select("interaction_id", "split").distinct(), "interaction_id").select("interaction_id", "split", "verdict")
+    entries = f.where((k != 3) | F.col("file_id").endswith("P0001")).withColumn("label", F.when((k == 5) & F.col("file_id").endswith("P0002"), "improvised").otherwise("naturalistic"))
+    entries.select("dyad", "file_id", "label", "split").repartition("dyad").write.partitionBy("dyad").json(f"{path}/filelist")
+    one = f.where(F.col("file_id").endswith("P0001"))
+    one.select("dyad", F.concat(F.lit("talk"), k.cast("string")).alias("interaction_type")).repartition("dyad").write.partitionBy("dyad").json(f"{path}/metadata")
+    one.where(k != 7).select("dyad", F.lit("stranger").alias("relationship"), F.lit("stranger").alias("relationship_detail")).repartition("dyad").write.partitionBy("dyad").json(f"{path}/relationship")
+    good, bad = readers.read_interactions(spark, f"{path}/filelist", f"{path}/metadata", f"{path}/relationship", r"/dyad=([^/]+)/", lines=True)
+    kept = ["seamless_split", "file_id_a", "participant_b", "interaction_type", "relationship", "vad_url_b"]
+    return good.select("interaction_id", F.lit("ok").alias("verdict"), *kept).unionByName(bad.select(F.col("folder").alias("interaction_id"), F.col("reason").alias("verdict")), allowMissingColumns=True)
 
 
 @query("write_results_incremental", "SELECT event_type AS experiment, CAST(event_id % 3 * 100 AS INT) AS tau_ms, count(*) AS n FROM events GROUP BY ALL")

@@ -145,11 +145,12 @@ def leaderboard(spark, d):
     return rounded(reports.leaderboard(t400(spark, d), T400))
 
 
-@query("ablation_suite", T400_SQL + " SELECT ascii(block) AS block_position, length(experiment) AS position, CASE WHEN row_number() OVER (PARTITION BY block ORDER BY length(experiment)) = 1 THEN upper(block) ELSE '' END AS block_cell, experiment FROM t400")
+@query("ablation_suite", T400_SQL + " SELECT ascii(block) AS block_position, length(experiment) AS position, CASE WHEN row_number() OVER (PARTITION BY block ORDER BY length(experiment)) = 1 THEN upper(block) ELSE '' END AS block_cell, experiment, 'on ' || experiment AS streams, CASE WHEN block = 'c' THEN 'early' ELSE 'attention' END AS architecture FROM t400")
 def ablation_suite(spark, d):
     o = _order(spark, d)
     titles = o.select("block", F.ascii("block").alias("block_position"), F.upper("block").alias("title")).distinct()
-    return reports.ablation_suite(t400(spark, d), o, titles)
+    named = t400(spark, d).withColumn("experiment_name", F.concat(F.lit("on "), "experiment")).withColumn("arch", F.when(F.col("block") == "c", "early").otherwise("attention"))
+    return reports.ablation_suite(named, o, titles)
 
 
 _HIST = C + ", h AS (SELECT experiment, day AS epoch, avg(value) AS f1 FROM c_preds GROUP BY ALL)"
@@ -192,3 +193,17 @@ def class_f1_across_runs(spark, d):
 )
 def run_index(spark, d):
     return rounded(metrics.run_index(sweep(spark, d).withColumn("block", F.substring("experiment", 1, 1))))
+
+
+@query(
+    "run_experiments",
+    SWEEP_SQL + """, h AS (SELECT experiment, day AS epoch, round(avg(value), 9) AS f1 FROM c_preds GROUP BY ALL), best AS (SELECT experiment, epoch AS best_epoch FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY f1 DESC, epoch) AS k FROM h) WHERE k = 1), ep AS (SELECT experiment, count(*) AS epochs_run FROM h GROUP BY 1),
+scored AS (SELECT experiment, max(macro_f1) AS f FROM sweep WHERE tau_ms = 400 GROUP BY 1)
+SELECT substr(experiment, 1, 1) AS block, experiment, 'early' AS fusion, 'audio,' || experiment AS streams, 1000 * length(experiment) AS n_params, best_epoch, epochs_run, round(f, 9) AS macro_f1_at_train_tau FROM best JOIN ep USING (experiment) LEFT JOIN scored USING (experiment)""",
+)
+def run_experiments(spark, d):
+    h = history(spark, d)
+    block = F.substring("experiment", 1, 1).alias("block")
+    epochs = h.groupBy("experiment").agg(F.count("*").alias("epochs_run"))
+    runs = reports.best_epoch(h, "f1", ["experiment"]).join(epochs, "experiment").select(block, "experiment", F.lit("early").alias("fusion"), F.concat(F.lit("audio,"), "experiment").alias("streams"), (1000 * F.length("experiment")).cast("long").alias("n_params"), "best_epoch", "epochs_run")
+    return rounded(metrics.run_experiments(sweep(spark, d).select(block, "*"), runs))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parley.operators import models
 
 from .fixtures import TAUS, fixture
+from .q_io import folder
 from .q_signals import _long
 from .registry import query
 
@@ -47,4 +48,6 @@ def tau_sweep(spark, d):
 @query("ablation_block")
 def ablation_block(spark, d):
     experiments = {"speaker_only": ("speaker",), "both": ("speaker", "listener")}
-    return models.ablation_block(experiments, _long(spark, d), _samples(spark, d).drop("label"), _labels(spark, d))
+    path = folder(spark)
+    models.ablation_block(experiments, _long(spark, d), _samples(spark, d).drop("label"), _labels(spark, d), path=path, block="roles")
+    return spark.read.parquet(f"{path}/results")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.functions.scalars import interaction_id, participant_id, try_float
+from parley.functions.scalars import asset_url, interaction_id, participant_id, prompt_hash, session, try_float, vendor
 
 # The columns of a manifest file, in order.
 MANIFEST_COLUMNS = ["split", "seamless_split", "interaction_id", "vendor_id", "session_id", "prompt_hash", "interaction_type", "label", "annotation_coverage", "relationship", "relationship_detail", "file_id_a", "file_id_b", "participant_a", "participant_b", "audio_url_a", "audio_url_b", "video_url_a", "video_url_b", "vad_url_a", "vad_url_b"]
@@ -54,9 +54,10 @@ def flatten_words(transcripts: DataFrame) -> DataFrame:
     return w.where(ok).select("file_id", F.col("w")["word"].alias("word"), F.col("w")["start"].cast("double").alias("start_s"), F.col("w")["end"].cast("double").alias("end_s"))
 
 
-def read_labels(spark: SparkSession, path: str, tau_ms: int) -> DataFrame:
-    """``sample_key, tau_ms, label`` from a JSON object; a label outside 0..5 is an error."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("sample_key", "raw"))
+def read_labels(spark: SparkSession, path: str, tau_ms: int, lines: bool = False) -> DataFrame:
+    """``sample_key, tau_ms, label`` from a JSON object a file, or with ``lines`` one a line, which
+    large files are split by; a label outside 0..5 is an error."""
+    rows = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", "map<string,string>")).alias("sample_key", "raw"))
     label = F.col("raw").try_cast("int")
     bad = F.raise_error(F.concat(F.lit("bad label of "), F.col("sample_key"))).cast("int")
     return rows.select("sample_key", F.lit(tau_ms).alias("tau_ms"), F.when(label.between(0, 5), label).otherwise(bad).alias("label"))
@@ -89,6 +90,37 @@ def interactions_from_filelist(filelist: DataFrame) -> tuple[DataFrame, DataFram
     return good, marked.where("reason IS NOT NULL").select("interaction_id", "reason")
 
 
+#: The folder of a dyad in the paths of its documents.
+DYAD_FOLDER = r"/([^/]+)/interaction/[^/]+$"
+
+
+def read_interactions(spark: SparkSession, filelist: str, metadata: str, relationships: str, pattern: str = DYAD_FOLDER, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Dyads composed from their JSON documents, and the dyads with a fault and its reason.
+
+    ``filelist``: entries of file_id, label and split; ``metadata``: interaction_type;
+    ``relationships``: relationship and its detail. Documents meet by the folder that ``pattern``
+    finds in their paths (with ``lines`` they are JSON lines), so a dyad of which a document is absent is a fault as well. Columns are
+    those of a manifest, without the split, the split of the source being ``seamless_split``.
+    """
+    folder = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("_dir")
+    read = lambda path, ddl: spark.read.schema(ddl).option("multiLine", not lines).json(path).select("*", folder)
+    entries = read(filelist, "file_id string, label string, split string")
+    pid = participant_id("file_id")
+    entry = F.struct(pid.alias("pid"), "file_id")
+    g = entries.groupBy("_dir").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"), F.countDistinct("split").alias("splits"), F.min("label").alias("label"), F.min("split").alias("seamless_split"), F.min(entry).alias("_a"), F.max(entry).alias("_b"))
+    meta = read(metadata, "interaction_type string").select("_dir", "interaction_type", F.lit(True).alias("_meta"))
+    rel = read(relationships, "relationship string, relationship_detail string").select("_dir", "relationship", "relationship_detail", F.lit(True).alias("_rel"))
+    reason = F.when(F.col("n") != 2, "file_count").when(F.col("labels") != 1, "labels").when(F.col("splits") != 1, "splits").when(F.col("_meta").isNull(), "no_metadata").when(F.col("_rel").isNull(), "no_relationship")
+    marked = g.join(meta, "_dir", "left").join(rel, "_dir", "left").withColumn("reason", reason)
+    ids = marked.where("reason IS NULL").withColumn("interaction_id", interaction_id(F.col("_a.file_id")))
+    for x in "ab":
+        ids = ids.withColumn(f"file_id_{x}", F.col(f"_{x}.file_id")).withColumn(f"participant_{x}", F.col(f"_{x}.pid"))
+    urls = [asset_url("label", "seamless_split", kind, f"file_id_{x}", ext).alias(f"{kind}_url_{x}") for kind, ext in (("audio", "wav"), ("video", "mp4"), ("vad", "jsonl")) for x in "ab"]
+    derived = [vendor("interaction_id").alias("vendor_id"), session("interaction_id").alias("session_id"), prompt_hash("interaction_id").alias("prompt_hash")]
+    good = ids.select("*", *urls, *derived)
+    return good.select(*[c for c in MANIFEST_COLUMNS if c in good.columns]), marked.where("reason IS NOT NULL").select(F.col("_dir").alias("folder"), "reason")
+
+
 def read_lookup(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """A lookup CSV, of which the last row of a key wins (files in order of their names)."""
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())

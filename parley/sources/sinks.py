@@ -16,11 +16,20 @@ def _replace(df: DataFrame, path: str, partition: list[str], fmt: str = "parquet
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).format(fmt).save(path)
 
 
-def write_labels(labels: DataFrame, path: str, dry_run: bool = False) -> None:
-    """Labels by tau, sorted by key within files; a dry run writes nothing."""
-    if not dry_run:
-        part = F.pmod(F.xxhash64("sample_key"), F.lit(LABEL_FILES))
-        _replace(labels.repartition("tau_ms", part).sortWithinPartitions("tau_ms", "sample_key"), path, ["tau_ms"])
+def write_labels(labels: DataFrame, path: str, dry_run: bool = False, fmt: str = "parquet") -> None:
+    """Labels by tau, sorted by key within files; a dry run writes nothing.
+
+    As ``json`` each line is an object of one key and its label, which ``read_labels`` reads by
+    lines from the folder of a tau.
+    """
+    if dry_run:
+        return
+    part = F.pmod(F.xxhash64("sample_key"), F.lit(LABEL_FILES))
+    rows = labels.repartition("tau_ms", part).sortWithinPartitions("tau_ms", "sample_key")
+    if fmt == "json":
+        rows = rows.select("tau_ms", F.to_json(F.create_map("sample_key", "label")).alias("value"))
+        fmt = "text"
+    _replace(rows, path, ["tau_ms"], fmt)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

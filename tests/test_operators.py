@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import scalars as S
-from parley.operators import audit, filters, graphs, metrics, reports, signals, splits
+from parley.operators import audit, filters, graphs, metrics, models, reports, signals, splits
 from parley.sources import readers, sinks
 
 
@@ -177,6 +177,24 @@ def test_manifest_is_disjoint(spark, sf_dir):
     assert splits.verify_disjoint(m).count() == 0 and m.count() == 150
 
 
+def test_manifest_of_two_pools_with_text_ids(spark):
+    rows = [("i1", "p2", "p1", "new"), ("i2", "p2", "p3", "new"), ("i3", "p9", "p8", "new"), ("i4", "p7", None, "new"), ("i5", None, None, "new")]
+    ddl = "interaction_id string, participant_a string, participant_b string, origin string"
+    poc = spark.createDataFrame([("i3", "p9", "p8", "poc"), ("i6", "p6", "p5", "poc")], ddl)
+    out = spark.createDataFrame([("i2",)], "interaction_id string")
+    got = {r.interaction_id: r for r in splits.build_manifest(spark.createDataFrame(rows, ddl), out, preferred=poc).collect()}
+    assert set(got) == {"i1", "i3", "i4", "i6"}  # i2 is excluded, i5 has no participant
+    assert (got["i3"].origin, got["i3"].participant_a, got["i3"].participant_b) == ("poc", "p8", "p9")
+    assert {r.split for r in got.values()} <= set(splits.SPLITS)
+
+
+def test_text_components_are_packed_like_numbers(spark):
+    sizes = [9, 5, 5, 3, 2, 2, 1, 1, 1, 1]
+    comp = spark.createDataFrame([(f"c{i}", s) for i, s in enumerate(sizes)], "component string, size long")
+    by = {x.split: x.n for x in splits.pack_splits(comp).join(comp, "component").groupBy("split").agg(F.sum("size").alias("n")).collect()}
+    assert [by.get(s, 0) for s in splits.SPLITS] == greedy(sizes)
+
+
 # --- filters, scalars, audits -------------------------------------------------------------------
 
 
@@ -302,3 +320,103 @@ def test_manifest_order(spark, tmp_path):
     order = {"train": 0, "val": 1, "test": 2}
     assert sorted(got, key=lambda x: (order[x[0]], x[1])) == [("train", "b"), ("train", "z"), ("val", "c"), ("test", "a")]
     assert all(a <= b for a, b in pairwise(sorted(order.values())))
+
+
+def test_summary_streams_in_the_shape_audit(spark):
+    samples = spark.createDataFrame([("k1", "f1", "g1"), ("k2", "f2", "g2"), ("k3", "f3", "g3")], "sample_key string, speaker_file_id string, listener_file_id string")
+    streams = spark.createDataFrame([("x", 0, "wcc", "speaker"), ("x", 1, "cont", "speaker")], "experiment string, stream_idx int, modality string, role string")
+    reg = spark.createDataFrame([("wcc", "coordination", "summary", 19, None), ("cont", "coordination", "continuous", 4, None)], "modality string, kind string, mode string, feature_dim int, frame_rate_hz double")
+    rows = spark.createDataFrame([("k1", "wcc", 1, 19), ("k2", "wcc", 1, 18)], "sample_key string, modality string, t int, d int")
+    index = spark.createDataFrame([("cont", "f1", 40, 4, 0), ("cont", "f2", 41, 4, 0)], "modality string, file_id string, t int, d int, candidate int")
+    kinds = lambda a: {(r.stream_idx, r.sample_key): r.error_kind for r in a.collect()}
+    strict = audit.shape_audit(samples, streams, reg, index, rows, missing="error")
+    assert kinds(strict) == {(0, "k1"): None, (0, "k2"): "shape_divergence", (0, "k3"): "summary_csv_key_missing", (1, "k1"): None, (1, "k2"): None, (1, "k3"): "missing_file"}
+    lenient = audit.shape_audit(samples, streams, reg, index, rows)
+    assert kinds(lenient)[(0, "k3")] is None
+    by = {r.stream_idx: r for r in audit.stream_summary(lenient).collect()}
+    # zeros have the right shape, so only the lengths 40 and 41, which nothing pads, are a hazard
+    assert (by[0].n_missing, by[0].n_divergent, by[0].stack_hazard) == (1, 1, False)
+    assert (by[1].n_missing, by[1].n_shapes, by[1].stack_hazard) == (1, 2, True)
+    assert kinds(audit.shape_audit(samples, streams, reg, index, missing="error"))[(0, "k1")] == "summary_csv_key_missing"
+
+
+def test_lengths_that_are_padded_are_no_hazard(spark):
+    samples = spark.createDataFrame([("k1", "f1", "g1"), ("k2", "f2", "g2")], "sample_key string, speaker_file_id string, listener_file_id string")
+    streams = spark.createDataFrame([("x", 0, "audio", "speaker")], "experiment string, stream_idx int, modality string, role string")
+    reg = spark.createDataFrame([("audio", 4, 20.0)], "modality string, feature_dim int, frame_rate_hz double")
+    index = spark.createDataFrame([("audio", "f1", 40, 4, 0), ("audio", "f2", 41, 4, 0)], "modality string, file_id string, t int, d int, candidate int")
+    r = one(audit.stream_summary(audit.shape_audit(samples, streams, reg, index)))
+    assert (r.n_t_mismatch, r.n_shapes, r.stack_hazard) == (1, 2, False)
+
+
+def test_interactions_from_documents(spark, tmp_path):
+    def dyad(name, files, meta=True, rel=True):
+        p = tmp_path / name / "interaction"
+        p.mkdir(parents=True)
+        (p / "filelist_entries.json").write_text(json.dumps(files, indent=1))
+        if meta:
+            (p / "interaction_metadata.json").write_text('{\n"interaction_type": "talk"}')
+        if rel:
+            (p / "session_relationship.json").write_text('{\n"relationship": "familiar",\n"relationship_detail": "friends"}')
+
+    f = lambda p, label="naturalistic", split="dev": {"file_id": f"V00_S0001_I00000007_{p}", "label": label, "split": split}
+    dyad("ok", [f("P0009"), f("P0002")])
+    dyad("three", [f("P0009"), f("P0002"), f("P0003")])
+    dyad("labels", [f("P0009"), f("P0002", "improvised")])
+    dyad("splits", [f("P0009"), f("P0002", split="train")])
+    dyad("bare", [f("P0009"), f("P0002")], meta=False)
+    dyad("alone", [f("P0009"), f("P0002")], rel=False)
+    at = lambda n: str(tmp_path / "*" / "interaction" / n)
+    good, bad = readers.read_interactions(spark, at("filelist_entries.json"), at("interaction_metadata.json"), at("session_relationship.json"))
+    r = one(good)
+    assert (r.interaction_id, r.vendor_id, r.session_id, r.seamless_split) == ("V00_S0001_I00000007", "V00", "0001", "dev")
+    assert (r.participant_a, r.participant_b, r.relationship_detail, r.interaction_type) == ("P0002", "P0009", "friends", "talk")
+    assert r.audio_url_b.endswith("/naturalistic/dev/audio/V00_S0001_I00000007_P0009.wav")
+    assert {x.folder: x.reason for x in bad.collect()} == {"three": "file_count", "labels": "labels", "splits": "splits", "bare": "no_metadata", "alone": "no_relationship"}
+
+
+def test_labels_written_as_json_are_read_again(spark, tmp_path):
+    rows = [("a_t_0002000", 100, 5), ("a_t_0002000", 400, 0), ("b_t_0002000", 400, 2)]
+    sinks.write_labels(spark.createDataFrame(rows, "sample_key string, tau_ms int, label int"), str(tmp_path), fmt="json")
+    got = readers.read_labels(spark, str(tmp_path / "tau_ms=400"), 400, lines=True).collect()
+    assert sorted((r.sample_key, r.tau_ms, r.label) for r in got) == rows[1:]
+
+
+def test_a_block_leaves_results_and_an_index(spark, tmp_path):
+    frames = spark.createDataFrame([(w, s, 0, 0, float(w % 3) + (s == "listener")) for w in range(60) for s in ("speaker", "listener")], "window_id long, stream string, frame int, feature int, value double")
+    samples = spark.createDataFrame([(f"k{w}", w, "train" if w < 40 else "test") for w in range(60)], "sample_key string, window_id long, split string")
+    labels = spark.createDataFrame([(f"k{w}", tau, w % 3) for w in range(60) for tau in (200, 400)], "sample_key string, tau_ms int, label int")
+    path = str(tmp_path)
+    for _ in range(2):  # a rerun replaces what it wrote
+        models.ablation_block({"one": ("speaker",), "two": ("speaker", "listener")}, frames, samples, labels, path=path, block="roles")
+    results = spark.read.parquet(f"{path}/results").collect()
+    assert sorted((r.experiment, r.tau_ms) for r in results) == [("one", 200), ("one", 400), ("two", 200), ("two", 400)]
+    index = one(spark.read.json(f"{path}/index"))
+    assert (index.block, index.n_experiments, index.experiments, index.taus) == ("roles", 2, "one,two", "200,400")
+    runs = {r.experiment: r for r in spark.read.json(f"{path}/experiments").collect()}
+    assert (runs["one"].streams, runs["one"].n_params, runs["two"].streams, runs["two"].n_params) == ("speaker", 6, "speaker,listener", 9)
+    at = {r.experiment: r.macro_f1 for r in results if r.tau_ms == 400}
+    assert {k: r.macro_f1_at_train_tau for k, r in runs.items()} == at
+
+
+def test_suite_names_streams_and_architecture(spark):
+    order = spark.createDataFrame([("b", "e1", 0), ("b", "e2", 1)], "block string, experiment string, position int")
+    titles = spark.createDataFrame([("b", 0, "Block")], "block string, block_position int, title string")
+    t400 = spark.createDataFrame([("b", "e2", "Audio + face", "early"), ("b", "e1", "Audio", None)], "block string, experiment string, experiment_name string, arch string")
+    assert [(r.block_cell, r.streams, r.architecture) for r in reports.ablation_suite(t400, order, titles).collect()] == [("Block", "Audio", None), ("", "Audio + face", "early")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        get = dict.get
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: Conf())
+
+    class Session:
+        sparkContext = Context
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        graphs.shared_folder(Session)
