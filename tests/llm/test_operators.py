@@ -153,6 +153,33 @@ def test_toxicity_edges(spark, docs, none):
     assert {x.predicted for x in toxicity.report(docs, labels.where("toxic = 0")).collect()} == {0}
 
 
+def plain_toxicity(model, text):
+    """The score of a text, n-gram by n-gram."""
+    weight, low = dict(zip(model.features.tolist(), model.weight.tolist(), strict=True)), (text or "").lower()
+    shown = " " + "".join(c if c.isalpha() else " " for i, c in enumerate(low) if c.isalpha() or (i and low[i - 1].isalpha())) + " "
+    hit = set()
+    for n in toxicity.SIZES if low else ():
+        for a in range(len(shown) - n + 1):
+            code = n
+            for c in shown[a : a + n]:
+                code = (code * 0x100000001B3 % 2**64) ^ ord(c)
+            hit.add((code * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BUCKETS_LOG2))
+    z = model.intercept + sum(weight.get(b, 0.0) for b in hit)
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
+def test_toxicity_equals_plain_scores(spark, docs):
+    r = random.Random(9)
+    texts = [(words(r, 20) + (" you awful thing" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    model = toxicity.fit(spark.createDataFrame(texts, "text string, toxic int"))
+    short = docs.where("text IS NULL OR length(text) < 3000")
+    by_id = {x.doc_id: x.text for x in short.where("doc_id IS NOT NULL").collect()}
+    got = [x for x in toxicity.score(short, model).collect() if x.doc_id is not None]
+    assert len(got) > 80 and len({x.score for x in got}) > 20
+    for x in got:
+        assert x.score == pytest.approx(plain_toxicity(model, by_id[x.doc_id]), abs=1e-9)
+
+
 # --- 2 sharding ----------------------------------------------------------------------------------
 
 
@@ -191,6 +218,27 @@ def test_differencing_beats_or_equals_one_item_of_spread():
             assert sums.max() - sums.min() <= 8
 
 
+def plain_differencing(sizes, ways):
+    """Sums of the parts: the two partial partitions of largest spread are combined, oppositely ordered."""
+    parts = [(i, sorted([int(x)] + [0] * (ways - 1), reverse=True)) for i, x in enumerate(sorted(sizes, reverse=True))]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-(p[1][0] - p[1][-1]), p[0]))
+        (_, a), (_, b) = parts[:2]
+        parts = [*parts[2:], (made, sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))]
+        made += 1
+    return parts[0][1]
+
+
+@pytest.mark.parametrize("ways", [2, 5, 24])
+def test_differencing_equals_the_plain_rule(ways):
+    r = np.random.default_rng(ways)
+    for n in (1, 3, 24, 60, 200):
+        sizes = r.integers(8, 5000, n)
+        sums = np.bincount(shards.difference(sizes, ways), weights=sizes, minlength=ways)
+        assert sorted(sums.tolist(), reverse=True) == plain_differencing(sizes, ways)
+
+
 def test_bundles_stay_balanced(spark, monkeypatch):
     monkeypatch.setattr(shards, "TOP", 4_000)
     r = random.Random(4)
@@ -357,6 +405,29 @@ def test_the_network_adds_what_the_patterns_miss(spark):
     assert "model:5:45" in got[1000] and got[1001] == ""
 
 
+def test_candidates_of_runs_and_values():
+    cut = lambda t: [t[a:b] for a, b in secrets.candidates(t)]
+    assert cut("pwd: hunter2x and the rest") == ["hunter2x"]
+    assert cut("passphrase=abcdefghij12 ok") == ["abcdefghij12"]
+    assert cut("x AbCdEfGhIjKlMnOpQrSt y") == ["AbCdEfGhIjKlMnOpQrSt"]  # no digit
+    assert cut("a/path/of/many/small/words/only") == [] and cut("so it was: yes") == [] and cut("") == []
+    assert cut('key = "deadbeefdeadbeefdeadbeef"') == ["deadbeefdeadbeefdeadbeef"]
+
+
+def test_recall_on_planted_secrets(spark):
+    r = random.Random(10)
+    some = lambda n, a="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(a) for _ in range(n))
+    learnt = [(i, f"{words(r, 10)} {r.choice(['secret', 'token', 'password', 'api_key'])} = '{some(r.randrange(8, 44))}' {words(r, 5)}") for i in range(400)]
+    learnt += [(1000 + i, f"{words(r, 10)} {r.choice(['note', 'and', 'said', 'name'])}: {words(r, 4)} {r.randrange(10**16, 10**17)} {words(r, 3)}") for i in range(400)]
+    kinds = [lambda: "ghp_" + some(36), lambda: "Bearer " + some(40), lambda: "xoxb-" + some(12, "0123456789") + "-" + some(24), lambda: "pwd: " + some(12), lambda: "auth = " + some(24, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+    planted = [(2000 + i, f"{words(r, 10)} {kinds[i % 5]()} {words(r, 5)}") for i in range(100)]
+    clean = [(3000 + i, f"{words(r, 20)} said: {words(r, 5)} {r.randrange(10**16, 10**17)}.") for i in range(100)]
+    model = secrets.learn(spark.createDataFrame(learnt, "doc_id long, text string"))
+    got = {x.doc_id: x.spans for x in secrets.scan(spark.createDataFrame(planted + clean, "doc_id long, text string"), model).collect()}
+    assert sum(bool(got[i]) for i, _ in planted) >= 90
+    assert sum(bool(got[i]) for i, _ in clean) <= 5
+
+
 def test_windows_cover_whole_candidates():
     r = random.Random(3)
     for n in (1, 16, 39, 40, 41, 64, 65, 200, 1_001):
