@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lm, mixing, oracles, quality, secrets, shards, simhash, substrings, toxicity
+from . import decontam, discriminant, langid, lm, mixing, oracles, quality, search, secrets, shards, simhash, substrings, toxicity, whitening
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_whitening": op11_whitening,
+    "op12_search": op12_search,
+    "op13_discriminant": op13_discriminant,
 }
 
 #: The others are held against brute force or held-out accuracy in tests/llm.
@@ -68,4 +83,5 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": oracles.DECONTAMINATION,
     "op7_quality": oracles.QUALITY,
     "op9_mixing": oracles.MIXING,
+    "op12_search": oracles.SEARCH,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quality
+from . import decontam, mixing, quality, search
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -46,3 +46,13 @@ e AS (SELECT 0 AS t, list_transform((SELECT w FROM l), lambda x: CAST(0 AS BIGIN
 plan AS (SELECT src[best] AS source, w[best] AS weight, k, slot, period FROM e, l WHERE slot IS NOT NULL),
 m AS (SELECT b.doc_id, b.source, weight, block, (block // weight) * period + slot AS slot, before FROM b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source AND b.block % p.weight = p.k)
 SELECT doc_id, source, weight, block, slot, row_number() OVER (ORDER BY slot, before, doc_id) - 1 AS position FROM m"""
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+c AS (SELECT count(*) AS n_all, CAST(coalesce(sum(len(w)), 0) AS BIGINT) AS l_all FROM d WHERE len(w) > 0),
+i AS (SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark)) GROUP BY ALL),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, c GROUP BY t, n_all),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_all) // l_all)))) AS BIGINT) AS score FROM i JOIN p USING (t) JOIN f USING (t), c GROUP BY ALL),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM o WHERE rank <= {search.TOP}"""
