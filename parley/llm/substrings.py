@@ -20,7 +20,8 @@ fifty words), are found by the same sort and reported, but stay in the text. The
 
 Defined cases: a null text is empty; texts under ``PASSAGE`` bytes have no repeats; repeated rows
 are documents of their own, so they repeat each other; repeated or null ids are told apart by
-their text (same id and same text give the same result on each row).
+their text (same id and same text give the same result on each row); very long texts are cut into
+pieces that overlap; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -200,32 +201,26 @@ def repeated_windows(parts: list[bytes], windows: list[int]) -> list[Ranges]:
 
 
 _RANGE = pa.list_(pa.int64())
-_SEGMENTS = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("g", pa.int64()), ("q", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("c", pa.int32()), ("l", pa.int32())])
-_SEGMENTS_DDL = "k long, t int, g long, q long, s int, e int, c int, l int"
+_SEGMENTS = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("g", pa.int64()), ("q", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("c", pa.int32()), ("l", pa.int32())])
+_SEGMENTS_DDL = "k long, t long, g long, q long, s int, e int, c int, l int"
 _RANGES = pa.schema([("g", pa.int64()), ("q", pa.int64()), ("r", _RANGE), ("p", _RANGE)])
 _RANGES_DDL = "g long, q long, r array<long>, p array<long>"
 _FETCHED = pa.schema([("g", pa.int64()), ("q", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("body", pa.binary()), ("o", pa.int32()), ("whole", pa.bool_()), ("w", pa.binary())])
 _FETCHED_DDL = "g long, q long, n int, c int, body binary, o int, whole boolean, w binary"
 
 
-def mark_of(body: bytes) -> int:
-    """Tells texts of one id apart."""
-    return (xxh3_64_intdigest(body) & 0xFFFFFFFF) - (1 << 31)
-
-
 def _all_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-        marks = [mark_of(t) for t in texts]
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
         rows = list(segments(texts))
         if rows:
             i, s, e, c, n, g, q = zip(*rows, strict=True)
             as_long = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.int64()), pa.array([marks[x] for x in i], pa.int32()), pa.array(as_long(g)), pa.array(as_long(q)), *(pa.array(x, pa.int32()) for x in (s, e, c, n))], schema=_SEGMENTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(as_long(g)), pa.array(as_long(q)), *(pa.array(x, pa.int32()) for x in (s, e, c, n))], schema=_SEGMENTS)
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, t, wanted): the bytes of the wanted segments, or the hashes of each window of hot ones."""
+    """Rows (text, wanted): the bytes of the wanted segments, or the hashes of each window of hot ones."""
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in _FETCHED}
 
@@ -233,10 +228,8 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name, value in zip(out, values, strict=True):  # noqa: B023
                 out[name].append(value)  # noqa: B023
 
-        for text, t, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for text, wanted in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
             body = (text or "").encode("utf-8", "surrogatepass")
-            if mark_of(body) != t:
-                continue
             for x in wanted:
                 part, n = body[x["s"] : x["e"] + LENGTH], x["e"] - x["s"] + 1
                 if not x["hot"]:
@@ -312,17 +305,17 @@ _CUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary
 
 
 def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """``k, t, spans, passages`` per id (null as the smallest long) and text mark: the byte ranges
+    """``k, t, spans, passages`` per key of an id and hash of a text: the byte ranges
     (first << 32 | end) that repeated strings of ``LENGTH`` cover, and those of ``PASSAGE``."""
     rows = _keyed(documents, doc_id, text)
-    found = written(rows.select("k", "text").mapInArrow(_all_segments, _SEGMENTS_DDL))
+    found = written(rows.select("k", "t", "text").mapInArrow(_all_segments, _SEGMENTS_DDL))
     # small tables are written before they are joined: a join of plain scans can split a hot key
     again = written(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("g2")))
     shared = written(found.join(again, F.col("g") == F.col("g2"), "left_semi"))
     contents = written(shared.groupBy("g", "q").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "s", "e", "c", "l")).alias("one")))
     several = written(contents.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("g2"), (F.col("m") > hot).alias("hot")))
     wanted = contents.join(several, F.col("g") == F.col("g2")).select("one.*", "g", "q", "hot").groupBy("k", "t").agg(F.collect_list(F.struct("g", "q", "s", "e", "c", "hot")).alias("wanted"))
-    fetched = written(rows.select("k", "text").join(wanted, "k").select("text", "t", "wanted").mapInArrow(_fetch, _FETCHED_DDL))
+    fetched = written(rows.join(wanted, ["k", "t"]).select("text", "wanted").mapInArrow(_fetch, _FETCHED_DDL))
     bodies = fetched.where("body is not null").select("g", "q", "n", "c", "body")
     tasks = int(-(-(bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // SORTED)) or 1
     sorted_out = bodies.repartition(tasks, "g").sortWithinPartitions("g", "q").mapInArrow(_sort, _RANGES_DDL)
@@ -338,13 +331,19 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     repeats = contents.where("n > 1").select("g", "q", run(F.col("one.l")).alias("r"), run(F.col("one.e") - F.col("one.s") + 1).alias("p"))
     marks = repeats.unionByName(written(sorted_out)).unionByName(counted).select(F.col("g").alias("g2"), F.col("q").alias("q2"), "r", "p")
     placed = lambda c, length: F.transform(c, lambda x: x + F.col("s") * F.lit((1 << 32) + 1) + F.lit(length)).alias(c)
-    marked = shared.join(marks, (F.col("g") == F.col("g2")) & (F.col("q") == F.col("q2"))).select("k", "t", placed("r", LENGTH), placed("p", PASSAGE))
+    # rows of one id and text mark the same places: each place once, however many such rows there are
+    places = shared.select("k", "t", "g", "q", "s").distinct()
+    marked = places.join(marks, (F.col("g") == F.col("g2")) & (F.col("q") == F.col("q2"))).select("k", "t", placed("r", LENGTH), placed("p", PASSAGE))
     return marked.groupBy("k", "t").agg(F.flatten(F.collect_list("r")).alias("spans"), F.flatten(F.collect_list("p")).alias("passages"))
 
 
 def _keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    id_ = F.col(doc_id).cast("long")
-    return documents.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(-(1 << 63))).alias("k"), F.col(text).alias("text"))
+    """Rows meet their own results by id and hash of the text, so that neither null nor repeated ids gather.
+
+    Rows with both the same share their results. A null id takes the hash's place too.
+    """
+    id_, mark = F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return documents.select(id_.alias("doc_id"), F.coalesce(id_, mark).alias("k"), mark.alias("t"), F.col(text).alias("text"))
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, with_bytes: bool = True) -> DataFrame:
@@ -353,19 +352,15 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     ``n_repeated``: the bytes that strings of ``PASSAGE`` bytes cover which also start elsewhere.
     """
     spans = repeated_spans(documents, doc_id, text, hot)
-    # one row per id; texts of the same id are told apart by their mark in the task
-    by_id = spans.groupBy(F.col("k").alias("k2")).agg(F.collect_list(F.struct("t", "spans", "passages")).alias("by_text"))
-    joined = _keyed(documents, doc_id, text).join(by_id, F.col("k") == F.col("k2"), "left").select("doc_id", "text", "by_text")
+    joined = _keyed(documents, doc_id, text).join(spans, ["k", "t"], "left").select("doc_id", "text", "spans", "passages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in _CUT}
-            for id_, text_, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for id_, text_, spans_, passages in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 body = (text_ or "").encode("utf-8", "surrogatepass")
-                mark = mark_of(body) if own else None
-                found = next((x for x in own or [] if x["t"] == mark), {"spans": [], "passages": []})
-                n, runs, kept = remaining(body, found["spans"])
-                repeated = sum(b - a for a, b in runs_of(found["passages"]))
+                n, runs, kept = remaining(body, spans_ or [])
+                repeated = sum(b - a for a, b in runs_of(passages or []))
                 for name, value in zip(out, (id_, len(body), n, runs, kept if with_bytes else None, hashlib.sha256(kept).hexdigest(), repeated), strict=True):
                     out[name].append(value)
             if out["doc_id"]:

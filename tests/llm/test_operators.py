@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -478,6 +479,20 @@ def test_repeated_strings(docs, hot):
     assert all(hashlib.sha256(g.kept).hexdigest() == g.kept_sha256 for g in got)
 
 
+@pytest.mark.parametrize("ids", ["null", "same", "both"])
+def test_rows_without_an_id_of_their_own(spark, ids):
+    """Hundreds of rows that share or lack an id: the right results, and work that grows with the rows."""
+    r = random.Random(21)
+    shared = words(r, 160)
+    texts = [words(r, 60) + " " + (shared if i % 3 == 0 else "") + words(r, 60) for i in range(300)] + [shared] * 200
+    rows = [({"null": None, "same": 7, "both": (None, 7)[i % 2]}[ids], t) for i, t in enumerate(texts)]
+    began = time.time()
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert time.time() - began < 60
+    want = Counter((x[0], *y) for x, y in zip(rows, brute_repeats([t for _, t in rows]), strict=True))
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
+
+
 def test_passages_across_pieces_and_runs(spark, monkeypatch):
     """Passages of all lengths in other texts, repeats within a text, and pieces that cut texts anywhere."""
     r = random.Random(21)
