@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.scalars import ASSET_BASE, interaction_id
 
+from .topn import first_n
+
 # Fixed values of the rules.
 FUSIONS = ("unimodal", "early", "neural_concat", "attention", "self_attention", "cross_attention", "self_cross_attention")
 ROLES = ("speaker", "listener")
@@ -175,8 +177,7 @@ def audit_verdict(errors: DataFrame) -> DataFrame:
 
 def error_examples(errors: DataFrame, most: int = 5) -> DataFrame:
     """At most ``most`` rows per experiment and kind of error, by sample and stream."""
-    w = Window.partitionBy("experiment", "error_kind").orderBy("sample_key", "stream_idx")
-    return errors.where("error_kind IS NOT NULL").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    return first_n(errors.where("error_kind IS NOT NULL"), ["experiment", "error_kind"], ["sample_key", "stream_idx"], most, "n")
 
 
 def empty_source_check(manifest: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,37 @@ def resume_skip(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return tasks.join(done.where("bytes > 0").select(key), key, "left_anti")
 
 
+def fingerprints(inputs: DataFrame, key: str, params: dict[str, str]) -> DataFrame:
+    """``key, fingerprint, params``: what the rows of each key and the parameters come down to.
+
+    Sums and counts of 64-bit row hashes under two seeds, combined before the shuffle: the order of
+    the rows doesn't matter, their number does.
+    """
+    rest = sorted(c for c in inputs.columns if c != key)
+    row = F.struct(*[F.col(c) for c in rest]) if rest else F.lit(0)
+    text = json.dumps(params, sort_keys=True)
+    total = lambda seed: F.sum(F.xxhash64(row, F.lit(seed)).cast("decimal(38,0)")).cast("string")
+    hashed = F.sha2(F.concat_ws("|", F.count("*").cast("string"), total(1), total(2), F.lit(text)), 256)
+    return inputs.groupBy(F.col(key).cast("string").alias(key)).agg(hashed.alias("fingerprint"), F.lit(text).alias("params"))
+
+
+def resume_plan(now: DataFrame, sidecars: DataFrame, key: str) -> DataFrame:
+    """``key, fingerprint, params, reason`` of all keys; those with reason ``done`` need no work.
+
+    ``now``: fingerprints of the inputs at hand; ``sidecars``: those stored beside the outputs. Work
+    is to do where there is no sidecar, the output is empty, or inputs or parameters have changed.
+    """
+    old = sidecars.select(F.col(key).cast("string").alias(key), F.col("fingerprint").alias("_old"), F.col("params").alias("_params"), "n_rows")
+    reason = (
+        F.when(F.col("_old").isNull(), "no_sidecar")
+        .when(F.coalesce("n_rows", F.lit(0)) == 0, "empty_output")
+        .when(F.col("_params") != F.col("params"), "changed_parameter")
+        .when(F.col("_old") != F.col("fingerprint"), "changed_input")
+        .otherwise("done")
+    )
+    return now.join(old, key, "left").select(key, "fingerprint", "params", reason.alias("reason"))
+
+
 def finite_counts(array: Column) -> Column:
     """Struct ``n_nan, n_inf, ok`` of a numeric array."""
     nan = F.size(F.filter(array, lambda x: F.isnan(x)))

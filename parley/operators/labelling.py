@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from parley.functions.scalars import BACKCHANNEL_WORDS, is_backchannel_token, sample_key
 
 from .dyads import perspectives
-from .graphs import written
 from .intervals import overlapping, voiced_at, words_in_utterance
+from .timeindex import at_points, holds, stored, time_index, touching, turn_end
 
 TAUS = (100, 200, 400, 500, 800, 1600)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """What makes a listener utterance substantive or a backchannel."""
@@ -28,8 +33,8 @@ class Thresholds:
     lexicon: tuple[str, ...] = BACKCHANNEL_WORDS
 
 
-def sample_grid(manifest: DataFrame, intervals: DataFrame, stride_ms: int = 500, window_s: float = 2.0, max_tau_ms: int = 1600) -> DataFrame:
-    """Sample points of both perspectives of each dyad where the speaker is voiced.
+def grid_points(manifest: DataFrame, stride_ms: int = 500, window_s: float = 2.0, max_tau_ms: int = 1600) -> DataFrame:
+    """Sample points of both perspectives of each dyad, voiced or not.
 
     ``manifest`` holds ``interaction_id, file_id_a, file_id_b, split, duration_s``.
     """
@@ -37,7 +42,12 @@ def sample_grid(manifest: DataFrame, intervals: DataFrame, stride_ms: int = 500,
     last = F.col("duration_s") - max_tau_ms / 1000.0
     n = F.floor((last - window_s) / (stride_ms / 1000.0)).cast("int")
     grid = p.where(last > window_s).withColumn("i", F.explode(F.sequence(F.lit(0), n))).withColumn("t", F.lit(window_s) + F.col("i") * (stride_ms / 1000.0)).where(F.col("t") <= last)
-    return voiced_at(grid.drop("duration_s"), intervals, "file_id", "t")
+    return grid.drop("duration_s")
+
+
+def sample_grid(manifest: DataFrame, intervals: DataFrame, stride_ms: int = 500, window_s: float = 2.0, max_tau_ms: int = 1600) -> DataFrame:
+    """Sample points of both perspectives of each dyad where the speaker is voiced."""
+    return voiced_at(grid_points(manifest, stride_ms, window_s, max_tau_ms), intervals, "file_id", "t")
 
 
 def is_substantive(duration_ms: Column, n_words: Column, n_other: Column, th: Thresholds) -> Column:
@@ -87,40 +97,74 @@ def utterance_stats(samples: DataFrame, intervals: DataFrame, words: DataFrame,
     return long.select("file_id", "i", "tau_ms", "iv_seg_idx", "iv_start_s", "c_start", c_end.alias("c_end"), (F.col("c_start") < c_end).alias("is_part"), ((c_end - F.col("c_start")) * 1000.0).alias("duration_ms"), "n_words", "n_other", F.col("h").between(F.col("iv_start_s"), F.col("iv_end_s")).alias("voiced_h"))
 
 
-def label_samples(samples: DataFrame, intervals: DataFrame, words: DataFrame, taus: tuple[int, ...] = TAUS, th: Thresholds = Thresholds()) -> DataFrame:
-    """``samples`` (columns ``file_id, other_file_id, i, t`` and more) times taus, with ``label``."""
-    u = utterance_stats(samples, intervals, words, taus, th)
-    args = (F.col("duration_ms"), F.col("n_words"), F.col("n_other"), th)
-    listener = u.groupBy("file_id", "i", "tau_ms").agg(
-        F.min(F.when(F.col("is_part") & is_substantive(*args), F.struct("c_start", "iv_start_s", "iv_seg_idx")))["c_start"].alias("first_start"),
-        F.bool_or(F.col("is_part") & is_backchannel(*args)).alias("any_backchannel"),
-        F.bool_or("voiced_h").alias("b_voiced"),
-    )
-    longest = max(taus) / 1000.0
-    own = overlapping(samples.select("file_id", "i", "t").withColumn("h", F.col("t") + longest), intervals, "file_id", "t", "h")
-    at = F.col("t").between(F.col("iv_start_s"), F.col("iv_end_s"))
-    voiced = [F.bool_or((F.col("t") + tau / 1000.0).between(F.col("iv_start_s"), F.col("iv_end_s"))).alias(f"a{tau}") for tau in taus]
-    speaker = own.groupBy("file_id", "i").agg(F.min(F.when(at, F.struct("iv_start_s", "iv_seg_idx", "iv_end_s")))["iv_end_s"].alias("a_turn_end"), *voiced)
-    cells = F.array(*[F.struct(F.lit(tau).alias("tau_ms"), F.col(f"a{tau}").alias("a_voiced")) for tau in taus])
-    speaker = speaker.select("file_id", "i", "a_turn_end", F.explode(cells).alias("x")).select("file_id", "i", "a_turn_end", "x.*")
-    both = samples.join(speaker, ["file_id", "i"]).join(listener, ["file_id", "i", "tau_ms"], "left")
-    no = F.lit(False)
-    label = classify(F.col("a_turn_end"), F.col("first_start"), F.col("a_voiced"), F.coalesce("b_voiced", no), F.coalesce("any_backchannel", no), th)
-    return both.withColumn("label", label).drop("a_turn_end", "a_voiced", "first_start", "any_backchannel", "b_voiced")
-
-
-def label_windows(manifest: DataFrame, intervals: DataFrame, words: DataFrame, taus: tuple[int, ...] = TAUS, th: Thresholds = Thresholds(), stride_ms: int = 500, window_s: float = 2.0, skip_empty: bool = False) -> DataFrame:
+def _label_at(t: Column, tau_s: Column, own: Column, utterances: Column, th: Thresholds) -> Column:
+    """The label at one horizon. ``own``: intervals of the speaker around ``t``; ``utterances``: the
+    listener's intervals that start or go on after ``t``, with clipped start and words."""
+    h = t + tau_s
+
+    def measured(u: Column) -> Column:
+        end = F.least(u["end_s"], h)
+        heard = F.filter(u["words"], lambda w: w["start_s"] <= end)
+        total = lambda f: F.aggregate(heard, F.lit(0).cast("long"), lambda a, w: a + f(w))
+        args = ((end - u["c_start"]) * 1000.0, total(lambda w: w["n"]), total(lambda w: w["n"] * w["other"]), th)
+        part = u["c_start"] < end
+        return F.struct(u["c_start"].alias("c_start"), (part & is_substantive(*args)).alias("substantive"), (part & is_backchannel(*args)).alias("backchannel"), h.between(u["start_s"], u["end_s"]).alias("voiced"))
+
+    def tree(m: Column) -> Column:
+        first = F.array_min(F.transform(F.filter(m, lambda u: u["substantive"]), lambda u: u["c_start"]))
+        return classify(turn_end(own, t), first, holds(own, h), F.exists(m, lambda u: u["voiced"]), F.exists(m, lambda u: u["backchannel"]), th)
+
+    return let(F.transform(utterances, measured), tree)
+
+
+def _labelled(joined: DataFrame, taus: tuple[int, ...], th: Thresholds) -> DataFrame:
+    """Rows with ``t``, ``_own``, ``_other`` and ``_words`` to a row for each tau, with ``label``."""
+    t, last = F.col("t"), F.col("t") + max(taus) / 1000.0
+    none = F.expr("cast(array() as array<struct<start_s: double, seg_idx: bigint, end_s: double>>)")
+    words = F.coalesce("_words", F.expr("cast(array() as array<struct<start_s: double, other: int, n: bigint>>)"))
+
+    def clipped(v: Column) -> Column:
+        start = F.greatest(v["start_s"], t)
+        return F.struct(start.alias("c_start"), v["start_s"], v["end_s"], F.filter(words, lambda w: (w["start_s"] >= start) & (w["start_s"] <= v["end_s"])).alias("words"))
+
+    heard = F.transform(F.coalesce(touching(F.col("_other"), t, last), none.cast(joined.schema["_other"].dataType)), clipped)
+    ready = joined.withColumn("_u", heard).drop("_other", "_words")
+    horizons = F.array(*[F.struct(F.lit(tau).alias("tau_ms"), F.lit(tau / 1000.0).alias("s")) for tau in taus])
+    cells = F.transform(horizons, lambda x: F.struct(x["tau_ms"].alias("tau_ms"), _label_at(t, x["s"], F.col("_own"), F.col("_u"), th).alias("label")))
+    return ready.withColumn("_x", F.explode(cells)).withColumns({"tau_ms": F.col("_x.tau_ms"), "label": F.col("_x.label")}).drop("_own", "_u", "_x")
+
+
+def label_samples(samples: DataFrame, intervals: DataFrame, words: DataFrame, taus: tuple[int, ...] = TAUS, th: Thresholds = Thresholds(), index: DataFrame | None = None) -> DataFrame:
+    """``samples`` (columns ``file_id, other_file_id, i, t`` and more) times taus, with ``label``.
+
+    ``index``: a stored time index that reaches the longest tau at least, made from ``intervals``
+    and ``words`` if there is none. The samples are dealt twice, by either side's recording and time
+    bucket; intervals and words aren't moved, and nothing is grouped. Samples whose speaker has
+    no interval from the point to the longest horizon are left out.
+    """
+    index = stored(time_index(intervals, words, max(taus) / 1000.0, th.lexicon)) if index is None else index
+    t, last = F.col("t"), F.col("t") + max(taus) / 1000.0
+    own = at_points(samples, index, "file_id", "t", {"intervals": "_own"}).where(F.size(touching(F.col("_own"), t, last)) > 0)
+    both = at_points(own, index, "other_file_id", "t", {"intervals": "_other", "words": "_words"}, "left")
+    return _labelled(both, taus, th)
+
+
+def label_windows(manifest: DataFrame, intervals: DataFrame, words: DataFrame, taus: tuple[int, ...] = TAUS, th: Thresholds = Thresholds(), stride_ms: int = 500, window_s: float = 2.0, skip_empty: bool = False, max_tau_ms: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """``sample_key, interaction_id, file_id, split, t_ms, tau_ms, label`` for every sample and tau.
 
-    With ``skip_empty`` dyads of which a side has no interval at all are left out. The sample points
-    are written once: the speaker side, the listener side and the result all start from them.
+    With ``skip_empty`` dyads of which a side has no interval at all are left out. ``max_tau_ms``
+    (the longest tau if not given) ends the sample points. A stored ``index`` can serve many calls;
+    filters on splits, dyads and taus of the result reach the manifest and the taus.
     """
     ok = manifest
     if skip_empty:
         for side in ("file_id_a", "file_id_b"):
             ok = ok.join(intervals.select(F.col("file_id").alias(side)).distinct(), side, "left_semi")
-    samples = written(sample_grid(ok, intervals, stride_ms, window_s, max(taus)))
-    out = label_samples(samples, intervals, words, taus, th)
+    index = stored(time_index(intervals, words, max(taus) / 1000.0, th.lexicon)) if index is None else index
+    grid = grid_points(ok, stride_ms, window_s, max_tau_ms or max(taus))
+    spoken = at_points(grid, index, "file_id", "t", {"intervals": "_own"}).where(holds(F.col("_own"), F.col("t")))
+    both = at_points(spoken, index, "other_file_id", "t", {"intervals": "_other", "words": "_words"}, "left")
+    out = _labelled(both, taus, th)
     return out.select(sample_key("file_id", "t").alias("sample_key"), "interaction_id", "file_id", "split", F.rint(F.col("t") * 1000.0).cast("long").alias("t_ms"), "tau_ms", "label")
 
 

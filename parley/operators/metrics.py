@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graphs import written
+from .medians import with_medians
+
 
 def summarize_samples(samples: DataFrame) -> DataFrame:
     """Counts in total, per split, per class and per both (null where not grouped)."""
@@ -92,9 +95,10 @@ def grouped_metrics(preds: DataFrame, keys: tuple[str, ...] = GROUP_KEYS, k: int
 
 
 def group_metric_spread(grouped: DataFrame, metric: str = "macro_f1", by: tuple[str, ...] = ("group_kind",)) -> DataFrame:
-    """Mean, sample standard deviation, extremes and median of a metric over groups."""
-    m = F.col(metric)
-    return grouped.groupBy(*by).agg(F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"), F.min(m).alias("min"), F.max(m).alias("max"), F.median(m).alias("median"), F.count("*").alias("n_groups"))
+    """Mean, sample standard deviation, extremes and exact median of a metric over groups."""
+    rows, m = written(grouped.select(*by, metric)), F.col(metric)
+    plain = rows.groupBy(*by).agg(F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"), F.min(m).alias("min"), F.max(m).alias("max"), F.count("*").alias("n_groups"))
+    return with_medians(plain, rows, list(by), {"median": metric})
 
 
 def class_distribution(df: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
@@ -134,16 +138,21 @@ _LABEL_SUMMARY = (
 _VIDEO_LABEL = ("mean_peak_corr", "median_peak_corr", "mean_zero_lag_abs_corr", "mean_best_lag_sec", "mean_abs_best_lag_sec", "mean_speaker_lead_ratio", "mean_listener_lead_ratio", "mean_zero_lag_ratio", "mean_high_sync_ratio")
 
 
-def _named(names: tuple[str, ...] | None = None) -> list[Column]:
-    return [getattr(F, f)(c).alias(out) for out, c, f in _LABEL_SUMMARY if names is None or out in names]
+def _summary(stats: DataFrame, by: list[str], first: list[Column], names: tuple[str, ...]) -> DataFrame:
+    """The named statistics of a group; medians are found apart, as a group may hold all windows."""
+    chosen = [x for x in _LABEL_SUMMARY if x[0] in names]
+    rows = written(stats.select(*by, *sorted({c for _, c, _ in chosen})))
+    plain = rows.groupBy(*by).agg(*first, *[getattr(F, f)(c).alias(out) for out, c, f in chosen if f != "median"])
+    return with_medians(plain, rows, by, {out: c for out, c, f in chosen if f == "median"})
 
 
 def coordination_label_summary(stats: DataFrame, window_s: float = 2.0) -> DataFrame:
-    return stats.groupBy("label").agg(F.count("*").alias("n_windows"), (F.lit(window_s) * F.count("*")).alias("total_duration_s"), *_named())
+    first = [F.count("*").alias("n_windows"), (F.lit(window_s) * F.count("*")).alias("total_duration_s")]
+    return _summary(stats, ["label"], first, tuple(out for out, *_ in _LABEL_SUMMARY))
 
 
 def coordination_video_label(stats: DataFrame) -> DataFrame:
-    return stats.groupBy("file_id", "label").agg(F.count("*").alias("n_windows"), *_named(_VIDEO_LABEL))
+    return _summary(stats, ["file_id", "label"], [F.count("*").alias("n_windows")], _VIDEO_LABEL)
 
 
 def annotation_coverage(dyads: DataFrame, annotations: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .topn import first_n_by_hash
+
 # The order of the experiments within each block, and the blocks' titles.
 BLOCK_ORDER = {
     "standard": ["cpc_both_early", "cpc_both_neural_concat", "cpc_speaker_of_listener", "cpc_speaker_of_dyad", "full_dyad"],
@@ -117,5 +119,4 @@ def early_stop_epoch(history: DataFrame, metric: str, by: list[str], patience: i
 
 def cap_per_split(samples: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """The first n rows of each split in a seeded hash order, the same in every run."""
-    w = Window.partitionBy("split").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return samples.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    return first_n_by_hash(samples, ["split"], n, key, seed)

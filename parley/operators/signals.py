@@ -12,6 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import written
+from .medians import with_medians
+
 MAX_LAG = 10
 FPS = 30.0
 
@@ -83,20 +86,78 @@ def _pearson(xs: Column, ys: Column) -> Column:
     return F.when(n < 3, 0.0).otherwise(F.when(r.isNull() | F.isnan(r) | (F.abs(r) == float("inf")), 0.0).otherwise(r))
 
 
+def _subs(n: Column, win: int, stride: int) -> tuple[Column, Column, Column]:
+    """Length, step and number (from 0) of the sub-windows of a series of ``n`` frames."""
+    w = F.least(n, F.lit(win))
+    step = F.when(n < win, n).otherwise(F.lit(stride))
+    return w, step, F.explode(F.sequence(F.lit(0), F.floor((n - w) / step).cast("int")))
+
+
 def wcc_pearson(frames: DataFrame, win: int = 60, stride: int = 60, max_lag: int = MAX_LAG) -> DataFrame:
     """``window_id, sub, feature, lag, corr``: Pearson correlation per lag in each sub-window.
 
     A series shorter than ``win`` is one sub-window. Too short or constant parts give 0.
+    Sub-windows that overlap share running sums, so their number costs two look-ups each.
     """
+    return _pearson_by_sums(frames, win, stride, max_lag) if stride < win else _pearson_by_slices(frames, win, stride, max_lag)
+
+
+def _pearson_by_slices(frames: DataFrame, win: int, stride: int, max_lag: int) -> DataFrame:
     s = series(frames, ["window_id", "feature"])
-    n = F.size("xs")
-    w = F.least(n, F.lit(win))
-    step = F.when(n < win, n).otherwise(F.lit(stride))
-    cut = s.withColumn("_w", w).withColumn("_step", step).withColumn("sub", F.explode(F.sequence(F.lit(0), F.floor((n - w) / step).cast("int"))))
+    w, step, sub = _subs(F.size("xs"), win, stride)
+    cut = s.withColumn("_w", w).withColumn("_step", step).withColumn("sub", sub)
     part = cut.select("window_id", "sub", "feature", F.slice("xs", F.col("sub") * F.col("_step") + 1, F.col("_w")).alias("xs"), F.slice("ys", F.col("sub") * F.col("_step") + 1, F.col("_w")).alias("ys"))
     return _lagged(part, max_lag).select("window_id", "sub", "feature", "lag", _pearson(F.col("xs"), F.col("ys")).alias("corr"))
 
 
+#: A part whose variance is under this share of its series' sum of squares is computed from its
+#: slice: the difference of two running sums would have lost the digits.
+FAINT = 1e-6
+
+
+def _pearson_by_sums(frames: DataFrame, win: int, stride: int, max_lag: int) -> DataFrame:
+    """Running sums of x, y, their squares and, for each lag, their products, taken once a series."""
+    keys = ["window_id", "feature"]
+    whole = Window.partitionBy(*keys)
+    ordered = whole.orderBy("frame")
+    to_here = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lags = list(range(-max_lag, max_lag + 1))
+    # sums are taken of what lies around the mean of the series; correlation does not change by that
+    around = frames.select(*keys, "frame", *[(F.col(c) - F.avg(c).over(whole)).alias(c) for c in ("x", "y")])
+    # the product of a lag stands at the later of its two frames
+    product = lambda k: F.coalesce(F.col("x") * F.lag("y", k).over(ordered) if k >= 0 else F.col("y") * F.lag("x", -k).over(ordered), F.lit(0.0))
+    pairs = around.withColumns({f"_p{i}": product(k) for i, k in enumerate(lags)})
+    sums = pairs.select(
+        *keys, "frame", "x", "y",
+        *[F.sum(v).over(to_here).alias(c) for c, v in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("syy", F.col("y") * F.col("y")))],
+        F.array(*[F.sum(f"_p{i}").over(to_here) for i in range(len(lags))]).alias("sxy"),
+    )
+    fields = ("x", "y", "sx", "sy", "sxx", "syy", "sxy")
+    packed = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", *fields))).alias("_s"))
+    s = packed.select(*keys, *[F.col("_s")[f].alias(f) for f in fields])
+    w, step, sub = _subs(F.size("x"), win, stride)
+    cut = s.withColumn("_w", w).withColumn("_step", step).withColumn("sub", sub).withColumn("lag", F.explode(F.array(*map(F.lit, lags))))
+    lag, size = F.col("lag"), F.col("_w")
+    first, m = F.col("sub") * F.col("_step"), F.greatest(size - F.abs(lag), F.lit(0))
+    x0, y0 = first + F.greatest(lag, F.lit(0)), first + F.greatest(-lag, F.lit(0))
+
+    def between(sum_: str, start: Column) -> Column:
+        """The sum over ``m`` frames from ``start``."""
+        return F.get(F.col(sum_), start + m - 1) - F.coalesce(F.get(F.col(sum_), start - 1), F.lit(0.0))
+
+    at = lambda i: F.coalesce(F.get(F.get(F.col("sxy"), i), lag + max_lag), F.lit(0.0))
+    end = first + size - 1
+    parts = F.struct(between("sx", x0).alias("x"), between("sy", y0).alias("y"), between("sxx", x0).alias("xx"), between("syy", y0).alias("yy"), (at(end) - at(first + F.abs(lag) - 1)).alias("xy"))
+    slices = _pearson(F.slice("x", x0 + 1, m), F.slice("y", y0 + 1, m))
+
+    def r(p: Column) -> Column:
+        xx, yy = p["xx"] - p["x"] * p["x"] / m, p["yy"] - p["y"] * p["y"] / m
+        clear = (xx > FAINT * F.element_at("sxx", -1)) & (yy > FAINT * F.element_at("syy", -1)) & (xx / m > 1e-14) & (yy / m > 1e-14)
+        return F.when(clear, (p["xy"] - p["x"] * p["y"] / m) / F.sqrt(xx * yy)).otherwise(slices)
+
+    return cut.select("window_id", "sub", "feature", "lag", F.when(m < 3, 0.0).otherwise(let(parts, r)).alias("corr"))
+
+
 def _peaks(wcc: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: the lag of the largest absolute correlation (lowest lag on ties), and lag 0."""
     best = F.max(F.struct(F.abs("corr").alias("a"), (-F.col("lag")).alias("nl"), F.col("corr").alias("c")))
@@ -119,11 +180,10 @@ def _lead_columns(fps: float) -> list[Column]:
 
 def wcc_summary(wcc: DataFrame, threshold: float = 0.5, fps: float = FPS, keys: tuple[str, ...] = ("window_id",), sub: tuple[str, ...] = ("sub",)) -> DataFrame:
     """19 scalars per window over its sub-windows and features."""
-    p = _peaks(wcc, [*keys, *sub, "feature"])
-    return p.groupBy(*keys).agg(
+    p = written(_peaks(wcc, [*keys, *sub, "feature"]))
+    plain = p.groupBy(*keys).agg(
         F.avg("peak").alias("mean_max_abs_corr"),
         F.stddev_pop("peak").alias("std_max_abs_corr"),
-        F.median("peak").alias("median_max_abs_corr"),
         F.max("peak").alias("max_abs_corr"),
         F.avg("signed").alias("mean_signed_peak_corr"),
         F.stddev_pop("signed").alias("std_signed_peak_corr"),
@@ -134,6 +194,7 @@ def wcc_summary(wcc: DataFrame, threshold: float = 0.5, fps: float = FPS, keys:
         (F.avg((F.col("best_lag") > 0).cast("double")) - F.avg((F.col("best_lag") < 0).cast("double"))).alias("listener_speaker_lead_score"),
         F.avg((F.col("peak") > threshold).cast("double")).alias("high_sync_ratio"),
     )
+    return with_medians(plain, p, list(keys), {"median_max_abs_corr": "peak"})
 
 
 def window_coordination_stats(wcc: DataFrame, threshold: float = 0.3, fps: float = FPS, keys: tuple[str, ...] = ("window_id",)) -> DataFrame:
@@ -143,9 +204,9 @@ def window_coordination_stats(wcc: DataFrame, threshold: float = 0.3, fps: float
     top = F.max(F.struct(F.abs("corr").alias("a"), (-F.col("lag")).alias("nl"), (-F.col("feature")).alias("nf"), F.col("corr").alias("c")))
     peak = wcc.groupBy(*k).agg(top.alias("g"))
     profile = wcc.groupBy(*k, "lag").agg(F.avg(F.abs("corr")).alias("a"), F.avg("corr").alias("s")).groupBy(*k).agg(F.max(F.struct("a", (-F.col("lag")).alias("nl"), "s")).alias("m"))
-    rest = _peaks(wcc, [*k, "feature"]).groupBy(*k).agg(
+    per_feature = written(_peaks(wcc, [*k, "feature"]))
+    plain = per_feature.groupBy(*k).agg(
         F.avg("peak").alias("mean_max_abs_corr"),
-        F.median("peak").alias("median_max_abs_corr"),
         F.stddev_pop("peak").alias("std_max_abs_corr"),
         F.avg("zero").alias("mean_zero_lag_corr"),
         F.avg(F.abs("zero")).alias("mean_abs_zero_lag_corr"),
@@ -153,6 +214,7 @@ def window_coordination_stats(wcc: DataFrame, threshold: float = 0.3, fps: float
         *_lead_columns(fps),
         F.avg((F.col("peak") >= threshold).cast("double")).alias("high_sync_ratio"),
     )
+    rest = with_medians(plain, per_feature, k, {"median_max_abs_corr": "peak"})
     both = rest.join(peak, k).join(profile, k)
     lag = lambda c: (-F.col(c)).cast("int")
     return both.select(
@@ -211,13 +273,32 @@ def assemble_streams(samples: DataFrame, streams: DataFrame, features: DataFrame
 def label_segments(windows: DataFrame, partition: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """Runs of windows with one label in which each starts where the one before ended.
 
-    ``partition`` keeps files apart (and tasks small); an empty one treats all files as one.
+    ``partition`` keeps files apart; an empty one treats all files as one. Windows are dealt by
+    ranges of their order, so neither a long file nor all files together meet in one task: each
+    task finds the runs of its own range, and a small table of the ranges' first and last windows
+    says which runs go on and how many came before.
     """
-    keys = list(partition) or [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy("start_s", "end_s", "window_id")
-    new = F.coalesce((F.col("label") != F.lag("label").over(w)) | (F.col("start_s") != F.lag("end_s").over(w)), F.lit(True))
-    marked = windows.withColumn("_new", new.cast("int")).withColumn("segment_id", F.sum("_new").over(w))
-    return marked.groupBy(*partition, "segment_id", "label").agg(
+    keys, order = list(partition), ["start_s", "end_s", "window_id", "label"]
+    spark = windows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(windows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    follows = lambda label, end: F.coalesce((F.col("label") == label) & (F.col("start_s") == end), F.lit(False))
+    marked = dealt.withColumn("_goes_on", follows(F.lag("label").over(inside), F.lag("end_s").over(inside))).withColumn("_row", F.row_number().over(inside))
+    marked = marked.withColumn("_run", F.sum((~F.col("_goes_on")).cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # one row a range (and file in it): its first and last window, and its runs
+    ends = dealt.groupBy(*keys, "_part").agg(F.min(F.struct(*order)).alias("_first"), F.max(F.struct(*order)).alias("_last"))
+    runs = marked.groupBy(*keys, "_part").agg(F.max("_run").alias("_runs"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in [*keys, "_part"]]
+    table = written(ends.alias("e").join(runs.alias("r"), same("e", "r")).select("e.*", "r._runs"))
+    before = Window.partitionBy(*keys).orderBy("_part")
+    carried = table.withColumn("_last", F.lag("_last").over(before))
+    carried = carried.withColumn("_joins", F.coalesce((F.col("_last.label") == F.col("_first.label")) & (F.col("_last.end_s") == F.col("_first.start_s")), F.lit(False)).cast("long"))
+    # a range whose first run goes on has one new run less
+    added = F.sum(F.col("_runs") - F.col("_joins")).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_runs")
+    carried = carried.select(*keys, "_part", added.alias("_before"))
+    numbered = marked.alias("w").join(carried.alias("c"), same("w", "c")).select("w.*", (F.col("w._run") + F.col("c._before")).alias("segment_id"))
+    return numbered.groupBy(*partition, "segment_id", "label").agg(
         F.min("start_s").alias("start_s"),
         F.max("end_s").alias("end_s"),
         F.count("*").alias("n_windows"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parley.functions import scalars as S
@@ -37,8 +38,8 @@ def read_poc_manifest(spark, d):
 @query("read_labels", with_labels() + " SELECT sample_key, tau_ms, label FROM labels WHERE tau_ms = 400")
 def read_labels(spark, d):
     path = folder(spark)
-    sinks.write_labels(labels(spark, d).select("sample_key", "tau_ms", "label"), path, fmt="json")
-    return readers.read_labels(spark, f"{path}/tau_ms=400", 400, lines=True)
+    sinks.write_labels(labels(spark, d, (400,)).select("sample_key", "tau_ms", "label"), path, fmt="object")
+    return readers.read_labels(spark, f"{path}/tau_ms=400", 400)
 
 
 @query("write_labels", with_labels() + " SELECT sample_key, tau_ms, label FROM labels")
@@ -73,7 +74,8 @@ def read_lookup_csv(spark, d):
     path = folder(spark)
     c = spark.read.parquet(f"{d}/customer.parquet")
     counts = c.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-    counts.unionByName(counts).coalesce(1).write.option("header", True).csv(path)
+    # earlier rows of a key differ, so only the last one gives the right number
+    counts.withColumn("n", -F.col("n")).unionByName(counts.withColumn("n", F.lit(0).cast("long"))).unionByName(counts).coalesce(1).write.option("header", True).csv(path)
     return readers.read_lookup(spark, path, ["c_nationkey", "c_mktsegment"]).withColumn("n", F.col("n").cast("long"))
 
 
@@ -122,31 +124,52 @@ def write_summary_csvs(spark, d):
     return spark.read.option("header", True).schema("c_mktsegment string, n long").csv(f"{path}/segments")
 
 
-@query("read_json_features", "SELECT vec_id % 2 = 0 AS bare, count(*) AS n, 32 AS n_rows FROM embeddings GROUP BY ALL")
+@query("read_json_features", "SELECT vec_id % 16 AS part, vec_id % 2 = 0 AS bare, count(*) AS n_files, 32 AS n_rows, round(sum(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE)))), 6) AS total, round(sum(CAST(embedding[64] AS DOUBLE)), 6) AS last FROM embeddings GROUP BY ALL")
 def read_json_features(spark, d):
     path = folder(spark)
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     v = F.col("embedding").cast("array<double>")
     m = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.slice(v, i * 2 + 1, 2))
-    e.select("vec_id", F.when(F.col("vec_id") % 2 == 0, F.to_json(m)).otherwise(F.to_json(F.struct(m.alias("embeddings")))).alias("value")).write.parquet(path)
-    rows = spark.read.parquet(path)
-    found = readers.json_matrix(F.col("value"), F.col("vec_id").cast("string"))
-    return rows.select((F.col("vec_id") % 2 == 0).alias("bare"), F.size(found).alias("n_rows")).groupBy("bare", "n_rows").agg(F.count("*").alias("n"))
-
-
-@query("write_manifest", ctes(["v_manifest"], DUCKDB) + " SELECT split, interaction_id, vendor_id, label, relationship, relationship_detail, file_id_a, file_id_b, participant_a, participant_b FROM v_manifest")
+    text = F.when(F.col("vec_id") % 2 == 0, F.to_json(m)).when(F.col("vec_id") % 3 == 0, F.to_json(F.struct(m.alias("embeddings")))).otherwise(F.to_json(F.struct(m.alias("features"))))
+    # a file for each vector
+    rows = e.select(F.col("vec_id").alias("file"), F.concat(F.lit("m"), (F.col("vec_id") % 16).cast("string")).alias("part"), text.alias("value"))
+    rows.repartition(8, "file").write.option("maxRecordsPerFile", 1).partitionBy("part", "file").text(path)
+    found = readers.read_json_features(spark, path)
+    id_ = F.regexp_extract("path", r"file=(\d+)/", 1).cast("long")
+    flat = F.aggregate(F.flatten("matrix"), F.lit(0.0), lambda t, x: t + x)
+    read = found.select((id_ % 16).alias("part"), (id_ % 2 == 0).alias("bare"), F.size("matrix").alias("n_rows"), flat.alias("total"), F.element_at(F.element_at("matrix", -1), -1).alias("last"))
+    return read.groupBy("part", "bare", "n_rows").agg(F.count("*").alias("n_files"), F.round(F.sum("total"), 6).alias("total"), F.round(F.sum("last"), 6).alias("last"))
+
+
+@query("write_manifest", ctes(["v_manifest"], DUCKDB) + " SELECT CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS split_order, split, min(interaction_id) AS first_id, max(interaction_id) AS last_id, count(*) AS n, true AS in_order FROM v_manifest GROUP BY split")
 def write_manifest(spark, d):
+    """The files are read by their lines: the columns as they stand, and whether splits and ids are in order."""
     path = folder(spark)
     sinks.write_manifest(fixture(spark, d, "v_manifest"), path)
-    return spark.read.option("header", True).csv(path)
-
-
-@query("write_run_manifest", ctes(["v_manifest"], DUCKDB) + " SELECT split, count(*) AS n FROM v_manifest GROUP BY 1")
+    rows = spark.read.option("header", True).csv(path).select("split", "interaction_id", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    order = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
+    key = F.struct(order.alias("o"), "interaction_id")
+    # part files are numbered in order, and lines follow within one
+    w = Window.partitionBy("split").orderBy("file", "line")
+    marked = rows.withColumn("o", order).withColumn("up", F.coalesce(key > F.lag(key).over(w), F.lit(True)))
+    return marked.groupBy(F.col("o").alias("split_order"), "split").agg(F.min("interaction_id").alias("first_id"), F.max("interaction_id").alias("last_id"), F.count("*").alias("n"), F.bool_and("up").alias("in_order"))
+
+
+@query(
+    "write_run_manifest",
+    with_labels() + """ SELECT 'counts' AS part, CAST(tau_ms AS VARCHAR) || ' ' || split AS key, count(*) AS n, '500' AS stride_ms, 6 AS n_classes FROM labels GROUP BY tau_ms, split
+UNION ALL SELECT 'dyads', interaction_id, CASE WHEN relationship = 'stranger' THEN 1 ELSE 0 END, '500', 6 FROM v_manifest""",
+)
 def write_run_manifest(spark, d):
     path = folder(spark)
     m = fixture(spark, d, "v_manifest")
-    sinks.write_run_manifest({"stride_ms": "500"}, m.groupBy("split").agg(F.count("*").alias("n")), m.select("interaction_id"), path)
-    return spark.read.schema("split string, n long").json(f"{path}/counts")
+    counts = labels(spark, d).groupBy("tau_ms", "split").agg(F.count("*").alias("n"))
+    names = {0: "hold", 1: "yield", 2: "backchannel", 3: "interrupt", 4: "failed", 5: "lapse"}
+    sinks.write_run_manifest({"stride_ms": "500"}, counts, m.select("interaction_id", (F.col("relationship") == "stranger").alias("stranger")), path, names, ("yeah", "ok"))
+    head, counted, dyads = sinks.read_run_manifest(spark, path, "tau_ms int, split string, n long", "interaction_id string, stranger boolean")
+    known = [F.lit(head["config"]["stride_ms"]).alias("stride_ms"), F.lit(len(head["class_names"])).alias("n_classes")]
+    a = counted.select(F.lit("counts").alias("part"), F.concat_ws(" ", F.col("tau_ms").cast("string"), "split").alias("key"), "n", *known)
+    return a.unionByName(dyads.select(F.lit("dyads").alias("part"), F.col("interaction_id").alias("key"), F.col("stranger").cast("long").alias("n"), *known))
 
 
 @query("write_wcc", "SELECT event_type, event_id, value FROM events")
@@ -162,7 +185,7 @@ def write_wcc(spark, d):
 def read_coordination_csv(spark, d):
     path = folder(spark)
     c = spark.read.parquet(f"{d}/customer.parquet").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("peak"))
-    c.unionByName(c).coalesce(1).write.option("header", True).csv(path)
+    c.withColumn("peak", -F.col("peak")).unionByName(c).coalesce(1).write.option("header", True).csv(path)
     return readers.read_coordination(spark, path, ["c_nationkey", "c_mktsegment"], ["peak"])
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import scalars as S
 from parley.operators import dyads, filters, intervals, labelling, metrics
+from parley.operators.graphs import shared_folder
+from parley.sources import sinks
 
 from .fixtures import DUCKDB, TAUS, ctes, fixture
 from .label_sql import LEXICON, NORMAL, with_labels, with_samples, with_utterances
@@ -19,7 +23,7 @@ def V(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def labels(spark: SparkSession, d: str, taus: tuple[int, ...] = TAUS) -> DataFrame:
     m, i, w = V(spark, d)
-    return labelling.label_windows(m, i, w) if taus == TAUS else labelling.label_windows(m, i, w).where(F.col("tau_ms").isin(*taus))
+    return labelling.label_windows(m, i, w, taus, max_tau_ms=max(TAUS))
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +213,9 @@ def training_class_filter(spark, d):
 
 @query("split_filter", with_labels() + " SELECT sample_key, tau_ms, label FROM labels WHERE split = 'val'")
 def split_filter(spark, d):
-    return filters.split_filter(labels(spark, d), "val").select("sample_key", "tau_ms", "label")
+    path = f"{shared_folder(spark).rstrip('/')}/label-store-{uuid.uuid4().hex}"
+    sinks.write_label_store(labels(spark, d), path)
+    return filters.split_filter(sinks.read_label_store(spark, path, ["sample_key", "split", "tau_ms", "label"]), "val").select("sample_key", "tau_ms", "label")
 
 
 @query("exclude_ids", ctes(["v_manifest"], DUCKDB) + " SELECT interaction_id, split FROM v_manifest WHERE conv_id % 9 <> 4")
@@ -254,6 +260,24 @@ def resume_skip(spark, d):
     return filters.resume_skip(fixture(spark, d, "v_files"), fixture(spark, d, "t_assets"), "file_id").select("file_id")
 
 
+@query(
+    "resume_plan",
+    ctes(["v_manifest", "v_words", "v_files"], DUCKDB) + """, said AS (SELECT DISTINCT file_id FROM v_words), t AS (SELECT f.file_id, conv_id % 5 AS k FROM v_files f JOIN said USING (file_id))
+SELECT file_id, CASE k WHEN 0 THEN 'no_sidecar' WHEN 1 THEN 'empty_output' WHEN 2 THEN 'changed_parameter' WHEN 3 THEN 'changed_input' ELSE 'done' END AS reason FROM t""",
+)
+def resume_plan(spark, d):
+    """Sidecars as an earlier run would have left them: none, of an empty output, of other parameters, of other words, and good ones."""
+    f = fixture(spark, d, "v_files").select("file_id", (F.col("conv_id") % 5).alias("k"))
+    w = fixture(spark, d, "v_words").select("file_id", "word", "start_s")
+    path = f"{shared_folder(spark).rstrip('/')}/resume-{uuid.uuid4().hex}"
+    keyed = w.join(f, "file_id")
+    earlier = keyed.where("k <> 0").withColumn("word", F.when(F.col("k") == 3, F.concat("word", F.lit("x"))).otherwise(F.col("word")))
+    old = filters.fingerprints(earlier.where("k <> 2").drop("k"), "file_id", {"stride": "500"}).unionByName(filters.fingerprints(earlier.where("k = 2").drop("k"), "file_id", {"stride": "250"}))
+    sinks.write_with_sidecars(earlier.where("k <> 1").groupBy("file_id").agg(F.count("*").alias("n")), old, path, "file_id")
+    now = filters.fingerprints(w, "file_id", {"stride": "500"})
+    return filters.resume_plan(now, sinks.read_sidecars(spark, path, "file_id"), "file_id").select("file_id", "reason")
+
+
 @query("dominant_length", ctes(["t_assets"], DUCKDB) + ", n AS (SELECT conv_id % 4 AS grp, t, count(*) AS c FROM t_assets GROUP BY ALL), b AS (SELECT grp, t FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY c DESC, t DESC) AS r FROM n) WHERE r = 1) SELECT file_id, a.t = b.t AS kept FROM t_assets a JOIN b ON b.grp = a.conv_id % 4")
 def dominant_length(spark, d):
     kept, rejects = filters.dominant_length(fixture(spark, d, "t_assets").withColumn("grp", F.col("conv_id") % 4), "grp", "t")

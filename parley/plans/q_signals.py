@@ -122,6 +122,24 @@ def label_segments(spark, d):
     return r6(s.select("file_id", "segment_id", "label", "start_s", "end_s", "n_windows", "duration_s", "mean_peak_corr"))
 
 
+@query("label_segments_all", STATS + """, marked AS (SELECT *, CASE WHEN label = lag(label) OVER w AND start_s = lag(end_s) OVER w THEN 0 ELSE 1 END AS fresh FROM win WINDOW w AS (ORDER BY start_s, end_s, window_id)),
+seg AS (SELECT *, CAST(sum(fresh) OVER (ORDER BY start_s, end_s, window_id) AS BIGINT) AS segment_id FROM marked)
+SELECT segment_id, label, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n_windows, max(end_s) - min(start_s) AS duration_s, round(avg(mean_max_abs_corr), 6) AS mean_peak_corr FROM seg GROUP BY ALL""")
+def label_segments_all(spark, d):
+    s = signals.label_segments(stats(spark, d), ())
+    return r6(s.select("segment_id", "label", "start_s", "end_s", "n_windows", "duration_s", "mean_peak_corr"))
+
+
+_SUBS = E + """, lags AS (SELECT unnest(range(-10, 11)) AS lag), subs AS (SELECT unnest(range(0, 4)) AS sub),
+wcc AS (SELECT a.window_id, sub, a.feature, lag, CASE WHEN stddev_pop(a.x) < 1e-8 OR stddev_pop(b.y) < 1e-8 THEN 0e0 ELSE corr(a.x, b.y) END AS corr FROM e_frames a, lags, subs JOIN e_frames b ON b.window_id = a.window_id AND b.feature = a.feature AND b.frame = a.frame - lag
+  WHERE a.frame BETWEEN sub * 4 AND sub * 4 + 19 AND b.frame BETWEEN sub * 4 AND sub * 4 + 19 GROUP BY ALL)"""
+
+
+@query("wcc_pearson_overlapping", _SUBS + " SELECT window_id, CAST(sub AS INT) AS sub, feature, CAST(lag AS INT) AS lag, round(corr, 6) AS corr FROM wcc")
+def wcc_pearson_overlapping(spark, d):
+    return r6(signals.wcc_pearson(frames(spark, d), win=20, stride=4))
+
+
 @query("coordination_by_label", SUMMARY + " SELECT CAST(e.label AS INT) AS label, count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in SUMMARY_COLUMNS) + " FROM summary JOIN e_pairs e USING (window_id) GROUP BY 1")
 def coordination_by_label(spark, d):
     s = signals.wcc_summary(signals.wcc_pearson(frames(spark, d))).join(fixture(spark, d, "e_pairs").select("window_id", "label"), "window_id")

@@ -54,13 +54,50 @@ def flatten_words(transcripts: DataFrame) -> DataFrame:
     return w.where(ok).select("file_id", F.col("w")["word"].alias("word"), F.col("w")["start"].cast("double").alias("start_s"), F.col("w")["end"].cast("double").alias("end_s"))
 
 
+#: An entry of a label object between two cuts: what stands before a key, the key, the value.
+LABEL_ENTRY = r'^(?:\s*\{?\s*")?((?:[^"\\]|\\.)*)"\s*:\s*"?([^"{}\[\],]*?)"?[\s,}]*$'
+EMPTY_OBJECT = r"^[\s{},]*$"
+
+
+def _checked(key: Column, raw: Column) -> Column:
+    label = F.trim(raw).try_cast("int")
+    return F.when(label.between(0, 5), label).otherwise(F.raise_error(F.concat(F.lit("bad label of "), key)).cast("int"))
+
+
+def _object_entries(rows: DataFrame) -> DataFrame:
+    """``sample_key, raw`` of texts that are one JSON object each; any other text is an error."""
+    held = F.from_json("value", "map<string,string>")
+    return rows.select(F.explode(F.when(held.isNull(), F.raise_error(F.lit("labels must be a JSON object")).cast("map<string,string>")).otherwise(held)).alias("sample_key", "raw"))
+
+
+def _entry_separator(spark: SparkSession, path: str) -> str:
+    """What stands between two entries, from the first few of them: a comma, white space, a quote."""
+    some = spark.read.option("lineSep", ",").text(path).limit(100).select(F.regexp_extract("value", r'^(\s*)"', 1).alias("space"), F.col("value").rlike(r'^\s*"').alias("entry"))
+    found = some.where("entry").groupBy("space").count().orderBy(F.desc("count"), "space").limit(1).collect()
+    return "," + (found[0].space if found else "") + '"'
+
+
 def read_labels(spark: SparkSession, path: str, tau_ms: int, lines: bool = False) -> DataFrame:
-    """``sample_key, tau_ms, label`` from a JSON object a file, or with ``lines`` one a line, which
-    large files are split by; a label outside 0..5 is an error."""
-    rows = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", "map<string,string>")).alias("sample_key", "raw"))
-    label = F.col("raw").try_cast("int")
-    bad = F.raise_error(F.concat(F.lit("bad label of "), F.col("sample_key"))).cast("int")
-    return rows.select("sample_key", F.lit(tau_ms).alias("tau_ms"), F.when(label.between(0, 5), label).otherwise(bad).alias("label"))
+    """``sample_key, tau_ms, label`` from files of one JSON object; a label outside 0..5 is an error.
+
+    A file is cut between entries, not at line ends, so an object of any size is read by many
+    tasks, on one line or on many; so is an object that is written in several files. The cut is a
+    comma, the white space that this writer uses, and a quote, which no key can hold inside, as
+    its quotes are escaped. Files in which a piece is no entry (keys that end like a cut, mixed white
+    space) are read in one piece. With ``lines`` each line is an object.
+    """
+    if lines:
+        entries = _object_entries(spark.read.text(path))
+    else:
+        name = F.col("_metadata.file_path")
+        pieces = spark.read.option("lineSep", _entry_separator(spark, path)).text(path).select(name.alias("_file"), "value").where(~F.col("value").rlike(EMPTY_OBJECT))
+        part = lambda i: F.regexp_extract("value", LABEL_ENTRY, i)
+        odd = [r._file for r in pieces.where(~F.col("value").rlike(LABEL_ENTRY)).select("_file").distinct().collect()]
+        key = F.get(F.from_json(F.concat(F.lit('["'), part(1), F.lit('"]')), "array<string>"), 0)
+        entries = pieces.where(~F.col("_file").isin(odd)).select(key.alias("sample_key"), part(2).alias("raw"))
+        if odd:
+            entries = entries.unionByName(_object_entries(spark.read.text(odd, wholetext=True)))
+    return entries.select("sample_key", F.lit(tau_ms).alias("tau_ms"), _checked(F.col("sample_key"), F.col("raw")).alias("label"))
 
 
 ANNOTATION_FILE = r"3P-([A-Z]+)_(.+)_([^_/]+)\.json$"
