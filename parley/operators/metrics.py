@@ -94,6 +94,26 @@ def grouped_metrics(preds: DataFrame, keys: tuple[str, ...] = GROUP_KEYS, k: int
     return macro_metrics(per_class_from_cells(summed, k, groups), groups)
 
 
+def grouped_class_metrics(preds: DataFrame, keys: tuple[str, ...] = GROUP_KEYS, k: int = 3, by: list[str] | None = None) -> DataFrame:
+    """Per value of each key and true class: its row of the confusion matrix (``pred_c``), and its scores.
+
+    Cells are counted once for all keys; what follows is one row per group, true and predicted class.
+    """
+    by = by or []
+    base = cells(preds.where(F.col("label").between(0, k - 1) & F.col("pred").between(0, k - 1)), [*by, *keys])
+    kinds = F.array(*[F.struct(F.lit(x).alias("group_kind"), F.col(x).cast("string").alias("group_value")) for x in keys])
+    groups = [*by, "group_kind", "group_value"]
+    summed = base.select(*by, "label", "pred", "n", F.explode(kinds).alias("g")).select(*by, "label", "pred", "n", "g.*").groupBy(*groups, "label", "pred").agg(F.sum("n").alias("n"))
+    tp, n = [F.col(c) for c in ("tp", "n")]
+    count = lambda t, p: F.coalesce(F.sum(F.when((F.col("label") == t) & (F.col("pred") == p), n)), F.lit(0)).cast("long")
+    wide = summed.groupBy(*groups).agg(*[count(t, p).alias(f"c{t}{p}") for t in range(k) for p in range(k)])
+    total = lambda names: sum((F.col(x) for x in names[1:]), F.col(names[0]))
+    rows = [F.struct(F.lit(t).alias("class"), *[F.col(f"c{t}{p}").alias(f"pred_{p}") for p in range(k)], F.col(f"c{t}{t}").alias("tp"), total([f"c{t}{p}" for p in range(k)]).alias("support"), total([f"c{x}{t}" for x in range(k)]).alias("predicted")) for t in range(k)]
+    long = wide.select(*groups, F.explode(F.array(*rows)).alias("x")).select(*groups, "x.*")
+    scored = long.select("*", _ratio(tp, F.col("predicted")).alias("precision"), _ratio(tp, F.col("support")).alias("recall")).drop("predicted", "tp")
+    return scored.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
 def group_metric_spread(grouped: DataFrame, metric: str = "macro_f1", by: tuple[str, ...] = ("group_kind",)) -> DataFrame:
     """Mean, sample standard deviation, extremes and exact median of a metric over groups."""
     rows, m = written(grouped.select(*by, metric)), F.col(metric)
@@ -114,7 +134,7 @@ def weighted_log_loss(preds: DataFrame, weights: DataFrame, by: list[str] | None
 
     Probabilities are ``LEAST`` at least, so that a wrong certainty counts and is finite.
     """
-    w = preds.join(F.broadcast(weights.select(F.col("label").alias("_l"), "weight")), F.col("label") == F.col("_l"))
+    w = preds.join(weights.select(F.col("label").alias("_l"), "weight"), F.col("label") == F.col("_l"))
     p = F.get(F.col("probs"), F.col("label").cast("int"))
     return w.groupBy(*(by or [])).agg((F.sum(F.col("weight") * -F.log(F.greatest(p, F.lit(LEAST)))) / F.sum("weight")).alias("loss"))
 
@@ -170,6 +190,20 @@ def pool_summary(pool: DataFrame, splits: DataFrame, targets: DataFrame) -> Data
     return per.unionByName(total).join(F.broadcast(targets), "split", "left").select("split", "relationship", "n", "target")
 
 
+def pool_report(pool: DataFrame, splits: DataFrame, targets: DataFrame, attributes: tuple[str, ...] = ("seamless_split", "relationship")) -> DataFrame:
+    """``split, attribute, value, n, target``: the pool by its source splits, and every split in total
+    and by each attribute. ``split`` is null for the pool, ``attribute`` and ``value`` for totals.
+
+    One pass with grouping sets; the splits' targets are null where there is none.
+    """
+    joined = pool.join(splits, "interaction_id", "left")
+    kinds = F.array(F.struct(F.lit(None).cast("string").alias("attribute"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes])
+    long = joined.select("split", F.explode(kinds).alias("k")).select("split", "k.*")
+    inside = long.where("split IS NOT NULL").groupBy("split", "attribute", "value").agg(F.count("*").alias("n"))
+    whole = long.where(F.col("attribute").isNull() | (F.col("attribute") == attributes[0])).groupBy("attribute", "value").agg(F.count("*").alias("n")).withColumn("split", F.lit(None).cast("string"))
+    return inside.unionByName(whole).join(targets, "split", "left").select("split", "attribute", "value", "n", "target")
+
+
 def component_histogram(components: DataFrame) -> DataFrame:
     """``size, n_components`` of components given as ``component, node`` rows."""
     return components.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_components"))

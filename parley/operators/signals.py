@@ -112,7 +112,7 @@ def _pearson_by_slices(frames: DataFrame, win: int, stride: int, max_lag: int) -
 
 #: A part whose variance is under this share of its series' sum of squares is computed from its
 #: slice: the difference of two running sums would have lost the digits.
-FAINT = 1e-6
+FAINT = 1e-5
 
 
 def _pearson_by_sums(frames: DataFrame, win: int, stride: int, max_lag: int) -> DataFrame:

@@ -33,11 +33,11 @@ def time_index(intervals: DataFrame, words: DataFrame, horizon_s: float, lexicon
     is ``other`` than the lexicon, and how often that occurs, sorted. Rows without a time are left out.
     """
     iv = _around(intervals.select("file_id", "seg_idx", "start_s", "end_s"), F.col("start_s"), F.col("end_s"), horizon_s)
-    iv = iv.groupBy("file_id", "_b").agg(F.array_sort(F.collect_set(F.struct("start_s", "seg_idx", "end_s"))).alias("intervals"))
     said = words.select("file_id", "start_s", (~is_backchannel_token("word", lexicon)).cast("int").alias("other")).groupBy("file_id", "start_s", "other").agg(F.count("*").alias("n"))
-    said = _around(said, F.col("start_s"), F.col("start_s"), horizon_s).groupBy("file_id", "_b").agg(F.array_sort(F.collect_list(F.struct("start_s", "other", "n"))).alias("words"))
-    none = F.expr("cast(array() as array<struct<start_s: double, other: int, n: bigint>>)")
-    return iv.join(said, ["file_id", "_b"], "left").select("file_id", "_b", "intervals", F.coalesce("words", none).alias("words"))
+    said = _around(said, F.col("start_s"), F.col("start_s"), horizon_s)
+    both = iv.select("file_id", "_b", F.struct("start_s", "seg_idx", "end_s").alias("_iv")).unionByName(said.select("file_id", "_b", F.struct("start_s", "other", "n").alias("_w")), allowMissingColumns=True)
+    packed = both.groupBy("file_id", "_b").agg(F.array_sort(F.collect_set("_iv")).alias("intervals"), F.array_sort(F.collect_list("_w")).alias("words"))
+    return packed.where(F.size("intervals") > 0)
 
 
 def stored(index: DataFrame, name: str | None = None) -> DataFrame:
@@ -46,8 +46,8 @@ def stored(index: DataFrame, name: str | None = None) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = name or f"time_index_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{table}"
-    dealt = index.repartition(parts, "file_id", "_b")
-    dealt.write.mode("overwrite").format("parquet").option("path", path).bucketBy(parts, "file_id", "_b").sortBy("file_id", "_b").saveAsTable(table)
+    # the rows of a bucket already meet in one task, where the index was grouped by the same columns
+    index.write.mode("overwrite").format("parquet").option("path", path).bucketBy(parts, "file_id", "_b").sortBy("file_id", "_b").saveAsTable(table)
     return spark.table(table)
 
 
@@ -71,3 +71,32 @@ def turn_end(intervals: Column, t: Column) -> Column:
 def touching(intervals: Column, t: Column, end: Column) -> Column:
     """The intervals that touch [t, end]."""
     return F.filter(intervals, lambda v: (v["start_s"] <= end) & (v["end_s"] >= t))
+
+
+def voiced_points(points: DataFrame, index: DataFrame, on: str, t: str) -> DataFrame:
+    """The points that lie in an interval of their recording, by the index (``intervals.voiced_at`` without one)."""
+    return at_points(points, index, on, t, {"intervals": "_iv"}).where(holds(F.col("_iv"), F.col(t))).drop("_iv")
+
+
+def point_turn_ends(points: DataFrame, index: DataFrame, on: str, t: str) -> DataFrame:
+    """Points with ``turn_end``, the end of the first interval (by start) that contains them, or null."""
+    return at_points(points, index, on, t, {"intervals": "_iv"}, "left").withColumn("turn_end", turn_end(F.col("_iv"), F.col(t))).drop("_iv")
+
+
+def utterances_ahead(points: DataFrame, index: DataFrame, on: str, t: str, tau_s: float, with_words: bool = False) -> DataFrame:
+    """Points with each interval's part in [t, t + tau] that has a length (``iv_*``, ``c_start``, ``c_end``).
+
+    ``with_words`` adds ``n_words`` and ``n_other``: the words that start in the part, ends
+    included. The index must reach ``tau_s``.
+    """
+    at, end = F.col(t), F.col(t) + tau_s
+    both = at_points(points, index, on, t, {"intervals": "_iv", "words": "_words"})
+    parts = F.transform(touching(F.col("_iv"), at, end), lambda v: F.struct(v["seg_idx"].alias("iv_seg_idx"), v["start_s"].alias("iv_start_s"), v["end_s"].alias("iv_end_s"), F.greatest(v["start_s"], at).alias("c_start"), F.least(v["end_s"], end).alias("c_end")))
+    long = both.withColumn("_p", F.explode(F.filter(parts, lambda p: p["c_start"] < p["c_end"])))
+    fields = ["iv_seg_idx", "iv_start_s", "iv_end_s", "c_start", "c_end"]
+    flat = long.select(*points.columns, *([] if not with_words else ["_words"]), *[F.col("_p")[f].alias(f) for f in fields])
+    if not with_words:
+        return flat
+    heard = F.filter("_words", lambda w: w["start_s"].between(F.col("c_start"), F.col("c_end")))
+    total = lambda f: F.aggregate("_heard", F.lit(0).cast("long"), lambda a, w: a + f(w))
+    return flat.withColumn("_heard", heard).withColumns({"n_words": total(lambda w: w["n"]), "n_other": total(lambda w: w["n"] * w["other"])}).drop("_words", "_heard")

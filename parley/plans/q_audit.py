@@ -65,6 +65,19 @@ def pool_summary(spark, d):
     return metrics.pool_summary(m.select("interaction_id", "relationship"), m.select("interaction_id", "split"), targets)
 
 
+@query(
+    "pool_report",
+    ctes(["v_manifest"], DUCKDB) + """, m AS (SELECT split, relationship, CASE WHEN conv_id % 3 = 0 THEN 'dev' ELSE 'train' END AS seamless_split FROM v_manifest),
+t AS (SELECT NULL AS split, NULL AS attribute, NULL AS value, count(*) AS n FROM m UNION ALL SELECT NULL, 'seamless_split', seamless_split, count(*) FROM m GROUP BY 3
+  UNION ALL SELECT split, NULL, NULL, count(*) FROM m GROUP BY 1 UNION ALL SELECT split, 'seamless_split', seamless_split, count(*) FROM m GROUP BY 1, 3 UNION ALL SELECT split, 'relationship', relationship, count(*) FROM m GROUP BY 1, 3)
+SELECT split, attribute, value, n, CASE WHEN split = 'train' THEN 70 WHEN split IN ('val', 'test') THEN 15 END AS target FROM t""",
+)
+def pool_report(spark, d):
+    m = fixture(spark, d, "v_manifest").withColumn("seamless_split", F.when(F.col("conv_id") % 3 == 0, "dev").otherwise("train"))
+    targets = spark.createDataFrame([("train", 70), ("val", 15), ("test", 15)], "split string, target int")
+    return metrics.pool_report(m.select("interaction_id", "seamless_split", "relationship"), m.select("interaction_id", "split"), targets)
+
+
 # --- tasks ---------------------------------------------------------------------------------------
 
 _BASE = audit.ASSET_BASE

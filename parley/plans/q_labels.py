@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import scalars as S
-from parley.operators import dyads, filters, intervals, labelling, metrics
-from parley.operators.graphs import shared_folder
+from parley.operators import dyads, filters, intervals, labelling, metrics, timeindex
+from parley.operators.graphs import shared_folder, written
 from parley.sources import sinks
 
 from .fixtures import DUCKDB, TAUS, ctes, fixture
@@ -114,6 +114,22 @@ def clip_interval(spark, d):
     return o.select("file_id", "i", F.col("iv_seg_idx").alias("seg_idx"), c["start"].alias("c_start"), c["end"].alias("c_end"))
 
 
+# --- the same joins on the stored index ------------------------------------------------------
+
+
+@query("indexed_joins", with_utterances() + """, g AS (SELECT s.file_id, CAST(s.i AS INT) AS i, EXISTS (SELECT 1 FROM v_intervals v WHERE v.file_id = s.other_file_id AND s.t BETWEEN v.start_s AND v.end_s) AS other_voiced, a_end AS turn_end FROM samples s)
+SELECT g.file_id, g.i, other_voiced, turn_end, seg_idx, CAST(n AS BIGINT) AS n_words, CAST(o AS BIGINT) AS n_other FROM g LEFT JOIN (SELECT * FROM uw WHERE tau_ms = 800) u ON u.file_id = g.file_id AND u.i = g.i""")
+def indexed_joins(spark, d):
+    """Voiced points, turn ends, utterances and their words, each a join with one stored index."""
+    _, i, w = V(spark, d)
+    index = timeindex.stored(timeindex.time_index(i, w, 0.8))
+    s = samples(spark, d).select("file_id", "other_file_id", "i", "t")
+    yes = timeindex.voiced_points(s, index, "other_file_id", "t").select("file_id", "i", F.lit(True).alias("v"))
+    u = timeindex.utterances_ahead(s, index, "other_file_id", "t", 0.8, with_words=True).select("file_id", "i", F.col("iv_seg_idx").alias("seg_idx"), "n_words", "n_other")
+    base = timeindex.point_turn_ends(s, index, "file_id", "t").join(yes, ["file_id", "i"], "left")
+    return base.join(u, ["file_id", "i"], "left").select("file_id", "i", F.coalesce("v", F.lit(False)).alias("other_voiced"), "turn_end", "seg_idx", "n_words", "n_other")
+
+
 # --- scalars ---------------------------------------------------------------------------------
 
 _F = ctes(["v_files"], DUCKDB)
@@ -304,7 +320,7 @@ def enumerate_samples(spark, d):
 
 @query("match_speaker_listener_windows", _ROLE + " SELECT sample_key, 'p/' || speaker_file_id AS speaker_path, 'p/' || listener_file_id AS listener_path FROM rs WHERE speaker_file_id IN (SELECT file_id FROM t_assets) AND listener_file_id IN (SELECT file_id FROM t_assets)")
 def match_speaker_listener_windows(spark, d):
-    s = _role_samples(spark, d)
+    s = written(_role_samples(spark, d))
     ms = lambda c: F.rint(F.col(c) * 1000).cast("long")
     windows = s.select(F.explode(F.array("speaker_file_id", "listener_file_id")).alias("file_id"), ms("start_s").alias("start_ms"), ms("end_s").alias("end_ms")).distinct()
     index = windows.join(fixture(spark, d, "t_assets").select("file_id"), "file_id", "left_semi").withColumn("path", F.concat(F.lit("p/"), "file_id"))

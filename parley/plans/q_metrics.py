@@ -68,6 +68,15 @@ def grouped_metrics(spark, d):
     return rounded(metrics.grouped_metrics(preds(spark, d)))
 
 
+_GROUP_CLASS = C + _LONG + ", " + per_class_sql("long", ["group_kind", "group_value"]) + """, cm AS (SELECT group_kind, group_value, label AS class, """ + ", ".join(f"CAST(sum(CASE WHEN pred = {p} THEN n ELSE 0 END) AS BIGINT) AS pred_{p}" for p in range(3)) + """ FROM cells GROUP BY ALL)
+SELECT group_kind, group_value, class, """ + ", ".join(f"coalesce(pred_{p}, 0) AS pred_{p}" for p in range(3)) + f", support, {r('precision', 'recall', 'f1')} FROM pc LEFT JOIN cm USING (group_kind, group_value, class)"
+
+
+@query("grouped_class_metrics", _GROUP_CLASS)
+def grouped_class_metrics(spark, d):
+    return rounded(metrics.grouped_class_metrics(preds(spark, d)))
+
+
 @query("group_metric_spread", C + _LONG + ", " + per_class_sql("long", ["group_kind", "group_value"]) + ' SELECT group_kind, round(avg(macro_f1), 9) AS "mean", round(stddev_samp(macro_f1), 9) AS std, round(min(macro_f1), 9) AS "min", round(max(macro_f1), 9) AS "max", round(median(macro_f1), 9) AS "median", count(*) AS n_groups FROM mac GROUP BY group_kind')
 def group_metric_spread(spark, d):
     return rounded(metrics.group_metric_spread(metrics.grouped_metrics(preds(spark, d))))

@@ -193,7 +193,7 @@ def test_pearson_by_running_sums_equals_slices(spark, win, stride, lag):
     sums = {key(x): x["corr"] for x in signals._pearson_by_sums(df, win, stride, lag).collect()}
     slices = {key(x): x["corr"] for x in signals._pearson_by_slices(df, win, stride, lag).collect()}
     assert sums.keys() == slices.keys()
-    assert max(abs(sums[k] - slices[k]) for k in sums) < 1e-7
+    assert max(abs(sums[k] - slices[k]) for k in sums) < 1e-9
     assert statistics.median(abs(sums[k] - slices[k]) for k in sums) < 1e-12
 
 
