@@ -1,6 +1,7 @@
 """The ten operators against brute force, on messy rows: nulls, empty and very long texts, ties,
 repeated rows, null ids, extra columns."""
 
+import base64
 import hashlib
 import math
 import random
@@ -429,6 +430,39 @@ def test_recall_on_planted_secrets(spark):
     assert sum(bool(got[i]) for i, _ in clean) <= 5
 
 
+def test_recall_on_kinds_that_neither_patterns_nor_templates_name(spark):
+    """400 secrets of eight kinds in documents of sf0.01, whose few findings are all there is to learn from."""
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = lambda n, a=letters + letters.upper() + "0123456789": "".join(r.choice(a) for _ in range(n))
+    kinds = [
+        lambda: "ghp_" + some(36), lambda: "Bearer " + some(40), lambda: base64.b64encode(r.randbytes(30)).decode(), lambda: "xoxb-" + some(12, "0123456789") + "-" + some(24),
+        lambda: "eyJ" + some(17) + ".eyJ" + some(30) + "." + some(43), lambda: "pwd: " + some(12), lambda: "passphrase=" + some(14, letters + "0123456789"), lambda: "auth_value = " + some(24, letters + letters.upper()),
+    ]
+    assert not {"pwd", "passphrase", "auth_value"} & set(secrets.NAMES)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [x.text for x in d.orderBy("doc_id").collect() if x.text and len(x.text) > 200]
+    rows, where = [], {}
+    for i in range(400):
+        parts = texts[i % len(texts)].split(" ")
+        at, value = r.randrange(len(parts)), kinds[i % 8]()
+        before = " ".join(parts[:at]) + " "
+        rows.append((i, before + value + " " + " ".join(parts[at:])))
+        where[i] = (len(before), len(before) + len(value))
+    model = secrets.learn(d)
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert sum(any(x.start < where[g.doc_id][1] and x.end > where[g.doc_id][0] for x in g.spans) for g in got) >= 360
+    added = secrets.scan(d, model).select(F.explode("spans").alias("s")).where("s.kind = 'model'").count()
+    assert added <= 5
+
+
+def test_no_model_without_findings_to_set_aside(spark):
+    """One finding of either label can't both teach and calibrate."""
+    few = spark.createDataFrame([(1, "secret = 'abcdef123456' and"), (2, "said: hello12 there")], "doc_id long, text string")
+    assert secrets.learn(few) is None
+    assert [x.spans for x in secrets.report(few).orderBy("doc_id").collect()] == ["assign:0:23", ""]
+
+
 def test_windows_cover_whole_candidates():
     r = random.Random(3)
     for n in (1, 16, 39, 40, 41, 64, 65, 200, 1_001):
