@@ -11,7 +11,7 @@ hashes) is ``SIMILAR`` or more.
    deviation of six; more in very short texts), others in about half.
 3. Texts that such links join are searched by breadth: a text is compared, shingle by shingle, with
    those not reached yet, so a large group of copies costs few comparisons a text. Groups of
-   over ``BLOCK`` texts are cut into blocks, and each pair of blocks is searched alone.
+   over ``BLOCK`` texts or ``WEIGHT`` shingles are cut into blocks, and each pair of blocks is searched alone.
 4. Components follow from the exact links.
 
 Texts are known by the 128-bit hash of their lower-cased words. Defined cases: texts without words
@@ -37,7 +37,8 @@ SHINGLE = 5
 #: The least similarity, as a fraction.
 OVER, UNDER = 4, 5
 BITS, RADIUS, SHARDS = 256, 80, 8
-BLOCK = 4_096
+#: Texts of a block, and shingles (8 bytes each) of a block on average.
+BLOCK, WEIGHT = 4_096, 4_000_000
 #: Keys of candidates that are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST = 250_000
 _MULT = np.uint64(0x100000001B3)
@@ -119,13 +120,13 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": [node[a] for a, _ in found], "dst": [node[b] for _, b in found]})
 
 
-def links(rows: DataFrame, printed: DataFrame, block: int = BLOCK, tree: int = simhash.TREE) -> DataFrame:
+def links(rows: DataFrame, printed: DataFrame, block: int = BLOCK, tree: int = simhash.TREE, weight: int = WEIGHT) -> DataFrame:
     """``src, dst`` edges between the ``node`` of near texts; ``rows`` have ``key, text``, ``printed`` (written) their prints."""
-    one = written(printed.groupBy("node").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.min("shards").alias("shards")))
+    one = written(printed.groupBy("node").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.min("shards").alias("shards"), F.max("n_shingles").alias("n_shingles")))
     keyed = written(one.select("fp", F.explode("shards").alias("key")).distinct())
     found = written(connected_components(written(simhash.tree_links(keyed, RADIUS, tree))))
-    placed = one.join(found.withColumnRenamed("node", "own"), F.col("fp") == F.col("own"), "left").select("node", "key", F.coalesce("component", "fp").alias("component"))
-    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component", F.ceil(F.col("n") / block).cast("int").alias("cuts"))
+    placed = one.join(found.withColumnRenamed("node", "own"), F.col("fp") == F.col("own"), "left").select("node", "key", "n_shingles", F.coalesce("component", "fp").alias("component"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")).where("n > 1").select("component", F.ceil(F.greatest(F.col("n") / block, F.col("w") / weight)).cast("int").alias("cuts"))
     placed = written(placed.join(sizes, "component"))
     asked = placed.select("key")
     asked = F.broadcast(asked) if placed.count() <= BROADCAST else asked
@@ -140,14 +141,14 @@ def links(rows: DataFrame, printed: DataFrame, block: int = BLOCK, tree: int = s
 
 
 def prints(texts: DataFrame) -> DataFrame:
-    """``key, id, mark, text`` with the ``node, fp, shards`` of each text."""
+    """``key, id, mark`` with the ``node, fp, shards, n_shingles`` of each text."""
 
     def rows(key: list, id_: list, mark: list, text: list) -> dict:
         split = [words_of(t) for t in text]
         sets = [shingles(w) for w in split]
-        return {"key": key, "id": id_, "mark": mark, "node": [xxh3_128_digest(b" ".join(w)) for w in split], "fp": [fingerprint(x) for x in sets], "shards": [shards(x) for x in sets]}
+        return {"key": key, "id": id_, "mark": mark, "node": [xxh3_128_digest(b" ".join(w)) for w in split], "fp": [fingerprint(x) for x in sets], "shards": [shards(x) for x in sets], "n_shingles": [len(x) for x in sets]}
 
-    return per_batch(texts, "key long, id long, mark long, node binary, fp binary, shards array<long>", rows, "key", "id", "mark", "text")
+    return per_batch(texts, "key long, id long, mark long, node binary, fp binary, shards array<long>, n_shingles int", rows, "key", "id", "mark", "text")
 
 
 def near_components(rows: DataFrame) -> DataFrame:

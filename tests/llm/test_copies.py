@@ -67,13 +67,13 @@ def edited_copies():
     return texts + ["", " ", "a b", "A  b"]
 
 
-@pytest.mark.parametrize(("block", "tree"), [(nearcopies.BLOCK, simhash.TREE), (8, 4)])
-def test_links_join_exactly_the_near_copies(spark, block, tree):
+@pytest.mark.parametrize(("block", "tree", "weight"), [(nearcopies.BLOCK, simhash.TREE, nearcopies.WEIGHT), (8, 4, nearcopies.WEIGHT), (nearcopies.BLOCK, 4, 900)])
+def test_links_join_exactly_the_near_copies(spark, block, tree, weight):
     texts = edited_copies()
     rows = spark.createDataFrame([(i, i, 0, t) for i, t in enumerate(texts)], "key long, id long, mark long, text string")
     printed = written(nearcopies.prints(rows))
     node = {x.key: bytes(x.node) for x in printed.collect()}
-    found = {bytes(x.node): bytes(x.component) for x in connected_components(nearcopies.links(rows, printed, block, tree)).collect()}
+    found = {bytes(x.node): bytes(x.component) for x in connected_components(nearcopies.links(rows, printed, block, tree, weight)).collect()}
     want, groups = brute_near(texts), defaultdict(set)
     for i, w in enumerate(want):
         groups[w].add(found.get(node[i], node[i]))
