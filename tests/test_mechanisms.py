@@ -3,6 +3,7 @@ commits, sidecars: each against a plain computation, on groups larger than its b
 
 import json
 import math
+import os
 import random
 import statistics
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import filters, labelling, medians, metrics, models, reports, signals, timeindex, topn
+from parley.operators import filters, graphs, labelling, medians, metrics, models, reports, signals, timeindex, topn
 from parley.sources import readers, sinks
 
 # --- medians ------------------------------------------------------------------------------------
@@ -450,3 +451,61 @@ def test_only_what_changed_is_redone(spark, tmp_path):
     assert run(changed, {"win": "2"}, total) == {"000": "done", "001": "changed_input", "002": "changed_input", "003": "done", "004": "done"}
     assert {x.dyad: x.total for x in spark.read.schema("total long, dyad string").parquet(f"{path}/data").collect()} == {"000": 0, "001": 4, "002": 14, "003": 18, "004": 24}
     assert set(run(changed, {"win": "3"}, total).values()) == {"changed_parameter"}
+
+
+# --- components, tables that go ------------------------------------------------------------------
+
+
+def tables_of(spark):
+    return set(os.listdir(graphs.shared_folder(spark).removeprefix("file://")))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_leave_when_finished(spark, seed):
+    """Chains, stars, cliques and random parts of very different size, with nodes in random order."""
+    r = random.Random(seed)
+    names = list(range(3_000))
+    r.shuffle(names)
+    edges, at = [], 0
+    while at < 2_900:
+        n = r.choice([1, 2, 2, 3, 5, 40, 700])
+        part = names[at : at + n]
+        n = len(part)
+        at += n
+        kind = r.randrange(3)
+        edges += [(part[0], part[0])] if n == 1 else [(a, b) for a, b in zip(part, part[1:])] if kind == 0 else [(part[0], x) for x in part[1:]] if kind == 1 else [(part[i], part[r.randrange(i)]) for i in range(1, n)]
+    edges += edges[:50] + [(None, 3), (3, None)]
+    root = {x: x for e in edges if None not in e for x in e}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    before = tables_of(spark)
+    got = graphs.connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(3))
+    left = tables_of(spark) - before
+    assert Counter((x.node, x.component) for x in got.collect()) == Counter((x, find(x)) for x in root)
+    assert 1 <= len(left) <= 12  # what each round finished, and nothing else
+
+
+def test_a_block_deletes_what_it_wrote(spark):
+    before = tables_of(spark)
+    with graphs.scratch(spark) as keep:
+        a = graphs.written(spark.range(5))
+        with graphs.scratch(spark) as inner:
+            b = inner(a.selectExpr("id + 1 AS id"))
+        kept = keep(b.unionByName(graphs.written(a)))
+    assert sorted(x.id for x in kept.collect()) == [0, 1, 1, 2, 2, 3, 3, 4, 4, 5]
+    assert len(tables_of(spark) - before) == 1
+    graphs.discard(kept)
+    assert tables_of(spark) == before
+    with pytest.raises(ValueError), graphs.scratch(spark):
+        graphs.written(spark.range(1))
+        raise ValueError
+    assert tables_of(spark) == before
