@@ -22,7 +22,8 @@ Tokens: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end token a te
 
 Defined cases: a null text is empty and has the end token alone; without training tokens N = V =
 0 and every word is unknown; repeated rows are scored and counted each; a null id counts as the
-empty text when folds are dealt. Two words with one 64-bit hash would share a count.
+empty text when folds are dealt; very long texts are one text of a pack; an empty table gives no rows;
+other columns, whatever their names, are ignored. Two words with one 64-bit hash would share a count.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ their id. Weights default to the square root of a source's bytes, in whole slots
 
 Defined cases: a null source is a source of its own; a null text has no bytes and its row still
 has a place; no rows give no rows; ties go to the alphabetically first source; repeated ids get
-a place each. With more than ``PERIOD``/2 sources the period is twice their number.
+a place each; other columns, whatever their names, are ignored. With more than ``PERIOD``/2 sources the period is twice their number.
 """
 
 from __future__ import annotations

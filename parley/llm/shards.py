@@ -14,7 +14,7 @@ whatever the corpus.
 
 Defined cases: a null text has no bytes and goes with the empty texts; no rows give no rows; a
 group larger than a shard's fair share makes that shard larger (groups are never cut) and the
-others stay equal; repeated ids get a slot each.
+others stay equal; repeated ids get a slot each; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

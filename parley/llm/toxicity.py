@@ -7,7 +7,9 @@ logistic regression is fitted on them by gradient steps that Spark distributes (
 
 Only labelled rows of the training fold are learnt from, at most ``MAX_SAMPLE`` of them, chosen
 by a hash of the id. Defined cases: a null or empty text has no n-gram and gets the score of the
-intercept; without labels of both classes every score is the share of toxic labels (0 if none).
+intercept; without labels of both classes every score is the share of toxic labels (0 if none);
+repeated documents are scored each; very long texts are read in runs of n-grams; an empty table gives
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
