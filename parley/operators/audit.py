@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.scalars import ASSET_BASE, interaction_id
 
+from .small import few
 from .topn import first_n
 
 # Fixed values of the rules.
@@ -71,7 +72,7 @@ def config_audit(experiments: DataFrame, registry: DataFrame, has_summary_source
     """``experiment, rule`` for each broken rule. ``experiments``: one row per stream, or one with a
     null modality and stream index for an experiment without streams."""
     r = registry.select("modality", F.lit(True).alias("known"), "kind", "mode", "feature_dim", "frame_rate_hz")
-    s = experiments.join(F.broadcast(r), "modality", "left")
+    s = experiments.join(few(r), "modality", "left")
     real = F.col("stream_idx").isNotNull()
     coord = F.col("kind") == "coordination"
     summary = coord & (F.col("mode") == "summary")

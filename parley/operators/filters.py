@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from parley.functions.scalars import key_file_id
 
+from .small import few
+
 
 def training_class_filter(df: DataFrame, classes: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     return df.where(F.col("label").isin(*classes))
@@ -43,7 +45,7 @@ def complete_samples(samples: DataFrame, streams: DataFrame, index: DataFrame) -
     ``streams``: stream_idx, modality, role, exempt; ``index``: modality, file_id (any of a
     stream's candidate paths gives the same row). A stream that is exempt needs no file.
     """
-    asked = samples.crossJoin(F.broadcast(streams))
+    asked = samples.crossJoin(few(streams))
     file_id = F.when(F.col("role") == "speaker", F.col("speaker_file_id")).otherwise(F.col("listener_file_id"))
     there = index.select("modality", F.col("file_id").alias("_file"), F.lit(True).alias("_there")).distinct()
     looked = asked.withColumn("_file", file_id).join(there, ["modality", "_file"], "left")

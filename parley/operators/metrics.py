@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .graphs import written
 from .medians import with_medians
+from .small import few
 
 
 def summarize_samples(samples: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def pool_summary(pool: DataFrame, splits: DataFrame, targets: DataFrame) -> Data
     joined = pool.join(splits, "interaction_id")
     per = joined.groupBy("split", "relationship").agg(F.count("*").alias("n"))
     total = joined.groupBy("split").agg(F.count("*").alias("n")).withColumn("relationship", F.lit(None).cast("string"))
-    return per.unionByName(total).join(F.broadcast(targets), "split", "left").select("split", "relationship", "n", "target")
+    return per.unionByName(total).join(few(targets), "split", "left").select("split", "relationship", "n", "target")
 
 
 def pool_report(pool: DataFrame, splits: DataFrame, targets: DataFrame, attributes: tuple[str, ...] = ("seamless_split", "relationship")) -> DataFrame:

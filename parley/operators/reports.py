@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .small import few
 from .topn import first_n_by_hash
 
 # The order of the experiments within each block, and the blocks' titles.
@@ -76,7 +77,7 @@ def block_table(t400: DataFrame, order: DataFrame, metrics: tuple[str, ...], blo
 
     ``order``: block, experiment, position.
     """
-    rows = t400.join(F.broadcast(order), ["block", "experiment"])
+    rows = t400.join(few(order), ["block", "experiment"])
     rows = rows if block is None else rows.where(F.col("block") == block)
     return rows.select("block", "position", "experiment", *metrics, *_is_max(metrics, Window.partitionBy("block"))).orderBy("block", "position")
 
@@ -96,7 +97,7 @@ def ablation_suite(t400: DataFrame, order: DataFrame, titles: DataFrame) -> Data
     them; ``order``: block, experiment, position; ``titles``: block, block_position, title.
     """
     given = lambda c: (F.col(c) if c in t400.columns else F.lit(None)).cast("string")
-    rows = t400.join(F.broadcast(order), ["block", "experiment"]).join(F.broadcast(titles), "block")
+    rows = t400.join(few(order), ["block", "experiment"]).join(few(titles), "block")
     first = F.row_number().over(Window.partitionBy("block").orderBy("position")) == 1
     return rows.select("block_position", "position", F.when(first, F.col("title")).otherwise("").alias("block_cell"), "experiment", given("experiment_name").alias("streams"), given("arch").alias("architecture")).orderBy("block_position", "position")
 

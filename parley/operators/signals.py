@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .graphs import written
 from .medians import with_medians
+from .small import few
 
 MAX_LAG = 10
 FPS = 30.0
@@ -262,7 +263,7 @@ def assemble_streams(samples: DataFrame, streams: DataFrame, features: DataFrame
     ``samples``: sample_key, window_id, speaker_file_id, listener_file_id; ``streams``:
     stream_idx, modality, role; ``features``: modality, file_id, window_id, values.
     """
-    asked = samples.crossJoin(F.broadcast(streams))
+    asked = samples.crossJoin(few(streams))
     file_id = F.when(F.col("role") == "speaker", F.col("speaker_file_id")).otherwise(F.col("listener_file_id"))
     found = asked.withColumn("file_id", file_id).join(features, ["modality", "file_id", "window_id"])
     packed = found.groupBy("sample_key").agg(F.array_sort(F.collect_list(F.struct("stream_idx", "values"))).alias("s"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .dyads import dedupe_prefer
 from .filters import exclude_ids
 from .graphs import connected_components, written
+from .small import few
 from .numbering import numbered
 
 SPLITS = ("train", "val", "test")
@@ -65,7 +66,7 @@ def pack_splits(components: DataFrame, fractions: tuple[float, ...] = FRACTIONS)
     bucket = F.pmod(F.xxhash64("component"), F.lit(TEXT_BUCKETS)) if text else F.floor(F.col("component") / 10_000).cast("long")
     ranked = numbered(components, ["size"], bucket, ["component"], "place")
     hit = (F.col("size") == F.col("s")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("last"))
-    return ranked.join(F.broadcast(table), hit).select("component", "split")
+    return ranked.join(few(table), hit).select("component", "split")
 
 
 def verify_disjoint(manifest: DataFrame) -> DataFrame:
