@@ -527,6 +527,58 @@ def test_rows_without_an_id_of_their_own(spark, ids):
     assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == want
 
 
+def passages(bodies, words=50):
+    """(document, first byte, last byte) of the maximal runs that strings of so many words cover which stand in other documents too."""
+    places = [[m.span() for m in re.finditer(rb"\S+", b)] for b in bodies]
+    holders = defaultdict(set)
+    for d, (b, p) in enumerate(zip(bodies, places, strict=True)):
+        for i in range(len(p) - words + 1):
+            holders[hash(b[p[i][0] : p[i + words - 1][1]])].add(d)
+    out = []
+    for d, (b, p) in enumerate(zip(bodies, places, strict=True)):
+        at = None
+        for i in range(len(p) - words + 1):
+            if len(holders[hash(b[p[i][0] : p[i + words - 1][1]])]) > 1:
+                if at is None or p[i][0] > at[1]:
+                    if at:
+                        out.append((d, *at))
+                    at = [p[i][0], p[i + words - 1][1]]
+                at[1] = p[i + words - 1][1]
+        if at:
+            out.append((d, *at))
+    return out
+
+
+def test_repeated_passages_of_the_tables(spark):
+    """Every document of sf0.01 against windows counted one by one, and every passage of 50 words or more by its length."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(x.doc_id, (x.text or "").encode()) for x in docs.select("doc_id", "text").collect()]
+    bodies = [b for _, b in rows]
+    seen = Counter(hash(b[i : i + substrings.LENGTH]) for b in bodies for i in range(len(b) - substrings.LENGTH + 1))
+    gone = []
+    for b in bodies:
+        mask = np.zeros(len(b) + 1, dtype=np.int64)
+        for i in range(len(b) - substrings.LENGTH + 1):
+            if seen[hash(b[i : i + substrings.LENGTH])] > 1:
+                mask[i] += 1
+                mask[i + substrings.LENGTH] -= 1
+        gone.append(np.cumsum(mask)[:-1] > 0)
+    got = {x.doc_id: x for x in substrings.report(docs).collect()}
+    for (i, b), g in zip(rows, gone, strict=True):
+        kept = bytes(np.frombuffer(b, np.uint8)[~g]) if len(b) else b""
+        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(b), int(g.sum()), hashlib.sha256(kept).hexdigest())
+    # a passage goes whole if it has 400 bytes, and stays if it is shorter and in no longer repeat
+    found = passages(bodies)
+    long = [x for x in found if x[2] - x[1] >= substrings.LENGTH]
+    assert all(gone[d][a:e].all() for d, a, e in long)
+    short = [x for x in found if x[2] - x[1] < substrings.LENGTH]
+    kept = [x for x in short if not gone[x[0]][x[1] : x[2]].any()]
+    print(f"passages {len(found)}, of 400 bytes {len(long)}, shorter {len(short)}, of these untouched {len(kept)}")
+    assert len(long) > 50 and len(short) > 20
+    # all of them, short or long, count as repeated
+    assert all(got[rows[d][0]].n_repeated >= e - a for d, a, e in found if e - a >= substrings.PASSAGE)
+
+
 def test_passages_across_pieces_and_runs(spark, monkeypatch):
     """Passages of all lengths in other texts, repeats within a text, and pieces that cut texts anywhere."""
     r = random.Random(21)
