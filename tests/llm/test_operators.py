@@ -431,7 +431,10 @@ def test_recall_on_planted_secrets(spark):
 
 
 def test_recall_on_kinds_that_neither_patterns_nor_templates_name(spark):
-    """400 secrets of eight kinds in documents of sf0.01, whose few findings are all there is to learn from."""
+    """400 secrets of eight kinds in documents of sf0.01, whose few findings are all there is to learn from.
+
+    The names are in no template; some shapes are (prefixed and chat tokens, three parts).
+    """
     r = random.Random(5)
     letters = "abcdefghijklmnopqrstuvwxyz"
     some = lambda n, a=letters + letters.upper() + "0123456789": "".join(r.choice(a) for _ in range(n))
