@@ -111,7 +111,8 @@ def shard(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", te
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document.
 
     ``places`` (``placed, position``, each id once, positions from 0) gives the order of the slots
-    in a shard; ids that it lacks come first. Without it a hash of the id does.
+    in a shard; ids that it lacks come first. Without it a hash of the id and text does, so that rows
+    without an id are numbered by many tasks.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = documents.select(
@@ -125,7 +126,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", te
     placed = rows.join(assign(groups, shards), "item").select("doc_id", "size", "text_crc32", "shard", "item")
     if places is None:
         n = rows.count()
-        bucket, order = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // (SLOT_ROWS * shards)) * 2))), ["doc_id", "item"]
+        bucket, order = F.pmod(F.xxhash64("doc_id", "item"), F.lit(max(1, -(-n // (SLOT_ROWS * shards)) * 2))), ["doc_id", "item"]
     else:
         placed = placed.join(places, F.col("doc_id").eqNullSafe(F.col("placed")), "left").withColumn("position", F.coalesce("position", F.lit(-1).cast("long")))
         bucket, order = F.floor(F.col("position") / SLOT_ROWS).cast("long"), ["position", "doc_id", "item"]
