@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parley.operators.graphs import written
 from parley.operators.numbering import numbered
@@ -24,14 +25,11 @@ def remainder(column: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def per_batch(df: DataFrame, schema: str, rows: Callable[..., dict], *columns: str) -> DataFrame:
+def per_batch(df: DataFrame, schema: str | StructType, rows: Callable[..., dict], *columns: str) -> DataFrame:
     """Run ``rows`` over Arrow batches of the named columns, given as Python lists."""
-    from pyspark.sql.types import StructType
-
-    fields = StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    target = to_arrow_schema(fields)
+    target = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

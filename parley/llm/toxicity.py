@@ -17,6 +17,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from parley.operators.graphs import scratch
 
 from .common import code_points, letter_table, per_batch, remainder, written
 
@@ -29,6 +32,8 @@ MAX_SAMPLE = 20_000
 #: Additive smoothing of the log-count ratios, strength of the L2 penalty.
 SMOOTHING, PENALTY = 1.0, 0.002
 RUN = 1_000_000
+#: Tasks that look for the kept n-grams among the 2 ** BUCKETS_LOG2.
+RANK_TASKS = 8
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -94,7 +99,9 @@ def log_count_ratios(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     p, q = (F.col("toxic") + SMOOTHING) / (n1 + 2 * SMOOTHING), (F.col("clean") + SMOOTHING) / (n0 + 2 * SMOOTHING)
     # significance: the ratio over its standard error
     spread = F.sqrt(1 / (F.col("toxic") + SMOOTHING) + 1 / (F.col("clean") + SMOOTHING))
-    top = df.withColumn("r", F.log(p / q)).orderBy(F.desc(F.abs(F.col("r")) / spread), "bucket").limit(KEEP).orderBy("bucket").toPandas()
+    # a row a bucket at most, so few tasks hold them, and what meets in the last one is KEEP rows of each
+    rated = df.withColumn("r", F.log(p / q)).coalesce(RANK_TASKS)
+    top = rated.orderBy(F.desc(F.abs(F.col("r")) / spread), "bucket").limit(KEEP).orderBy("bucket").toPandas()
     return top.bucket.to_numpy(dtype=np.int64), top.r.to_numpy(dtype=float)
 
 
@@ -116,7 +123,7 @@ def training_sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(sample: DataFrame) -> Model:
     """``sample``: columns ``text, toxic`` (0 or 1), of bounded size."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
 
     sample = written(sample)
     share = sample.agg(F.avg("toxic")).first()[0] or 0.0
@@ -125,14 +132,19 @@ def fit(sample: DataFrame) -> Model:
     features, ratio = log_count_ratios(sample)
     shape = sample.sparkSession.sparkContext.broadcast(Model(features, ratio, 0.0))
 
-    def present(toxic: list, texts: list) -> dict:
-        return {"label": [float(y) for y in toxic], "at": [shape.value.present(t).tolist() for t in texts]}
+    def sparse(toxic: list, texts: list) -> dict:
+        """Labels and sparse vectors, in the struct that MLlib keeps them in (type 0)."""
+        m, vectors = shape.value, []
+        for t in texts:
+            at = m.present(t)
+            vectors.append({"type": 0, "size": len(m.weight), "indices": at, "values": m.weight[at]})
+        return {"label": [float(y) for y in toxic], "features": vectors}
 
-    sparse = F.udf(lambda at: Vectors.sparse(len(shape.value.weight), at, shape.value.weight[at].tolist()), VectorUDT())
-    data = written(per_batch(sample, "label double, at array<int>", present, "toxic", "text"))
+    schema = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])
+    data = written(per_batch(sample, schema, sparse, "toxic", "text"))
     # toxic rows are few: weights give both classes half of the loss, so that 0.5 lies between them
     weight = F.when(F.col("label") == 1.0, 0.5 / share).otherwise(0.5 / (1 - share))
-    data = data.select("label", weight.alias("weight"), sparse("at").alias("features"))
+    data = data.withColumn("weight", weight)
     model = LogisticRegression(weightCol="weight", regParam=PENALTY, elasticNetParam=0.0, standardization=False, maxIter=60, tol=1e-7).fit(data)
     return Model(features, model.coefficients.toArray() * ratio, float(model.intercept))
 
@@ -146,6 +158,7 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of the registered query."""
-    model = fit(training_sample(documents, labels))
+    with scratch(documents.sparkSession):
+        model = fit(training_sample(documents, labels))
     s = score(documents, model)
     return s.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
