@@ -10,11 +10,11 @@ had its share to within less than one block.
 
 All documents are kept: a source that has run out leaves its slots empty, and positions are
 gapless over the slots that are filled. Documents stand in a source in the order of a hash of
-their id. Weights default to the square root of a source's bytes, in whole slots, at least one.
+their id and text, so rows without an id spread as others do. Weights default to the square root of a source's bytes, in whole slots, at least one.
 
 Defined cases: a null source is a source of its own; a null text has no bytes and its row still
 has a place; no rows give no rows; ties go to the alphabetically first source; repeated ids get
-a place each; other columns, whatever their names, are ignored. With more than ``PERIOD``/2 sources the period is twice their number.
+a place each (only rows that repeat id and text are numbered together); other columns, whatever their names, are ignored. With more than ``PERIOD``/2 sources the period is twice their number.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.operators.small import few
+
 from .common import numbered, written
 
 PERIOD = 1_000
@@ -72,14 +74,24 @@ def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
 
 def mix(documents: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", period: int = PERIOD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, source, weight, block, slot, position`` of every document."""
-    rows = written(
-        documents.select(
-            F.col(doc_id).cast("long").alias("doc_id"),
-            F.col(source).cast("string").alias("source"),
-            (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
-            F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("mixing")).cast("binary")).alias("shuffled"),
-        )
+    out = _mixed(documents, weights, doc_id, source, text, period, block_bytes)
+    return out.select("doc_id", "source", "weight", "block", "slot", "position")
+
+
+def text_mark(text: str) -> Column:
+    """What tells rows of one id apart: the MD5 of the text, null as empty."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def _mixed(documents: DataFrame, weights: DataFrame | None, doc_id: str, source: str, text: str, period: int, block_bytes: int) -> DataFrame:
+    """The columns of ``mix`` and the ``mark`` of the text."""
+    marked = documents.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(source).cast("string").alias("source"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
+        text_mark(text).alias("mark"),
     )
+    rows = written(marked.withColumn("shuffled", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("mixing"), "mark").cast("binary"))))
     n = rows.count()
     parts = max(1, -(-n // BUCKET_ROWS) * 2)
     # buckets are ranges of the hash, so that bucket and hash together are one order
@@ -90,11 +102,10 @@ def mix(documents: DataFrame, weights: DataFrame | None = None, doc_id: str = "d
         period = max(period, 2 * rows.select("source").distinct().count())
         weights = weights_from_bytes(rows.groupBy("source").agg(F.sum("size").alias("bytes")), period)
     plan = written(schedule(weights, period))
-    placed = blocks.alias("b").join(F.broadcast(plan.select("source", "weight").distinct()).alias("w"), F.col("b.source").eqNullSafe(F.col("w.source"))).select("b.*", "w.weight")
+    placed = blocks.alias("b").join(few(plan.select("source", "weight").distinct()).alias("w"), F.col("b.source").eqNullSafe(F.col("w.source"))).select("b.*", "w.weight")
     placed = placed.withColumn("k", F.col("block") % F.col("weight"))
-    hit = placed.alias("p").join(F.broadcast(plan).alias("q"), F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.k") == F.col("q.k"))).select("p.*", (F.floor(F.col("p.block") / F.col("p.weight")) * period + F.col("q.slot")).alias("slot"))
-    out = _positions(hit)
-    return out.select("doc_id", "source", "weight", "block", "slot", "position")
+    hit = placed.alias("p").join(few(plan).alias("q"), F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.k") == F.col("q.k"))).select("p.*", (F.floor(F.col("p.block") / F.col("p.weight")) * period + F.col("q.slot")).alias("slot"))
+    return _positions(hit)
 
 
 def _positions(rows: DataFrame) -> DataFrame:
@@ -104,12 +115,13 @@ def _positions(rows: DataFrame) -> DataFrame:
 
 
 def places(documents: DataFrame) -> DataFrame:
-    """``placed, position``: each id once, with its (first) place in the mixture."""
-    return mix(documents).groupBy(F.col("doc_id").alias("placed")).agg(F.min("position").alias("position"))
+    """``placed, mark, position``: each id and text once, with its (first) place in the mixture."""
+    out = _mixed(documents, None, "doc_id", "source", "text", PERIOD, BLOCK_BYTES)
+    return out.groupBy(F.col("doc_id").alias("placed"), "mark").agg(F.min("position").alias("position"))
 
 
 def mixed_order(documents: DataFrame) -> DataFrame:
     """All documents with all their columns, in Parquet order of the mixture."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    joined = rows.join(places(documents), F.col("id").eqNullSafe(F.col("placed")), "left")
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), text_mark("text").alias("own"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    joined = rows.join(places(documents), F.col("id").eqNullSafe(F.col("placed")) & (F.col("own") == F.col("mark")), "left")
     return joined.repartitionByRange("position").sortWithinPartitions("position").select("row.*")

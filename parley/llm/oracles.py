@@ -34,7 +34,7 @@ q AS (SELECT *, min(CASE WHEN p <= {quality.DELTA}e0 / ((SELECT count(DISTINCT s
 cuts AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM q WHERE so_far = 1 GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_OVER}) AS kept FROM s"""
 
-MIXING = f"""WITH RECURSIVE r AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + {mixing.OVERHEAD} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || 'mixing') AS h FROM documents),
+MIXING = f"""WITH RECURSIVE r AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + {mixing.OVERHEAD} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || 'mixing' || md5(coalesce(text, ''))) AS h FROM documents),
 b AS (SELECT *, CAST(floor(before / {mixing.BLOCK_BYTES}e0) AS BIGINT) AS block FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)),
 s AS (SELECT source, sqrt(CAST(sum(size) AS DOUBLE) + 1) AS root FROM r GROUP BY 1),
 n AS (SELECT count(*) AS n, sum(root) AS total, greatest({mixing.PERIOD}, 2 * count(*)) AS period FROM s),

@@ -110,8 +110,8 @@ def assign(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
 def shard(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", places: DataFrame | None = None) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document.
 
-    ``places`` (``placed, position``, each id once, positions from 0) gives the order of the slots
-    in a shard; ids that it lacks come first. Without it a hash of the id and text does, so that rows
+    ``places`` (``placed, mark, position``: each id and MD5 of its text once, positions from 0) gives
+    the order of the slots in a shard; rows that it lacks come first. Without it a hash of the id and text does, so that rows
     without an id are numbered by many tasks.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -128,7 +128,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", te
         n = rows.count()
         bucket, order = F.pmod(F.xxhash64("doc_id", "item"), F.lit(max(1, -(-n // (SLOT_ROWS * shards)) * 2))), ["doc_id", "item"]
     else:
-        placed = placed.join(places, F.col("doc_id").eqNullSafe(F.col("placed")), "left").withColumn("position", F.coalesce("position", F.lit(-1).cast("long")))
+        placed = placed.join(places, F.col("doc_id").eqNullSafe(F.col("placed")) & (F.col("item") == F.col("mark")), "left").withColumn("position", F.coalesce("position", F.lit(-1).cast("long")))
         bucket, order = F.floor(F.col("position") / SLOT_ROWS).cast("long"), ["position", "doc_id", "item"]
     slots = numbered(placed, ["shard"], bucket, order, "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

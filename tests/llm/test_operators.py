@@ -863,6 +863,23 @@ def test_mixture_keeps_all_rows(docs, none):
     assert ordered.columns == docs.columns and counted([tuple(r) for r in ordered.collect()]) == counted(ROWS)
 
 
+def test_rows_without_an_id_stand_by_their_texts(spark, monkeypatch):
+    """Blocks of many null and repeated ids against running sums in the order of the hash."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    r = random.Random(4)
+    rows = [(None if i % 3 else i % 2, words(r, 1 + i % 17), "hot" if i % 4 else None) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_bytes=1_000).collect()
+    sums, want = Counter(), Counter()
+    mark = {row: hashlib.md5((("" if row[0] is None else str(row[0])) + "mixing" + hashlib.md5(row[1].encode()).hexdigest()).encode()).hexdigest() for row in rows}
+    for row in sorted(rows, key=lambda row: mark[row]):
+        want[(row[0], row[2], sums[row[2]] // 1_000)] += 1
+        sums[row[2]] += len(row[1].encode()) + mixing.OVERHEAD
+    assert Counter((g.doc_id, g.source, g.block) for g in got) == want
+    assert sorted(g.position for g in got) == list(range(300))
+    # each text has its own place, so the order of a table does not gather rows without an id
+    assert mixing.places(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == len({row[:2] for row in rows})
+
+
 def test_weights_fill_the_period(spark):
     w = mixing.weights_from_bytes(spark.createDataFrame([("a", 10**9), ("b", 10**6), ("c", 1), (None, 5)], "source string, bytes long")).collect()
     assert sum(x.weight for x in w) == mixing.PERIOD and all(x.weight >= 1 for x in w)
