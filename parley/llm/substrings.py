@@ -190,8 +190,10 @@ def repeated_windows(parts: list[bytes], windows: list[int]) -> list[Ranges]:
     own = (here < (starts + np.array(windows))[owner]) & (here + PASSAGE < ends[owner])
     order = order[own[order]]
     found = []
-    for twice in same_as_before(line, order, (LENGTH, PASSAGE)):
+    for length, twice in zip((LENGTH, PASSAGE), same_as_before(line, order, (LENGTH, PASSAGE)), strict=True):
         twice[:-1] |= twice[1:].copy()
+        # what is alike beyond the end of a segment is no string of it
+        twice &= order + length < ends[owner[order]]
         at = np.sort(order[twice])
         first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
         last = np.append(first[1:], len(at))[: len(first)] - 1

@@ -598,6 +598,20 @@ def test_passages_across_pieces_and_runs(spark, monkeypatch):
         assert sorted(w for _, s, e, *_ in own for w in range(s, e + 1)) == list(range(n))
 
 
+@pytest.mark.parametrize("hot", [substrings.HOT, 2])
+def test_texts_that_end_alike_short_of_a_removed_string(spark, hot):
+    """Ends of 256 to 399 common bytes stay, whatever follows them in a suffix array; one of 400 goes."""
+    r = random.Random(22)
+    some = lambda n, a="abcdefgh ": "".join(r.choice(a) for _ in range(n))
+    texts = [some(100) + mark + tail for tail in (some(n) for n in (256, 300, 390, 397, 398, 399, 400, 401)) for mark in "xyz"]
+    binary = [some(r.choice((1, 255, 300, 399, 400, 700)), "ab") for _ in range(6)]
+    texts += ["".join(r.choice(binary)[-r.randrange(1, 800) :] for _ in range(r.randrange(1, 5))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {(i, *x) for i, x in enumerate(brute_repeats(texts))}
+    assert {(g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in substrings.remove_repeats(docs, hot=hot).collect()} == want
+    assert all(x[2] == 0 for x in want if x[0] < 18) and all(x[2] for x in want if 18 <= x[0] < 24)
+
+
 def test_no_rows_no_repeats(none):
     assert substrings.report(none).count() == 0
 
