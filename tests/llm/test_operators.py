@@ -466,6 +466,26 @@ def test_no_model_without_findings_to_set_aside(spark):
     assert [x.spans for x in secrets.report(few).orderBy("doc_id").collect()] == ["assign:0:22", ""]
 
 
+def test_every_finding_of_all_documents_is_learnt_from_in_packs(spark, monkeypatch):
+    """More findings than the 3,000 of a label that were once learnt from: three quarters teach, the rest calibrates."""
+    r = random.Random(12)
+    token = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    rows = [(None if i % 2 else 7, f"so token = {token()} it" if i < 4000 else f"so number {r.randrange(10**17, 10**18)} it") for i in range(8000)]
+    taught, placed = [], []
+    train, place = secrets._train, secrets.Network.place
+    monkeypatch.setattr(secrets, "_train", lambda d: taught.append({x.label: x["count"] for x in d.where("not made").groupBy("label").count().collect()}) or train(d))
+    monkeypatch.setattr(secrets.Network, "place", lambda self, z, y, n: placed.append((n[y == 0].sum(), n[y == 1].sum())) or place(self, z, y, n))
+    monkeypatch.setattr(secrets, "EPOCHS", 2)
+    monkeypatch.setattr(secrets, "TEMPLATES", 200)
+    monkeypatch.setattr(secrets, "_doubtful", lambda single, made: single.withColumn("doubtful", F.lit(False)))
+    monkeypatch.setattr(secrets, "PACK", 5000)
+    model = secrets.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(taught[0].values()) == 6000 and len(taught) == 1  # in four packs
+    assert all(2800 < n < 3600 for n in placed[0])  # a thousand shown in three ways, and templates
+    seen = lambda t, a, b: model.probability(np.frombuffer(secrets.window(t, a, b), dtype=np.uint8).reshape(1, -1))[0]
+    assert seen("so number 123456789123456789 it", 10, 28) < model.threshold <= seen("so token = aB3dE6gH9jK2mN5pQ8sT1vW4 it", 11, 35)
+
+
 def test_windows_cover_whole_candidates():
     r = random.Random(3)
     for n in (1, 16, 39, 40, 41, 64, 65, 200, 1_001):
