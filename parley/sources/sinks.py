@@ -109,17 +109,55 @@ def _stored_schema(spark: SparkSession, path: str, one: tuple[str, int]):
     return rows.select("*", F.lit("").alias("experiment"), F.lit(0).alias("tau_ms")).schema
 
 
+#: Folders of a store with sidecars; the hash of a key says which is its own.
+STORE_BUCKETS = 128
+
+
+def _in_bucket(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(STORE_BUCKETS)).cast("int"))
+
+
+def _swap_bucket(spark: SparkSession, staged: str, path: str, bucket: int) -> None:
+    """The staged folder takes the place of the one in the store; its sidecars go first and come last."""
+    fs, sidecars = _files(spark, f"{path}/sidecars/_bucket={bucket}")
+    fs.delete(sidecars, True)
+    for part in ("data", "sidecars"):
+        source, target = (_files(spark, f"{top}/{part}/_bucket={bucket}")[1] for top in (staged, path))
+        fs.delete(target, True)
+        if fs.exists(source) and not fs.rename(source, target):
+            raise OSError(f"{source.toString()} can't become {target.toString()}")
+
+
 def write_with_sidecars(outputs: DataFrame, fingerprints: DataFrame, path: str, key: str) -> None:
-    """Replace the outputs of the keys at hand, then their sidecars (``fingerprint`` and rows written).
+    """Replace the outputs of the keys at hand, and their sidecars (``fingerprint`` and rows written).
 
-    The sidecar comes last, so a key whose output is half written has none that fits and is redone.
+    Keys share ``STORE_BUCKETS`` folders, so that there are few files however many keys; the other
+    keys of a folder are copied. New folders are staged and then take their places one by one, so
+    after an interruption one folder at most has no sidecars, and its keys are redone. A store has
+    one writer at a time.
     """
-    _replace(outputs, f"{path}/data", [key])
     spark = outputs.sparkSession
-    mine = spark.read.schema(outputs.schema).parquet(f"{path}/data").join(fingerprints.select(key), key, "left_semi")
-    counted = mine.groupBy(key).agg(F.count("*").alias("n_rows")).withColumn(key, F.col(key).cast("string"))
-    done = fingerprints.select(F.col(key).cast("string").alias(key), "fingerprint", "params").join(counted, key, "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long")))
-    _replace(done.repartition(1, key), f"{path}/sidecars", [key], "json")
+    staged = f"{path}/staged/{uuid.uuid4().hex}"
+    name = F.col(key).cast("string")
+    rows = _in_bucket(outputs, key)
+    rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{staged}/data")
+    new = spark.read.schema(rows.schema).parquet(f"{staged}/data").groupBy(name.alias("_key")).agg(F.count("*").alias("n_rows"))
+    at_hand = fingerprints.select(name.alias("_key"), "fingerprint", "params").join(new, "_key", "full")
+    _in_bucket(at_hand, "_key").write.parquet(f"{staged}/keys")
+    at_hand = spark.read.parquet(f"{staged}/keys")
+    touched = sorted(r._bucket for r in at_hand.select("_bucket").distinct().collect())
+    fs, stored = _files(spark, f"{path}/data/_bucket=*")
+    others = lambda df: df.where(F.col("_bucket").isin(touched)).join(at_hand.select("_key"), name.eqNullSafe(F.col("_key")), "left_anti")
+    if fs.globStatus(stored):
+        others(spark.read.option("mergeSchema", True).parquet(f"{path}/data")).hint("rebalance", "_bucket").write.mode("append").partitionBy("_bucket").parquet(f"{staged}/data")
+    done = at_hand.where("fingerprint IS NOT NULL").select(F.col("_key").alias(key), "fingerprint", "params", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), "_bucket")
+    kept = others(_in_bucket(read_sidecars(spark, path, key), key))
+    done.unionByName(kept).repartition("_bucket").write.partitionBy("_bucket").json(f"{staged}/sidecars")
+    for part in ("data", "sidecars"):
+        fs.mkdirs(_files(spark, f"{path}/{part}")[1])
+    for bucket in touched:
+        _swap_bucket(spark, staged, path, bucket)
+    fs.delete(_files(spark, f"{path}/staged")[1], True)
 
 
 def read_sidecars(spark: SparkSession, path: str, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import math
 import os
 import random
+import shutil
 import statistics
 from collections import Counter, defaultdict
 
@@ -453,6 +454,55 @@ def test_only_what_changed_is_redone(spark, tmp_path):
     assert set(run(changed, {"win": "3"}, total).values()) == {"changed_parameter"}
 
 
+def stored(spark, path):
+    data = spark.read.parquet(f"{path}/data").groupBy("k").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    side = sinks.read_sidecars(spark, path, "k")
+    return {x.k: (x.v, x.n) for x in data.collect()}, {x.k: (x.fingerprint, x.n_rows) for x in side.collect()}
+
+
+def of_keys(spark, keys, v):
+    rows = spark.createDataFrame([(f"{k:05d}", v + i) for k in keys for i in range(2)], "k string, v int")
+    return rows, spark.createDataFrame([(f"{k:05d}", f"f{v}", "{}") for k in keys], "k string, fingerprint string, params string")
+
+
+def test_files_of_a_store_do_not_grow_with_its_keys(spark, tmp_path):
+    """3,000 keys, then 300 of them and 10 new ones; 50 of those have no output any more."""
+    path = str(tmp_path)
+    sinks.write_with_sidecars(*of_keys(spark, range(3_000), 10), path, "k")
+    rows, prints = of_keys(spark, [*range(300), *range(3_000, 3_010)], 20)
+    sinks.write_with_sidecars(rows.where("k >= '00050'"), prints, path, "k")
+    data, side = stored(spark, path)
+    changed = lambda k: k < 300 or k >= 3_000
+    assert data == {f"{k:05d}": (41, 2) if changed(k) else (21, 2) for k in range(50, 3_010)}
+    assert side == {f"{k:05d}": ("f20" if changed(k) else "f10", 0 if k < 50 else 2) for k in range(3_010)}
+    assert len(list(tmp_path.rglob("part-*"))) < 1_500
+    assert not (tmp_path / "staged").exists()
+
+
+def test_an_interrupted_store_redoes_one_folder_at_most(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    sinks.write_with_sidecars(*of_keys(spark, range(1_000), 10), path, "k")
+    swap, swapped = sinks._swap_bucket, []
+
+    def stops(spark, staged, path, bucket):
+        if len(swapped) == 20:
+            shutil.rmtree(f"{path}/sidecars/_bucket={bucket}")
+            raise RuntimeError("stopped")
+        swapped.append(bucket)
+        swap(spark, staged, path, bucket)
+
+    monkeypatch.setattr(sinks, "_swap_bucket", stops)
+    with pytest.raises(RuntimeError):
+        sinks.write_with_sidecars(*of_keys(spark, range(1_000), 20), path, "k")
+    data, side = stored(spark, path)
+    gone = set(data) - set(side)
+    assert 0 < len(gone) < 60 and len(data) == 1_000
+    assert all((f == "f20") == (data[k] == (41, 2)) for k, (f, _) in side.items()) and {f for f, _ in side.values()} == {"f10", "f20"}
+    monkeypatch.undo()
+    sinks.write_with_sidecars(*of_keys(spark, [int(k) for k in gone], 20), path, "k")
+    assert len(stored(spark, path)[1]) == 1_000
+
+
 # --- components, tables that go ------------------------------------------------------------------
 
 
