@@ -32,6 +32,27 @@ def _file_id(pattern: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
+#: A packed table holds the lines of many documents, so that there are few files however many
+#: documents: the path of a document, the place of a line in it, and the line (or the whole text).
+PACKED = "path string, block long, line long, value string"
+
+
+def document_lines(spark: SparkSession, path: str, packed: bool = False, **options) -> DataFrame:
+    """The columns of ``PACKED`` of text files, or of a packed table (``sinks.write_packed``, ``sinks.pack_files``)."""
+    if packed:
+        return spark.read.schema(PACKED).parquet(path)
+    return spark.read.text(path, **options).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+
+
+def _packed_json(spark: SparkSession, path: str, ddl: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """``path, block, line`` and the columns of ``ddl`` of a packed table of JSON, as Spark's reader has
+    them of files: a row for each object or entry of an array, nulls where a text is malformed."""
+    schema = T.ArrayType(T.StructType.fromDDL(ddl))
+    held = F.from_json("value", schema, {"mode": mode})
+    rows = F.when(held.isNull(), F.array(F.lit(None).cast(schema.elementType))).otherwise(held)
+    return document_lines(spark, path, True).where(F.trim("value") != "").select("path", "block", "line", F.explode(rows).alias("x")).select("path", "block", "line", "x.*")
+
+
 def read_intervals(spark: SparkSession, path: str, pattern: str = VAD_FILE) -> DataFrame:
     """``file_id, seg_idx, start_s, end_s`` from JSON lines, by start; a bad line is an error."""
     rows = spark.read.schema("start double, end double").option("mode", "FAILFAST").json(path).select(_file_id(pattern).alias("file_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.col("start").alias("start_s"), F.col("end").alias("end_s"))
@@ -131,16 +152,20 @@ def interactions_from_filelist(filelist: DataFrame) -> tuple[DataFrame, DataFram
 DYAD_FOLDER = r"/([^/]+)/interaction/[^/]+$"
 
 
-def read_interactions(spark: SparkSession, filelist: str, metadata: str, relationships: str, pattern: str = DYAD_FOLDER, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_interactions(spark: SparkSession, filelist: str, metadata: str, relationships: str, pattern: str = DYAD_FOLDER, lines: bool = False, packed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Dyads composed from their JSON documents, and the dyads with a fault and its reason.
 
     ``filelist``: entries of file_id, label and split; ``metadata``: interaction_type;
     ``relationships``: relationship and its detail. Documents meet by the folder that ``pattern``
     finds in their paths (with ``lines`` they are JSON lines), so a dyad of which a document is absent is a fault as well. Columns are
-    those of a manifest, without the split, the split of the source being ``seamless_split``.
+    those of a manifest, without the split, the split of the source being ``seamless_split``. With ``packed`` the
+    three paths are packed tables of documents or of their lines.
     """
-    folder = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("_dir")
-    read = lambda path, ddl: spark.read.schema(ddl).option("multiLine", not lines).json(path).select("*", folder)
+
+    def read(path: str, ddl: str) -> DataFrame:
+        rows = _packed_json(spark, path, ddl) if packed else spark.read.schema(ddl).option("multiLine", not lines).json(path)
+        return rows.select(*T.StructType.fromDDL(ddl).names, F.regexp_extract("path" if packed else F.col("_metadata.file_path"), pattern, 1).alias("_dir"))
+
     entries = read(filelist, "file_id string, label string, split string")
     pid = participant_id("file_id")
     entry = F.struct(pid.alias("pid"), "file_id")

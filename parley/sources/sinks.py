@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .readers import MANIFEST_COLUMNS
+from .readers import MANIFEST_COLUMNS, PACKED, document_lines
 
 
 #: Files of each tau, at most.
@@ -176,6 +177,18 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.orderBy(order, "interaction_id").select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_packed(lines: DataFrame, path: str) -> None:
+    """Lines of documents (columns of ``PACKED``) in few files; readers take them as ``packed``."""
+    lines.select(*[F.col(c.name).cast(c.dataType) for c in T.StructType.fromDDL(PACKED)]).write.mode("overwrite").parquet(path)
+
+
+def pack_files(spark: SparkSession, folders: list[str], path: str, glob: str = "*", wholetext: bool = False) -> None:
+    """Pack the text files under these folders, a folder after another: the driver lists one at a time."""
+    for n, folder in enumerate(folders):
+        lines = document_lines(spark, folder, recursiveFileLookup=True, pathGlobFilter=glob, wholetext=wholetext)
+        lines.hint("rebalance").write.mode("append" if n else "overwrite").parquet(path)
+
+
 def write_run_manifest(config: dict[str, str], counts: DataFrame, dyads: DataFrame, path: str, class_names: dict[int, str] | None = None, lexicon: tuple[str, ...] = ()) -> None:
     """Provenance as JSON: configuration, counts per tau and split, flags per dyad, each in a folder, and
     all of it as one ``document``.

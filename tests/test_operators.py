@@ -1,7 +1,9 @@
 """Properties, edge cases and round trips of the conversation operators."""
 
 import json
+import pathlib
 import random
+import shutil
 from itertools import pairwise
 
 import pytest
@@ -9,8 +11,12 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalars as S
 from parley.operators import audit, filters, graphs, metrics, models, reports, signals, splits
+from parley.plans import registry
 from parley.sources import readers, sinks
 
+from .helpers import rows as plain_rows
+from .helpers import tables
+
 
 def one(df):
     return df.collect()[0]
@@ -283,6 +289,65 @@ def test_json_features(spark, tmp_path):
     assert sorted(r.n for r in readers.read_json_features(spark, str(tmp_path)).select(F.size("matrix").alias("n")).collect()) == [1, 1, 2]
 
 
+def files_written(spark, run):
+    """Rows of a query, and how many part files it has left in the shared folder."""
+    top = pathlib.Path(graphs.shared_folder(spark).removeprefix("file://"))
+    before = set(top.iterdir())
+    out = run()
+    rows = out.collect()
+    return rows, sum(len(list(p.rglob("part-*"))) for p in set(top.iterdir()) - before)
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """1,200 conversations of two to five turns, and 800 vectors."""
+    at = tmp_path_factory.mktemp("many")
+    turns = spark.range(1_200).selectExpr("id AS conv_id", "explode(sequence(0L, id % 4 + 1)) AS turn").selectExpr("conv_id", "turn", "IF(turn % 2 = 0, 'user', 'assistant') AS role", "repeat('x', CAST(conv_id * 7 % 90 AS INT)) AS text")
+    turns.coalesce(1).write.parquet(f"{at}/all")
+    vectors = spark.range(800).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CAST((id * 13 + i * 7) % 101 AS FLOAT) / 8) AS embedding", "CAST(id % 3 AS INT) AS label")
+    vectors.selectExpr("vec_id", "transform(embedding, x -> CAST(x AS FLOAT)) AS embedding", "label").coalesce(1).write.parquet(f"{at}/vectors")
+    for name, table in (("all", "conversations"), ("vectors", "embeddings")):
+        next((at / name).glob("part-*.parquet")).rename(at / f"{table}.parquet")
+        shutil.rmtree(at / name)
+    return at
+
+
+MANY = ["read_interaction_docs"]
+
+
+@pytest.mark.parametrize("name", MANY)
+def test_files_do_not_grow_with_the_documents(spark, many, name):
+    registry.load()
+    rows, n = files_written(spark, lambda: registry.QUERIES[name](spark, str(many)))
+    cur = tables(str(many)).execute(registry.ORACLES[name])
+    names = [c[0] for c in cur.description]
+    assert plain_rows(names, [tuple(r[c] for c in names) for r in rows]) == plain_rows(names, cur.fetchall())
+    assert 0 < n < 60
+
+
+def test_packed_interaction_documents(spark, tmp_path):
+    """Messy documents in folders, and the same packed, a folder at a time."""
+    one = lambda i, label="naturalistic", split="train": {"file_id": f"V00_S0001_I{i:08d}_P{1 + (label == 'other'):04d}", "label": label, "split": split}
+    both = lambda i: [one(i), {**one(i), "file_id": f"V00_S0001_I{i:08d}_P0002", "more": [1, {"a": 2}]}]
+    dyads = {"good": both(1), "pretty": both(2), "single": one(3), "labels": [one(4), one(4, "other")], "broken": "[{", "empty": "", "none": "[]", "kinds": [{**both(5)[0], "split": 7}, both(5)[1]], "no_meta": both(6), "no_rel": both(7)}
+    for name, held in dyads.items():
+        at = tmp_path / "docs" / name / "interaction"
+        at.mkdir(parents=True)
+        (at / "filelist.json").write_text(held if isinstance(held, str) else json.dumps(held, indent=2 if name == "pretty" else None))
+        if name != "no_meta":
+            (at / "metadata.json").write_text('{"interaction_type": "talk"}' if name != "good" else "{oops")
+        if name != "no_rel":
+            (at / "relationship.json").write_text('{\n "relationship": "stranger",\n "relationship_detail": "stranger"\n}')
+    kinds = ("filelist", "metadata", "relationship")
+    plain = readers.read_interactions(spark, *[f"{tmp_path}/docs/*/interaction/{k}.json" for k in kinds])
+    for k in kinds:
+        sinks.pack_files(spark, [f"{tmp_path}/docs/{name}" for name in dyads], f"{tmp_path}/{k}", f"{k}.json", wholetext=True)
+    packed = readers.read_interactions(spark, *[f"{tmp_path}/{k}" for k in kinds], packed=True)
+    for a, b in zip(plain, packed):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert plain[0].count() == 2 and {r.folder: r.reason for r in packed[1].collect()} == {"single": "file_count", "labels": "labels", "broken": "file_count", "kinds": "splits", "no_meta": "no_metadata", "no_rel": "no_relationship"}
+
+
 def test_manifest_needs_its_columns_and_rows(spark, tmp_path):
     (tmp_path / "m.csv").write_text("split,interaction_id\n")
     with pytest.raises(ValueError, match="lacks"):
