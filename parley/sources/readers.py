@@ -45,12 +45,12 @@ def document_lines(spark: SparkSession, path: str, packed: bool = False, **optio
 
 
 def _packed_json(spark: SparkSession, path: str, ddl: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """``path, block, line`` and the columns of ``ddl`` of a packed table of JSON, as Spark's reader has
+    """``path, block, line, entry`` and the columns of ``ddl`` of a packed table of JSON, as Spark's reader has
     them of files: a row for each object or entry of an array, nulls where a text is malformed."""
     schema = T.ArrayType(T.StructType.fromDDL(ddl))
     held = F.from_json("value", schema, {"mode": mode})
     rows = F.when(held.isNull(), F.array(F.lit(None).cast(schema.elementType))).otherwise(held)
-    return document_lines(spark, path, True).where(F.trim("value") != "").select("path", "block", "line", F.explode(rows).alias("x")).select("path", "block", "line", "x.*")
+    return document_lines(spark, path, True).where(F.trim("value") != "").select("path", "block", "line", F.posexplode(rows).alias("entry", "x")).select("path", "block", "line", "entry", "x.*")
 
 
 def read_intervals(spark: SparkSession, path: str, pattern: str = VAD_FILE) -> DataFrame:
@@ -210,9 +210,12 @@ def json_matrix(value: Column, name: Column) -> Column:
     return F.when(found.isNull(), F.raise_error(F.concat(F.lit("no features in "), name)).cast(matrix)).otherwise(found)
 
 
-def read_json_features(spark: SparkSession, path: str) -> DataFrame:
-    """``path, matrix`` of JSON files: a bare array of rows, or an object with features or embeddings."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+def read_json_features(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """``path, matrix`` of JSON files: a bare array of rows, or an object with features or embeddings.
+
+    With ``packed`` they are the whole texts of a packed table.
+    """
+    rows = document_lines(spark, path, packed, wholetext=True)
     return rows.select("path", json_matrix(F.col("value"), F.col("path")).alias("matrix"))
 
 

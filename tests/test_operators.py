@@ -312,7 +312,7 @@ def many(spark, tmp_path_factory):
     return at
 
 
-MANY = ["read_interaction_docs"]
+MANY = ["read_interaction_docs", "read_json_features"]
 
 
 @pytest.mark.parametrize("name", MANY)
@@ -348,6 +348,24 @@ def test_packed_interaction_documents(spark, tmp_path):
     assert plain[0].count() == 2 and {r.folder: r.reason for r in packed[1].collect()} == {"single": "file_count", "labels": "labels", "broken": "file_count", "kinds": "splits", "no_meta": "no_metadata", "no_rel": "no_relationship"}
 
 
+def test_packed_json_features(spark, tmp_path):
+    texts = {"a/x.json": "[[1.0, 2.0]]", "a/y.json": '{\n "features":\n [[1.0, 2.0], [3.0, 4.0]]}', "b/z.json": '{"embeddings": [[1.0]]}'}
+    for name, text in texts.items():
+        (tmp_path / "docs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "docs" / name).write_text(text)
+    folders = [f"{tmp_path}/docs/{x}" for x in "ab"]
+    sinks.pack_files(spark, folders, f"{tmp_path}/packed", "*.json", wholetext=True)
+    plain = spark.createDataFrame([], "path string, matrix array<array<double>>")
+    for x in folders:
+        plain = plain.unionByName(readers.read_json_features(spark, x))
+    got = readers.read_json_features(spark, f"{tmp_path}/packed", packed=True).collect()
+    assert len(got) == 3 and sorted(map(repr, got)) == sorted(map(repr, plain.collect()))
+    (tmp_path / "docs" / "b" / "z.json").write_text('{"other": 1}')
+    sinks.pack_files(spark, folders, f"{tmp_path}/packed", "*.json", wholetext=True)
+    with pytest.raises(Exception, match="no features in .*z.json"):
+        readers.read_json_features(spark, f"{tmp_path}/packed", packed=True).collect()
+
+
 def test_manifest_needs_its_columns_and_rows(spark, tmp_path):
     (tmp_path / "m.csv").write_text("split,interaction_id\n")
     with pytest.raises(ValueError, match="lacks"):
