@@ -60,11 +60,11 @@ def read_intervals(spark: SparkSession, path: str, pattern: str = VAD_FILE) -> D
     return rows.withColumn("seg_idx", F.row_number().over(w)).select("file_id", "seg_idx", "start_s", "end_s")
 
 
-def read_transcripts(spark: SparkSession, path: str, pattern: str = TRANSCRIPT_FILE) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, pattern: str = TRANSCRIPT_FILE, packed: bool = False) -> DataFrame:
     """``file_id, words`` from JSON lines; malformed lines are skipped. Words are maps, so that an
-    absent key can be told from a null value."""
+    absent key can be told from a null value. With ``packed`` the lines are those of a packed table."""
     schema = T.StructType.fromDDL("words array<map<string,string>>")
-    rows = spark.read.text(path).select(_file_id(pattern).alias("file_id"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j"), "value")
+    rows = document_lines(spark, path, packed).select(F.regexp_extract("path", pattern, 1).alias("file_id"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j"))
     return rows.where(F.col("j.words").isNotNull()).select("file_id", F.col("j.words").alias("words"))
 
 

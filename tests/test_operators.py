@@ -312,7 +312,7 @@ def many(spark, tmp_path_factory):
     return at
 
 
-MANY = ["read_interaction_docs", "read_json_features"]
+MANY = ["read_interaction_docs", "read_json_features", "read_transcripts"]
 
 
 @pytest.mark.parametrize("name", MANY)
@@ -366,6 +366,17 @@ def test_packed_json_features(spark, tmp_path):
         readers.read_json_features(spark, f"{tmp_path}/packed", packed=True).collect()
 
 
+def test_packed_transcripts_skip_bad_lines(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    for k in range(3):
+        words = [{"word": f"w{k}", "start": 1.0, "end": 1.5}, {"word": "no end", "start": 2.0}, {"word": "null", "start": None, "end": 3.0}]
+        (tmp_path / "docs" / f"transcript_a_{k}.jsonl").write_text(json.dumps({"words": words}) + "\nnot json\n\n" + json.dumps({"other": 1}) + "\n" + json.dumps({"words": words[:1]}) + "\n")
+    sinks.pack_files(spark, [f"{tmp_path}/docs"], f"{tmp_path}/packed")
+    plain, packed = readers.read_transcripts(spark, f"{tmp_path}/docs"), readers.read_transcripts(spark, f"{tmp_path}/packed", packed=True)
+    assert packed.count() == 6 and sorted(map(repr, plain.collect())) == sorted(map(repr, packed.collect()))
+    assert sorted((r.file_id, r.word) for r in readers.flatten_words(packed).collect()) == [(f"a_{k}", f"w{k}") for k in (0, 0, 1, 1, 2, 2)]
+
+
 def test_manifest_needs_its_columns_and_rows(spark, tmp_path):
     (tmp_path / "m.csv").write_text("split,interaction_id\n")
     with pytest.raises(ValueError, match="lacks"):
