@@ -53,11 +53,17 @@ def _packed_json(spark: SparkSession, path: str, ddl: str, mode: str = "PERMISSI
     return document_lines(spark, path, True).where(F.trim("value") != "").select("path", "block", "line", F.posexplode(rows).alias("entry", "x")).select("path", "block", "line", "entry", "x.*")
 
 
-def read_intervals(spark: SparkSession, path: str, pattern: str = VAD_FILE) -> DataFrame:
-    """``file_id, seg_idx, start_s, end_s`` from JSON lines, by start; a bad line is an error."""
-    rows = spark.read.schema("start double, end double").option("mode", "FAILFAST").json(path).select(_file_id(pattern).alias("file_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), F.col("start").alias("start_s"), F.col("end").alias("end_s"))
-    w = Window.partitionBy("file_id").orderBy("start_s", "_block", "_line")
-    return rows.withColumn("seg_idx", F.row_number().over(w)).select("file_id", "seg_idx", "start_s", "end_s")
+def read_intervals(spark: SparkSession, path: str, pattern: str = VAD_FILE, packed: bool = False) -> DataFrame:
+    """``file_id, seg_idx, start_s, end_s`` from JSON lines, by start; a bad line is an error. With
+    ``packed`` the lines are those of a packed table."""
+    ddl = "start double, end double"
+    if packed:
+        rows = _packed_json(spark, path, ddl, "FAILFAST")
+    else:
+        rows = spark.read.schema(ddl).option("mode", "FAILFAST").json(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.lit(0).alias("entry"), "start", "end")
+    named = rows.select(F.regexp_extract("path", pattern, 1).alias("file_id"), "block", "line", "entry", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+    w = Window.partitionBy("file_id").orderBy("start_s", "block", "line", "entry")
+    return named.withColumn("seg_idx", F.row_number().over(w)).select("file_id", "seg_idx", "start_s", "end_s")
 
 
 def read_transcripts(spark: SparkSession, path: str, pattern: str = TRANSCRIPT_FILE, packed: bool = False) -> DataFrame:

@@ -312,7 +312,7 @@ def many(spark, tmp_path_factory):
     return at
 
 
-MANY = ["read_interaction_docs", "read_json_features", "read_transcripts"]
+MANY = ["read_interaction_docs", "read_json_features", "read_transcripts", "read_intervals"]
 
 
 @pytest.mark.parametrize("name", MANY)
@@ -377,6 +377,24 @@ def test_packed_transcripts_skip_bad_lines(spark, tmp_path):
     assert sorted((r.file_id, r.word) for r in readers.flatten_words(packed).collect()) == [(f"a_{k}", f"w{k}") for k in (0, 0, 1, 1, 2, 2)]
 
 
+def test_packed_intervals(spark, tmp_path):
+    """Ties in the order of the lines and of the entries of a line; a bad line is an error."""
+    r = random.Random(3)
+    (tmp_path / "docs").mkdir()
+    for k in range(4):
+        lines = [json.dumps({"start": r.randrange(5) / 2, "end": float(i)}) for i in range(40)]
+        lines[7:7] = ["", "  ", json.dumps([{"start": 0.5, "end": -1.0}, {"start": 0.5, "end": -2.0}]), json.dumps({"end": 9.0})]
+        (tmp_path / "docs" / f"vad_a_{k}.jsonl").write_text("\n".join(lines) + "\n")
+    pack = lambda: sinks.pack_files(spark, [f"{tmp_path}/docs"], f"{tmp_path}/packed", "*.jsonl")
+    pack()
+    plain, packed = readers.read_intervals(spark, f"{tmp_path}/docs"), readers.read_intervals(spark, f"{tmp_path}/packed", packed=True)
+    assert packed.count() == 4 * 43 and sorted(map(repr, plain.collect())) == sorted(map(repr, packed.collect()))
+    (tmp_path / "docs" / "vad_a_0.jsonl").write_text('{"start": 2.5, "end": 3.0}\nnot json\n')
+    pack()
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        readers.read_intervals(spark, f"{tmp_path}/packed", packed=True).collect()
+
+
 def test_manifest_needs_its_columns_and_rows(spark, tmp_path):
     (tmp_path / "m.csv").write_text("split,interaction_id\n")
     with pytest.raises(ValueError, match="lacks"):
